@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, quality_rules, secret_scan
+from . import minhash_dedup, quality_rules, secret_scan, source_mix
 from .common import documents
 
 
@@ -34,6 +34,11 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return source_mix.mix(documents(spark, sf_dir)).drop("source")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the decision list's verdict on every document."""
     judged = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op4_source_mix, op5_quality_rules)}
 
 
 WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -63,5 +68,32 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(r) AS c FROM rea
 """
 
 
+OP4_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, md5(coalesce(text, '')) AS tie FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM r GROUP BY source),
+s1 AS (SELECT source, n, 2 * n AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 1.5 * sum(n) OVER () AS total FROM s0),
+fill AS (  -- resharing round by round
+  SELECT 0 AS k, source, n, cap, CAST(w AS DOUBLE) AS w, total, CAST(0 AS DOUBLE) AS t, false AS full_ FROM s1
+  UNION ALL
+  SELECT k + 1, source, n, cap, w, total, CASE WHEN full_ THEN cap ELSE least(cap, share) END, full_ OR share >= cap
+  FROM (SELECT *, w * (total - coalesce(sum(cap) FILTER (WHERE full_) OVER (), 0)) / nullif(sum(w) FILTER (WHERE NOT full_) OVER (), 0) AS share FROM fill WHERE k < 40)),
+tg AS (SELECT source, n, round(t, 6) AS t FROM fill WHERE k = 40),
+seats AS (SELECT *, CAST(round(sum(t) OVER ()) AS BIGINT) AS seats, sum(t) OVER () AS tt, count(*) OVER () AS ss FROM tg),
+sq AS (  -- one word to a block: start from the floor less a margin, then the highest quotients
+  SELECT *, CAST(greatest(floor(t / tt * seats) - 2 - ss, 0) AS BIGINT) AS sure FROM seats),
+sk AS (SELECT source, t, sure + k AS k, seats - sum(sure) OVER (PARTITION BY k) AS opn FROM sq, (SELECT unnest(range(0, 200)) AS k)),
+sr AS (SELECT source, row_number() OVER (ORDER BY t / (2 * k + 1) DESC, source NULLS LAST) AS rk, opn FROM sk),
+won AS (SELECT source, count(*) AS g FROM sr WHERE rk <= opn GROUP BY source),
+q AS (SELECT sq.source, n, t, sure + coalesce(g, 0) AS quota, greatest(CAST(ceil(n / 4000000) AS BIGINT), 1) AS shards FROM sq LEFT JOIN won ON won.source IS NOT DISTINCT FROM sq.source),
+placed AS (SELECT r.*, q.n, q.t, q.quota, coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, t AS target,
+  CAST(CASE WHEN n > 0 THEN (least(quota, 2 * CAST(n AS BIGINT)) // CAST(n AS BIGINT)) * size
+    + least(greatest(least(quota, 2 * CAST(n AS BIGINT)) % CAST(n AS BIGINT) - pos, 0), size) ELSE 0 END AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op4_source_mix": OP4_SQL}
