@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, quality_rules, secret_scan, source_mix
+from . import decontaminate, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup
 from .common import documents
 
 
@@ -51,8 +51,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__stats.{c}").alias(c) for c in base], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without its repeated 100-byte strings."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup)}
 
 
 WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
