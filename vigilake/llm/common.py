@@ -108,3 +108,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo ``n``: the fold rule of the labelled queries."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """(doc_id, ``by``) rows with the smallest hashes of their ids, about ``most`` for each value of ``by``.
+
+    Counts cover all rows; the cut is a share of the hash range, so one pass over two columns finds the sample."""
+    rows = rows.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(1_000_000.0 * most) / F.col("__n")
+    return rows.join(sizes, by).where(share).select("doc_id", by).dropDuplicates(["doc_id"])
+
+
+def sampled_rows(docs: DataFrame, picked: DataFrame, hard_limit: int) -> DataFrame:
+    """The picked documents' texts; never more than ``hard_limit`` rows, those with the smallest hashes."""
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(hard_limit)
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
