@@ -1,9 +1,11 @@
 """Near-duplicates by min-max hashing, confirmed on full shingle sets.
 
 Each permutation gives two signature values, its minimum and its maximum, so half the hash evaluations fill the same
-number of bands. Bands only propose pairs. Equal sets are folded first, and within a bucket documents are compared
-with one centre, then only across components that are still apart: no group is expanded into all its pairs, yet every
-pair of a bucket is either confirmed, refuted or already connected.
+number of bands. Bands only propose which documents must be compared. Equal sets are folded first. Each document then
+joins the cluster of the document that is least in most of its buckets. Clusters are compared in blocks of bounded
+size: members that the centre confirms are done, only the others are held against all members, and out of a block
+come links that connect, not pairs. Buckets that still hold several components send the members of their lesser
+clusters to visit the main one, until every pair of every bucket is confirmed, refuted or already connected.
 
 Defined results: no words or null text gives an empty set, linked with nothing; a null id keeps its row with a null
 component; rows that repeat an id share its component; an empty table gives an empty table."""
@@ -23,8 +25,10 @@ from .components import components
 
 #: Permutations (two values each), and the chance of losing a link at the threshold that the choice of bands allows.
 PERMUTATIONS, MISS = 108, 1e-7
-#: Members of one centre that one task group compares; larger stars are dealt over several.
-STAR = 512
+#: Shingles of the members that one block compares; larger clusters are dealt over several blocks.
+BLOCK_SHINGLES = 400_000
+#: Rounds of visits in which one cluster of each open bucket is settled; what is left then visits all at once.
+ROUNDS = 4
 _words = WordHashes()
 
 
@@ -84,38 +88,110 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return with_arrow(docs.select("doc_id", "text"), run, fields).select("doc_id", "n", "digest", "bands")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets.
+class Block:
+    """The sets of a block's members, and which of them are known to be connected."""
 
-    All pairs of one ``a`` meet in groups of bounded size; its set is made once a group, and members stream past it."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).alias("salts"))
-    members = pairs.join(stars, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
-    centres = stars.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    dealt = docs.select("doc_id", "text").join(members.union(centres), "doc_id").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+    def __init__(self, ids: list, sets: list[np.ndarray]) -> None:
+        self.ids, self.sizes = ids, np.array([len(s) for s in sets])
+        self.known, self.place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.up = list(range(len(ids)))
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Members whose sets are similar enough to ``s``: exact intersections with all members at once."""
+        at = np.searchsorted(self.known, s)
+        at[at == len(self.known)] = 0
+        mark = np.zeros(len(self.known), np.int32)
+        mark[at[self.known[at] == s]] = 1
+        both = np.add.reduceat(mark[self.place], self.starts)
+        return np.flatnonzero(100 * both >= percent * (len(s) + self.sizes - both))
+
+    def connect(self, k: int, others: np.ndarray) -> list[tuple]:
+        """Links of member ``k`` that join components of this block."""
+        out = []
+        for o in others.tolist():
+            a, b = self.root(k), self.root(o)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                out.append((self.ids[k], self.ids[o]))
+        return out
+
+    def reach(self, doc, others: np.ndarray) -> list[tuple]:
+        """Links of a visitor, one for each component of this block that it reaches."""
+        return [(doc, self.ids[o]) for o in {self.root(o): o for o in others.tolist() if self.ids[o] != doc}.values()]
+
+
+# roles of a row dealt to a block
+CENTRE, MEMBER, VISITOR = 0, 1, 2
+LINK, STRAY = 0, 1
+
+
+def compared(k: int, percent: int):
+    """Over rows sorted by (cluster, block, role): (kind, a, b), links, and members that no centre of theirs confirms."""
+
+    def settle_block(cluster, blocks, rows: list[tuple]) -> list[tuple]:
+        home = {d: s for r, d, s in rows if r != VISITOR}
+        block = Block(list(home), list(home.values()))
+        out = []
+        if rows[0][0] == CENTRE:
+            centre = 0
+            near = block.linked(rows[0][2], percent)
+            out += [(LINK, *x) for x in block.connect(centre, near)]
+            strays = set(range(len(home))) - set(near.tolist()) - {centre}
+            for x in sorted(strays):
+                out += [(LINK, *y) for y in block.connect(x, block.linked(home[block.ids[x]], percent))]
+                if blocks > 1:
+                    out.append((STRAY, cluster, block.ids[x]))
+        for r, d, s in rows:
+            if r == VISITOR:
+                out += [(LINK, *x) for x in block.reach(d, block.linked(s, percent))]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, centre = None, None
+        def written(out):
+            cols = list(zip(*out)) if out else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["kind", "a", "b"])
+
+        group, rows = None, []
         for b in batches:
-            a_out, b_out = [], []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key", "salt", "role")]
-            for text, doc, key, salt, role in zip(texts_of(b), *cols):
-                if role == 0:
-                    if group != (key, salt):
-                        group, centre = (key, salt), shingle_set(text, k)
-                    continue
-                s = shingle_set(text, k)
-                small, large = (s, centre) if len(s) <= len(centre) else (centre, s)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(small) + len(large) - both):
-                    a_out.append(key)
-                    b_out.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+            out = []
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "cluster", "block", "blocks", "role")]
+            for text, doc, cluster, block, blocks, role in zip(texts_of(b), *cols):
+                if group != (cluster, block, blocks):
+                    if rows:
+                        out += settle_block(group[0], group[2], rows)
+                    group, rows = (cluster, block, blocks), []
+                rows.append((role, doc, shingle_set(text, k)))
+            yield written(out)
+        if rows:
+            yield written(settle_block(group[0], group[2], rows))
+
+    return run
+
+
+def held_together(texts: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """dealt: (doc_id, cluster, block, blocks, role). What the blocks find, written down."""
+    rows = texts.join(dealt, "doc_id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
+    return settle(rows.mapInArrow(compared(k, percent), "kind int, a long, b long"))
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels: (id, comp) or None. The labels after ``links`` (a, b) between ids."""
+    if labels is None:
+        return settle(components(links).select(F.col("v").alias("id"), F.col("c").alias("comp")))
+    la, lb = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    edges = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    new = components(edges)
+    moved = labels.join(new.select(F.col("v").alias("comp"), "c"), "comp", "left").select("id", F.coalesce("c", "comp").alias("comp"))
+    fresh = new.select(F.col("v").alias("id"), F.col("c").alias("comp")).join(labels, "id", "left_anti")
+    out = settle(moved.union(fresh))
+    discard(labels, new)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -124,60 +200,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sig = settle(signatures(docs, k, percent / 100))
     solid = sig.where("n > 0 AND doc_id IS NOT NULL")
     folded = settle(solid.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = solid.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = solid.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    live = settle(rows.join(shared, "key").withColumn("comp", F.col("id")))
-    labels = done = None
-    stars = 0
-    while live.limit(1).count():
-        first = live.groupBy("key").agg(F.min(F.struct("comp", "id", "n")).alias("c"))
-        fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-        if stars >= 0:  # each member with one centre of its bucket
-            found = live.join(first, "key").where("comp != c.comp").select(F.col("c.id").alias("a"), F.col("id").alias("b"), "n", F.col("c.n").alias("m")).where(fits)
-            pairs = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if stars == 0 else found.select("a", "b").distinct()
-        else:  # what is still apart within a bucket, across components only
-            other = live.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
-            pairs = live.join(other, "key").where(f"comp != comp_a AND a < id AND {fits}").select("a", F.col("id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(done, ["x", "y"], "left_anti").select("a", "b")
-        pairs = settle(pairs)
-        links = settle(confirmed(docs, pairs, k, percent))
-        tried = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        last = stars < 0
-        if not links.limit(1).count():
-            stars = -1  # stars connect no more
+    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
+    live = settle(rows.join(shared, "key"))
+    often = live.groupBy("id", "lo").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    homes = settle(often.groupBy("id").agg(F.max(F.struct("c", -F.col("lo"))).alias("m"), F.min("n").alias("n")).select("id", "n", (-F.col("m.col2")).alias("cluster")))
+    texts = settle(docs.join(homes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    sizes = settle(homes.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("blocks")))
+    members = homes.join(sizes, "cluster").where("id != cluster").select(F.col("id").alias("doc_id"), "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks", F.lit(MEMBER).alias("role"))
+    every = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    centres = every.select(F.col("cluster").alias("doc_id"), "cluster", "block", "blocks", F.lit(CENTRE).alias("role"))
+    found = held_together(texts, members.unionByName(centres), k, percent)
+    labels = merged(None, found.where(f"kind = {LINK}").select("a", "b"))
+    # strays of clusters of several blocks visit the other blocks
+    visits = found.where(f"kind = {STRAY}").select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).distinct()
+    live_now = settle(live.join(homes.select("id", "cluster"), "id").select("key", "id", "cluster"))
+    discard(live)
+    live, done = live_now, None
+    for turn in range(ROUNDS + 1):
+        # open buckets hold several components in several clusters
+        now = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cluster").alias("k0"), F.max("cluster").alias("k1")).where("c0 < c1 AND k0 < k1").select("key")
+        left = settle(live.join(open_, "key"))
+        discard(live)
+        live = left
+        by_cluster = live.groupBy("key", "cluster").agg(F.count("*").alias("c"))
+        if turn < ROUNDS:
+            main = settle(by_cluster.groupBy("key").agg(F.max(F.struct("c", "cluster")).alias("m")).select("key", F.col("m.cluster").alias("main")))
         else:
-            if labels is None:
-                edges = links.select("a", "b")
-            else:
-                la, lb = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-                edges = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-            new = components(edges).select(F.col("v").alias("comp"), F.col("c").alias("into"))
-            if labels is None:
-                now = settle(new.select(F.col("comp").alias("id"), F.col("into").alias("comp")))
-            else:
-                moved = labels.join(new, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp"))
-                fresh = new.select(F.col("comp").alias("id"), F.col("into").alias("comp")).join(labels, "id", "left_anti")
-                now = settle(moved.union(fresh))
-            discard(labels)
-            labels = now
-            again = live.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            open_ = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            left = settle(again.join(open_, "key").select("id", "n", "key", "comp"))
-            discard(live)
-            live = left
-            stars = stars + 1 if 0 <= stars < 2 else -1
-        was = done
-        done = settle(tried if done is None else done.union(tried))
-        discard(was, pairs, links)
-        if last:
+            main = settle(by_cluster.select("key", F.col("cluster").alias("main")))
+        asked = live.join(main, "key").where("cluster != main").select(F.col("main").alias("cluster"), F.col("id").alias("doc_id")).distinct()
+        asked = asked.unionByName(visits).distinct() if turn == 0 else asked
+        if done is not None:
+            asked = asked.join(done, ["cluster", "doc_id"], "left_anti")
+        asked = settle(asked)
+        if asked.limit(1).count():
+            go = every.join(asked, "cluster").select("doc_id", "cluster", "block", "blocks", F.lit(VISITOR).alias("role"))
+            host = asked.select("cluster").distinct()
+            stay = members.unionByName(centres).join(host, "cluster", "left_semi").withColumn("role", F.lit(MEMBER))
+            seen = held_together(texts, stay.unionByName(go), k, percent)
+            if seen.limit(1).count():
+                labels = merged(labels, seen.where(f"kind = {LINK}").select("a", "b"))
+            discard(seen)
+        was, done = done, settle(asked if done is None else done.unionByName(asked))
+        left = settle(live.join(main.withColumnRenamed("main", "cluster"), ["key", "cluster"], "left_anti"))
+        discard(live, was, asked, main)
+        live = left
+        if not live.limit(1).count():
             break
-    discard(live, done)
+    discard(live, done, texts, found, homes, sizes)
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(folded, "digest", "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+    out = out.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
