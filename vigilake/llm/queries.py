@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, toxicity
+from . import decontaminate, language_id, minhash_dedup, quality_rules, secret_scan, site_quality, source_mix, suffix_dedup, toxicity
 from .common import crc_mod, documents
 
 
@@ -65,6 +65,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"), F.size("__spans").cast("long").alias("n_spans"), spans.alias("spans"))
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document with its source as host and its language's section as path."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    return site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of every document; the held-out quarter's are not read."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -74,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op8_site_quality, op10_language_id)}
 
 
 WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
