@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, quality_rules, secret_scan, site_quality, source_mix, suffix_dedup, toxicity
+from . import decontaminate, language_id, minhash_dedup, ngram_lm, quality_rules, secret_scan, site_quality, source_mix, suffix_dedup, toxicity
 from .common import crc_mod, documents
 
 
@@ -71,6 +71,12 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document under the counts of all others."""
+    found = ngram_lm.score(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_found", F.round("score", 6).alias("score"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of every document; the held-out quarter's are not read."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op8_site_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op8_site_quality, op9_ngram_lm, op10_language_id)}
 
 
 WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -128,5 +134,22 @@ FROM placed
 """
 
 
+OP9_SQL = f"""
+WITH w AS (
+  SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+t AS (SELECT doc_id, unnest(list_prepend('', ws)[:len(ws)]) AS v, unnest(ws) AS w FROM w WHERE len(ws) > 0),
+own AS (SELECT doc_id, v, w, count(*) AS n FROM t GROUP BY ALL),
+pair AS (SELECT v, w, sum(n) AS c FROM own GROUP BY ALL),
+head AS (SELECT v, count(*) AS c FROM t GROUP BY v),
+word AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+s AS (
+  SELECT own.doc_id, own.n, pair.c > own.n AS seen,
+    CASE WHEN pair.c > own.n THEN log10(pair.c - own.n) - log10(head.c) ELSE log10(0.4) + log10(word.c) - log10((SELECT count(*) FROM t)) END AS x
+  FROM own JOIN pair USING (v, w) JOIN head USING (v) JOIN word USING (w)),
+d AS (SELECT doc_id, sum(n) AS n, sum(n) FILTER (WHERE seen) AS f, sum(n * x) AS x FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_words, CAST(coalesce(d.f, 0) AS BIGINT) AS n_found, round(x / d.n, 6) AS score FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op4_source_mix": OP4_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op9_ngram_lm": OP9_SQL}
