@@ -1,30 +1,70 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and gives back rows with the columns
+of ``documents``; the last gives the words that the mix takes of each document. Stages that only drop or edit rows do
+so where the rows are read; near-duplicates alone shuffle texts.
+
+Defined results: a row with a null id passes every stage on its own text and is never a near-duplicate; of rows that
+repeat an id one stays after the near-duplicate stage; empty tables give empty results; extra columns are carried."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm import quality_rules
+from vigilake.llm import decontaminate, minhash_dedup, quality_rules, secret_scan, source_mix
 from vigilake.llm.common import documents, settle
 
+#: SQL cannot express the learned list, the tilings or the novelty scan; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: Words of a shingle and 100 times the least similarity of near-duplicates; what stands for a secret.
+SHINGLE, SIMILAR, REDACTED = 5, 80, "[SECRET]"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that the base rule or the learned list rejects go."""
+    """Documents that the base rule or the learned list rejects go."""
     judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where(F.col("__kept")).select(docs.columns)
 
 
-STAGES = [("quality rules", keep_good)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    groups = minhash_dedup.near_duplicates(docs, SHINGLE, SIMILAR)
+    least = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(least, docs["doc_id"] == least["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of secrets are replaced in the text; lengths follow."""
+    found = secret_scan.scan(docs, redact=REDACTED)
+    text = F.col("__redacted")
+    new = {"text": text} | ({"n_chars": F.when(F.size("__secrets") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
+    return source_mix.mix(docs)
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", drop_leaks),
+    ("secrets", redact_secrets),
+    ("source mix", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet on the shared folder and read again."""
     docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
