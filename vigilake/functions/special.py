@@ -8,44 +8,59 @@ import math
 import numpy as np
 
 
+def num(x: float) -> str:
+    """A double literal in either SQL: one without an exponent would be a decimal."""
+    text = repr(float(x))
+    return text if "e" in text else text + "E0"
+
+
 def normal_upper(z: str) -> str:
     """1 - Phi(z): a nested series of positive terms for |z| < 3.6, a continued fraction beyond; tails keep their digits.
 
     ``z`` should be a column name: it is repeated."""
-    x = f"(abs({z}) / 1.4142135623730951)"
+    x = f"(abs({z}) / {num(math.sqrt(2))})"
+    root, one, half_ = num(math.sqrt(math.pi)), num(1), num(0.5)
     x2 = f"({z} * {z})"  # 2 x^2
-    series = "1.0"
+    series = one
     for k in range(60, 0, -1):
-        series = f"(1.0 + {x2} / {2 * k + 1}.0 * {series})"
-    small = f"(0.5 - {x} * exp(-0.5 * {x2}) / 1.7724538509055159 * {series})"
+        series = f"({one} + {x2} / {num(2 * k + 1)} * {series})"
+    small = f"({half_} - {x} * exp(-{half_} * {x2}) / {root} * {series})"
     fraction = x
     for k in range(60, 0, -1):
-        fraction = f"({x} + {k / 2} / {fraction})"
-    large = f"(0.5 * exp(-0.5 * {x2}) / 1.7724538509055159 / {fraction})"
+        fraction = f"({x} + {num(k / 2)} / {fraction})"
+    large = f"({half_} * exp(-{half_} * {x2}) / {root} / {fraction})"
     half = f"(CASE WHEN abs({z}) < 3.6 THEN {small} ELSE {large} END)"
-    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1.0 - {half} END)"
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE {one} - {half} END)"
+
+
+def nested(r: str, *terms: float) -> str:
+    """t0 - r (t1 - r (t2 - ...))"""
+    out = num(terms[-1])
+    for t in reversed(terms[:-1]):
+        out = f"({num(t)} - {r} * {out})"
+    return out
 
 
 def digamma(x: str) -> str:
     """For x > 0: eight steps up, then the asymptotic series."""
-    y = f"({x} + 8.0)"
-    shift = " + ".join(f"1.0 / ({x} + {k}.0)" for k in range(8))
-    r = f"(1.0 / ({y} * {y}))"
-    return f"(ln{y} - 0.5 / {y} - {r} * (1.0 / 12 - {r} * (1.0 / 120 - {r} * (1.0 / 252 - {r} * (1.0 / 240 - {r} / 132)))) - ({shift}))"
+    y = f"({x} + {num(8)})"
+    shift = " + ".join(f"{num(1)} / ({x} + {num(k)})" for k in range(8))
+    r = f"({num(1)} / ({y} * {y}))"
+    return f"(ln{y} - {num(0.5)} / {y} - {r} * {nested(r, 1 / 12, 1 / 120, 1 / 252, 1 / 240, 1 / 132)} - ({shift}))"
 
 
 def trigamma(x: str) -> str:
-    y = f"({x} + 8.0)"
-    shift = " + ".join(f"1.0 / (({x} + {k}.0) * ({x} + {k}.0))" for k in range(8))
-    r = f"(1.0 / ({y} * {y}))"
-    return f"(1.0 / {y} + 0.5 * {r} + {r} / {y} * (1.0 / 6 - {r} * (1.0 / 30 - {r} * (1.0 / 42 - {r} * (1.0 / 30 - {r} * 5.0 / 66)))) + {shift})"
+    y = f"({x} + {num(8)})"
+    shift = " + ".join(f"{num(1)} / (({x} + {num(k)}) * ({x} + {num(k)}))" for k in range(8))
+    r = f"({num(1)} / ({y} * {y}))"
+    return f"({num(1)} / {y} + {num(0.5)} * {r} + {r} / {y} * {nested(r, 1 / 6, 1 / 30, 1 / 42, 1 / 30, 5 / 66)} + {shift})"
 
 
 def log_gamma(x: str) -> str:
-    y = f"({x} + 8.0)"
-    shift = " + ".join(f"ln({x} + {k}.0)" for k in range(8))
-    r = f"(1.0 / ({y} * {y}))"
-    return f"(({y} - 0.5) * ln{y} - {y} + 0.9189385332046727 + (1.0 / 12 - {r} * (1.0 / 360 - {r} * (1.0 / 1260 - {r} / 1680))) / {y} - ({shift}))"
+    y = f"({x} + {num(8)})"
+    shift = " + ".join(f"ln({x} + {num(k)})" for k in range(8))
+    r = f"({num(1)} / ({y} * {y}))"
+    return f"(({y} - {num(0.5)}) * ln{y} - {y} + {num(0.5 * math.log(2 * math.pi))} + {nested(r, 1 / 12, 1 / 360, 1 / 1260, 1 / 1680)} / {y} - ({shift}))"
 
 
 def lgamma_np(x: np.ndarray) -> np.ndarray:

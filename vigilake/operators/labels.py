@@ -47,8 +47,8 @@ def matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
     The first spelling that a section holds wins. Drugs keep the join within a label's few sections."""
     tried = terms.select("drug_name", "pt", F.posexplode(variants(F.col("pt"))).alias("turn", "variant"))
     word = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), quoted(F.col("variant")), F.lit(r"(?![A-Za-z0-9_])"))
-    hit = tried.join(texts, "drug_name").where(F.col("text").contains(F.col("variant")) & F.regexp_like("text", word))
-    at = F.length(F.regexp_extract("text", F.concat(F.lit("(?s)^(.*?)"), word), 1))
+    hit = tried.join(texts, "drug_name").where(F.col("text").contains(F.col("variant")) & F.regexp_like(F.col("text"), word))
+    at = F.regexp_instr("text", word) - 1
     first = hit.withColumn("at", at).groupBy("drug_name", "pt", "section").agg(F.min(F.struct("turn", "variant", "at")).alias("m"), F.first("text").alias("text"))
     start = F.greatest(F.col("m.at") - AROUND, F.lit(0))
     end = F.least(F.col("m.at") + F.length("m.variant") + AROUND, F.length("text"))
