@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import special as S
 
@@ -45,7 +46,7 @@ def ratio(ct: DataFrame, estimate: tuple[str, str], name: str, min_events: int =
     return x.withColumns({name: F.exp("lg"), "ci_low": F.exp(F.col("lg") - Z * F.col("se")), "p_value": p})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lbe_power(m: pd.Series) -> pd.Series:
     return m.map(lambda k: S.lbe_power(int(k)))
 
@@ -87,7 +88,7 @@ def ror(ct: DataFrame, min_events: int = 3, decision_thres: float = 0.05, **how)
     return out.select("drug", "pt", "a", "expected", "p_value", "ror", "ci_low", F.col("n1j").alias("product_margin"), F.col("ni1").alias("event_margin"), "fdr", (F.col("fdr") < decision_thres).alias("signal"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_upper(a: pd.Series, n1j: pd.Series, ni1: pd.Series, n: pd.Series, mid: pd.Series) -> pd.Series:
     """P(X >= a) of the hypergeometric, less half of P(X = a) if ``mid``."""
     out = []
@@ -143,7 +144,7 @@ def bcpnn_simulated(ct: DataFrame, draws: int = 10_000, min_events: int = 3, see
     """Lower 2.5% point of simulated information components: Dirichlet cell shares, seeded by each cell's key."""
     import zlib
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def low(drug: pd.Series, pt: pd.Series, n11: pd.Series, n1j: pd.Series, ni1: pd.Series, nn: pd.Series) -> pd.Series:
         out = []
         for d, t, a, r, c, n in zip(drug, pt, n11, n1j, ni1, nn):
@@ -187,12 +188,12 @@ def mixture_udfs(prior: tuple = PRIOR):
     def cdf(x, n, e, q):
         return q * S.gamma_cdf(a1 + n, (b1 + e) * x) + (1 - q) * S.gamma_cdf(a2 + n, (b2 + e) * x)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def quantile(n: pd.Series, e: pd.Series, q: pd.Series, level: pd.Series) -> pd.Series:
         n, e, q, t = (x.to_numpy(float) for x in (n, e, q, level))
         return pd.Series(S.solve_increasing(lambda x: cdf(x, n, e, q), t, n.shape))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def mass(n: pd.Series, e: pd.Series, q: pd.Series, at: pd.Series) -> pd.Series:
         n, e, q, t = (x.to_numpy(float) for x in (n, e, q, at))
         return pd.Series(cdf(t, n, e, q))
