@@ -425,7 +425,7 @@ r2 AS (SELECT *, least(1, CASE WHEN i <= k THEN pi0 * p_value * m / i WHEN i > 1
 
 def ratio_sql(estimate: tuple[str, str], name: str) -> str:
     return with_facts(
-        f"SELECT drug, pt, a, round(expected, 6) AS expected, round(p_value, 9) AS p_value, round(exp(lg), 6) AS {name}, round(exp(lg - {D.Z} * se), 6) AS ci_low, round(coalesce(fdr, 1), 6) AS fdr FROM r2",
+        f"SELECT drug, pt, a, round(expected, 6) AS expected, round(p_value, 9) AS p_value, round(exp(lg), 3) AS {name}, round(exp(lg - {D.Z} * se), 3) AS ci_low, round(coalesce(fdr, 1), 6) AS fdr FROM r2",
         ALL_CT, PREP, f"x3 AS (SELECT *, {estimate[0]} AS lg, sqrt({estimate[1]}) AS se FROM x2), x4 AS (SELECT *, lg / se AS z FROM x3), pv AS (SELECT *, least(greatest({S.normal_upper('z')}, 0), 1) AS p_value FROM x4)", FDR,
     )
 
@@ -437,13 +437,13 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> list:
 @query(ratio_sql(D.log_prr(), "prr"))
 def q_prr(spark, sf_dir):
     x = D.prr(C.all_pairs(facts(spark, sf_dir)))
-    return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "prr", "ci_low"), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
+    return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "prr", "ci_low", digits=3), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
 
 
 @query(ratio_sql(D.log_ror(), "ror"))
 def q_ror(spark, sf_dir):
     x = D.ror(C.all_pairs(facts(spark, sf_dir)))
-    return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "ror", "ci_low"), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
+    return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "ror", "ci_low", digits=3), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
 
 
 @query(with_facts(f"SELECT drug, m, k, round(least(1, v), 6) AS pi0 FROM (SELECT drug, count(*) AS m, count(*) FILTER (WHERE p_value <= 0.5) AS k, avg(CASE WHEN 2 * least(p_value, 1 - p_value) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(1 - 2 * least(p_value, 1 - p_value)) END) AS v FROM pv GROUP BY drug)",
