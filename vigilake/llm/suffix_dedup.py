@@ -145,19 +145,38 @@ def first_and_later(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.nd
 
 # what a row is: a stretch or window to be compared, one whose windows must be compared, or bytes to be removed
 COMPARE, RESOLVE, REMOVE = 0, 1, 2
-ROW = "kind int, h long, s long, doc long, at long, len long"
-ROW_NAMES = [x.split()[0] for x in ROW.split(", ")]
+#: What is shuffled. ``place`` holds the offset, the length (24 bits) and the kind (2 bits), so it sorts by offset.
+DEALT = "h long, s long, doc long, place long"
+#: What the comparison says.
+FOUND = "kind int, doc long, at long, len long"
+LONGEST = 1 << 23
+HASH_BITS = U64((1 << 48) - 1)  # of an anchor: a clash only asks for a needless comparison
 
 
-def rows_of(kind: int, h, s, doc, at, length) -> pa.RecordBatch:
-    cols = [np.full(len(doc), kind, np.int32), h.view(np.int64), s.view(np.int64), doc, at, length]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=ROW_NAMES)
+def named(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+def dealt(kind: int, h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return named(DEALT, h.view(np.int64), s.view(np.int64), doc, (at << 26) | (length << 2) | kind)
+
+
+def dealt_removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Intervals that only pass through: merged, cut to what a place can hold, and spread over the partitions."""
     doc, at, length = runs(doc, at, length)
-    spread = mix64(doc.view(np.uint64))  # only passes through: keep it spread
-    return rows_of(REMOVE, spread, spread, doc, at, length)
+    n = np.maximum(1, -(-length // LONGEST))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    doc, at, length = np.repeat(doc, n), np.repeat(at, n) + k * LONGEST, np.minimum(np.repeat(length, n) - k * LONGEST, LONGEST)
+    spread = mix64(doc.view(np.uint64)) & HASH_BITS
+    return dealt(REMOVE, spread, spread, doc, at, length)
+
+
+def found_rows(kind: int, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return named(FOUND, np.full(len(doc), kind, np.int32), doc, at, length)
+
+
+def removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return found_rows(REMOVE, *runs(doc, at, length))
 
 
 def find_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +192,20 @@ def find_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         h, s, doc, at, length = (np.concatenate(x) for x in zip(*found))
         first, later = first_and_later(h, s, doc, at)
-        yield rows_of(COMPARE, h[first], s[first], doc[first], at[first], length[first])
-        yield removed(doc[later], at[later], length[later])
+        yield dealt(COMPARE, h[first] & HASH_BITS, s[first], doc[first], at[first], length[first])
+        yield dealt_removed(doc[later], at[later], length[later])
 
 
 def compare(resolve: bool):
-    """Over rows sorted by (h, s, doc, at): later equals go; with ``resolve``, an h with several s asks for its windows.
+    """Over rows sorted by (h, s, doc, place): later equals go; with ``resolve``, an h with several s asks for its windows.
 
     Rows stream through; only the last group's head is carried from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, pending, several = None, None, False  # the current (h, s, doc, at); the only first of its h; whether h had several s
         for b in batches:
-            kind, h, s, doc, at, length = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            h, s, doc, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            kind, at, length = place & 3, place >> 26, (place >> 2) & ((1 << 24) - 1)
             if (go := kind == REMOVE).any():
                 yield removed(doc[go], at[go], length[go])
             kind, h, s, doc, at, length = (x[~go] for x in (kind, h, s, doc, at, length))
@@ -209,12 +229,10 @@ def compare(resolve: bool):
                 many = n[group] > 1
                 if several and head is not None:
                     many |= fh == head[0]
-                tail = fh == fh[-1]
                 several = bool(many[-1])
                 pending = None if several else tuple(x[-1] for x in (fh, fs, fd, fa, fl))
                 if many.any():
-                    yield rows_of(RESOLVE, fh[many], fs[many], fd[many], fa[many], fl[many])
-                del tail
+                    yield found_rows(RESOLVE, fd[many], fa[many], fl[many])
             i = where[-1]
             head = (h[-1], s[-1], d0[-1], a0[-1]) if i < 0 else (h[i], s[i], doc[i], at[i])
 
@@ -335,8 +353,8 @@ def resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         raw[place] = data
         h, s = (mix64(Rolling(raw, x).of(order, WINDOW)) for x in _TABLES)
         first, later = first_and_later(cls, np.zeros_like(cls), d, a)
-        yield rows_of(COMPARE, h[first], s[first], d[first], a[first], np.full(len(first), WINDOW))
-        yield removed(d[later], a[later], np.full(len(later), WINDOW))
+        yield dealt(COMPARE, h[first], s[first], d[first], a[first], np.full(len(first), WINDOW))
+        yield dealt_removed(d[later], a[later], np.full(len(later), WINDOW))
 
     parts, docs, ats, size = [], [], [], 0
     for b in batches:
@@ -362,11 +380,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     solid = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
     def later_ones(rows: DataFrame, resolve: bool) -> DataFrame:
-        return rows.repartition("h").sortWithinPartitions("h", "s", "doc", "at").mapInArrow(compare(resolve), ROW)
+        return rows.repartition("h").sortWithinPartitions("h", "s", "doc", "place").mapInArrow(compare(resolve), FOUND)
 
-    coarse = settle(later_ones(solid.where(f"octet_length(text) >= {WINDOW}").mapInArrow(find_stretches, ROW), True))
+    coarse = settle(later_ones(solid.where(f"octet_length(text) >= {WINDOW}").mapInArrow(find_stretches, DEALT), True))
     wanted = coarse.where(F.col("kind") == RESOLVE).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "len")).alias("wanted"))
-    fine = settle(later_ones(solid.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(resolve_windows, ROW), False))
+    fine = settle(later_ones(solid.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(resolve_windows, DEALT), False))
     gone = coarse.where(F.col("kind") == REMOVE).union(fine)
     return gone.groupBy("doc").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
 
