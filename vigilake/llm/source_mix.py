@@ -60,8 +60,8 @@ def apportion(claims: DataFrame, within: list[str], claim: str, seats: str, ties
     x = x.withColumn("__open", n - F.sum("__sure").over(group))
     rivals = x.where("__most > __sure").withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.col("__most") - 1)))
     rank = F.row_number().over(group.orderBy(F.desc(c / (2 * F.col("__k") + 1)), *[F.asc_nulls_last(t) for t in ties]))
-    won = rivals.withColumn("__rank", rank).where("__rank <= __open").groupBy(*[F.col(t).alias(f"__{t}") for t in ties]).agg(F.count("*").alias("__won"))
-    same = [F.col(t).eqNullSafe(F.col(f"__{t}")) for t in ties]
+    won = rivals.withColumn("__rank", rank).where("__rank <= __open").groupBy(*[F.col(t).alias(f"__tie_{t}") for t in ties]).agg(F.count("*").alias("__won"))
+    same = [F.col(t).eqNullSafe(F.col(f"__tie_{t}")) for t in ties]
     cond = same[0]
     for s in same[1:]:
         cond = cond & s

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import bounded_sample, sampled_rows, with_arrow
 
 #: Labelled rows of a class at most, hash slots of features, training passes, and how much commoner in toxic documents a word or affix must be.
-PER_CLASS, SLOTS, PASSES, LIFT = 3000, 1 << 18, 4, 6.0
+PER_CLASS, SLOTS, PASSES, LIFT = 2500, 1 << 18, 4, 6.0
 _EDGES = ".,;:!?\"'()[]|#*$%&<>"
 _TOKEN = re.compile(r"\S+")
 N_FEATURES = 9
@@ -105,25 +105,31 @@ class Tagger:
         self.scale = None
 
     def fit(self, rows: list[tuple[str, int]], seed: int = 7) -> Tagger:
-        texts, y = [t.split() for t, _ in rows], np.array([v for _, v in rows])
+        y = np.array([v for _, v in rows])
         if not len(y) or y.min() == y.max():
             return self
         known: dict[str, int] = {}
-        n = np.array([len(t) for t in texts])
-        word_of = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
-        feats = np.array([features(w) for w in known], np.int64).reshape(-1, N_FEATURES)
-        doc = np.repeat(np.arange(len(texts)), n)
-        labels = weak_labels(word_of, feats, y[doc] == 1).astype(float)
+        words = []  # a text's words are kept as numbers only
+        for text, _ in rows:
+            t = text.split()
+            words.append(np.fromiter((known.setdefault(w, len(known)) for w in t), np.int32, len(t)))
+        n = np.array([len(t) for t in words])
+        word_of = np.concatenate(words)
+        del words
+        feats = np.array([features(w) for w in known], np.int32).reshape(-1, N_FEATURES)
+        doc = np.repeat(np.arange(len(n)), n)
+        labels = weak_labels(word_of, feats, y[doc] == 1).astype(np.float32)
         ends = np.array([w[-1] in ".!?" for w in known], bool)[word_of]
+        del known
         ends[np.cumsum(n)[n > 0] - 1] = True
         start, length = bounds(ends)
-        half = np.flatnonzero(np.arange(len(start)) % 1 == 0)
+        turn = np.arange(len(start))
         w, g2, t2 = np.zeros(SLOTS), np.full(SLOTS, 1e-6), np.full((2, 2), 1e-6)
         bias, b2 = -4.0, 1e-6
         rng = np.random.default_rng(seed)
         for _ in range(PASSES):
-            rng.shuffle(half)
-            for part in np.array_split(half, max(1, len(half) // 8192)):
+            rng.shuffle(turn)
+            for part in np.array_split(turn, max(1, len(turn) // 8192)):
                 s, m = start[part], length[part]
                 take = np.repeat(s - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
                 own, yy = feats[word_of[take]], labels[take]
