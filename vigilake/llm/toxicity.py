@@ -104,7 +104,8 @@ class Tagger:
         self.weights, self.trans = np.zeros(SLOTS, np.float32), np.zeros((2, 2))
         self.scale = None
 
-    def fit(self, rows: list[tuple[str, int]], seed: int = 7) -> Tagger:
+    def fit(self, rows: list[tuple[str, int]], rate: float | None = None, seed: int = 7) -> Tagger:
+        """rows: (text, label); rate: the share of label 1 among all rows that the sample stands for."""
         y = np.array([v for _, v in rows])
         if not len(y) or y.min() == y.max():
             return self
@@ -148,14 +149,14 @@ class Tagger:
                 self.trans = np.clip(self.trans + 0.1 * grad / np.sqrt(t2), -6, 6)
         self.weights, self.bias = w.astype(np.float32), float(bias)
         p, _ = marginals(w[feats].sum(1)[word_of] + bias, start, length, self.trans)
-        self.calibrate(summary(p, np.cumsum(n) - n, n), y)
+        self.calibrate(summary(p, np.cumsum(n) - n, n), y, float((y == 1).mean()) if rate is None else rate)
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression on the summaries by Newton steps; classes weigh alike."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """Logistic regression on the summaries by Newton steps; classes weigh as they do among all rows."""
         mean, sd = x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-        c, beta = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y), np.zeros(z.shape[1])
+        c, beta = np.where(y == 1, rate / (y == 1).mean(), (1 - rate) / (y == 0).mean()), np.zeros(z.shape[1])
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
             h = (z * (c * p * (1 - p))[:, None]).T @ z + 1.0 * np.eye(len(beta))
@@ -183,8 +184,9 @@ def summary(p: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
     """docs: doc_id and text; labels: doc_id and toxic, only rows one may learn from. A bounded sample reaches the driver."""
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
+    rate = usable.agg(F.avg("__y")).head()[0]
     rows = sampled_rows(docs, bounded_sample(usable, "__y", PER_CLASS), 2 * PER_CLASS).select("doc_id", "text", "__y").collect()
-    return Tagger().fit([(r["text"], r["__y"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    return Tagger().fit([(r["text"], r["__y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], rate)
 
 
 def tag(docs: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
