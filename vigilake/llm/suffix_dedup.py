@@ -25,6 +25,7 @@ from .common import U64, mix64, odd_numbers, settle
 
 #: Bytes of a repeated string and of an anchor, and bytes that are hashed or sorted at a time.
 WINDOW, GRAM, PIECE, BLOCK = 100, 32, 1 << 20, 1 << 21
+REACH = (WINDOW - GRAM) // 2
 _LOW = U64((1 << 22) - 1)
 _TABLES = [np.random.default_rng(s).integers(0, 2**64 - 1, 256, dtype=np.uint64) for s in (1, 2)]
 _BASE = odd_numbers(1, 3)[0]
@@ -68,7 +69,9 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """data: documents one after another; ends: where they end. (anchor hash, stretch hash, start, length) of all stretches."""
+    """data: documents one after another; ends: where they end. (anchor hash, stretch hash, start, shape) of all stretches.
+
+    ``shape`` holds the length in its low 8 bits, then 8 bits each of the anchor's left and right sides."""
     if len(data) < WINDOW:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     roll = Rolling(data, _TABLES[0])
@@ -82,8 +85,17 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:] - 1, [len(at) - 1]]) if len(first) else first
     lo, q = at[first], anchor[first]
     length = at[last] - lo + WINDOW
+    # a window that two stretches share reaches REACH bytes beyond the anchor on one side at least
+    left = side(roll, np.maximum(q - REACH, 0), q - lo >= REACH)
+    right = side(roll, q, lo + length - q - GRAM >= REACH)
     whole = mix64(roll.of(lo, length) + length.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) + (q - lo).astype(np.uint64) * U64(0xD6E8FEB86659FD93)
-    return gram[q], mix64(whole), lo, length
+    return gram[q], mix64(whole), lo, length | (left << 8) | (right << 16)
+
+
+def side(roll: Rolling, start: np.ndarray, long_enough: np.ndarray) -> np.ndarray:
+    """Eight bits of the anchor's and its side's bytes, never 0; 0 where the stretch does not reach so far."""
+    start = np.where(long_enough, start, 0)
+    return np.where(long_enough, (mix64(roll.of(start, GRAM + REACH)) % U64(255)).astype(np.int64) + 1, 0)
 
 
 def pieces(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,11 +205,12 @@ def find_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         h, s, doc, at, length = (np.concatenate(x) for x in zip(*found))
         first, later = first_and_later(h, s, doc, at)
         yield dealt(COMPARE, h[first] & HASH_BITS, s[first], doc[first], at[first], length[first])
-        yield dealt_removed(doc[later], at[later], length[later])
+        yield dealt_removed(doc[later], at[later], length[later] & 255)
 
 
 def compare(resolve: bool):
-    """Over rows sorted by (h, s, doc, place): later equals go; with ``resolve``, an h with several s asks for its windows.
+    """Over rows sorted by (h, s, doc, place): later equals go; with ``resolve``, an h with several s asks for the windows
+    of those that may share one.
 
     Rows stream through; only the last group's head is carried from batch to batch."""
 
@@ -208,7 +221,8 @@ def compare(resolve: bool):
             kind, at, length = place & 3, place >> 26, (place >> 2) & ((1 << 24) - 1)
             if (go := kind == REMOVE).any():
                 yield removed(doc[go], at[go], length[go])
-            kind, h, s, doc, at, length = (x[~go] for x in (kind, h, s, doc, at, length))
+            kind, h, s, doc, at, shape = (x[~go] for x in (kind, h, s, doc, at, length))
+            length = shape & 255
             if not len(h):
                 continue
             new = np.ones(len(h), bool)
@@ -222,15 +236,25 @@ def compare(resolve: bool):
             if later.any():
                 yield removed(doc[later], at[later], length[later])
             if resolve and new.any():
-                fh, fs, fd, fa, fl = (x[new] for x in (h, s, doc, at, length))
+                fh, fd, fa, fl = (x[new] for x in (h, doc, at, shape))
                 if pending is not None:
-                    fh, fs, fd, fa, fl = (np.concatenate([[p], x]) for p, x in zip(pending, (fh, fs, fd, fa, fl)))
+                    fh, fd, fa, fl = (np.concatenate([[p], x]) for p, x in zip(pending, (fh, fd, fa, fl)))
                 _, group, n = np.unique(fh, return_inverse=True, return_counts=True)
                 many = n[group] > 1
                 if several and head is not None:
                     many |= fh == head[0]
-                several = bool(many[-1])
-                pending = None if several else tuple(x[-1] for x in (fh, fs, fd, fa, fl))
+                # a group that lies within the batch: only those that share a side with another
+                shared = np.zeros(len(fh), bool)
+                for bits in (8, 16):
+                    one = (fl >> bits) & 255
+                    _, pair, k = np.unique(group * 256 + one, return_inverse=True, return_counts=True)
+                    shared |= (k[pair] > 1) & (one > 0)
+                whole = (fh != fh[-1]) & ((fh != head[0]) if head is not None else True)
+                last = bool(many[-1])
+                many &= shared | ~whole
+                several = last
+                pending = None if several else tuple(x[-1] for x in (fh, fd, fa, fl))
+                fl = fl & 255
                 if many.any():
                     yield found_rows(RESOLVE, fd[many], fa[many], fl[many])
             i = where[-1]
