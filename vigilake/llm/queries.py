@@ -74,7 +74,7 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of every document under the counts of all others."""
     found = ngram_lm.score(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "n_found", F.round("score", 6).alias("score"))
+    return found.select("doc_id", "n_words", "n_found", F.round("score", 5).alias("score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ s AS (
     CASE WHEN pair.c > own.n THEN log10(pair.c - own.n) - log10(head.c) ELSE log10(0.4) + log10(word.c) - log10((SELECT count(*) FROM t)) END AS x
   FROM own JOIN pair USING (v, w) JOIN head USING (v) JOIN word USING (w)),
 d AS (SELECT doc_id, sum(n) AS n, sum(n) FILTER (WHERE seen) AS f, sum(n * x) AS x FROM s GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_words, CAST(coalesce(d.f, 0) AS BIGINT) AS n_found, round(x / d.n, 6) AS score FROM documents LEFT JOIN d USING (doc_id)
+SELECT doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_words, CAST(coalesce(d.f, 0) AS BIGINT) AS n_found, round(x / d.n, 5) AS score FROM documents LEFT JOIN d USING (doc_id)
 """
 
 
