@@ -48,25 +48,30 @@ def ratio(ct: DataFrame, estimate: tuple[str, str], name: str, min_events: int =
 
 @F.pandas_udf(T.DoubleType())
 def lbe_power(m: pd.Series) -> pd.Series:
-    return m.map(lambda k: S.lbe_power(int(k)))
+    return m.map({k: S.lbe_power(int(k)) if k > 400 else 1.0 for k in m.unique()})
 
 
-def pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
-    """(drug, m, k, power, pi0): the estimated share of null cells of each drug. One row a drug reaches Arrow."""
+def with_pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
+    """Adds m, k, power and pi0, the estimated share of null cells of each row's drug: one exchange, one pass.
+
+    A drug's window has a row for each reaction, so its size is bounded by the vocabulary."""
+    every = W.partitionBy("drug")
     q = f"(2.0 * least({p}, 1.0 - {p}))"
-    m = ps.groupBy("drug").agg(F.count("*").alias("m"), F.count_if(F.col(p) <= 0.5).alias("k"))
-    m = m.withColumn("power", F.when(F.col("m") <= 400, F.lit(1.0)).otherwise(lbe_power("m")))
+    x = ps.withColumns({"m": F.count("*").over(every), "k": F.count_if(F.col(p) <= 0.5).over(every)}).withColumn("power", lbe_power("m"))
     # q = 1 says nothing but null: its -log is unbounded
     value = F.expr(f"CASE WHEN {q} >= 1.0 THEN CAST('Infinity' AS DOUBLE) ELSE pow(-ln(1.0 - {q}), power) END")
-    mean = ps.join(m, "drug").select("drug", "m", "k", "power", value.alias("v")).groupBy("drug", "m", "k", "power").agg(F.avg("v").alias("v"))
-    return mean.withColumn("pi0", F.least(F.lit(1.0), F.col("v") / F.exp(F.expr(S.log_gamma("(power + 1.0)"))))).drop("v")
+    x = x.withColumn("v", F.avg(value).over(every))
+    return x.withColumn("pi0", F.least(F.lit(1.0), F.col("v") / F.exp(F.expr(S.log_gamma("(power + 1.0)"))))).drop("v")
+
+
+def pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
+    """(drug, m, k, power, pi0), a row for each drug."""
+    return with_pi0(ps.select("drug", p), p).groupBy("drug").agg(*[F.first(c).alias(c) for c in ("m", "k", "power", "pi0")])
 
 
 def with_fdr(ps: DataFrame, p: str = "p_value", legacy_order: bool = False) -> DataFrame:
     """Adds ``fdr``, aligned with its row. ``legacy_order`` gives rows by descending a the sorted values in turn instead."""
-    share = pi0(ps, p)
-    i = F.row_number().over(W.partitionBy("drug").orderBy(p, "pt"))
-    x = ps.join(share, "drug").withColumn("i", i)
+    x = with_pi0(ps, p).withColumn("i", F.row_number().over(W.partitionBy("drug").orderBy(p, "pt")))
     j = F.col("i") - 1
     late = F.try_divide(F.col("pi0") * F.col("m"), 2.0 * j) + 1 - F.try_divide(F.col("k").cast("double"), j)
     fdr = F.when(F.col("i") <= F.col("k"), F.col("pi0") * F.col(p) * F.col("m") / F.col("i")).otherwise(late)

@@ -19,12 +19,24 @@ from ..operators import marts as M
 from ..operators import resolve as R
 from ..sources import reports as P
 from ..sources import schema
-from ..sources.adapter import facts, table, with_facts
+from ..sources import adapter
+from ..sources.adapter import table, with_facts
 from . import predicate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DRUG, CO = "SMALL RING", "BLUE ANVIL"
+_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived fact, built once a session and folder and kept in executors' memory or disk, where it is a stored table elsewhere."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _FACTS if k[0] != app]:
+        del _FACTS[key]
+    if (app, sf_dir) not in _FACTS:
+        _FACTS[app, sf_dir] = adapter.facts(spark, sf_dir).persist()
+    return _FACTS[app, sf_dir]
 
 
 def query(sql: str | None = None):
