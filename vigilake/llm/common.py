@@ -45,6 +45,18 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of an Arrow batch of texts: a worker holds a batch as text, as numbers and as results.
+BATCH_ROWS = 2000
+
+
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """Smaller Arrow batches for whole texts, where the session has the default size; returns ``df``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) == 10_000:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def with_arrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """Every column of ``docs``, then ``fields``, computed batch by batch: no shuffle, memory bounded by a batch.
 
@@ -57,7 +69,7 @@ def with_arrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]],
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return narrow_batches(docs).mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -83,7 +95,7 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for the life of a worker up to a bounded number of words."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most, self.seen = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

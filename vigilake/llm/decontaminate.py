@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mix64, odd_numbers, texts_of
+from .common import U64, WordHashes, mix64, narrow_batches, odd_numbers, texts_of
 
 #: Tokens of the shortest tile, the coverage from which an item counts as contained, and characters of items in a block.
 TILE, COVERAGE, BLOCK_CHARS = 5, 0.5, 4_000_000
@@ -130,7 +130,7 @@ def blocks_of(benchmark: DataFrame, most: int) -> list[list[tuple]]:
 
 def contained(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and test item of which at least ``coverage`` lies under tiles."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = narrow_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = "doc_id long, item_id long, item_tokens long, covered_tokens long, n_tiles long, coverage double"
     names = [x.split()[0] for x in schema.split(", ")]
     out = None
@@ -150,6 +150,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: fl
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without those that contain a test item; no shuffle, each text is judged where it is read."""
+    narrow_batches(docs)
     k, coverage, most = how.get("k", TILE), how.get("coverage", COVERAGE), how.get("block_chars", BLOCK_CHARS)
     for block in blocks_of(benchmark, most):
 
