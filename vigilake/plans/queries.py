@@ -212,10 +212,10 @@ def q_parse_date(spark, sf_dir):
     return date_rows(spark, sf_dir).select("v", N.iso_date(F.col("v")).alias("iso"))
 
 
-@query(f"SELECT v, try_cast(left(d, 4) AS INT) AS y, CASE WHEN m >= 1 THEN left(d, 4) || 'Q' || CAST((m - 1) // 3 + 1 AS VARCHAR) END AS quarter FROM (SELECT v, d, try_cast(substr(d, 6, 2) AS INT) AS m FROM (SELECT v, {_DATE} AS d FROM ({_DATE_ROWS})))")
+@query(f"SELECT v, left(d, 4) AS y, CASE WHEN m >= 1 THEN left(d, 4) || 'Q' || CAST((m - 1) // 3 + 1 AS VARCHAR) END AS quarter FROM (SELECT v, d, try_cast(substr(d, 6, 2) AS INT) AS m FROM (SELECT v, {_DATE} AS d FROM ({_DATE_ROWS})))")
 def q_quarter(spark, sf_dir):
     d = N.iso_date(F.col("v"))
-    return date_rows(spark, sf_dir).select("v", N.year_of(d).alias("y"), N.quarter_of(d).alias("quarter"))
+    return date_rows(spark, sf_dir).select("v", N.year_of(d).cast("string").alias("y"), N.quarter_of(d).alias("quarter"))
 
 
 @query("""SELECT p_partkey, coalesce(a, b, c, d, e, '') AS drug_name, CASE WHEN a IS NOT NULL THEN 'activesubstance' WHEN b IS NOT NULL THEN 'medicinalproduct' WHEN c IS NOT NULL THEN 'openfda.generic_name'
@@ -566,9 +566,9 @@ WEEKLY = "date_trunc('month', date)"
 
 
 @query(f"""WITH {EVENT_COUNTS}, p AS (SELECT DISTINCT date_trunc('month', date) AS s FROM ev), q AS (SELECT name, AE, min(date_trunc('month', date)) AS since FROM ev GROUP BY ALL)
-SELECT CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS slice_end, name, q.AE, CAST((SELECT sum(count) FROM ev WHERE ev.name = q.name AND ev.AE = q.AE AND ev.date < s + INTERVAL 1 MONTH) AS BIGINT) AS count FROM p JOIN q ON s >= since""")
+SELECT CAST(CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS slice_end, name, q.AE, CAST((SELECT sum(count) FROM ev WHERE ev.name = q.name AND ev.AE = q.AE AND ev.date < s + INTERVAL 1 MONTH) AS BIGINT) AS count FROM p JOIN q ON s >= since""")
 def q_longitudinal_cum(spark, sf_dir):
-    return K.slices(event_counts(spark, sf_dir), "month")
+    return K.slices(event_counts(spark, sf_dir), "month").withColumn("slice_end", F.col("slice_end").cast("string"))
 
 
 ORDER_COUNTS = "oc AS (SELECT o_orderpriority AS name, o_orderstatus AS AE, CAST(o_orderdate AS DATE) AS date, count(*) AS count FROM orders GROUP BY ALL)"
@@ -578,16 +578,16 @@ def order_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("AE"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("count"))
 
 
-@query(f"WITH {ORDER_COUNTS} SELECT CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS slice_end, name, AE, CAST(sum(count) AS BIGINT) AS count FROM oc GROUP BY ALL")
+@query(f"WITH {ORDER_COUNTS} SELECT CAST(CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS slice_end, name, AE, CAST(sum(count) AS BIGINT) AS count FROM oc GROUP BY ALL")
 def q_longitudinal_disjoint(spark, sf_dir):
-    return K.slices(order_counts(spark, sf_dir), "quarter", cumulative=False, gaps=False)
+    return K.slices(order_counts(spark, sf_dir), "quarter", cumulative=False, gaps=False).withColumn("slice_end", F.col("slice_end").cast("string"))
 
 
 @query("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS k FROM orders WHERE month(o_orderdate) NOT IN (4, 5) GROUP BY 1), p AS (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS s FROM o)
-SELECT CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS slice_end, CAST(sum(k) AS BIGINT) AS count FROM p LEFT JOIN o ON date_trunc('month', date) = s GROUP BY 1""")
+SELECT CAST(CAST(s + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS slice_end, count(k) = 0 AS gap, CAST(coalesce(sum(k), 0) AS BIGINT) AS count FROM p LEFT JOIN o ON date_trunc('month', date) = s GROUP BY 1""")
 def q_longitudinal_gaps(spark, sf_dir):
     rows = order_counts(spark, sf_dir).where(~F.month("date").isin(4, 5)).select(F.lit("x").alias("name"), F.lit("y").alias("AE"), "date", "count")
-    return K.slices(rows, "month", cumulative=False).select("slice_end", "count")
+    return K.slices(rows, "month", cumulative=False).select(F.col("slice_end").cast("string").alias("slice_end"), F.col("count").isNull().alias("gap"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 @query()
