@@ -116,6 +116,21 @@ def test_novelty_finds_what_no_pattern_knows():
     assert not secret_scan.spans("the " + secret + " stands near nothing", novelty)
 
 
+def test_candidates_do_not_explain_each_other(spark):
+    one, two = "Zq9Xv7Lm2Pw4Rt8Ys1Kd", "hB5nT0cJ6gW3uE8oA2xQ"
+    novel = lambda text, d: [text[s:e] for s, k, e in secret_scan.spans(text, secret_scan.Novelty(d)) if k == 3]
+    twice = f"bearer('{one}')\nretry(bearer, '{one}')" + " and so on" * 6 + f" '{one}'"
+    assert novel(twice, b"retry bearer") == [one, one]
+    near = f"client.bearer('{one}').credential('{two}')"
+    rows = [(k, near) for k in range(40)] + [(100 + k, f"call_{word} bearer('{one}')") for k, word in enumerate("ab")] + [(200, None), (201, "")]
+    rows += [(300 + k, f"usual_name {k} bearer('{two}')") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secret_scan.identifier_dictionary(docs)
+    assert one.encode() not in words and two.encode() not in words
+    assert secret_scan.identifier_dictionary(docs, 2).split() == [b"usual_name", b"bearer"]  # in 3 and 6 texts; credential has 40 rows of one text
+    assert novel(near, words) == [one, two]
+
+
 def test_redaction_merges_overlaps():
     text = "a password=0123456789abcdef0123456789 b"
     found = sorted(secret_scan.base_spans(text, text.lower()))

@@ -2,7 +2,8 @@
 
 A candidate string near a sensitive word is compressed after its surrounding code, with a dictionary of the corpus's
 identifiers primed into the compressor. The bytes it adds measure how little the surroundings and known identifiers
-explain it; strings that hardly compress are reported as ``novel``.
+explain it; strings that hardly compress are reported as ``novel``. Candidates and their copies explain nothing, neither
+in the dictionary nor as context; only words of theirs that stand elsewhere too are left in the context.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; each row is scanned by
 itself, so repeated rows and ties change nothing; other columns pass through."""
@@ -30,6 +31,9 @@ SENSITIVE = re.compile(r"(?i:passw|passphrase|pwd|secret|token|api_?key|access_?
 SENSITIVE_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access", "private", "auth", "bearer", "credential", "signature", "akia")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
+CORE = re.compile(r"[A-Za-z0-9+/_~-]{16,}")  # what copies of a candidate share, without name= and padding
+WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
 #: Characters of context on each side, reach of a sensitive word, identifiers in the dictionary, and the share of a candidate's bytes that must be new.
 CONTEXT, REACH, IDENTIFIERS, NOVEL = 256, 48, 2048, 0.6
 
@@ -61,8 +65,34 @@ def candidates(text: str, low: str) -> list[tuple[int, int]]:
     return list(found)
 
 
-def surroundings(text: str, start: int, end: int) -> tuple[bytes, bytes]:
-    return text[max(0, start - CONTEXT) : start].encode(), text[end : end + CONTEXT].encode()
+def veiled(text: str, found: list[tuple[int, int]], known: frozenset[str] | None = None) -> str:
+    """``text`` with blanks for the candidates and for strings equal to one of them; offsets stay.
+
+    With ``known``, words of theirs stay that are in ``known`` or stand in the text outside of all of them."""
+    keys = {x for s, e in found for x in (text[s:e], *CORE.findall(text[s:e]))}
+    hide = list(found)
+    for run in CANDIDATE.finditer(text):
+        if run[0] in keys:
+            hide.append(run.span())
+        else:
+            hide += [(run.start() + c.start(), run.start() + c.end()) for c in CORE.finditer(run[0]) if c[0] in keys]
+    merged: list[list[int]] = []
+    for s, e in sorted(hide):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    out, at = [], 0
+    for s, e in merged:
+        out += [text[at:s], "\x20" * (e - s)]
+        at = e
+    blank = "".join([*out, text[at:]])
+    if known is None:
+        return blank
+    words = known.union(WORD.findall(blank))
+    for k, (s, e) in enumerate(merged):
+        out[2 * k + 1] = PART.sub(lambda m: m[0] if m[0] in words else "\x20" * len(m[0]), text[s:e])
+    return "".join([*out, text[at:]])
 
 
 class Novelty:
@@ -73,17 +103,24 @@ class Novelty:
 
         d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.words = frozenset(WORD.findall(dictionary.decode()))
 
-    def share(self, text: str, start: int, end: int) -> float:
-        before, after = surroundings(text, start, end)
-        word = text[start:end].encode()
+    def share(self, text: str, start: int, end: int, veil: str | None = None) -> float:
+        """``veil`` is the text as context: with all candidates veiled, by default this one."""
+        veil = veiled(text, [(start, end)], self.words) if veil is None else veil
+        word = text[start:end]
+        before, after = (x.replace(word, "\x20").encode() for x in (veil[max(0, start - CONTEXT) : start], veil[end : end + CONTEXT]))
         context = after + b" " + before
-        return (len(self.zstd.compress(context + word)) - len(self.zstd.compress(context))) / len(word)
+        return (len(self.zstd.compress(context + word.encode())) - len(self.zstd.compress(context))) / len(word)
 
 
 def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
-    found = base_spans(text, low) + [(s, 3, e) for s, e in candidates(text, low) if novelty.share(text, s, e) >= NOVEL]
+    found = base_spans(text, low)
+    near = candidates(text, low)
+    if near:
+        veil = veiled(text, near, novelty.words)
+        found += [(s, 3, e) for s, e in near if novelty.share(text, s, e, veil) >= NOVEL]
     return sorted(set(found))
 
 
@@ -92,21 +129,26 @@ def written(found: list[tuple[int, int, int]]) -> str:
 
 
 def identifier_dictionary(docs: DataFrame, most: int = IDENTIFIERS) -> bytes:
-    """The identifiers found most often around candidates, over all rows; at most ``most`` of 32 bytes reach the driver."""
+    """The identifiers around candidates that most distinct texts hold, over all rows; at most ``most`` of 32 bytes reach the driver.
+
+    Candidates and their copies are no identifiers, and copies of a text count once."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for text in batch.column(0).to_pylist():
-            words: dict[str, int] = {}
-            if text:
-                for s, e in candidates(text, text.lower()):
-                    for w in IDENTIFIER.findall(text[max(0, s - CONTEXT) : s]) + IDENTIFIER.findall(text[e : e + CONTEXT]):
-                        words[w] = words.get(w, 0) + 1
-            out.append(list(words.items()))
-        return [pa.array(out, pa.map_(pa.string(), pa.int64()))]
-
-    seen = with_arrow(docs.select(F.col("text").alias("__text")), run, [T.StructField("__words", T.MapType(T.StringType(), T.LongType()))])
-    top = seen.select(F.explode("__words").alias("w", "n")).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+            words: set[str] = set()
+            near = candidates(text, text.lower()) if text else []
+            if near:
+                veil = veiled(text, near)
+                for s, e in near:
+                    words.update(IDENTIFIER.findall(veil[max(0, s - CONTEXT) : s]), IDENTIFIER.findall(veil[e : e + CONTEXT]))
+            out.append(sorted(words))
+        return [pa.array(out, pa.list_(pa.string()))]
+
+    texts = docs.select(F.col("text").alias("__text"), F.xxhash64("text").alias("__of"))
+    seen = with_arrow(texts, run, [T.StructField("__words", T.ArrayType(T.StringType()))])
+    held = seen.select(F.explode("__words").alias("w"), "__of").distinct()
+    top = held.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
     # what a compressor sees last it refers to most cheaply
     return " ".join(r["w"] for r in reversed(top.collect())).encode()
 
