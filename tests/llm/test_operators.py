@@ -131,6 +131,18 @@ def test_candidates_do_not_explain_each_other(spark):
     assert novel(near, words) == [one, two]
 
 
+def test_candidates_on_either_side_within_reach():
+    secret = "Zq9Xv7Lm2Pw4Rt8Ys1Kd"
+    novelty = secret_scan.Novelty(b"client session value")
+    novel = lambda text: [text[s:e] for s, k, e in secret_scan.spans(text, novelty) if k == 3]
+    for gap in (1, 15, 32, 33, 40, 47, 48, 49):
+        want = [secret] if gap <= secret_scan.REACH else []
+        assert novel("bearer" + "." * gap + secret + ".") == want, gap
+        assert novel(secret + "." * gap + "bearer.") == want, gap
+    assert novel(f'"{secret}" # api token') == [secret]
+    assert novel(f"client/session/value/client/session/value/token={secret}") == [f"token={secret}"]
+
+
 def test_redaction_merges_overlaps():
     text = "a password=0123456789abcdef0123456789 b"
     found = sorted(secret_scan.base_spans(text, text.lower()))

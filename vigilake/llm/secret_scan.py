@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,20 +50,29 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def mixed(word: str) -> bool:
+    return any(x.isdigit() for x in word) and any(x.isalpha() for x in word)
+
+
 def candidates(text: str, low: str) -> list[tuple[int, int]]:
-    """Spans that mix letters and digits shortly after, or over, a sensitive word."""
+    """Spans of whole strings that mix letters and digits and begin, end or lie within reach of a sensitive word on either side."""
     if not any(h in low for h in SENSITIVE_HINTS):
         return []
-    found: dict[tuple[int, int], None] = {}
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.start(), min(len(text), m.end() + REACH)):
-            end = c.end()
-            if end == m.end() + REACH:  # cut by the reach: take the whole string
-                end = CANDIDATE.match(text, c.start()).end()
-            word = text[c.start() : end]
-            if any(x.isdigit() for x in word) and any(x.isalpha() for x in word):
-                found[c.start(), end] = None
-    return list(found)
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    ends = [e for _, e in words]
+    found = []
+    for c in CANDIDATE.finditer(text):
+        first = bisect_left(ends, c.start() - REACH)  # words before it end out of reach
+        if first < len(words) and words[first][0] <= c.end() + REACH and mixed(c[0]):
+            found.append(c.span())
+    return found
+
+
+def heads(text: str, start: int, end: int) -> list[int]:
+    """Where a candidate may begin: at its start, or at a sensitive word inside of it, so that what stands before does not dilute it."""
+    return [start] + [at for m in SENSITIVE.finditer(text, start, end) if (at := m.start()) > start and end - at >= 16 and mixed(text[at:end])]
 
 
 def veiled(text: str, found: list[tuple[int, int]], known: frozenset[str] | None = None) -> str:
@@ -120,7 +130,10 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     near = candidates(text, low)
     if near:
         veil = veiled(text, near, novelty.words)
-        found += [(s, 3, e) for s, e in near if novelty.share(text, s, e, veil) >= NOVEL]
+        for s, e in near:
+            new = next((at for at in heads(text, s, e) if novelty.share(text, at, e, veil) >= NOVEL), None)
+            if new is not None:
+                found.append((new, 3, e))
     return sorted(set(found))
 
 
