@@ -137,6 +137,20 @@ def test_lasso_finds_the_product(spark):
     assert got["A", "E"] > 0.3 and got["B", "E"] <= 0.01 and got["A", "G"] == 0
 
 
+def test_lasso_keeps_reports_without_listed_products(spark):
+    rows_ = [(k, "A" if k % 2 else "B", "E" if k % 2 else "F") for k in range(60)]
+    x = spark.createDataFrame(rows_, "id int, name string, AE string")
+    got = {r["pt"]: (r["events"], r["coefficient"]) for r in K.lasso(x, ["A"], ["E", "F"], alpha=0.01).collect()}
+    # one centred indicator of variance 1/4, covariance with E of 1/4 and with F of -1/4
+    assert got == {"E": (30, pytest.approx(0.96)), "F": (30, pytest.approx(-0.96))}
+
+
+def test_lasso_query_has_all_drugs_and_words(spark, sf_dir):
+    got = registry.queries()["q_lasso"](spark, sf_dir).select("drug", "pt").collect()
+    drugs = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select(F.upper("p_name")).distinct().collect()}
+    assert len(got) == len(set(got)) and {d for d, _ in got} == drugs and len(got) == 6 * len(drugs)
+
+
 def test_analysis_is_one_lazy_plan(spark, fact, tmp_path):
     texts = spark.createDataFrame([("SMALL RING", "warnings", "nothing")], "drug_name string, section string, text string")
     config = AnalysisConfig.from_json('{"drug": "SMALL RING", "prr_threshold": 0.9, "ror_threshold": 0.9, "ic_threshold": -1, "eb05_threshold": 0.1}')

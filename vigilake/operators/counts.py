@@ -124,10 +124,11 @@ def dispersion(ct: DataFrame) -> DataFrame:
 
 def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float = 0.5, min_events: int = 3, num_bootstrap: int = 10, ci: float = 95, seed: int = 1) -> DataFrame:
     """rows: (id, name, AE), an id's products and events. For each event an L1 regression on product indicators, with
-    percentile bounds from seeded resamples; events under the floor give zeros.
+    percentile bounds from seeded resamples; events under the floor give zeros. Every id counts: one with none of the
+    listed products is a row of zeros.
 
     Indicators fold to distinct patterns with counts, so a group's frame has as many rows as there are patterns."""
-    items = rows.where(F.col("name").isin(products)).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("items"), F.collect_set("AE").alias("aes"))
+    items = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("name").isin(products), F.col("name")))).alias("items"), F.collect_set("AE").alias("aes"))
     patterns = items.select("items", F.explode(F.array(*[F.struct(F.lit(e).alias("AE"), F.array_contains("aes", e).cast("int").alias("y")) for e in events])).alias("x")).groupBy(F.col("x.AE").alias("AE"), "items", F.col("x.y").alias("y")).agg(F.count("*").alias("w"))
 
     def descend(x, y, w, steps=200):

@@ -529,9 +529,10 @@ def q_dispersion(spark, sf_dir):
 
 @query()
 def q_lasso(spark, sf_dir):
-    f = facts(spark, sf_dir).where(F.col("drug_name").isin(DRUG, CO, "SMALL WIDGET"))
-    rows = f.select(F.col("safetyreportid").alias("id"), F.col("drug_name").alias("name"), F.regexp_extract("reaction_pt", "[A-Z]+$", 0).alias("AE")).distinct()
-    return K.lasso(rows, [CO, DRUG, "SMALL WIDGET"], ["ECONOMY", "STANDARD", "PROMO"], alpha=0.001)
+    """Every drug against every event word, over all reports."""
+    rows = facts(spark, sf_dir).select(F.col("safetyreportid").alias("id"), F.col("drug_name").alias("name"), F.regexp_extract("reaction_pt", "[A-Z]+$", 0).alias("AE")).distinct()
+    drugs, words = (sorted(r[0] for r in rows.select(c).distinct().collect()) for c in ("name", "AE"))  # names alone, no reports
+    return K.lasso(rows, drugs, words, alpha=0.001)
 
 
 EVENT_COUNTS = "ev AS (SELECT 'P' || CAST(user_id % 20 AS VARCHAR) AS name, event_type AS AE, CAST(count(*) AS BIGINT) AS count, CAST(ts AS DATE) AS date FROM events GROUP BY ALL)"
