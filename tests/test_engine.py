@@ -115,6 +115,22 @@ def test_names(spark):
     assert (asked["name"], asked["method"]) == ("FOUND", "asked")
 
 
+def test_slips_at_the_start_of_a_name(spark):
+    index = spark.createDataFrame([("IBUPROFEN",), ("CLOPIDOGREL",), ("PHENYTOIN",), ("FENTANYL",), (None,)], "drug_name string")
+    names = spark.createDataFrame([("Ybuprofen",), ("KLOPIDOGREL",), ("FENYTOIN",), (None,), ("",)], "query string")
+    got = {r["query"]: (r["match"], round(r["score"], 1)) for r in resolve.fuzzy(names, index).collect()}
+    assert got == {"Ybuprofen": ("IBUPROFEN", 88.9), "KLOPIDOGREL": ("CLOPIDOGREL", 90.9), "FENYTOIN": ("PHENYTOIN", 82.4)}
+
+
+def test_letter_counts_lose_no_pair():
+    parts = ["RING", "RINGS", "SMALL", "SMAL", "BLUE", "BULE", "A", "GRIN", "ANVIL"]
+    every = parts + [f"{x} {y}" for x in parts for y in parts] + ["", "  "]
+    for a in every:
+        for b in every:
+            for least in (50.0, 75.0, 90.0):
+                assert resolve.may_reach(a, b, least) or resolve.token_set_ratio(a, b) < least, (a, b)
+
+
 def test_multi_item_and_binary(spark):
     x = spark.createDataFrame([(k, ["b", "a"], "E") for k in range(3)] + [(9, ["a"], "E")], "id int, items array<string>, AE string")
     assert rows(K.convert_multi_item(x)) == [("a", "E", 4), ("a|b", "E", 3), ("b", "E", 3)]

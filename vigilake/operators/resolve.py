@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -75,22 +77,38 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
+@functools.lru_cache(100_000)
+def shape(a: str) -> tuple[frozenset[str], Counter, int]:
+    """A name's set of words, and letters and length of the words in order."""
+    words = frozenset(a.split())
+    one = " ".join(sorted(words))
+    return words, Counter(one), len(one)
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """False only where :func:`token_set_ratio` is certainly under ``least``.
+
+    Without a common word the score is one ratio, and a common subsequence is no longer than the letters in common."""
+    (x, p, m), (y, q, n) = shape(a), shape(b)
+    if not x.isdisjoint(y):
+        return True
+    need = least * (m + n) - 1e-6
+    return 200.0 * min(m, n) >= need and 200.0 * sum((p & q).values()) >= need
+
+
 def fuzzy(names: DataFrame, index: DataFrame, least: float = LEAST) -> DataFrame:
     """names: (query), distinct; index: (drug_name), distinct. The most similar name of each query, if similar enough.
 
-    Candidates share a word's first three letters with the query, or the first letter of the name: names that share
-    neither are not held against each other."""
-    def blocks(c: str):
-        return F.array_distinct(F.concat(F.transform(F.filter(F.split(F.upper(F.col(c)), "[^A-Z0-9]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 3)), F.array(F.concat(F.lit("^"), F.substring(F.upper(F.col(c)), 1, 1)))))
-
+    Every query is held against every name; letter counts tell the pairs that cannot reach ``least``, and those alone
+    are not scored."""
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
+        return pd.Series([token_set_ratio(x, y) if may_reach(x, y, least) else None for x, y in zip(a, b)], dtype="float64")
 
-    q = names.select("query", F.upper(F.trim("query")).alias("clean"), F.explode(blocks("query")).alias("block"))
-    pairs = q.join(index.select("drug_name", F.explode(blocks("drug_name")).alias("block")), "block").select("query", "clean", "drug_name").distinct()
-    best = pairs.withColumn("score", score("clean", "drug_name")).groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "drug_name")).alias("m"))
-    return best.select("query", F.col("m.drug_name").alias("match"), (-F.col("m.s")).alias("score")).where(F.col("score") >= least)
+    q = names.where("query IS NOT NULL").select("query", F.upper(F.trim("query")).alias("clean"))
+    scored = q.crossJoin(index.where("drug_name IS NOT NULL").select("drug_name")).withColumn("score", score("clean", "drug_name")).where(F.col("score") >= least)
+    best = scored.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "drug_name")).alias("m"))
+    return best.select("query", F.col("m.drug_name").alias("match"), (-F.col("m.s")).alias("score"))
 
 
 def resolve(names: DataFrame, index: DataFrame, table: DataFrame, ask: Callable[[str], str | None] | None = None) -> DataFrame:
