@@ -434,6 +434,42 @@ def test_languages_held_out_and_mixed(spark, sf_dir, docs):
     assert [r["__lang_pred"] for r in got[1:]] == ["und", "und"]
 
 
+def test_any_number_of_languages(spark, docs):
+    model = language_id.learn(docs)
+    texts = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500 AND lang IS NOT NULL").collect()}
+    assert len(texts) == len(model.languages) == 4
+    every = " ".join(texts[x][:1400] for x in sorted(texts))
+    got = language_id.identify(spark.createDataFrame([(1, every)], "doc_id long, text string"), model).head()
+    assert set(got["__langs"]) == set(texts) and 0.15 < min(got["__langs"].values()) and sum(got["__langs"].values()) == pytest.approx(1)
+
+
+def test_sets_of_languages_by_brute_force():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 90, 200)
+    truth = rng.dirichlet(np.full(7, 0.3), 200)
+    p = np.exp(-rng.gamma(1.0, 4.0, (n.sum(), 7)))
+    doc = np.repeat(np.arange(200), n)
+    own = np.array([rng.choice(7, p=truth[d]) for d in doc])
+    p[np.arange(len(p)), own] = 1
+    starts = np.cumsum(n) - n
+    pi, size = language_id.mixtures(p, starts, doc)
+    full, _ = language_id.proportions(p, starts, doc, np.ones((200, 7)), language_id.STEPS)
+    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+    fits = [language_id.proportions(p, starts, doc, (rank < k).astype(float), 0 if k == 1 else 4) for k in range(1, 8)]
+    values = np.array([f - k * (0.5 * np.log(n + 1) + 3) for k, (_, f) in enumerate(fits)])
+    assert (size == values.argmax(0) + 1).all() and size.max() > 3
+    for d in range(200):
+        assert np.allclose(pi[d], fits[size[d] - 1][0][d])
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"{'abcdefghij'[k % 10] * 3} word", f"l{k % 10}") for k in range(15_000)] + [(20_000 + k, "zyx", "rare") for k in range(12)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "rare" in model.languages and len(model.languages) == 11
+    slot = model.counts[1].sum(1)
+    assert slot[model.languages.index("rare")] == 12 * 5  # every labelled row: three letters and two marks each
+
+
 def test_sparse_sites_shrink(spark, docs, sf_dir):
     labels_ = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = docs.join(labels_.where("quality = 0"), "doc_id", "left_semi").select("doc_id", "text", F.lit("bad").alias("source"))

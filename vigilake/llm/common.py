@@ -132,7 +132,8 @@ def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     return rows.join(sizes, by).where(share).select("doc_id", by).dropDuplicates(["doc_id"])
 
 
-def sampled_rows(docs: DataFrame, picked: DataFrame, hard_limit: int) -> DataFrame:
-    """The picked documents' texts; never more than ``hard_limit`` rows, those with the smallest hashes."""
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(hard_limit)
+def sampled_rows(docs: DataFrame, picked: DataFrame, hard_limit: int | None = None) -> DataFrame:
+    """The picked documents' texts; never more than ``hard_limit`` rows where that is given, those with the smallest hashes."""
+    if hard_limit is not None:
+        picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(hard_limit)
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from .common import U64, bounded_sample, mix64, sampled_rows, with_arrow
 
-#: Labelled rows for each language and in all at most, n-gram order, hash slots of an order, smoothing, EM steps, languages of a set at most.
-PER_LANGUAGE, ROWS, ORDER, SLOTS, KAPPA, STEPS, MOST = 1500, 12_000, 4, 1 << 17, 4.0, 12, 3
+#: Labelled rows for each language, n-gram order, hash slots of an order, smoothing, EM steps.
+PER_LANGUAGE, ORDER, SLOTS, KAPPA, STEPS = 1500, 4, 1 << 17, 4.0, 12
 _EDGES = ".,;:!?\"'()[]|#*$%&<>"
 
 
@@ -120,27 +120,41 @@ def proportions(p: np.ndarray, starts: np.ndarray, doc: np.ndarray, allowed: np.
     return pi, fit
 
 
-def mixtures(p: np.ndarray, starts: np.ndarray, doc: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, languages in the set) of each document: the set of best penalised likelihood."""
+def mixtures(p: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, languages in the set) of each document: the set of best penalised likelihood.
+
+    Sets grow by the next language in order of share, up to all. A document is done when no larger set can win: by
+    Jensen's inequality no mixture is likelier than the full one by more than n log max_l mean(p_l / mixture), and none
+    than the best language of each word."""
     n = np.bincount(doc, minlength=len(starts))
-    full, _ = proportions(p, starts, doc, np.ones((len(starts), p.shape[1])), STEPS)
+    full, fit = proportions(p, starts, doc, np.ones((len(starts), p.shape[1])), STEPS)
+    gain = np.add.reduceat(p / ((p * full[doc]).sum(1, keepdims=True) + 1e-30), starts, axis=0).max(1) / n
+    most = np.minimum(fit + n * np.log(np.maximum(gain, 1)), np.add.reduceat(np.log(p.max(1) + 1e-30), starts)) + 1e-6
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    best, chosen, size = None, full, np.zeros(len(starts), int)
-    for k in range(1, min(most, p.shape[1]) + 1):
-        allowed = (rank < k).astype(float)
-        pi, fit = proportions(p, starts, doc, allowed, 0 if k == 1 else 4)
-        value = fit - (k - 1) * (0.5 * np.log(n + 1) + 3)
-        better = np.ones(len(starts), bool) if best is None else value > best
-        best = value if best is None else np.where(better, value, best)
-        chosen = np.where(better[:, None], pi, chosen)
-        size = np.where(better, k, size)
+    price = 0.5 * np.log(n + 1) + 3
+    chosen, size = full.copy(), np.zeros(len(starts), int)
+    best, left, at = np.full(len(starts), -np.inf), np.arange(len(starts)), starts
+    for k in range(1, p.shape[1] + 1):
+        if k > 1:  # those of which a larger set may win
+            stay = most[left] - (k - 1) * price[left] > best[left]
+            if not stay.all():
+                p, left = p[np.repeat(stay, n[left])], left[stay]
+                at = np.cumsum(n[left]) - n[left]
+                doc = np.repeat(np.arange(len(left)), n[left])
+            if not len(left):
+                break
+        pi, fit = proportions(p, at, doc, (rank[left] < k).astype(float), 0 if k == 1 else 4)
+        value = fit - (k - 1) * price[left]
+        better = value > best[left]
+        won = left[better]
+        best[won], chosen[won], size[won] = value[better], pi[better], k
     return chosen, size
 
 
 def learn(docs: DataFrame) -> Model:
-    """docs: labelled rows with doc_id, text and lang. A bounded sample reaches the driver."""
+    """docs: labelled rows with doc_id, text and lang. A sample bounded for each language reaches the driver."""
     picked = bounded_sample(docs, "lang", PER_LANGUAGE).withColumnRenamed("lang", "__lang")
-    rows = sampled_rows(docs, picked, ROWS).select("doc_id", "text", "__lang").collect()
+    rows = sampled_rows(docs, picked).select("doc_id", "text", "__lang").collect()
     return Model([(r["text"], r["__lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
