@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilake.operators import contingency as C
 from vigilake.operators import counts as K
+from vigilake.operators import disproportionality as D
 from vigilake.operators import dedup, labels, launch_bias, marts, resolve
 from vigilake.plans import predicate, registry
 from vigilake.plans.analysis import AnalysisConfig, analyse
@@ -161,6 +162,19 @@ def test_lasso_keeps_reports_without_listed_products(spark):
     assert got == {"E": (30, pytest.approx(0.96)), "F": (30, pytest.approx(-0.96))}
 
 
+def test_simulated_components_of_all_drugs(spark, fact, sf_dir):
+    got = registry.queries()["q_bcpnn_mc"](spark, sf_dir).persist()
+    pairs = C.all_pairs(fact)
+    assert got.count() == pairs.where("a >= 3").count() and got.select("drug").distinct().count() > 1
+    one = D.bcpnn_simulated(pairs.where("drug = 'SMALL RING'"), draws=10_000)  # seeded by cell
+    assert rows(got.where("drug = 'SMALL RING'")) == rows(one)
+
+
+def test_subsets_of_all_lines(spark, sf_dir):
+    names = {r["name"] for r in registry.queries()["q_multi_item_all"](spark, sf_dir).collect()}
+    assert len(names) == 127 and "L1|L2|L3|L4|L5|L6|L7" in names
+
+
 def test_lasso_query_has_all_drugs_and_words(spark, sf_dir):
     got = registry.queries()["q_lasso"](spark, sf_dir).select("drug", "pt").collect()
     drugs = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select(F.upper("p_name")).distinct().collect()}

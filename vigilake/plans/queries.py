@@ -490,7 +490,7 @@ def q_bcpnn(spark, sf_dir):
 
 @query()
 def q_bcpnn_mc(spark, sf_dir):
-    return D.bcpnn_simulated(C.all_pairs(facts(spark, sf_dir)).where(F.col("drug") == DRUG), draws=2000)
+    return D.bcpnn_simulated(C.all_pairs(facts(spark, sf_dir)))
 
 
 def mgps_sql() -> str:
@@ -563,6 +563,19 @@ def q_multi_item(spark, sf_dir):
     return K.convert_multi_item(items.join(line.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("AE")).distinct(), "id"))
 
 
+_LINES = ", ".join(f"CASE WHEN mask & {1 << (k - 1)} > 0 THEN 'L{k}' END" for k in range(1, 8))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS k FROM lineitem), s AS (SELECT id, bit_or(1 << (k - 1)) AS have FROM d GROUP BY 1), e AS (SELECT DISTINCT l_orderkey AS id, l_returnflag AS AE FROM lineitem),
+  m AS (SELECT id, unnest(range(1, 128)) AS mask, have FROM s)
+SELECT array_to_string(list_filter([{_LINES}], lambda x: x IS NOT NULL), '|') AS name, AE, count(*) AS count FROM m JOIN e USING (id) WHERE mask & have = mask GROUP BY ALL HAVING count(*) >= 3""")
+def q_multi_item_all(spark, sf_dir):
+    """As q_multi_item, over all seven lines of an order."""
+    line = table(spark, sf_dir, "lineitem")
+    items = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))).alias("items"))
+    return K.convert_multi_item(items.join(line.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("AE")).distinct(), "id"))
+
+
 WEEKLY = "date_trunc('month', date)"
 
 
