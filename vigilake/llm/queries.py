@@ -72,8 +72,8 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of every document under the counts of all others."""
-    found = ngram_lm.score(documents(spark, sf_dir))
+    """Stupid-backoff scores of every document under the counts of all others; order 2, as in OP9_SQL."""
+    found = ngram_lm.score(documents(spark, sf_dir), order=2)
     return found.select("doc_id", "n_words", "n_found", F.round("score", 5).alias("score"))
 
 
