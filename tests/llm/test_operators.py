@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,22 +365,56 @@ def test_repeats_by_brute_force(spark, docs, texts):
     assert got == brute_removed({d: t.encode() for d, t in texts.items()})
 
 
-def test_repeats_in_hard_texts(spark):
+def hard_texts():
     rng = np.random.default_rng(8)
-    made = {}
     bits = ["ab" * 80, "é" * 70, "x" * 130, "q" * 99, "".join(rng.choice(list("abc"), 150))]
+    made = {}
     for d in range(120):
         made[d] = "".join([bits[int(k)] if k < 5 else "".join(rng.choice(list("ab\0c"), int(rng.integers(0, 40)))) for k in rng.integers(0, 9, int(rng.integers(0, 8)))])
-    old = suffix_dedup.PIECE, suffix_dedup.BLOCK
-    suffix_dedup.PIECE, suffix_dedup.BLOCK = 512, 2048  # long texts in pieces, several blocks
+    shared = "".join(rng.choice(list("abcdefgh"), 140))  # a passage in changing surroundings
+    for d in range(120, 200):
+        made[d] = "".join(rng.choice(list("xyz"), int(rng.integers(3, 90)))) + shared[int(rng.integers(0, 30)) :] + "".join(rng.choice(list("xyz"), 60))
+    return made
+
+
+@pytest.mark.parametrize("sizes", [{}, {"piece": 512, "block": 2048}, {"piece": 300, "block": 1024, "often": 3}])
+def test_repeats_in_hard_texts(spark, sizes):
+    """Long texts in pieces, many blocks of many batches, anchors in many stretches, and those dealt by windows."""
+    made = hard_texts()
+    rows = [(d, t, None, None, 0) for d, t in made.items()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        rows = [(d, t, None, None, 0) for d, t in made.items()]
-        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(5), **sizes).collect()}
     finally:
-        suffix_dedup.PIECE, suffix_dedup.BLOCK = old
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_removed({d: t.encode() for d, t in made.items()})
 
 
+def test_suffix_order_decides(spark):
+    """Without common prefixes nothing is shared by different strings: what the hashes deal decides nothing."""
+    rng = np.random.default_rng(3)
+    shared = "".join(rng.choice(list("abcdefgh"), 400))
+    strings = [(shared[k : k + 160]).encode() for k in (0, 10, 40)]
+    batch = pa.record_batch({"key": [7, 7, 7], "doc": [1, 2, 3], "at": [0, 0, 0], "bytes": strings})
+    rows = lambda: [(r["doc"], r["at"], r["len"]) for b in suffix_dedup.resolve()(iter([batch])) for r in b.to_pylist()]
+    assert rows() == [(2, 0, 150), (3, 0, 130)]
+    keep = suffix_dedup.common_prefix_reaches
+    suffix_dedup.common_prefix_reaches = lambda t, a, b, depth=100: np.zeros(len(a), bool)
+    try:
+        assert rows() == []
+    finally:
+        suffix_dedup.common_prefix_reaches = keep
+
+
+def test_texts_of_one_id(spark):
+    """Rows that repeat a text are one document; different texts of an id are documents in the order of their hashes."""
+    rng = np.random.default_rng(4)
+    one, two, tail = ("".join(rng.choice(list("abcdefgh"), n)) for n in (150, 120, 60))
+    rows = [(5, one + tail), (5, one + tail), (5, two + one), (3, one), (9, two), (None, one), (2, ""), (2, None)]
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect())
+    assert got == Counter({(5, 210, 150): 2, (5, 270, 150): 1, (3, 150, 0): 1, (9, 120, 120): 1, (None, 150, 0): 1, (2, 0, 0): 2})
+
+
 # ---- 7 toxicity, 10 languages, 8 sites
 
 

@@ -1,14 +1,20 @@
 """Exact removal of repeated 100-byte strings, with suffix arrays by two-stage sorting.
 
 Every 100-byte window is represented by an anchor, its least-hashed 32-byte gram, which copies of the window share.
-Consecutive windows of one anchor form a stretch. A stretch that occurs earlier as a whole goes at once; where one
-anchor stands in several different stretches (where copies begin and end), the windows of the first of each are
-suffix-sorted in blocks: suffixes smaller than their successors are sorted directly, the others induced by a scan of
-the buckets, and adjacent common prefixes of 100 bytes or more give the classes of equal windows. Equal stretches
-fold within a batch before anything is shuffled, so one common line costs a row a batch, not a row a document.
+Consecutive windows of one anchor form a stretch. Hashes of anchors only deal the work: stretches whose anchor stands
+elsewhere too are cut out of their texts and meet, as bytes, by anchor. There equal strings fold, and the suffixes of
+the different ones are sorted: those smaller than their successors directly, the others induced by a scan of the
+buckets. Adjacent common prefixes of 100 bytes or more give the classes of equal windows, and of each class all but the
+first window are removed. An anchor with very many stretches is dealt by the windows' own hashes instead.
 
-Defined results: null and empty texts have no bytes; ids order the documents, rows that repeat an id count as one
-document; a row with a null id keeps its whole text and is no source of copies; texts shorter than a window keep all."""
+Within a batch equal stretches fold on their bytes before anything is shuffled, so a common line costs a row a batch.
+Blocks that are sorted have a bounded size; what a block leaves of an unfinished group, its different strings, goes on
+to the next block.
+
+Defined results: null and empty texts have no bytes; ids order the documents; rows that repeat an id with its text count
+as one document, different texts of an id as documents of their own, ordered by the texts' hashes; a row with a null id
+keeps its whole text and is no source of copies; texts shorter than a window keep all; texts of any length are read
+whole, in pieces that overlap by a window less a byte."""
 
 from __future__ import annotations
 
@@ -19,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, mix64, odd_numbers, settle
+from .common import U64, discard, mix64, narrow_batches, odd_numbers, settle
 
-#: Bytes of a repeated string and of an anchor, and bytes that are hashed or sorted at a time.
-WINDOW, GRAM, PIECE, BLOCK = 100, 32, 1 << 20, 1 << 21
+#: Bytes of a repeated string and of an anchor, bytes that are hashed and that are sorted at a time, and stretches of an
+#: anchor beyond which it is dealt by windows.
+WINDOW, GRAM, PIECE, BLOCK, OFTEN = 100, 32, 1 << 20, 1 << 21, 30_000
 REACH = (WINDOW - GRAM) // 2
 _LOW = U64((1 << 22) - 1)
 _TABLES = [np.random.default_rng(s).integers(0, 2**64 - 1, 256, dtype=np.uint64) for s in (1, 2)]
@@ -98,14 +104,17 @@ def side(roll: Rolling, start: np.ndarray, long_enough: np.ndarray) -> np.ndarra
     return np.where(long_enough, (mix64(roll.of(start, GRAM + REACH)) % U64(255)).astype(np.int64) + 1, 0)
 
 
-def pieces(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, ends, row numbers, offsets within their rows) of a text column in pieces of bounded size.
+def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a text column: where each row begins and ends among the bytes; a null row is empty."""
+    col = col.cast(pa.large_binary())
+    bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8), bounds
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ends, row numbers, offsets within their rows) of texts in pieces of bounded size.
 
     A text over the bound is cut with an overlap of a window less a byte, so each window lies in one piece."""
-    col = col.cast(pa.large_binary())
-    n = len(col)
-    bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     row, lo, hi, off = [], [], [], []
     size = 0
 
@@ -113,12 +122,11 @@ def pieces(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         parts = [data[a:b] for a, b in zip(lo, hi)]
         return np.concatenate(parts), np.cumsum([len(p) for p in parts]), np.array(row), np.array(off)
 
-    for r in range(n):
-        a, b = int(bounds[r]), int(bounds[r + 1])
+    for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         at = a
         while b - at >= WINDOW:
-            end = min(b, at + PIECE)
-            if size and size + end - at > PIECE:
+            end = min(b, at + piece)
+            if size and size + end - at > piece:
                 yield out()
                 row, lo, hi, off, size = [], [], [], [], 0
             row.append(r), lo.append(at), hi.append(end), off.append(at - a)
@@ -142,35 +150,35 @@ def runs(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarra
     return doc[new], at[new], np.maximum.reduceat(end, new) - at[new]
 
 
-def first_and_later(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the first row of each (key, sub) and of the later ones, by (doc, at)."""
+def first_and_later(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the first row of each (key, sub) and of the later ones, by (doc, at), and the first of each later."""
     order = np.lexsort((at, doc, sub, key))
     new = np.ones(len(order), bool)
     k, s = key[order], sub[order]
     new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    same = np.zeros(len(order), bool)  # the same place once more, from a repeated row
     d, a = doc[order], at[order]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
-    same = (d == d[head]) & (a == a[head])
-    return order[new], order[~new & ~same]
+    same = (d == d[head]) & (a == a[head])  # the same place once more, from a repeated row
+    later = ~new & ~same
+    return order[new], order[later], order[head[later]]
 
 
-# what a row is: a stretch or window to be compared, one whose windows must be compared, or bytes to be removed
-COMPARE, RESOLVE, REMOVE = 0, 1, 2
-#: What is shuffled. ``place`` holds the offset, the length (24 bits) and the kind (2 bits), so it sorts by offset.
-DEALT = "h long, s long, doc long, place long"
-#: What the comparison says.
-FOUND = "kind int, doc long, at long, len long"
+# what a row is: a stretch or window to be compared; one whose anchor stands elsewhere too, or very often; bytes to remove
+COMPARE, RESOLVE, OFTEN_SEEN, REMOVE = 0, 1, 2, 3
+#: What is shuffled first. ``place`` holds the offset, the shape (24 bits) and the kind (2 bits), so it sorts by offset.
+DEALT = "h long, doc long, place long"
+#: What the comparison of anchors says, and the bytes that meet by ``key``.
+FOUND, CUT = "kind int, key long, doc long, at long, len long", "key long, doc long, at long, bytes binary"
 LONGEST = 1 << 23
 HASH_BITS = U64((1 << 48) - 1)  # of an anchor: a clash only asks for a needless comparison
 
 
-def named(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
+def named(schema: str, *cols: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def dealt(kind: int, h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    return named(DEALT, h.view(np.int64), s.view(np.int64), doc, (at << 26) | (length << 2) | kind)
+def dealt(kind: int, h: np.ndarray, doc: np.ndarray, at: np.ndarray, shape: np.ndarray) -> pa.RecordBatch:
+    return named(DEALT, h.view(np.int64), doc, (at << 26) | (shape << 2) | kind)
 
 
 def dealt_removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
@@ -179,86 +187,117 @@ def dealt_removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.Rec
     n = np.maximum(1, -(-length // LONGEST))
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     doc, at, length = np.repeat(doc, n), np.repeat(at, n) + k * LONGEST, np.minimum(np.repeat(length, n) - k * LONGEST, LONGEST)
-    spread = mix64(doc.view(np.uint64)) & HASH_BITS
-    return dealt(REMOVE, spread, spread, doc, at, length)
+    return dealt(REMOVE, mix64(doc.view(np.uint64)) & HASH_BITS, doc, at, length)
 
 
-def found_rows(kind: int, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    return named(FOUND, np.full(len(doc), kind, np.int32), doc, at, length)
+def found_rows(kind: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    return named(FOUND, np.full(len(doc), kind, np.int32), key, doc, at, length)
 
 
 def removed(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    return found_rows(REMOVE, *runs(doc, at, length))
+    doc, at, length = runs(doc, at, length)
+    return found_rows(REMOVE, np.zeros(len(doc), np.int64), doc, at, length)
 
 
-def find_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) batches: stretches, equal ones of a batch folded into their first."""
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = []
-        for data, ends, row, off in pieces(b.column(1)):
-            h, s, lo, length = stretches(data, ends)
-            i = np.searchsorted(ends, lo, "right")
-            found.append((h, s, ids[row[i]], lo - np.concatenate([[0], ends[:-1]])[i] + off[i], length))
-        if not found:
-            continue
-        h, s, doc, at, length = (np.concatenate(x) for x in zip(*found))
-        first, later = first_and_later(h, s, doc, at)
-        yield dealt(COMPARE, h[first] & HASH_BITS, s[first], doc[first], at[first], length[first])
-        yield dealt_removed(doc[later], at[later], length[later] & 255)
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a on equal those from b on, row by row."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 20_000):
+        x, y, n = (v[lo : lo + 20_000, None] for v in (a, b, length))
+        k = np.arange(int(n.max()))[None, :]
+        k = np.minimum(k, n - 1)
+        out[lo : lo + 20_000] = (data[x + k] == data[y + k]).all(1)
+    return out
+
 
+def folded(data, h, s, doc, at, shape, absolute) -> Iterator[pa.RecordBatch]:
+    """What travels of a batch: the first of its equal strings, and the removal of the later ones, equal byte for byte."""
+    first, later, of = first_and_later(h, s, doc, at)
+    same = (shape[later] & 255) == (shape[of] & 255)
+    same[same] = same_bytes(data, absolute[later[same]], absolute[of[same]], shape[later[same]] & 255)
+    travel = np.concatenate([first, later[~same]])
+    yield dealt(COMPARE, h[travel] & HASH_BITS, doc[travel], at[travel], shape[travel])
+    gone = later[same]
+    yield dealt_removed(doc[gone], at[gone], shape[gone] & 255)
 
-def compare(resolve: bool):
-    """Over rows sorted by (h, s, doc, place): later equals go; with ``resolve``, an h with several s asks for the windows
-    of those that may share one.
 
-    Rows stream through; only the last group's head is carried from batch to batch."""
+def find_stretches(piece: int = PIECE):
+    """(doc, text) batches: stretches, equal ones of a batch folded into their first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, pending, several = None, None, False  # the current (h, s, doc, at); the only first of its h; whether h had several s
         for b in batches:
-            h, s, doc, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            kind, at, length = place & 3, place >> 26, (place >> 2) & ((1 << 24) - 1)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, bounds = bytes_of(b.column(1))
+            found = []
+            for part, ends, row, off in pieces(data, bounds, piece):
+                h, s, lo, shape = stretches(part, ends)
+                i = np.searchsorted(ends, lo, "right")
+                at = lo - np.concatenate([[0], ends[:-1]])[i] + off[i]
+                found.append((h, s, ids[row[i]], at, shape, bounds[row[i]] + at))
+            if found:
+                yield from folded(data, *(np.concatenate(x) for x in zip(*found)))
+
+    return run
+
+
+def compare(often: int, sides: bool):
+    """Over rows sorted by (h, doc, place): of an h that stands more than once, the rows that may share a window.
+
+    ``sides`` lets only those pass that share a side of their anchor with another row. An h of more than ``often`` rows
+    is streamed past; with ``sides`` its rows are marked as seen often. One group's rows are held at most."""
+
+    def told(h, doc, place, many: bool) -> pa.RecordBatch:
+        shape = (place >> 2) & ((1 << 24) - 1)
+        keep = np.ones(len(h), bool)
+        if sides and not many:
+            keep[:] = False
+            _, group = np.unique(h, return_inverse=True)
+            for bits in (8, 16):
+                one = (shape >> bits) & 255
+                _, pair, k = np.unique(group * 256 + one, return_inverse=True, return_counts=True)
+                keep |= (k[pair] > 1) & (one > 0)
+        kind = OFTEN_SEEN if sides and many else RESOLVE
+        return found_rows(kind, h[keep], doc[keep], place[keep] >> 26, shape[keep] & 255)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        passing = None  # the h that has proved to be often
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            kind = cols[2] & 3
             if (go := kind == REMOVE).any():
-                yield removed(doc[go], at[go], length[go])
-            kind, h, s, doc, at, shape = (x[~go] for x in (kind, h, s, doc, at, length))
-            length = shape & 255
+                yield removed(cols[1][go], cols[2][go] >> 26, (cols[2][go] >> 2) & ((1 << 24) - 1))
+            h, doc, place = (np.concatenate([x, y[~go]]) for x, y in zip(held, cols))
             if not len(h):
                 continue
+            if passing is not None:
+                n = int(np.searchsorted(h != passing, True))
+                if n:
+                    yield told(h[:n], doc[:n], place[:n], True)
+                h, doc, place = h[n:], doc[n:], place[n:]
+                if len(h):
+                    passing = None
+                else:
+                    held = [h, doc, place]
+                    continue
+            # a place that a repeated row gives once more counts once
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            if head is not None:
-                new[0] = (h[0], s[0]) != head[:2]
-            where = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            d0 = np.where(where >= 0, doc[where], head[2] if head else 0)
-            a0 = np.where(where >= 0, at[where], head[3] if head else 0)
-            later = ~new & ~((doc == d0) & (at == a0))
-            if later.any():
-                yield removed(doc[later], at[later], length[later])
-            if resolve and new.any():
-                fh, fd, fa, fl = (x[new] for x in (h, doc, at, shape))
-                if pending is not None:
-                    fh, fd, fa, fl = (np.concatenate([[p], x]) for p, x in zip(pending, (fh, fd, fa, fl)))
-                _, group, n = np.unique(fh, return_inverse=True, return_counts=True)
-                many = n[group] > 1
-                if several and head is not None:
-                    many |= fh == head[0]
-                # a group that lies within the batch: only those that share a side with another
-                shared = np.zeros(len(fh), bool)
-                for bits in (8, 16):
-                    one = (fl >> bits) & 255
-                    _, pair, k = np.unique(group * 256 + one, return_inverse=True, return_counts=True)
-                    shared |= (k[pair] > 1) & (one > 0)
-                whole = (fh != fh[-1]) & ((fh != head[0]) if head is not None else True)
-                last = bool(many[-1])
-                many &= shared | ~whole
-                several = last
-                pending = None if several else tuple(x[-1] for x in (fh, fd, fa, fl))
-                fl = fl & 255
-                if many.any():
-                    yield found_rows(RESOLVE, fd[many], fa[many], fl[many])
-            i = where[-1]
-            head = (h[-1], s[-1], d0[-1], a0[-1]) if i < 0 else (h[i], s[i], doc[i], at[i])
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+            h, doc, place = h[new], doc[new], place[new]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(starts, len(h)))
+            last = starts[-1]
+            size = np.repeat(n, n)
+            for many, rows in ((False, (size > 1) & (size <= often)), (True, size > often)):
+                rows[last:] = False
+                if rows.any():
+                    yield told(h[rows], doc[rows], place[rows], many)
+            held = [h[last:], doc[last:], place[last:]]
+            if n[-1] > often:
+                yield told(*held, True)
+                passing, held = h[-1], [np.empty(0, np.int64)] * 3
+        if len(held[0]) > 1:
+            yield told(*held, False)
 
     return run
 
@@ -354,69 +393,148 @@ def equal_windows(t: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-def resolve_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted) batches: the windows of the wanted stretches, suffix-sorted in blocks."""
-
-    def block(parts, doc, at):
-        lens = np.array([len(p) for p in parts])
-        t = np.zeros(lens.sum() + len(parts), np.int16)
-        data = np.concatenate(parts)
-        starts = np.cumsum(lens + 1) - lens - 1
-        place = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(len(data))
-        t[place] = data.astype(np.int16) + 1
-        owner = np.zeros(len(t), np.int64)
-        owner[place] = np.repeat(np.arange(len(parts)), lens)
-        valid = np.zeros(len(t), bool)
-        n = lens - WINDOW + 1
-        ok = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        valid[ok] = True
-        order, cls = equal_windows(t, valid)
-        of = owner[order]
-        d, a = doc[of], at[of] + order - starts[of]
-        raw = np.zeros(len(t), np.uint8)
-        raw[place] = data
-        h, s = (mix64(Rolling(raw, x).of(order, WINDOW)) for x in _TABLES)
-        first, later = first_and_later(cls, np.zeros_like(cls), d, a)
-        yield dealt(COMPARE, h[first], s[first], d[first], a[first], np.full(len(first), WINDOW))
-        yield dealt_removed(d[later], a[later], np.full(len(later), WINDOW))
-
-    parts, docs, ats, size = [], [], [], 0
+def wanted_of(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(data, row, key, at, length) of a (doc, text, wanted) batch: the wanted strings and the row that holds each; absolute places."""
+    data, bounds = bytes_of(b.column(1))
+    wanted = b.column(2)
+    n = np.diff(wanted.offsets.to_numpy())
+    row = np.repeat(np.arange(len(n)), n)
+    key, at, length = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+    return data, bounds, row, key, at, length
+
+
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text, wanted) batches: the bytes of the wanted strings."""
+    for b in batches:
+        data, bounds, row, key, at, length = wanted_of(b)
+        doc = b.column(0).to_numpy(zero_copy_only=False)
+        for lo in range(0, len(row), 20_000):
+            part = slice(lo, lo + 20_000)
+            n = length[part]
+            ends = np.cumsum(n)
+            take = np.repeat(bounds[row[part]] + at[part] - (ends - n), n) + np.arange(n.sum())
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data[take])])
+            yield named(CUT, key[part], doc[row[part]], at[part], cut)
+
+
+def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text, wanted) batches: every window of the wanted strings, dealt by its hash, equal ones of a batch folded."""
     for b in batches:
-        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            at, length = (np.array([w[k] for w in wanted], np.int64) for k in ("at", "len"))
-            one = np.full(len(at), 0, np.int64)
-            _, at, length = runs(one, at, length - WINDOW + 1)  # windows that follow one another
-            for a, n in zip(at, length):
-                for lo in range(a, a + n, PIECE):
-                    part = data[lo : min(lo + PIECE, a + n) + WINDOW - 1]
-                    parts.append(part), docs.append(doc), ats.append(lo)
-                    size += len(part)
-                    if size >= BLOCK:
-                        yield from block(parts, np.array(docs), np.array(ats))
-                        parts, docs, ats, size = [], [], [], 0
-    if parts:
-        yield from block(parts, np.array(docs), np.array(ats))
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, spans): the bytes to remove of each document that has any, as a list of (at, len)."""
-    solid = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-
-    def later_ones(rows: DataFrame, resolve: bool) -> DataFrame:
-        return rows.repartition("h").sortWithinPartitions("h", "s", "doc", "place").mapInArrow(compare(resolve), FOUND)
-
-    coarse = settle(later_ones(solid.where(f"octet_length(text) >= {WINDOW}").mapInArrow(find_stretches, DEALT), True))
-    wanted = coarse.where(F.col("kind") == RESOLVE).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "len")).alias("wanted"))
-    fine = settle(later_ones(solid.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(resolve_windows, DEALT), False))
-    gone = coarse.where(F.col("kind") == REMOVE).union(fine)
-    return gone.groupBy("doc").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; ``kept`` is what remains, as bytes."""
-    spans = repeats(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+        data, bounds, row, _, at, length = wanted_of(b)
+        doc = b.column(0).to_numpy(zero_copy_only=False)
+        found = []
+        for r in np.unique(row):
+            mine = row == r
+            _, a, n = runs(np.zeros(mine.sum(), np.int64), at[mine], length[mine] - WINDOW + 1)  # windows that follow one another
+            for x, k in zip(a.tolist(), n.tolist()):
+                text = data[bounds[r] + x : bounds[r] + x + k + WINDOW - 1]
+                h, s = (mix64(Rolling(text, t).all(WINDOW)) for t in _TABLES)
+                place = x + np.arange(k)
+                found.append((h, s, np.full(k, doc[r]), place, np.full(k, WINDOW), bounds[r] + place))
+        if found:
+            yield from folded(data, *(np.concatenate(x) for x in zip(*found)))
+
+
+def resolve(block: int = BLOCK):
+    """Over (key, doc, at, bytes) sorted so: equal strings fold, the others' suffixes are sorted, and of each class of equal
+    windows all but the first are removed. The different strings of a group that a block leaves unfinished go on with the next."""
+
+    def settle_block(key, doc, at, strings) -> tuple[pa.RecordBatch, list[int]]:
+        known: dict[tuple[int, bytes], int] = {}
+        first = np.array([known.setdefault(x, k) for k, x in enumerate(zip(key.tolist(), strings))])
+        lens = np.array([len(x) for x in strings])
+        mine = np.arange(len(key))
+        later = (first != mine) & ~((doc == doc[first]) & (at == at[first]))
+        gone = [(doc[later], at[later], lens[later])]
+        own = np.flatnonzero(first == mine)
+        _, group, n = np.unique(key[own], return_inverse=True, return_counts=True)
+        several = own[n[group] > 1]
+        if len(several):
+            size = lens[several]
+            starts = np.cumsum(size + 1) - size - 1
+            data = np.frombuffer(b"".join(strings[k] for k in several), np.uint8)
+            t = np.zeros(size.sum() + len(several), np.int16)
+            t[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(data))] = data.astype(np.int16) + 1
+            owner = np.repeat(np.arange(len(several)), size + 1)
+            valid = np.zeros(len(t), bool)
+            n = size - WINDOW + 1
+            valid[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
+            order, cls = equal_windows(t, valid)
+            of = owner[order]
+            d, a = doc[several][of], at[several][of] + order - starts[of]
+            _, again, _ = first_and_later(cls, np.zeros_like(cls), d, a)
+            gone.append((d[again], a[again], np.full(len(again), WINDOW)))
+        return removed(*(np.concatenate(x) for x in zip(*gone))), own[key[own] == key[-1]].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        size = 0
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            at = 0
+            while at < b.num_rows:
+                end = at
+                while end < b.num_rows and size < block:
+                    size += len(cols[3][end])
+                    end += 1
+                for x, y in zip(held, cols):
+                    x += y[at:end]
+                at = end
+                if size >= block:
+                    out, left = settle_block(*(np.array(x, np.int64) for x in held[:3]), held[3])
+                    yield out
+                    held = [[x[k] for k in left] for x in held]
+                    size = 0
+        if held[0]:
+            yield settle_block(*(np.array(x, np.int64) for x in held[:3]), held[3])[0]
+
+    return run
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, doc, text) of every row, and what :func:`discard` may take; ``doc`` orders the documents and is null for a null id.
+
+    It is the id itself, unless an id has several texts: then places in the order of (id, hash of the text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    of = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", of.alias("of"))
+    if not texts.groupBy("doc_id").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a < b").limit(1).count():
+        return rows.select("doc_id", F.col("doc_id").alias("doc"), "text"), None
+    places = texts.distinct().repartitionByRange("doc_id", "of").sortWithinPartitions("doc_id", "of")
+    places = settle(places.withColumn("doc", F.monotonically_increasing_id()))  # ranges in order, so numbers in order
+    return rows.withColumn("of", of).join(places, ["doc_id", "of"], "left").select("doc_id", "doc", "text"), places
+
+
+def repeats(rows: DataFrame, piece: int = PIECE, block: int = BLOCK, often: int = OFTEN) -> tuple[DataFrame, list[DataFrame]]:
+    """rows: (doc, text). (doc, spans): the bytes to remove of each document that has any, as a list of (at, len); and the tables that this reads."""
+    solid = rows.where("doc IS NOT NULL").select("doc", "text")
+
+    def met(df: DataFrame, often: int, sides: bool) -> DataFrame:
+        return settle(df.repartition("h").sortWithinPartitions("h", "doc", "place").mapInArrow(compare(often, sides), FOUND))
+
+    def holding(found: DataFrame, kind: int) -> DataFrame:
+        wanted = found.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list(F.struct("key", "at", "len")).alias("wanted"))
+        return solid.join(wanted, "doc").select("doc", "text", "wanted")
+
+    coarse = met(narrow_batches(solid.where(f"octet_length(text) >= {WINDOW}")).mapInArrow(find_stretches(piece), DEALT), often, True)
+    found = [coarse]
+    if coarse.where(F.col("kind") == OFTEN_SEEN).limit(1).count():
+        found.append(met(holding(coarse, OFTEN_SEEN).mapInArrow(cut_windows, DEALT), often, False))
+    some = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    cut = holding(some, RESOLVE).mapInArrow(cut_out, CUT)
+    fine = settle(cut.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(resolve(block), FOUND))
+    gone = some.where(F.col("kind") == REMOVE).unionByName(fine)
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("at", "len")).alias("spans")), [*found, fine]
+
+
+def remove_repeats(docs: DataFrame, text_out: bool = False, **sizes: int) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; ``kept`` is what remains, as bytes.
+
+    ``sizes``: piece, block and often, as :func:`repeats` takes them. The result is a written table."""
+    numbers, places = numbered(docs)
+    spans, tables = repeats(numbers, **sizes)
+    rows = numbers.join(spans, "doc", "left")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text_out else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,4 +554,6 @@ def remove_repeats(docs: DataFrame, text_out: bool = False) -> DataFrame:
             arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.string())] + ([pa.array(cols[5], pa.binary())] if text_out else [])
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in fields.split(", ")])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, fields)
+    out = settle(rows.select("doc_id", "text", "spans").mapInArrow(run, fields))
+    discard(*tables, places)
+    return out
