@@ -189,14 +189,36 @@ def test_family_around_a_threshold(spark):
             w[int(rng.integers(len(w)))] = f"x{rng.integers(10**6)}"
         rows.append((d, " ".join(w), None, None, 0))
     rows += [(1000 + k, rows[0][1], None, None, 0) for k in range(100)]
-    old, minhash_dedup.BLOCK_SHINGLES = minhash_dedup.BLOCK_SHINGLES, 3000  # several blocks to a cluster
-    try:
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect()}
-    finally:
-        minhash_dedup.BLOCK_SHINGLES = old
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85, block_shingles=3000)  # several blocks to a cluster
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
     assert got == brute_components({r[0]: r[1] for r in rows}, 3, 85)
 
 
+def test_ids_with_several_texts(spark):
+    """An id's rows are linked, whatever their texts; each text keeps its own links."""
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    a, b, c = words("a", 100), words("b", 60), words("c", 60)
+    rows = [(2, b), (5, a), (5, b), (9, a + " tail"), (11, c), (11, c), (12, words("d", 40)), (12, words("e", 40)), (13, words("e", 40) + " x"), (14, ""), (15, None), (16, words("f", 30)), (16, "")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == Counter([(2, 58, 2), (5, 98, 2), (5, 58, 2), (9, 99, 2), (11, 58, 11), (11, 58, 11), (12, 38, 12), (12, 38, 12), (13, 39, 12), (14, 0, 14), (15, 0, 15), (16, 28, 16), (16, 0, 16)])
+
+
+def test_visitors_of_many_blocks(spark):
+    """Clusters that meet only through a few documents, in blocks of a few members."""
+    rng = np.random.default_rng(11)
+    rows, d = [], 0
+    for _ in range(6):
+        base = [f"w{rng.integers(10**7)}" for _ in range(60)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(len(w)))] = f"x{rng.integers(10**7)}"
+            rows.append((d, " ".join(w)))
+            d += 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, block_shingles=200).collect()}
+    assert got == brute_components(dict(rows), 3, 85)
+
+
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(1, 60)] + [(100, 102), (101, 102), (7, 7)]
     got = {r["v"]: r["c"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -7,8 +7,12 @@ size: members that the centre confirms are done, only the others are held agains
 come links that connect, not pairs. Buckets that still hold several components send the members of their lesser
 clusters to visit the main one, until every pair of every bucket is confirmed, refuted or already connected.
 
+What is compared is a set of shingles, named by the least id that has it. A visitor is held against a block and let go,
+so a block's members alone are in memory, and they are bounded. Links come out, never pairs.
+
 Defined results: no words or null text gives an empty set, linked with nothing; a null id keeps its row with a null
-component; rows that repeat an id share its component; an empty table gives an empty table."""
+component; rows that repeat an id share its component, whatever their texts, which are linked with each other (an empty
+one joins nothing else); texts of any length are read whole; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ from .components import components
 #: Permutations (two values each), and the chance of losing a link at the threshold that the choice of bands allows.
 PERMUTATIONS, MISS = 108, 1e-7
 #: Shingles of the members that one block compares; larger clusters are dealt over several blocks.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 40_000
 #: Rounds of visits in which one cluster of each open bucket is settled; what is left then visits all at once.
 ROUNDS = 4
 _words = WordHashes()
@@ -69,10 +73,14 @@ def signature(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(doc_id, n, digest, bands) of every row."""
+def digest_of(shingles: np.ndarray) -> bytes:
     import hashlib
 
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(doc_id, n, digest, bands) of every row."""
     rows, bands = banding(threshold)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -80,7 +88,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         for text in texts_of(batch):
             s = shingle_set(text, k)
             n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            digest.append(digest_of(s))
             keys.append(signature(s, rows, bands) if len(s) else [])
         return [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
 
@@ -88,6 +96,15 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return with_arrow(docs.select("doc_id", "text"), run, fields).select("doc_id", "n", "digest", "bands")
 
 
+def with_digests(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text, digest)"""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([digest_of(shingle_set(t, k)) for t in texts_of(batch)], pa.binary())]
+
+    return with_arrow(docs, run, [T.StructField("digest", T.BinaryType())])
+
+
 class Block:
     """The sets of a block's members, and which of them are known to be connected."""
 
@@ -132,51 +149,56 @@ LINK, STRAY = 0, 1
 
 
 def compared(k: int, percent: int):
-    """Over rows sorted by (cluster, block, role): (kind, a, b), links, and members that no centre of theirs confirms."""
+    """Over rows sorted by (cluster, block, role): (kind, a, b), links, and members that no centre of theirs confirms.
 
-    def settle_block(cluster, blocks, rows: list[tuple]) -> list[tuple]:
-        home = {d: s for r, d, s in rows if r != VISITOR}
+    The members of a block come first and are settled when its first visitor or the next block comes."""
+
+    def members_settled(cluster, blocks, rows: list[tuple]) -> tuple[Block, list[tuple]]:
+        home = {d: s for _, d, s in rows}
         block = Block(list(home), list(home.values()))
         out = []
         if rows[0][0] == CENTRE:
-            centre = 0
             near = block.linked(rows[0][2], percent)
-            out += [(LINK, *x) for x in block.connect(centre, near)]
-            strays = set(range(len(home))) - set(near.tolist()) - {centre}
+            out += [(LINK, *x) for x in block.connect(0, near)]
+            strays = set(range(len(home))) - set(near.tolist()) - {0}
             for x in sorted(strays):
                 out += [(LINK, *y) for y in block.connect(x, block.linked(home[block.ids[x]], percent))]
                 if blocks > 1:
                     out.append((STRAY, cluster, block.ids[x]))
-        for r, d, s in rows:
-            if r == VISITOR:
-                out += [(LINK, *x) for x in block.reach(d, block.linked(s, percent))]
-        return out
+        return block, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def written(out):
             cols = list(zip(*out)) if out else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["kind", "a", "b"])
 
-        group, rows = None, []
+        group, rows, block = None, [], None
         for b in batches:
             out = []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "cluster", "block", "blocks", "role")]
-            for text, doc, cluster, block, blocks, role in zip(texts_of(b), *cols):
-                if group != (cluster, block, blocks):
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "cluster", "block", "blocks", "role")]
+            for text, doc, cluster, part, blocks, role in zip(texts_of(b), *cols):
+                if group != (cluster, part, blocks):
                     if rows:
-                        out += settle_block(group[0], group[2], rows)
-                    group, rows = (cluster, block, blocks), []
-                rows.append((role, doc, shingle_set(text, k)))
+                        out += members_settled(group[0], group[2], rows)[1]
+                    group, rows, block = (cluster, part, blocks), [], None
+                if role != VISITOR:
+                    rows.append((role, doc, shingle_set(text, k)))
+                    continue
+                if rows:
+                    block, found = members_settled(cluster, blocks, rows)
+                    out, rows = out + found, []
+                if block is not None:
+                    out += [(LINK, *x) for x in block.reach(doc, block.linked(shingle_set(text, k), percent))]
             yield written(out)
         if rows:
-            yield written(settle_block(group[0], group[2], rows))
+            yield written(members_settled(group[0], group[2], rows)[1])
 
     return run
 
 
 def held_together(texts: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
-    """dealt: (doc_id, cluster, block, blocks, role). What the blocks find, written down."""
-    rows = texts.join(dealt, "doc_id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
+    """texts: (id, text); dealt: (id, cluster, block, blocks, role). What the blocks find, written down."""
+    rows = texts.join(dealt, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
     return settle(rows.mapInArrow(compared(k, percent), "kind int, a long, b long"))
 
 
@@ -194,33 +216,58 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``; ``percent`` is 100 times the least similarity."""
+def named_sets(solid: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """solid: (doc_id, digest, ...). ((digest, id, doc_id), an id for each set and the least document that has it; and of
+    ids that have several sets (doc_id, least), or None).
+
+    A set goes by the least document's own id, but for further sets of such ids: those get numbers from 2**62 on."""
+    folded = solid.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    several = settle(solid.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("doc_id", "least"))
+    if not several.limit(1).count():
+        discard(several)
+        return settle(folded.withColumn("id", F.col("doc_id"))), None
+    made = F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    return settle(folded.join(several, "doc_id", "left").withColumn("id", F.when(F.col("digest") != F.col("least"), made).otherwise(F.col("doc_id"))).drop("least")), several
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; ``percent`` is 100 times the least similarity. A written table."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = settle(signatures(docs, k, percent / 100))
     solid = sig.where("n > 0 AND doc_id IS NOT NULL")
-    folded = settle(solid.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = solid.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    sets, several = named_sets(solid)
+    reps = solid.join(sets, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    rows = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
     live = settle(rows.join(shared, "key"))
     often = live.groupBy("id", "lo").agg(F.count("*").alias("c"), F.min("n").alias("n"))
     homes = settle(often.groupBy("id").agg(F.max(F.struct("c", -F.col("lo"))).alias("m"), F.min("n").alias("n")).select("id", "n", (-F.col("m.col2")).alias("cluster")))
-    texts = settle(docs.join(homes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    sizes = settle(homes.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("blocks")))
-    members = homes.join(sizes, "cluster").where("id != cluster").select(F.col("id").alias("doc_id"), "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks", F.lit(MEMBER).alias("role"))
+    wanted = sets.join(homes.select("id"), "id", "left_semi").select("id", "doc_id", "digest")
+    if several is None:
+        texts = settle(docs.join(wanted.drop("digest"), "doc_id").select("id", "text"))
+    else:  # an id's texts are told apart by their sets
+        plain = docs.join(several, "doc_id", "left_anti").join(wanted.drop("digest"), "doc_id").select("id", "text")
+        odd = with_digests(docs.join(several, "doc_id", "left_semi"), k).join(wanted, ["doc_id", "digest"]).select("id", "text")
+        texts = settle(plain.unionByName(odd))
+    sizes = settle(homes.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("long").alias("blocks")))
+    members = homes.join(sizes, "cluster").where("id != cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks", F.lit(MEMBER).alias("role"))
     every = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    centres = every.select(F.col("cluster").alias("doc_id"), "cluster", "block", "blocks", F.lit(CENTRE).alias("role"))
+    centres = every.select(F.col("cluster").alias("id"), "cluster", "block", "blocks", F.lit(CENTRE).alias("role"))
     found = held_together(texts, members.unionByName(centres), k, percent)
-    labels = merged(None, found.where(f"kind = {LINK}").select("a", "b"))
+    links = found.where(f"kind = {LINK}").select("a", "b")
+    if several is not None:
+        own = solid.join(several, "doc_id").select("doc_id", "digest", "least").distinct()
+        ids = sets.select("digest", "id")
+        links = links.unionByName(own.join(ids.withColumnRenamed("id", "b"), "digest").join(ids.select(F.col("digest").alias("least"), F.col("id").alias("a")), "least").select("a", "b"))
+    labels = merged(None, links)
     # strays of clusters of several blocks visit the other blocks
-    visits = found.where(f"kind = {STRAY}").select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).distinct()
+    visits = found.where(f"kind = {STRAY}").select(F.col("a").alias("cluster"), F.col("b").alias("id")).distinct()
     live_now = settle(live.join(homes.select("id", "cluster"), "id").select("key", "id", "cluster"))
     discard(live)
     live, done = live_now, None
     for turn in range(ROUNDS + 1):
         # open buckets hold several components in several clusters
-        now = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = live.join(labels.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cluster").alias("k0"), F.max("cluster").alias("k1")).where("c0 < c1 AND k0 < k1").select("key")
         left = settle(live.join(open_, "key"))
         discard(live)
@@ -228,15 +275,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         by_cluster = live.groupBy("key", "cluster").agg(F.count("*").alias("c"))
         if turn < ROUNDS:
             main = settle(by_cluster.groupBy("key").agg(F.max(F.struct("c", "cluster")).alias("m")).select("key", F.col("m.cluster").alias("main")))
-        else:
+            whom = F.col("cluster") != F.col("main")
+        else:  # each pair of clusters once
             main = settle(by_cluster.select("key", F.col("cluster").alias("main")))
-        asked = live.join(main, "key").where("cluster != main").select(F.col("main").alias("cluster"), F.col("id").alias("doc_id")).distinct()
+            whom = F.col("cluster") < F.col("main")
+        asked = live.join(main, "key").where(whom).select(F.col("main").alias("cluster"), "id").distinct()
         asked = asked.unionByName(visits).distinct() if turn == 0 else asked
         if done is not None:
-            asked = asked.join(done, ["cluster", "doc_id"], "left_anti")
+            asked = asked.join(done, ["cluster", "id"], "left_anti")
         asked = settle(asked)
         if asked.limit(1).count():
-            go = every.join(asked, "cluster").select("doc_id", "cluster", "block", "blocks", F.lit(VISITOR).alias("role"))
+            go = every.join(asked, "cluster").select("id", "cluster", "block", "blocks", F.lit(VISITOR).alias("role"))
             host = asked.select("cluster").distinct()
             stay = members.unionByName(centres).join(host, "cluster", "left_semi").withColumn("role", F.lit(MEMBER))
             seen = held_together(texts, stay.unionByName(go), k, percent)
@@ -250,7 +299,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not live.limit(1).count():
             break
     discard(live, done, texts, found, homes, sizes)
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(folded, "digest", "left")
-    out = out.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
+    # one join for all copies of a set: each set's component first
+    of_set = sets.join(labels.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left").select("digest", F.coalesce("comp", "id").alias("comp"))
+    solo = sig.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = settle(solid.join(of_set, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id")).unionByName(solo))
+    discard(sig, sets, labels, several)
+    return out
