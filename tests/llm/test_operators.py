@@ -541,28 +541,47 @@ def test_sparse_sites_shrink(spark, docs, sf_dir):
 # ---- 9 language model
 
 
-@pytest.mark.parametrize("sizes", [{}, {"partition": 3000, "hot_share": 5e-4}])
-def test_order_three_by_brute_force(docs, texts, sizes):
+def brute_backoff(texts, order):
     toks = {d: (t or "").encode().lower().split() for d, t in texts.items()}
     grams = {d: list(zip(["", "", *t], ["", *t], t)) for d, t in toks.items()}
     own = {d: [Counter(g[3 - k :] for g in x) for k in (1, 2, 3)] for d, x in grams.items()}
     every = [sum((c[k] for c in own.values()), Counter()) for k in range(3)]
     heads = [Counter(g[3 - k : 2] for x in grams.values() for g in x) for k in (2, 3)]
     total = sum(map(len, toks.values()))
-    for r in ngram_lm.score(docs, order=3, **sizes).collect():
-        x, want, found = grams[r["doc_id"]], 0.0, 0
+    out = {}
+    for d, x in grams.items():
+        want, found = 0.0, 0
         for g in x:
-            for k in (3, 2, 1):
-                rest = every[k - 1][g[3 - k :]] - (own[r["doc_id"]][k - 1][g[3 - k :]] if k > 1 else 0)
+            for k in range(order, 0, -1):
+                rest = every[k - 1][g[3 - k :]] - (own[d][k - 1][g[3 - k :]] if k > 1 else 0)
                 if rest > 0:
-                    want += np.log10(rest) - np.log10(heads[k - 2][g[3 - k : 2]] if k > 1 else total) + (3 - k) * np.log10(0.4)
+                    want += np.log10(rest) - np.log10(heads[k - 2][g[3 - k : 2]] if k > 1 else total) + (order - k) * np.log10(0.4)
                     found += k > 1
                     break
-        assert (r["n_words"], r["n_found"]) == (len(x), found)
-        assert r["score"] == (pytest.approx(want / len(x), abs=1e-6) if x else None)
+        out[d] = (len(x), found, want / len(x) if x else None)
+    return out
+
+
+SMALL_PARTS = {"partition": 3000, "hot_share": 1e-6}
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("sizes", [{}, SMALL_PARTS])
+def test_backoff_by_brute_force(docs, texts, sizes, order):
+    want = brute_backoff(texts, order)
+    for r in ngram_lm.score(docs, order=order, **sizes).collect():
+        n, found, value = want[r["doc_id"]]
+        assert (r["n_words"], r["n_found"]) == (n, found)
+        assert r["score"] == (pytest.approx(value, abs=1e-11) if n else None)
 
 
-def test_hot_words_are_split_without_change(docs):
-    plain = {r["doc_id"]: (r["n_found"], round(r["score"], 9)) for r in ngram_lm.score(docs, hot_share=2.0).where("n_words > 0").collect()}
-    split = {r["doc_id"]: (r["n_found"], round(r["score"], 9)) for r in ngram_lm.score(docs, partition=5000, hot_share=1e-4).where("n_words > 0").collect()}
-    assert plain == split
+@pytest.mark.parametrize("order", [2, 3])
+def test_one_pair_in_every_document(spark, order):
+    """A pair and a word that every document holds, far over a partition's size, dealt by document."""
+    rng = np.random.default_rng(13)
+    rows = [(d, " ".join(["so it goes"] * int(rng.integers(1, 4)) + [f"w{rng.integers(40)}" for _ in range(12)] + ["goes"])) for d in range(400)]
+    want = brute_backoff(dict(rows), order)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for r in ngram_lm.score(df, partition=200, hot_share=1e-6, order=order).collect():
+        n, found, value = want[r["doc_id"]]
+        assert (r["n_words"], r["n_found"]) == (n, found) and r["score"] == pytest.approx(value, abs=1e-11)
