@@ -203,8 +203,9 @@ def test_ids_with_several_texts(spark):
     assert got == Counter([(2, 58, 2), (5, 98, 2), (5, 58, 2), (9, 99, 2), (11, 58, 11), (11, 58, 11), (12, 38, 12), (12, 38, 12), (13, 39, 12), (14, 0, 14), (15, 0, 15), (16, 28, 16), (16, 0, 16)])
 
 
-def test_visitors_of_many_blocks(spark):
-    """Clusters that meet only through a few documents, in blocks of a few members."""
+def test_visitors_of_many_blocks(spark, monkeypatch):
+    """Clusters that meet only through a few documents, in blocks of a few members and parts of a few visitors."""
+    monkeypatch.setattr(minhash_dedup, "VISITORS", 3)
     rng = np.random.default_rng(11)
     rows, d = [], 0
     for _ in range(6):
@@ -300,17 +301,35 @@ def test_highest_quotients(spark):
         assert {s: got[g, s] for s, _ in own} == won
 
 
-def test_mix_meets_targets(docs):
-    rows = source_mix.mix(docs, block=64, shard=2000).collect()
+@pytest.mark.parametrize("sizes", [{}, {"block": 64, "shard": 2000}, {"block": 16, "shard": 10**9, "shard_rows": 7}])
+def test_mix_meets_targets(docs, sizes):
+    rows = source_mix.mix(docs, **sizes).collect()
     by = {}
     for r in rows:
         assert 0 <= r["taken"] <= 2 * r["size"]
-        by.setdefault(r["source"], [0, r["target"], r["source_size"]])[0] += r["taken"]
+        by.setdefault(r["source"], [0, r["target"], r["source_size"], 0])[0] += r["taken"]
+        by[r["source"]][3] += 1
     total = sum(v[2] for v in by.values())
     assert sum(v[1] for v in by.values()) == pytest.approx(1.5 * total, rel=1e-6)
-    for taken, target, size in by.values():
-        assert target <= 2 * size + 1e-6 and abs(taken - target) <= 64 * 4 + 0.02 * target
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, source_mix.mix(docs.repartition(7), block=64, shard=2000).collect()))
+    for taken, target, size, n in by.values():
+        shards = max(1, -(-size // sizes.get("shard", 10**9)), -(-n // sizes.get("shard_rows", 10**9)))
+        assert target <= 2 * size + 1e-6 and abs(taken - target) <= (1 if shards == 1 else sizes["block"] * shards)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, source_mix.mix(docs.repartition(7), **sizes).collect()))
+
+
+def test_mix_of_many_shards_equals_sql(spark, docs, sf_dir):
+    """Sources of several shards by words and by rows, a null source, rows without words, and equal rows."""
+    odd = spark.createDataFrame([(1, None, None, None, 0), (2, "", "en", "src0", 0), (3, "a b c", "en", None, 0), (3, "a b c", "en", None, 0), (3, "a b", "en", None, 0), (None, "x y z", "en", "tiny", 0)], DOCS)
+    every = docs.select([c.split()[0] for c in DOCS.split(", ")]).unionByName(odd)
+    con = duckdb.connect()
+    con.register("documents", every.toArrow())
+    for block, shard, rows in ((64, 2000, 10**9), (7, 10**9, 5), (256, 1500, 9)):
+        got = source_mix.mix(every, block=block, shard=shard, shard_rows=rows)
+        assert got.select("source", "size").distinct().count() > 0
+        want = con.sql(queries.op4_sql(block, shard, rows)).fetchall()
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        a, b = (sorted(x, key=key) for x in ([tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken").collect()], want))
+        assert [r[:3] + r[4:] for r in a] == [r[:3] + r[4:] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
 
 
 def test_mix_is_native(docs):

@@ -107,33 +107,49 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(r) AS c FROM rea
 """
 
 
-OP4_SQL = f"""
+def op4_sql(block: int = source_mix.BLOCK, shard: int = source_mix.SHARD, rows: int = source_mix.ROWS, seed: str = source_mix.SEED) -> str:
+    def quotas(name: str, of: str, claim: str, seats: str, group: str, ties: str) -> str:
+        """Seats by the highest quotients: the floor less a margin is sure, the rest goes quotient by quotient."""
+        return f"""
+{name}_sure AS (SELECT *, sum({claim}) OVER g AS all_claims, count(*) OVER g AS rivals, CAST(greatest(floor({claim} / nullif(sum({claim}) OVER g, 0) * {seats}) - 2 - count(*) OVER g, 0) AS BIGINT) AS sure FROM {of} WINDOW g AS (PARTITION BY {group})),
+{name}_open AS (SELECT *, {seats} - sum(sure) OVER (PARTITION BY {group}) AS left_ FROM {name}_sure),
+{name}_seat AS (SELECT *, sure + unnest(range(0, 2 * rivals + 10)) AS k FROM {name}_open),
+{name}_rank AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {claim} / (2 * k + 1) DESC, {ties}) AS rk FROM {name}_seat WHERE {claim} > 0),
+{name}_won AS (SELECT {ties}, count(*) AS won FROM {name}_rank WHERE rk <= left_ GROUP BY ALL),
+{name} AS (SELECT {name}_sure.*, CAST(coalesce(sure, 0) + coalesce(won, 0) AS BIGINT) AS quota FROM {name}_sure LEFT JOIN {name}_won USING ({ties}))"""
+
+    return f"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, md5(coalesce(text, '')) AS tie FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM r GROUP BY source),
-s1 AS (SELECT source, n, 2 * n AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 1.5 * sum(n) OVER () AS total FROM s0),
-fill AS (  -- resharing round by round
-  SELECT 0 AS k, source, n, cap, CAST(w AS DOUBLE) AS w, total, CAST(0 AS DOUBLE) AS t, false AS full_ FROM s1
+  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, md5(coalesce(text, '')) AS tie FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, count(*) FILTER (WHERE size > 0) AS n_rows FROM r GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, 2 * n AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 1.5 * sum(n) OVER () AS total FROM s0),
+fill AS (  -- resharing round by round: a round fills one source at least
+  SELECT 0 AS k, sid, cap, CAST(w AS DOUBLE) AS w, total, CAST(0 AS DOUBLE) AS t, false AS full_, count(*) OVER () AS rounds FROM s1
   UNION ALL
-  SELECT k + 1, source, n, cap, w, total, CASE WHEN full_ THEN cap ELSE least(cap, share) END, full_ OR share >= cap
-  FROM (SELECT *, w * (total - coalesce(sum(cap) FILTER (WHERE full_) OVER (), 0)) / nullif(sum(w) FILTER (WHERE NOT full_) OVER (), 0) AS share FROM fill WHERE k < 40)),
-tg AS (SELECT source, n, round(t, 6) AS t FROM fill WHERE k = 40),
-seats AS (SELECT *, CAST(round(sum(t) OVER ()) AS BIGINT) AS seats, sum(t) OVER () AS tt, count(*) OVER () AS ss FROM tg),
-sq AS (  -- one word to a block: start from the floor less a margin, then the highest quotients
-  SELECT *, CAST(greatest(floor(t / tt * seats) - 2 - ss, 0) AS BIGINT) AS sure FROM seats),
-sk AS (SELECT source, t, sure + k AS k, seats - sum(sure) OVER (PARTITION BY k) AS opn FROM sq, (SELECT unnest(range(0, 200)) AS k)),
-sr AS (SELECT source, row_number() OVER (ORDER BY t / (2 * k + 1) DESC, source NULLS LAST) AS rk, opn FROM sk),
-won AS (SELECT source, count(*) AS g FROM sr WHERE rk <= opn GROUP BY source),
-q AS (SELECT sq.source, n, t, sure + coalesce(g, 0) AS quota, greatest(CAST(ceil(n / 4000000) AS BIGINT), 1) AS shards FROM sq LEFT JOIN won ON won.source IS NOT DISTINCT FROM sq.source),
-placed AS (SELECT r.*, q.n, q.t, q.quota, coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, t AS target,
-  CAST(CASE WHEN n > 0 THEN (least(quota, 2 * CAST(n AS BIGINT)) // CAST(n AS BIGINT)) * size
-    + least(greatest(least(quota, 2 * CAST(n AS BIGINT)) % CAST(n AS BIGINT) - pos, 0), size) ELSE 0 END AS BIGINT) AS taken
-FROM placed
+  SELECT k + 1, sid, cap, w, total, CASE WHEN full_ THEN cap ELSE least(cap, share) END, full_ OR share >= cap, rounds
+  FROM (SELECT *, w * (total - coalesce(sum(cap) FILTER (WHERE full_) OVER (), 0)) / nullif(sum(w) FILTER (WHERE NOT full_) OVER (), 0) AS share FROM fill WHERE k <= rounds)),
+tg AS (SELECT s1.sid, source, n, n_rows, round(t, 6) AS t, 1 AS one, CAST(round(sum(round(t, 6)) OVER () / {block}) AS BIGINT) AS seats FROM fill JOIN s1 USING (sid) WHERE k = rounds + 1),
+{quotas("sq", "tg", "t", "seats", "one", "sid")},
+src AS (SELECT sid, source, CAST(n AS BIGINT) AS source_size, t AS target, quota AS source_quota, CAST(round(t) AS BIGINT) - quota * {block} AS beyond,
+  CAST(greatest(ceil(n / {shard}), ceil(n_rows / {rows}.0), 1) AS BIGINT) AS shards FROM sq),
+d AS (SELECT r.*, sid, source_size, target, source_quota, beyond, CAST('0x' || substr(key, 25, 8) AS BIGINT) % shards AS shard FROM r JOIN src ON r.source IS NOT DISTINCT FROM src.source),
+sh AS (SELECT sid, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS claim, any_value(source_quota) AS source_quota, any_value(beyond) AS beyond FROM d WHERE size > 0 GROUP BY sid, shard),
+{quotas("hq", "sh", "claim", "source_quota", "sid", "sid, shard")},
+hw AS (SELECT *, least(greatest(quota * {block} + CASE WHEN shard = 0 THEN beyond ELSE 0 END, 0), 2 * shard_size) AS words FROM hq),
+hr AS (SELECT sid, shard, shard_size, words // shard_size AS whole, words % shard_size AS rest FROM hw),
+b0 AS (SELECT *, unnest(range(0, CAST(ceil(shard_size / {block}.0) AS BIGINT))) AS b FROM hr),
+b1 AS (SELECT *, least({block}, shard_size - b * {block}) AS len, md5('{seed}:' || sid || ':' || shard || ':' || b) AS bkey FROM b0),
+b2 AS (SELECT sid, shard, b, least(greatest(rest - coalesce(sum(len) OVER (PARTITION BY sid, shard ORDER BY bkey, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), len) AS cut FROM b1),
+laid AS (SELECT d.*, whole, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY key, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, row_number() OVER () AS row_ FROM d JOIN hr USING (sid, shard) WHERE size > 0),
+took AS (SELECT row_, sum(greatest(least(start + size, b * {block} + cut) - greatest(start, b * {block}), 0)) AS more FROM laid JOIN b2 USING (sid, shard) WHERE b * {block} < start + size AND (b + 1) * {block} > start GROUP BY row_)
+SELECT doc_id, size, source_size, target, CAST(whole * size + more AS BIGINT) AS taken FROM laid JOIN took USING (row_)
+UNION ALL SELECT doc_id, size, source_size, target, CAST(0 AS BIGINT) FROM d WHERE size = 0
 """
 
 
+OP4_SQL = op4_sql()
+
+
 OP9_SQL = f"""
 WITH w AS (
   SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
