@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a folder of our own only where that is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a folder of our own only where that is unset and
+    driver and executors are one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.gettempdir() + "/vigilake-shared"
     return path.rstrip("/")
 
@@ -57,10 +62,34 @@ def narrow_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_arrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
-    """Every column of ``docs``, then ``fields``, computed batch by batch: no shuffle, memory bounded by a batch.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that name with as many underscores as make it new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], list]]:
+    """(``needed`` columns and one that holds all others, what selects the columns of ``docs`` from rows of that).
+
+    However the columns of ``docs`` are called, they cannot clash with what an operator adds."""
+    others = [c for c in docs.columns if c not in needed]
+    held = unused(docs, "__others")
+    some = [F.col(f"`{c}`") for c in docs.columns if c in needed]
+    if others:
+        some.append(F.struct(*[F.col(f"`{c}`") for c in others]).alias(held))
+
+    def back(df: DataFrame, **new) -> list:
+        return [new[c].alias(c) if c in new else (F.col(f"`{c}`") if c in needed else F.col(held)[c]).alias(c) for c in docs.columns]
+
+    return docs.select(*some), back
+
 
-    New names must not clash with those of ``docs``; callers prefix them."""
+def with_arrow(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """Every column of ``docs``, then ``fields``, computed batch by batch: no shuffle, memory bounded by a batch."""
+    if clash := {f.name.lower() for f in fields} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns of that name are there already: {sorted(clash)}")
     schema = T.StructType([*docs.schema.fields, *fields])
     names = [f.name for f in schema.fields]
 
@@ -132,8 +161,27 @@ def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     return rows.join(sizes, by).where(share).select("doc_id", by).dropDuplicates(["doc_id"])
 
 
+#: Bytes of the texts of a sample that reaches the driver.
+SAMPLE_BYTES = 64_000_000
+
+
 def sampled_rows(docs: DataFrame, picked: DataFrame, hard_limit: int | None = None) -> DataFrame:
-    """The picked documents' texts; never more than ``hard_limit`` rows where that is given, those with the smallest hashes."""
+    """The picked documents' texts; never more than ``hard_limit`` rows where that is given, those with the smallest hashes.
+
+    ``picked`` is bounded by what its caller counted, so it may be broadcast."""
     if hard_limit is not None:
         picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(hard_limit)
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+
+
+def to_driver(rows: DataFrame, by: str, most_bytes: int = SAMPLE_BYTES) -> list:
+    """(doc_id, text, ``by``) rows of a bounded sample, in order of their ids: all of them, or of each value of ``by`` those
+    with the smallest hashes, as many as an equal share of the bytes holds."""
+    from pyspark.sql import Window as W
+
+    rows = rows.select("doc_id", "text", by)
+    sizes = rows.select(by, F.octet_length("text").alias("n")).groupBy(by).agg(F.sum("n").alias("n")).collect()
+    if sum(r["n"] or 0 for r in sizes) > most_bytes:
+        upto = F.sum(F.octet_length("text")).over(W.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, W.currentRow))
+        rows = rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes / len(sizes)).drop("upto")
+    return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))

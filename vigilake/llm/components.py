@@ -1,7 +1,11 @@
 """Connected components of a links table, without collecting any of it.
 
 Every vertex hooks to its smallest neighbour; pointers are jumped to the root; the links between roots go on to the
-next pass. Long chains take a logarithmic number of joins."""
+next pass. Long chains take a logarithmic number of joins.
+
+Defined results: an empty table, or one of links of vertices with themselves, gives an empty table; repeated links and links
+in either direction count once; a null end joins nothing. Joins on the centre of a star are plain equi-joins of shuffled
+sides, whose large keys Spark splits; all else is aggregated before it is shuffled."""
 
 from __future__ import annotations
 

@@ -4,20 +4,27 @@ Character n-gram models give every word a likelihood under each language; expect
 proportions of languages in each document, and the set of languages is the one of best penalised likelihood.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled rows everything is
-``und``; equal proportions go to the language that sorts first; each row is judged by itself."""
+``und``; equal proportions go to the language that sorts first; each row is judged by itself, so repeated rows agree; texts
+of any length are read whole; other columns pass through, whatever their names; an empty table gives an empty table.
+
+The model has ORDER tables of SLOTS counts for a language, and a sample bounded in rows and bytes reaches the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, mix64, sampled_rows, with_arrow
+from .common import U64, bounded_sample, mix64, packed, sampled_rows, to_driver, with_arrow
 
 #: Labelled rows for each language, n-gram order, hash slots of an order, smoothing, EM steps.
 PER_LANGUAGE, ORDER, SLOTS, KAPPA, STEPS = 1500, 4, 1 << 17, 4.0, 12
+#: Likelihoods, words times languages, that are mixed at a time; a longer text is mixed alone.
+SLICE = 2_000_000
 _EDGES = ".,;:!?\"'()[]|#*$%&<>"
 
 
@@ -154,22 +161,35 @@ def mixtures(p: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.nda
 def learn(docs: DataFrame) -> Model:
     """docs: labelled rows with doc_id, text and lang. A sample bounded for each language reaches the driver."""
     picked = bounded_sample(docs, "lang", PER_LANGUAGE).withColumnRenamed("lang", "__lang")
-    rows = sampled_rows(docs, picked).select("doc_id", "text", "__lang").collect()
-    return Model([(r["text"], r["__lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``__lang_pred``, ``__score`` and ``__langs``, the set of languages with their proportions."""
-    at = docs.columns.index("text")
-    fields = [T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__langs", T.MapType(T.StringType(), T.DoubleType()))]
+    return Model([(r["text"], r["__lang"]) for r in to_driver(sampled_rows(docs, picked), "__lang")])
+
+
+def slices(tokens: list[list[str]], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that hold about ``most`` words together, one at least."""
+    lo = size = 0
+    for k, t in enumerate(tokens):
+        if k > lo and size + len(t) > most:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(tokens):
+        yield lo, len(tokens)
+
+
+def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``into``: lang_pred, score, and langs, the set of languages with their proportions."""
+    rows, back = packed(docs, "text")
+    at = rows.columns.index("text")
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.MapType(T.StringType(), T.DoubleType()))]
     state: dict = {}
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         words = state.setdefault("words", Words(model))
         names = words.model.languages
         out = [("und", 0.0, [])] * batch.num_rows
-        for lo in range(0, batch.num_rows if names else 0, 1000):
-            rows = words.look_up([(t or "").split() for t in batch.column(at).slice(lo, 1000).to_pylist()])
+        tokens = [(t or "").split() for t in batch.column(at).to_pylist()] if names else []
+        for lo, hi in slices(tokens, SLICE // max(1, len(names))):
+            rows = words.look_up(tokens[lo:hi])
             rows = [r[r >= 0] for r in rows]
             some = [k for k, r in enumerate(rows) if len(r)]
             if not some:
@@ -181,6 +201,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 order = np.argsort(-share, kind="stable")[:m]
                 out[lo + k] = (names[order[0]], float(min(1.0, share[order[0]])), [(names[x], float(share[x])) for x in order])
         pred, score, langs = zip(*out)
-        return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))]
+        found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))]
+        return [pa.StructArray.from_arrays(found, names=[f.name for f in fields])]
 
-    return with_arrow(docs, run, fields)
+    out = with_arrow(rows, run, [T.StructField("found", T.StructType(fields))])
+    return out.select(*back(out), F.col("found").alias(into))

@@ -29,8 +29,9 @@ from .components import components
 
 #: Permutations (two values each), and the chance of losing a link at the threshold that the choice of bands allows.
 PERMUTATIONS, MISS = 108, 1e-7
-#: Shingles of the members that one block compares; larger clusters are dealt over several blocks.
-BLOCK_SHINGLES = 40_000
+#: Shingles of the members that one block compares, larger clusters being dealt over several blocks, and visitors of a block
+#: that one task takes, about.
+BLOCK_SHINGLES, VISITORS = 200_000, 1000
 #: Rounds of visits in which one cluster of each open bucket is settled; what is left then visits all at once.
 ROUNDS = 4
 _words = WordHashes()
@@ -149,7 +150,7 @@ LINK, STRAY = 0, 1
 
 
 def compared(k: int, percent: int):
-    """Over rows sorted by (cluster, block, role): (kind, a, b), links, and members that no centre of theirs confirms.
+    """Over rows sorted by (cluster, block, part, role): (kind, a, b), links, and members that no centre of theirs confirms.
 
     The members of a block come first and are settled when its first visitor or the next block comes."""
 
@@ -175,12 +176,12 @@ def compared(k: int, percent: int):
         group, rows, block = None, [], None
         for b in batches:
             out = []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "cluster", "block", "blocks", "role")]
-            for text, doc, cluster, part, blocks, role in zip(texts_of(b), *cols):
-                if group != (cluster, part, blocks):
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "cluster", "block", "part", "blocks", "role")]
+            for text, doc, cluster, number, part, blocks, role in zip(texts_of(b), *cols):
+                if group != (cluster, number, part, blocks):
                     if rows:
-                        out += members_settled(group[0], group[2], rows)[1]
-                    group, rows, block = (cluster, part, blocks), [], None
+                        out += members_settled(group[0], group[3], rows)[1]
+                    group, rows, block = (cluster, number, part, blocks), [], None
                 if role != VISITOR:
                     rows.append((role, doc, shingle_set(text, k)))
                     continue
@@ -191,14 +192,14 @@ def compared(k: int, percent: int):
                     out += [(LINK, *x) for x in block.reach(doc, block.linked(shingle_set(text, k), percent))]
             yield written(out)
         if rows:
-            yield written(members_settled(group[0], group[2], rows)[1])
+            yield written(members_settled(group[0], group[3], rows)[1])
 
     return run
 
 
 def held_together(texts: DataFrame, dealt: DataFrame, k: int, percent: int) -> DataFrame:
-    """texts: (id, text); dealt: (id, cluster, block, blocks, role). What the blocks find, written down."""
-    rows = texts.join(dealt, "id").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
+    """texts: (id, text); dealt: (id, cluster, block, part, blocks, role). What the blocks find, written down."""
+    rows = texts.join(dealt, "id").repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "role")
     return settle(rows.mapInArrow(compared(k, percent), "kind int, a long, b long"))
 
 
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_shingl
     homes = settle(often.groupBy("id").agg(F.max(F.struct("c", -F.col("lo"))).alias("m"), F.min("n").alias("n")).select("id", "n", (-F.col("m.col2")).alias("cluster")))
     wanted = sets.join(homes.select("id"), "id", "left_semi").select("id", "doc_id", "digest")
     if several is None:
-        texts = settle(docs.join(wanted.drop("digest"), "doc_id").select("id", "text"))
+        texts = settle(docs.join(homes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"))
     else:  # an id's texts are told apart by their sets
         plain = docs.join(several, "doc_id", "left_anti").join(wanted.drop("digest"), "doc_id").select("id", "text")
         odd = with_digests(docs.join(several, "doc_id", "left_semi"), k).join(wanted, ["doc_id", "digest"]).select("id", "text")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_shingl
     members = homes.join(sizes, "cluster").where("id != cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "blocks", F.lit(MEMBER).alias("role"))
     every = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     centres = every.select(F.col("cluster").alias("id"), "cluster", "block", "blocks", F.lit(CENTRE).alias("role"))
-    found = held_together(texts, members.unionByName(centres), k, percent)
+    found = held_together(texts, members.unionByName(centres).withColumn("part", F.lit(0).cast("long")), k, percent)
     links = found.where(f"kind = {LINK}").select("a", "b")
     if several is not None:
         own = solid.join(several, "doc_id").select("doc_id", "digest", "least").distinct()
@@ -285,10 +286,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_shingl
             asked = asked.join(done, ["cluster", "id"], "left_anti")
         asked = settle(asked)
         if asked.limit(1).count():
-            go = every.join(asked, "cluster").select("id", "cluster", "block", "blocks", F.lit(VISITOR).alias("role"))
-            host = asked.select("cluster").distinct()
-            stay = members.unionByName(centres).join(host, "cluster", "left_semi").withColumn("role", F.lit(MEMBER))
-            seen = held_together(texts, stay.unionByName(go), k, percent)
+            # the visitors of a cluster come in parts, each to the members once more
+            parts = asked.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(VISITORS)).cast("long").alias("parts"))
+            go = every.join(parts, "cluster").join(asked, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))).withColumn("role", F.lit(VISITOR))
+            stay = members.unionByName(centres).join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("role", F.lit(MEMBER))
+            seen = held_together(texts, stay.drop("parts").unionByName(go.drop("parts")), k, percent)
             if seen.limit(1).count():
                 labels = merged(labels, seen.where(f"kind = {LINK}").select("a", "b"))
             discard(seen)

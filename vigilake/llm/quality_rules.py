@@ -5,7 +5,8 @@ it on held-back rows and removes what it covers; the ordered rules become one Sp
 them is a JVM-side projection.
 
 Defined results: a null or empty text has no words and fails the base rule; ties and repeated rows are judged row by
-row; with no usable labels the list is empty and only the base rule decides; extra columns pass through untouched."""
+row; rows of labels that repeat an id count once, with their least label; with no usable labels the list is empty and only the base rule decides; texts of any length are counted whole; extra columns
+pass through untouched, whatever their names; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -15,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import odd_numbers, texts_of, with_arrow
+from .common import odd_numbers, packed, texts_of, with_arrow
 
-STATS = "__stats"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
 # The symbol characters of the base statistics.
 SYMBOLS = b"#*$%&|<>"
@@ -79,13 +79,13 @@ def text_counts(text: bytes) -> list[int]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` and a struct column of its texts' statistics."""
+    """``docs``, as :func:`packed` gives it, and ``stats``, a struct column of its texts' statistics."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = np.array([text_counts(t) for t in texts_of(batch)], dtype=np.int64)
         return [pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(COUNTS))], names=COUNTS)]
 
-    return with_arrow(docs, run, [T.StructField(STATS, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    return with_arrow(docs, run, [T.StructField("stats", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
 
 def feature(name: str) -> Column:
@@ -94,11 +94,11 @@ def feature(name: str) -> Column:
 
 
 def _Safe(name: str) -> Column:  # noqa: N802
-    return F.nullif(F.col(f"{STATS}.{name}"), F.lit(0)).cast("double")
+    return F.nullif(F.col(f"stats.{name}"), F.lit(0)).cast("double")
 
 
 def base_failed() -> Column:
-    n, r = F.col(f"{STATS}.n_words"), F.col(f"{STATS}.n_repeat_words")
+    n, r = F.col("stats.n_words"), F.col("stats.n_repeat_words")
     return (n < 10) | (100 * r > 20 * n)
 
 
@@ -179,8 +179,10 @@ def as_column(rules: list[list[tuple[str, str, float]]]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``docs`` with ``__stats``, ``__base_failed``, ``__rule`` (0: none fired) and ``__kept``."""
+def judge(docs: DataFrame, labels: DataFrame, into: str = "quality", **how) -> DataFrame:
+    """``docs`` with a struct column ``into``: the counts of ``COUNTS``, base_failed, rule (0: none fired) and kept."""
     rules = learn(*learning_rows(docs, labels), **how)
-    out = with_statistics(docs).withColumn("__base_failed", base_failed()).withColumn("__rule", as_column(rules))
-    return out.withColumn("__kept", ~F.col("__base_failed") & (F.col("__rule") == 0))
+    rows, back = packed(docs, "text")
+    found = with_statistics(rows).withColumn("failed", base_failed()).withColumn("rule", as_column(rules))
+    verdict = F.struct("stats.*", F.col("failed").alias("base_failed"), "rule", (~F.col("failed") & (F.col("rule") == 0)).alias("kept"))
+    return found.select(*back(found), verdict.alias(into))

@@ -13,18 +13,18 @@ from .common import crc_mod, documents
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document. See secret_scan for the results of odd rows."""
-    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "__secrets")
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
 
     def listed(rows):
         return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     def count(kind):
-        return F.size(F.filter("__secrets", lambda x: x["kind"] == kind)).cast("long")
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
 
-    base = F.filter("__secrets", lambda x: x["kind"] != "novel")
+    base = F.filter("secrets", lambda x: x["kind"] != "novel")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("__secrets")).alias("spans"), count("novel").alias("n_novel"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), count("novel").alias("n_novel"),
     )
 
 
@@ -48,7 +48,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the decision list's verdict on every document."""
     judged = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *[F.col(f"__stats.{c}").alias(c) for c in base], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__rule").alias("rule"))
+    return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in [*base, "base_failed", "kept", "rule"]])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 3) != 1)
     found = toxicity.tag(docs, toxicity.learn(docs, labels))
-    spans = F.array_join(F.transform("__spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"), F.size("__spans").cast("long").alias("n_spans"), spans.alias("spans"))
+    spans = F.array_join(F.transform("toxicity.spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), F.size("toxicity.spans").cast("long").alias("n_spans"), spans.alias("spans"))
 
 
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language_id.learn(docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.array_join(F.map_keys("__langs"), ",").alias("langs"))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.array_join(F.map_keys("language.langs"), ",").alias("langs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,8 @@ explain it; strings that hardly compress are reported as ``novel``. Candidates a
 in the dictionary nor as context; only words of theirs that stand elsewhere too are left in the context.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; each row is scanned by
-itself, so repeated rows and ties change nothing; other columns pass through."""
+itself, so repeated rows and ties change nothing; texts of any length are scanned whole; other columns pass through,
+whatever their names; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_arrow
+from .common import packed, with_arrow
 
 # The patterns and kinds of the base scan.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -166,11 +167,12 @@ def identifier_dictionary(docs: DataFrame, most: int = IDENTIFIERS) -> bytes:
     return " ".join(r["w"] for r in reversed(top.collect())).encode()
 
 
-def scan(docs: DataFrame, dictionary: bytes | None = None, redact: str | None = None) -> DataFrame:
-    """``docs`` with ``__secrets``, an array of (kind, start, end); with ``redact``, each covered stretch of the text becomes that string."""
+def scan(docs: DataFrame, dictionary: bytes | None = None, redact: str | None = None, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``, an array of (kind, start, end); with ``redact``, each covered stretch of the text becomes that string."""
     words = identifier_dictionary(docs) if dictionary is None else dictionary
-    at = docs.columns.index("text")
+    rows, back = packed(docs, "text")
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    at = rows.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         novelty = Novelty(words)
@@ -183,8 +185,9 @@ def scan(docs: DataFrame, dictionary: bytes | None = None, redact: str | None =
         out = [pa.array(rows, spans_type)]
         return [*out, pa.array(texts, pa.string())] if redact is not None else out
 
-    fields = [T.StructField("__secrets", kind)] + ([T.StructField("__redacted", T.StringType())] if redact is not None else [])
-    return with_arrow(docs, run, fields)
+    fields = [T.StructField("found", kind)] + ([T.StructField("cleaned", T.StringType())] if redact is not None else [])
+    out = with_arrow(rows, run, fields)
+    return out.select(*back(out, **({"text": F.col("cleaned")} if redact is not None else {})), F.col("found").alias(into))
 
 
 def replaced(text: str, found: list[tuple[int, int, int]], by: str) -> str:

@@ -4,8 +4,12 @@ A logistic classifier on text statistics gives each document's evidence. Hosts,
 evidence by grouped aggregation; a site's rate is shrunk toward its parent's with a strength fitted to how much sites
 differ, so sparse sites lean on global priors. Document and site evidence then add up on the log-odds scale.
 
+A labelled document vouches for its site with its label, any other with the classifier's probability.
+
 Defined results: null or empty texts are classified by their zero statistics; a null host or path is a site of its
-own; with no usable labels every document scores the prior and is kept; repeated rows count as often as they stand."""
+own; with no usable labels every document scores the prior and is kept; repeated rows count as often as they stand, rows of
+labels that repeat an id once, with their least label; texts of any length are read whole; other columns are not read; an
+empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sampled_rows, settle
+from .common import bounded_sample, discard, sampled_rows, settle
 from .quality_rules import FEATURES, feature, with_statistics
 
 #: Labelled rows of a class at most, the weight of a site's evidence against a document's own, and the score that keeps.
@@ -80,21 +84,30 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
     ``host`` and ``path`` name a document's site; a path belongs to its host."""
     model = learn(docs, labels)
     prior = min(max(model["prior"], 1e-3), 1 - 1e-3)
-    base = docs.select("doc_id", "text", host.cast("string").alias("__host"), path.cast("string").alias("__path"))
-    rows = settle(with_statistics(base).select("doc_id", "__host", "__path", evidence(model).alias("p")))
+    usable = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    base = docs.select("doc_id", "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
+    rows = with_statistics(base).select("doc_id", "host", "path", evidence(model).alias("p")).join(usable, "doc_id", "left")
+    rows = settle(rows.select("doc_id", "host", "path", "p", F.coalesce("y", "p").alias("e")))
+    out = settle(posteriors(rows, prior, keep))
+    discard(rows)
+    return out
+
+
+def posteriors(rows: DataFrame, prior: float, keep: float = KEEP) -> DataFrame:
+    """rows: (doc_id, host, path, p, e), a document's probability and its evidence. What :func:`score` returns."""
     # a path's sums hold all its host's: one aggregation of the documents serves both levels
-    paths = settle(rows.groupBy("__host", "__path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
-    hosts = paths.groupBy("__host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    paths = settle(rows.groupBy("host", "path").agg(F.sum("e").alias("s"), F.count("*").alias("n")))
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).head()
     mean = min(max((whole["s"] or 0.0) / max(1, whole["n"] or 0), 1e-3), 1 - 1e-3) if whole["n"] else prior
     a = strength(hosts.withColumn("up", F.lit(mean)), "up")
-    hosts = hosts.select("__host", ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_posterior"))
-    joined = paths.join(hosts.withColumnRenamed("__host", "h"), F.col("__host").eqNullSafe(F.col("h"))).drop("h")
+    hosts = hosts.select("host", ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_posterior"))
+    joined = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     b = strength(joined, "host_posterior")
-    sites = joined.select(F.col("__host").alias("h"), F.col("__path").alias("q"), "s", "n", "host_posterior")
-    out = rows.join(sites, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("q")))
+    sites = joined.select(F.col("host").alias("h"), F.col("path").alias("q"), "s", "n", "host_posterior")
+    out = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     # a document does not vouch for itself
-    others = (F.col("s") - F.col("p") + b * F.col("host_posterior")) / (F.col("n") - 1 + b)
+    others = (F.col("s") - F.col("e") + b * F.col("host_posterior")) / (F.col("n") - 1 + b)
     out = out.withColumn("path_posterior", others)
     total = logit(F.col("p")) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.lit(mean)))
     out = out.withColumn("score", 1 / (1 + F.exp(-total)))

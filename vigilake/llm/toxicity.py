@@ -6,7 +6,9 @@ those tokens with word, affix and shape features; forward-backward marginals giv
 sum of them gives a document's score.
 
 Defined results: null and empty texts get the score of a text without any sign of toxicity; with no usable labels
-every score is 0; each row is scored by itself, so repeated rows score alike."""
+every score is 0; each row is scored by itself, so repeated rows score alike; rows of labels that repeat an id count once,
+with their highest label; texts of any length are read whole; other columns pass through, whatever their names; an empty
+table gives an empty table. The sample that reaches the driver is bounded in rows and bytes."""
 
 from __future__ import annotations
 
@@ -18,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, sampled_rows, with_arrow
+from .common import bounded_sample, packed, sampled_rows, to_driver, with_arrow
+from .language_id import slices
 
 #: Labelled rows of a class at most, hash slots of features, training passes, and how much commoner in toxic documents a word or affix must be.
 PER_CLASS, SLOTS, PASSES, LIFT = 2500, 1 << 18, 4, 6.0
+#: Tokens that are scored at a time; a longer text is scored alone.
+SLICE = 500_000
 _EDGES = ".,;:!?\"'()[]|#*$%&<>"
 _TOKEN = re.compile(r"\S+")
 N_FEATURES = 9
@@ -37,11 +42,6 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % SLOTS for x in names]
 
 
-def sentences(tokens: list[str]) -> np.ndarray:
-    """Whether each token ends its sentence."""
-    return np.array([t[-1] in ".!?" for t in tokens], bool)
-
-
 def bounds(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the sentences of a token stream."""
     last = np.flatnonzero(ends)
@@ -185,15 +185,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
     """docs: doc_id and text; labels: doc_id and toxic, only rows one may learn from. A bounded sample reaches the driver."""
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     rate = usable.agg(F.avg("__y")).head()[0]
-    rows = sampled_rows(docs, bounded_sample(usable, "__y", PER_CLASS), 2 * PER_CLASS).select("doc_id", "text", "__y").collect()
-    return Tagger().fit([(r["text"], r["__y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], rate)
+    rows = to_driver(sampled_rows(docs, bounded_sample(usable, "__y", PER_CLASS), 2 * PER_CLASS), "__y")
+    return Tagger().fit([(r["text"], r["__y"]) for r in rows], rate)
 
 
-def tag(docs: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
-    """``docs`` with ``__score`` and ``__spans``, the (start, end) code points of tokens whose marginal reaches ``least``."""
-    at = docs.columns.index("text")
+def tag(docs: DataFrame, tagger: Tagger, least: float = 0.5, into: str = "toxicity") -> DataFrame:
+    """``docs`` with a struct column ``into``: score, and spans, the (start, end) code points of tokens whose marginal reaches ``least``."""
+    rows, back = packed(docs, "text")
+    at = rows.columns.index("text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    fields = [T.StructField("__score", T.DoubleType()), T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     cache: dict[str, float] = {}
 
     def emissions(tokens: list[str]) -> list[float]:
@@ -212,9 +213,10 @@ def tag(docs: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         scores, spans = [], []
-        for lo in range(0, batch.num_rows, 500):
-            texts = [t or "" for t in batch.column(at).slice(lo, 500).to_pylist()]
-            tokens = [t.split() for t in texts]
+        every = [t or "" for t in batch.column(at).to_pylist()]
+        split = [t.split() for t in every]
+        for lo, hi in slices(split, SLICE):
+            texts, tokens = every[lo:hi], split[lo:hi]
             n = np.array([len(t) for t in tokens])
             x = np.array([v for t in tokens for v in emissions(t)])
             ends = x > 5e5
@@ -230,6 +232,7 @@ def tag(docs: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
                 hit = np.flatnonzero(p[a : a + m] >= least)
                 found = [x.span() for x in _TOKEN.finditer(text)] if len(hit) else []
                 spans.append([{"start": found[k][0], "end": found[k][1]} for k in hit])
-        return [pa.array(scores, pa.float64()), pa.array(spans, span)]
+        return [pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, span)], names=["score", "spans"])]
 
-    return with_arrow(docs, run, fields)
+    out = with_arrow(rows, run, [T.StructField("found", T.StructType(fields))])
+    return out.select(*back(out), F.col("found").alias(into))
