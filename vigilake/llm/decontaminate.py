@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, discard, mix64, narrow_batches, odd_numbers, settle, texts_of
+from .common import U64, WordHashes, discard, mix64, narrow_batches, odd_numbers, packed, settle, texts_of
 
 #: Tokens of the shortest tile, the coverage from which an item counts as contained, characters of items in a block, and
 #: meetings of seeds of a pair that are listed.
@@ -230,7 +230,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: fl
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS, listed: int = LISTED) -> DataFrame:
     """``docs`` without those that contain a test item; no shuffle, each text is judged where it is read. A written table, if there are items."""
-    at, out = docs.columns.index("text"), narrow_batches(docs)
+    out, back = packed(narrow_batches(docs), "text")
+    at, schema = out.columns.index("text"), out.schema
     for block in blocks_of(benchmark, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: float
             for b in batches:
                 yield b.filter(pa.array([not found_in(text, items, coverage, listed) for text in texts_of(b.select([at]))], pa.bool_()))
 
-        was, out = out, settle(out.mapInArrow(run, docs.schema))
+        was, out = out, settle(out.mapInArrow(run, schema))
         discard(was)
-    return out
+    return out.select(*back(out))
