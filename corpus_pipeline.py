@@ -83,9 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet on the shared folder and read again; what is read no more is deleted."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        was, out = docs, stage(spark, docs, sf_dir)
-        docs = settle(out)
-        discard(was, out)
+        was = docs
+        docs = settle(stage(spark, was, sf_dir))
+        discard(was)
     out = settle(STAGES[-1][1](spark, docs, sf_dir))
     discard(docs)
     return out
