@@ -135,3 +135,37 @@ def lbe_power(m: int, bound: float = 0.05) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < goal else (lo, mid)
     return (lo + hi) / 2
+
+
+def normal_quantile(p: float) -> float:
+    """The z that a standard normal stays under with chance p."""
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+def hypergeometric_upper(a: np.ndarray, r: np.ndarray, c: np.ndarray, t: np.ndarray, mid: np.ndarray) -> np.ndarray:
+    """P(X >= a) for r and c marked among t, less half of P(X = a) where ``mid``; all rows at once, a term at a time.
+
+    Terms are summed away from the mean, where they fall, and a row is done when they no longer count."""
+    f = lambda x: lgamma_np(x + 1)
+    lowest = np.maximum(0.0, r + c - t)
+    up = a > r * c / np.maximum(t, 1)
+    inside = (a >= lowest) & (a <= np.minimum(r, c))
+    start = np.where(up, a, a - 1)  # below the mean: 1 - P(X <= a - 1)
+    known = np.where((start >= lowest) & (start <= np.minimum(r, c)), start, lowest)
+    at = lambda k: np.exp(f(r) + f(t - r) + f(c) + f(t - c) - f(t) - f(k) - f(r - k) - f(c - k) - f(t - r - c + k))
+    term = np.where(known == start, at(known), 0.0)
+    total, k = term.copy(), start.copy()
+    live = np.flatnonzero(term > 0)
+    while len(live):
+        kk, rr, cc, tt, u = k[live], r[live], c[live], t[live], up[live]
+        rise = (rr - kk) * (cc - kk) / ((kk + 1) * (tt - rr - cc + kk + 1))
+        fall = kk * (tt - rr - cc + kk) / np.maximum((rr - kk + 1) * (cc - kk + 1), 1e-300)
+        term[live] = term[live] * np.where(u, rise, fall)
+        total[live] += term[live]
+        k[live] += np.where(u, 1, -1)
+        live = live[term[live] > total[live] * 1e-17]
+    out = np.where(up, total, 1 - total)
+    out = np.where(a <= lowest, 1.0, out)
+    return np.clip(out - np.where(mid & inside, 0.5 * at(np.where(inside, a, lowest)), 0.0), 0, 1)

@@ -77,21 +77,26 @@ def longitudinal(rows: DataFrame, model, unit: str = "quarter", cumulative: bool
     return out.withColumn("slice_end", F.to_date(F.substring_index("drug", "@", 1))).withColumn("drug", F.expr("substring(drug, 12)"))
 
 
-def poisson_fit(ct: DataFrame) -> np.ndarray:
-    """(intercept, slope of log product margin, slope of log event margin) of a Poisson model of a, by reweighted least squares.
-
-    Each step aggregates nine sums; nothing else reaches the driver."""
-    x = ct.select(F.col("a").cast("double").alias("y"), F.log((F.col("a") + F.col("b")).cast("double")).alias("u"), F.log((F.col("a") + F.col("c")).cast("double")).alias("v"))
-    return irls(x, alpha=0.0)
-
-
-def irls(x: DataFrame, alpha: float, steps: int = 25) -> np.ndarray:
-    """x: (y, u, v). Negative-binomial regression of variance mu + alpha mu^2 with a log link; alpha 0 is Poisson."""
-    m = x.agg(F.avg("y")).head()[0]
+def irls(ct: DataFrame, alpha: float, steps: int = 25) -> np.ndarray:
+    """(intercept, slope of log product margin, slope of log event margin) of a regression of a with a log link and variance
+    mu + alpha mu^2; alpha 0 is Poisson.
+
+    Cells fold to their different margins and counts once; a step aggregates nine sums of those."""
+    x = ct.groupBy("a", (F.col("a") + F.col("b")).alias("r"), (F.col("a") + F.col("c")).alias("s")).agg(F.count("*").cast("double").alias("k"))
+    x = x.select(F.col("a").cast("double").alias("y"), F.log(F.col("r").cast("double")).alias("u"), F.log(F.col("s").cast("double")).alias("v"), "k").persist()
+    try:
+        return _irls(x, alpha, steps)
+    finally:
+        x.unpersist()
+
+
+def _irls(x: DataFrame, alpha: float, steps: int) -> np.ndarray:
+    """x: (y, u, v, k), k how often a row counts."""
+    m = x.agg(F.sum(F.col("y") * F.col("k")) / F.sum("k")).head()[0]
     beta = np.array([np.log(max(m or 1.0, 1e-9)), 0.0, 0.0])
     for _ in range(steps):
         mu = f"exp({beta[0]} + {beta[1]} * u + {beta[2]} * v)"
-        w, z = f"({mu} / (1 + {alpha} * {mu}))", f"(ln({mu}) + (y - {mu}) / {mu})"
+        w, z = f"(k * {mu} / (1 + {alpha} * {mu}))", f"(ln({mu}) + (y - {mu}) / {mu})"
         cols = {"1": "1.0", "u": "u", "v": "v"}
         names = [(p, q) for i, p in enumerate(cols) for q in list(cols)[i:]]
         got = x.agg(*[F.sum(F.expr(f"{w} * {cols[p]} * {cols[q]}")).alias(f"h{p}{q}") for p, q in names], *[F.sum(F.expr(f"{w} * {z} * {cols[p]}")).alias(f"g{p}") for p in cols]).head()
@@ -108,8 +113,7 @@ def expected(ct: DataFrame, method: str = "mantel-haentzel", alpha: float = 1.0)
     """Adds ``expected``: margins' product over n, or a Poisson or negative-binomial regression on log margins."""
     if method == "mantel-haentzel":
         return ct.withColumn("expected", (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) / F.col("n").cast("double"))
-    x = ct.select(F.col("a").cast("double").alias("y"), F.log((F.col("a") + F.col("b")).cast("double")).alias("u"), F.log((F.col("a") + F.col("c")).cast("double")).alias("v"))
-    b = irls(x, 0.0 if method == "poisson" else alpha)
+    b = irls(ct, 0.0 if method == "poisson" else alpha)
     return ct.withColumn("expected", F.exp(F.lit(float(b[0])) + F.lit(float(b[1])) * F.log((F.col("a") + F.col("b")).cast("double")) + F.lit(float(b[2])) * F.log((F.col("a") + F.col("c")).cast("double"))))
 
 

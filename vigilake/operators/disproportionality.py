@@ -51,22 +51,40 @@ def lbe_power(m: pd.Series) -> pd.Series:
     return m.map({k: S.lbe_power(int(k)) if k > 400 else 1.0 for k in m.unique()})
 
 
-def with_pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
-    """Adds m, k, power and pi0, the estimated share of null cells of each row's drug: one exchange, one pass.
+def pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
+    """(drug, m, k, power, pi0), a row for each drug: the estimated share of its null cells.
 
-    A drug's window has a row for each reaction, so its size is bounded by the vocabulary."""
-    every = W.partitionBy("drug")
+    Cells only pass through aggregates; Python sees one number of each drug."""
     q = f"(2.0 * least({p}, 1.0 - {p}))"
-    x = ps.withColumns({"m": F.count("*").over(every), "k": F.count_if(F.col(p) <= 0.5).over(every)}).withColumn("power", lbe_power("m"))
+    sizes = ps.groupBy("drug").agg(F.count("*").alias("m"), F.count_if(F.col(p) <= 0.5).alias("k")).withColumn("power", lbe_power("m"))
     # q = 1 says nothing but null: its -log is unbounded
     value = F.expr(f"CASE WHEN {q} >= 1.0 THEN CAST('Infinity' AS DOUBLE) ELSE pow(-ln(1.0 - {q}), power) END")
-    x = x.withColumn("v", F.avg(value).over(every))
-    return x.withColumn("pi0", F.least(F.lit(1.0), F.col("v") / F.exp(F.expr(S.log_gamma("(power + 1.0)"))))).drop("v")
+    means = ps.select("drug", p).join(sizes.select("drug", "power"), "drug").groupBy("drug").agg(F.avg(value).alias("v"))
+    return sizes.join(means, "drug").withColumn("pi0", F.least(F.lit(1.0), F.col("v") / F.exp(F.expr(S.log_gamma("(power + 1.0)"))))).drop("v")
 
 
-def pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
-    """(drug, m, k, power, pi0), a row for each drug."""
-    return with_pi0(ps.select("drug", p), p).groupBy("drug").agg(*[F.first(c).alias(c) for c in ("m", "k", "power", "pi0")])
+def with_pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
+    """Adds m, k, power and pi0 of each row's drug."""
+    return ps.join(pi0(ps, p), "drug")
+
+
+def lbe(ps: DataFrame, p: str = "p_value", fdr_level: float = 0.05, confidence: float = 0.95) -> DataFrame:
+    """The whole location-based estimate of each row's drug: adds m, power, pi0, its standard error bound and upper bound,
+    q-values, and whether a row is significant at ``fdr_level``.
+
+    From the largest p-value down, a q-value is the least of pi0 m p / (rank - 1) so far, the last of all divided by m; equal
+    p-values take that of their mean rank, rounded down."""
+    x = with_pi0(ps, p).withColumn("i", F.row_number().over(W.partitionBy("drug").orderBy(p, "pt")))
+    raw = F.try_divide(F.col("pi0") * F.col("m") * F.col(p), F.when(F.col("i") == F.col("m"), F.col("m")).otherwise(F.col("i") - 1))
+    down = W.partitionBy("drug").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ties = W.partitionBy("drug", p)
+    x = x.withColumn("q", F.min(raw).over(down))
+    place = F.floor((F.min("i").over(ties) + F.max("i").over(ties)) / 2)
+    x = x.withColumn("place", place).withColumn("qvalue", F.max(F.when(F.col("i") == F.col("place"), F.col("q"))).over(ties))
+    spread = F.sqrt((F.exp(F.expr(S.log_gamma("(2.0 * power + 1.0)")) - 2 * F.expr(S.log_gamma("(power + 1.0)"))) - 1) / F.col("m"))
+    x = x.withColumn("sd_bound", spread)
+    z = S.normal_quantile(confidence)
+    return x.withColumns({"pi0_upper": F.least(F.lit(1.0), F.col("pi0") + z * F.col("sd_bound")), "significant": F.col("qvalue") <= fdr_level}).drop("i", "q", "place", "k")
 
 
 def with_fdr(ps: DataFrame, p: str = "p_value", legacy_order: bool = False) -> DataFrame:
@@ -96,14 +114,7 @@ def ror(ct: DataFrame, min_events: int = 3, decision_thres: float = 0.05, **how)
 @F.pandas_udf(T.DoubleType())
 def fisher_upper(a: pd.Series, n1j: pd.Series, ni1: pd.Series, n: pd.Series, mid: pd.Series) -> pd.Series:
     """P(X >= a) of the hypergeometric, less half of P(X = a) if ``mid``."""
-    out = []
-    for a_, r, c, t, half in zip(a, n1j, ni1, n, mid):
-        k = np.arange(int(a_), int(min(r, c)) + 1)
-        f = lambda x: S.lgamma_np(np.asarray(x, float) + 1)
-        logs = f(r) + f(t - r) + f(c) + f(t - c) - f(t) - f(k) - f(r - k) - f(c - k) - f(t - r - c + k)
-        pmf = np.exp(logs)
-        out.append(min(1.0, float(pmf.sum() - (0.5 * pmf[0] if half else 0.0))))
-    return pd.Series(out)
+    return pd.Series(S.hypergeometric_upper(*(x.to_numpy(float) for x in (a, n1j, ni1, n)), mid.to_numpy(bool)))
 
 
 def rfet(ct: DataFrame, min_events: int = 3, decision_thres: float = 0.05, mid_p: bool = False) -> DataFrame:
@@ -256,8 +267,23 @@ def fit_prior(ct: DataFrame, start: tuple = (0.2, 0.06, 1.4, 1.8, 0.1), truncate
     return float(a1), float(b1), float(a2), float(b2), float(1 / (1 + np.exp(-best[4])))
 
 
-def decided(x: DataFrame, metric: str, value: str, threshold: float) -> DataFrame:
-    """Signals by a decision metric: ``fdr`` (value up to t), ``rank`` (value at least t) or ``signals`` (the t least values)."""
+#: What may rank cells, by model: a column, and whether small values come first.
+RANKINGS = {
+    "prr": {"p_value": ("p_value", True), "CI": ("ci_low", False)}, "ror": {"p_value": ("p_value", True), "CI": ("ci_low", False)}, "rfet": {"p_value": ("p_value", True)},
+    "bcpnn": {"p_value": ("p_null", True), "quantile": ("ic025", False)}, "mgps": {"p_value": ("p_null", True), "quantile": ("eb05", False), "log2": ("eb_log2", False)},
+}
+
+
+def decided(x: DataFrame, model: str, ranking: str = "p_value", metric: str = "fdr", threshold: float = 0.05) -> DataFrame:
+    """Cells of a model's table in the order of a ranking statistic, those called first: adds ``rank`` and ``called``.
+
+    ``fdr`` calls as many as have a false discovery rate up to the threshold, ``signals`` that many cells, and ``rank`` those
+    whose statistic reaches it: from above where small values come first, from below otherwise."""
+    column, rising = RANKINGS[model][ranking]
+    c = F.col(column)
+    every = W.partitionBy("drug")
+    x = x.withColumn("rank", F.row_number().over(every.orderBy(c.asc() if rising else c.desc(), "pt")))
     if metric == "signals":
-        return x.withColumn("rk", F.row_number().over(W.partitionBy("drug").orderBy(value, "pt"))).where(F.col("rk") <= int(threshold)).drop("rk")
-    return x.where(F.col(value) <= threshold if metric == "fdr" else F.col(value) >= threshold)
+        return x.withColumn("called", F.col("rank") <= int(threshold))
+    hit = F.col("fdr") <= threshold if metric == "fdr" else (c <= threshold if rising else c >= threshold)
+    return x.withColumn("called", F.col("rank") <= F.count_if(hit).over(every))

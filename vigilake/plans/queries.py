@@ -19,24 +19,22 @@ from ..operators import marts as M
 from ..operators import resolve as R
 from ..sources import reports as P
 from ..sources import schema
-from ..sources import adapter
+from ..sources import store
 from ..sources.adapter import table, with_facts
 from . import predicate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DRUG, CO = "SMALL RING", "BLUE ANVIL"
-_FACTS: dict[tuple[str, str], DataFrame] = {}
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived fact, built once a session and folder and kept in executors' memory or disk, where it is a stored table elsewhere."""
-    app = spark.sparkContext.applicationId
-    for key in [k for k in _FACTS if k[0] != app]:
-        del _FACTS[key]
-    if (app, sf_dir) not in _FACTS:
-        _FACTS[app, sf_dir] = adapter.facts(spark, sf_dir).persist()
-    return _FACTS[app, sf_dir]
+    """The derived fact, read from Parquet; a session's first query on a folder writes it."""
+    return store.fact(spark, sf_dir)
+
+
+def stored_marts(spark: SparkSession, sf_dir: str) -> M.Marts:
+    return store.marts(spark, sf_dir)
 
 
 def query(sql: str | None = None):
@@ -123,11 +121,7 @@ def q_json_flatten(spark, sf_dir):
 @query(with_facts("SELECT drug_name, count(*) AS n_rows, min(receivedate) AS first_date, max(receivedate) AS last_date FROM fact GROUP BY drug_name"))
 def q_ctas(spark, sf_dir):
     """The fact written sorted by drug and read back."""
-    import uuid
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/vigilake-shared"
-    path = f"{folder}/sorted-{uuid.uuid4().hex}"
-    P.write_sorted(facts(spark, sf_dir), path)
+    path = store.build_fact(spark, sf_dir)
     return spark.read.schema(schema.FACT).parquet(path).groupBy("drug_name").agg(F.count("*").alias("n_rows"), F.min("receivedate").alias("first_date"), F.max("receivedate").alias("last_date"))
 
 
@@ -362,26 +356,22 @@ def q_route(spark, sf_dir):
 
 @query(ct_sql())
 def q_ct_global(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return C.contingency(f, DRUG, marts=M.Marts.of(f))
+    return C.contingency(facts(spark, sf_dir), DRUG, marts=stored_marts(spark, sf_dir))
 
 
 @query(ct_sql("sex = 'female' AND age_stratum = 'adult'", min_a=1))
 def q_ct_cubed(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return C.contingency(f, DRUG, "sex = 'female' AND age_stratum = 'adult'", M.Marts.of(f), min_a=1)
+    return C.contingency(facts(spark, sf_dir), DRUG, "sex = 'female' AND age_stratum = 'adult'", stored_marts(spark, sf_dir), min_a=1)
 
 
 @query(ct_sql(f"safetyreportid IN (SELECT safetyreportid FROM fact WHERE drug_name = '{CO}')", min_a=1))
 def q_ct_comed(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return C.contingency(f, DRUG, f"drug_name = '{CO}'", M.Marts.of(f), min_a=1)
+    return C.contingency(facts(spark, sf_dir), DRUG, f"drug_name = '{CO}'", stored_marts(spark, sf_dir), min_a=1)
 
 
 @query(ct_sql("safetyreportid IN (SELECT safetyreportid FROM fact WHERE drug_name = 'NO SUCH DRUG')"))
 def q_ct_comed_missing(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return C.contingency(f, DRUG, "drug_name = 'NO SUCH DRUG'", M.Marts.of(f))
+    return C.contingency(facts(spark, sf_dir), DRUG, "drug_name = 'NO SUCH DRUG'", stored_marts(spark, sf_dir))
 
 
 @query(ct_sql("serious = '1' AND receive_year >= 1998", min_a=2))
