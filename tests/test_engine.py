@@ -52,15 +52,27 @@ def test_absent_drugs_give_empty_tables(fact):
 def test_predicates_are_parsed_or_refused():
     p = predicate.Predicate.parse("sex = 'male' AND receivedate BETWEEN '2001' AND '2002' AND age_years IS NOT NULL")
     assert [t.op for t in p.terms] == ["=", "BETWEEN", "IS NOT NULL"]
-    for bad in ("1 = 1", "sex = 'x' OR sex = 'y'", "sex = 'x'; DROP TABLE t", "nope = 'x'"):
+    for bad in ("1 = 1", "(sex = 'x'", "sex = 'x' OR", "sex IN ()", "sex = 'x'; DROP TABLE t", "nope = 'x'"):
         with pytest.raises(ValueError):
             predicate.Predicate.parse(bad)
     assert predicate.detect_route("sex = 'male' AND receive_year > 2010") == "cubed"
+    assert predicate.detect_route("SEX = 'male'") == predicate.detect_route("sex in ('male')") == "cubed"
+    assert predicate.Predicate.parse("drug_name IN ('X (Y)', 'Z, (W')").terms[0].values == ("X (Y)", "Z, (W")
+    assert predicate.Predicate.parse("sex = 'male' OR age_stratum = 'adult'").route() == "cubed"
+    assert predicate.Predicate.parse("sex = 'male' OR drug_name = 'X'").route() == "full"
     assert predicate.Predicate.parse("sex = 'male' AND receive_year > 2010").route() == "full"
     assert predicate.detect_route(None) == "global" and predicate.detect_route("") == "full"
     assert predicate.label(predicate.stratum("male", "adult", "X")) == "Sex: Male, Age: Adult, Co-med: X"
 
 
+def test_conditions_with_or_and_brackets(fact, duck):
+    from vigilake.sources.adapter import with_facts
+
+    for where in ("sex = 'male' OR age_stratum = 'adult' AND serious = '1'", "NOT (sex = 'male' OR sex = 'female')", "(sex = 'male' AND (receive_year > 1997 OR receive_year IS NULL)) AND drug_indication NOT LIKE 'PROMO%'", "drug_name IN ('SMALL RING', 'BLUE (ANVIL)') OR age_years NOT BETWEEN 20 AND 90.5"):
+        p = predicate.Predicate.parse(where)
+        assert fact.where(predicate.bound(list(p.terms))).count() == duck.sql(with_facts(f"SELECT count(*) FROM fact WHERE {where}")).fetchall()[0][0], where
+
+
 def test_flatten_edge_reports(spark, tmp_path):
     report = {"safetyreportid": "1", "receivedate": "200703", "patient": {"patientonsetage": "6", "patientonsetageunit": "802", "patientsex": "2"}}
     drug = {"medicinalproduct": " aspirin ", "drugcharacterization": "1"}
@@ -110,10 +122,27 @@ def test_launch_thresholds(spark):
 def test_names(spark):
     index = spark.createDataFrame([("WARFARIN SODIUM",), ("ACETYLCYSTEINE",), ("ACETAMINOPHEN",)], "drug_name string")
     names = spark.createDataFrame([("acetylcysteine",), ("Tachipirina 500MG",), ("sodium warfarin",), ("zzz",), ("coumadin",)], "query string")
-    got = {r["query"]: (r["name"], r["method"]) for r in resolve.resolve(names, index, resolve.brands(spark)).collect()}
-    assert got == {"acetylcysteine": ("ACETYLCYSTEINE", "exact"), "Tachipirina 500MG": ("ACETAMINOPHEN", "brand"), "sodium warfarin": ("WARFARIN SODIUM", "fuzzy"), "zzz": ("ZZZ", "passthrough"), "coumadin": ("WARFARIN", "brand")}
-    asked = resolve.resolve(names.where("query = 'zzz'"), index, resolve.brands(spark), ask=lambda q: "FOUND").head()
-    assert (asked["name"], asked["method"]) == ("FOUND", "asked")
+    got = {r["query"]: (r["name"], r["method"], r["via"]) for r in resolve.resolve(names, index, resolve.brands(spark)).collect()}
+    assert got == {"acetylcysteine": ("ACETYLCYSTEINE", "exact", "name"), "Tachipirina 500MG": ("ACETAMINOPHEN", "exact", "brand"), "sodium warfarin": ("WARFARIN SODIUM", "fuzzy", "name"), "zzz": ("ZZZ", "passthrough", None), "coumadin": ("WARFARIN SODIUM", "fuzzy", "brand")}
+    by_start = {r["query"]: r["name"] for r in resolve.resolve(names, index, resolve.brands(spark), whole_words=False).collect()}
+    assert by_start["acetylcysteine"] == "ACETAMINOPHEN" and by_start["Tachipirina 500MG"] == "ACETAMINOPHEN"
+    lost = resolve.resolve(spark.createDataFrame([("plavix",), (None,)], "query string"), index, resolve.brands(spark)).collect()
+    assert [tuple(r)[:3] for r in lost] == [("plavix", "PLAVIX", "passthrough")]  # its substance is not in the data
+    ask = lambda q: {"zzz": "warfarin"}.get(q, "nothing like it")
+    asked = {r["query"]: (r["name"], r["method"], r["via"]) for r in resolve.resolve(names, index, resolve.brands(spark), ask=ask).collect()}
+    assert asked["zzz"] == ("WARFARIN SODIUM", "asked", "ask") and asked["coumadin"][1] == "fuzzy"
+
+
+def test_fuzzy_against_every_pair(spark, sf_dir):
+    """Names of the parts, written with slips: the best of all names by the plain score, or none."""
+    index = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.upper("p_name").alias("drug_name")).distinct()
+    every = sorted(r[0] for r in index.collect())
+    slips = [n[1:] for n in every] + [n[:3] + n[4:] for n in every] + [" ".join(reversed(n.split())) for n in every] + [n.replace("E", "A") for n in every]
+    names = spark.createDataFrame([(s,) for s in sorted(set(slips))], "query string")
+    got = {r["query"]: (r["match"], round(r["score"], 6)) for r in resolve.fuzzy(names, index).collect()}
+    for q in set(slips):
+        best = min(((-resolve.token_set_ratio(q, n), n) for n in every))
+        assert got.get(q) == ((best[1], round(-best[0], 6)) if -best[0] >= resolve.LEAST else None), q
 
 
 def test_slips_at_the_start_of_a_name(spark):
@@ -139,6 +168,72 @@ def test_multi_item_and_binary(spark):
     assert sorted(tuple(r)[2:] for r in K.convert_binary(c, ["E", "F"]).collect()) == [(0, 1), (1, 0), (1, 0)]
 
 
+def test_long_lists_of_products(spark):
+    """No list is too long: subsets grow level by level, as plain enumeration has them."""
+    from collections import Counter
+    from itertools import combinations
+
+    rng = __import__("random").Random(4)
+    made = [(k, [f"i{j:02d}" for j in range(16) if rng.random() < 0.45], rng.choice("EF")) for k in range(60)] + [(100, [], "E"), (101, None, "E")]
+    want = Counter((("|".join(c)), ae) for _, items, ae in made for r in range(1, len(items or []) + 1) for c in combinations(items, r))
+    x = spark.createDataFrame(made, "id int, items array<string>, AE string")
+    got = {(r["name"], r["AE"]): r["count"] for r in K.convert_multi_item(x, min_threshold=6).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 6} and max(k.count("|") for k, _ in got) >= 2
+
+
+def test_lasso_in_other_ways(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows_ = [(k, f"p{j}", "E" if rng.random() < 0.2 + 0.5 * (j == 0) - 0.1 * (j == 1) else "F") for k in range(300) for j in range(4) if rng.random() < 0.5]
+    x = spark.createDataFrame(rows_, "id int, name string, AE string")
+    fit = lambda v, **how: {(r["drug"], r["pt"]): r["coefficient"] for r in K.lasso(x, ["p0", "p1", "p2", "p3"], ["E"], variant=v, num_bootstrap=2, **how).collect()}
+    for alpha in (0.001, 0.01, 0.05):
+        one, two = fit("descent", alpha=alpha), fit("lars", alpha=alpha)
+        assert one == pytest.approx(two, abs=1e-7)
+    ic = fit("ic")
+    assert ic["p0", "E"] == max(ic.values()) > 0.2
+    nb = fit("nb", alpha=0.001)
+    assert min(nb.values()) >= 0 and fit("nb", alpha=5.0) == pytest.approx(dict.fromkeys(nb, 0.0))
+    with pytest.raises(ValueError):
+        fit("other")
+
+
+def test_path_by_least_angles():
+    """At every penalty the path holds the conditions of the minimum, and the criterion picks the best knot."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x = (rng.random((60, 5)) < 0.4).astype(float)
+        x[:, 4] = x[:, 3] if rng.random() < 0.3 else x[:, 4]
+        y = x @ rng.normal(size=5) + rng.normal(size=60)
+        g, c, vy = K.moments(x, y, np.ones(60))
+        knots = K.angle_path(g, c)
+        for alpha in np.linspace(0.001, knots[0][0], 7):
+            b = K.on_path(knots, alpha)
+            d = K.descend(g, c, alpha, steps=20_000)
+            cost = lambda v: v @ g @ v / 2 - v @ c + alpha * np.abs(v).sum()
+            assert cost(b) <= cost(d) + 1e-8
+        assert any(np.array_equal(K.by_criterion(g, c, vy, 60.0, "aic"), k) for _, k in knots)
+
+
+def test_negative_binomial_by_its_slope():
+    """One indicator: without a penalty the coefficient is the log of the mean where it is set."""
+    import numpy as np
+
+    x, y, w = np.array([[0.0], [1.0], [1.0]]), np.array([1.0, 2.0, 4.0]), np.array([5.0, 3.0, 3.0])
+    assert K.negative_binomial(x, y, w, 0.0, 1.0)[0] == pytest.approx(np.log(3.0), abs=1e-6)
+
+
+def test_label_records(spark):
+    record = lambda **s: {k: [v] if isinstance(v, str) else v for k, v in s.items()}
+    results = [record(warnings="May cause PAIN", indications_and_usage="rash"), record(warnings=["Second", "text"], precautions=None), record(boxed_warning="Box"), record(warnings="never read")]
+    raw = spark.createDataFrame([("D", json.dumps(results)), ("N", None), ("E", "[]"), ("B", "not json")], "drug_name string, results string")
+    got = {(r["drug_name"], r["section"]): r["text"] for r in labels.sections(labels.from_records(raw)).collect()}
+    assert got == {("D", "warnings"): "may cause pain second text", ("D", "boxed_warning"): "box"}
+
+
 def test_expected_by_regression(spark):
     t = spark.createDataFrame([("d", f"p{i}{j}", i * j, i * 10 - i * j, j * 20 - i * j, 10_000, 10_000) for i in range(1, 8) for j in range(1, 8)], "drug string, pt string, a long, b long, c long, d long, n long")
     for method in ("poisson", "negative-binomial"):
@@ -171,7 +266,7 @@ def test_simulated_components_of_all_drugs(spark, fact, sf_dir):
 
 
 def test_subsets_of_all_lines(spark, sf_dir):
-    names = {r["name"] for r in registry.queries()["q_multi_item_all"](spark, sf_dir).collect()}
+    names = {r["name"] for r in registry.queries()["q_multi_item"](spark, sf_dir).collect()}
     assert len(names) == 127 and "L1|L2|L3|L4|L5|L6|L7" in names
 
 
@@ -187,7 +282,9 @@ def test_analysis_is_one_lazy_plan(spark, fact, tmp_path):
     a = analyse(fact, config, label_texts=texts, approvals=spark.createDataFrame([("SMALL RING", 1995)], "drug_name string, year int"))
     ranked = a.ranked.collect()
     assert ranked and {r["validation_status"] for r in ranked} == {"POTENTIALLY_NEW"}
-    assert a.launch.count() == 1 and a.summary().count() >= 5
+    told = {r["item"]: r["value"] for r in a.summary().collect()}
+    assert a.launch.count() == 1 and told["target_drug"] == "SMALL RING" and told["POTENTIALLY_NEW"] == str(len(ranked)) and told["launch_risk"] == a.launch.head()["risk"]
+    assert all(told[f"{k}_pairs"] == told["cells"] for k in ("prr", "ror", "bcpnn", "mgps")) and int(told["ror_positive"]) > 0
     a.write(str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "out/ranked")).count() == len(ranked)
     assert analyse(fact, AnalysisConfig("NONE")).ranked.count() == 0
@@ -231,6 +328,32 @@ def test_stream_keeps_latest_versions(spark, tmp_path):
     put("2.json", report("1", "20200301", "Rash"), report("2", "20191201", "Late"))
     drain()
     assert sorted((r["safetyreportid"], r["receivedate"], r["reaction_pt"]) for r in table.current().collect()) == [("1", "2020-03-01", "RASH"), ("2", "2020-01-01", "PAIN")]
+    for k in range(3, 7):
+        put(f"{k}.json", report("1", f"20200{k}01", f"Term {k}"), report("2", f"20200{k}02"), report("", "20200101", f"No id {k}"))
+        drain()
+    now = sorted((r["safetyreportid"] or "", r["receivedate"], r["reaction_pt"]) for r in table.current().collect())
+    assert now == [("", "2020-01-01", f"NO ID {k}") for k in range(3, 7)] + [("1", "2020-06-01", "TERM 6"), ("2", "2020-06-02", "PAIN")]
+    assert len(table._versions()) <= 2 + len(set(p.rpartition("/")[0] for p in table._held().values()))
+
+
+def test_quarters_of_a_stream(spark, tmp_path):
+    from vigilake.streaming.reports import quarterly_counts, read_stream
+
+    (tmp_path / "in").mkdir()
+    one = {"patient": {"drug": [{"medicinalproduct": "x"}], "reaction": [{"reactionmeddrapt": "Pain"}, {"reactionmeddrapt": "Rash"}]}}
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(one | {"safetyreportid": str(k), "receivedate": d}) for k, d in enumerate(["20200101", "20200331", "20200401"])))
+    q = quarterly_counts(read_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("by_quarter").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("by_quarter").collect()) == [("2020Q1", 4), ("2020Q2", 2)]
+
+
+def test_targets_that_are_missing(spark, tmp_path):
+    manifest = spark.createDataFrame([(f"https://x/2004q2/drug-event-000{k}-of-0003.json.zip", "1", 1) for k in (1, 2, 3)], schema.MANIFEST)
+    (tmp_path / "2004q2").mkdir()
+    (tmp_path / "2004q2" / "drug-event-0002-of-0003.json").write_text("{}")
+    left = reports.pending(spark, reports.select_partitions(manifest), str(tmp_path)).collect()
+    assert sorted(r["target"] for r in left) == ["2004q2/drug-event-0001-of-0003.json", "2004q2/drug-event-0003-of-0003.json"]
 
 
 @pytest.fixture(scope="module")

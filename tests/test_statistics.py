@@ -122,3 +122,60 @@ def test_prior_fit_recovers_scale(spark):
     assert all(v > 0 for v in fit) and 0 < fit[4] < 1
     mean = fit[4] * fit[0] / fit[1] + (1 - fit[4]) * fit[2] / fit[3]
     assert mean == pytest.approx(0.3 * 0.5 + 0.7 * 2 / 1.5, rel=0.2)
+
+
+def test_tails_of_all_rows_at_once():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        t = int(rng.integers(2, 60))
+        r, c = int(rng.integers(0, t + 1)), int(rng.integers(0, t + 1))
+        rows.append((int(rng.integers(max(0, r + c - t), min(r, c) + 1)), r, c, t, bool(rng.integers(2))))
+    a, r, c, t, mid = (np.array(x) for x in zip(*rows))
+    got = S.hypergeometric_upper(*(x.astype(float) for x in (a, r, c, t)), mid)
+    for k, (a_, r_, c_, t_, half) in enumerate(rows):
+        pmf = lambda k: math.comb(r_, k) * math.comb(t_ - r_, c_ - k) / math.comb(t_, c_)  # noqa: E731,B023
+        want = sum(pmf(k) for k in range(a_, min(r_, c_) + 1)) - (pmf(a_) / 2 if half else 0)
+        assert got[k] == pytest.approx(want, abs=1e-10)
+    assert S.hypergeometric_upper(*(np.array([x], float) for x in (5000, 900_000, 9_000, 1_000_000)), np.array([False]))[0] == pytest.approx(1.0)
+
+
+def brute_lbe(p, level=0.05):
+    """The published estimate, position by position."""
+    p = np.asarray(p)
+    m = len(p)
+    a = S.lbe_power(m)
+    q = 2 * np.minimum(p, 1 - p)
+    pi0 = min(1.0, float(np.mean((-np.log(1 - q)) ** a)) / math.gamma(a + 1))
+    up = np.sort(p)
+    qv = np.empty(m)
+    qv[m - 1] = pi0 * up[m - 1]
+    for j in range(m - 2, -1, -1):
+        qv[j] = min(pi0 * m * up[j] / j if j else np.inf, qv[j + 1])
+    rank = [int((np.sum(p < x) + (np.sum(p == x) + 1) / 2) - 1) for x in p]
+    sd = math.sqrt((math.gamma(2 * a + 1) / math.gamma(a + 1) ** 2 - 1) / m)
+    return a, pi0, sd, qv[rank]
+
+
+@pytest.mark.parametrize("m", [7, 60, 700])
+def test_whole_estimate(spark, m):
+    rng = np.random.default_rng(m)
+    p = np.round(rng.beta(0.6, 1.4, m), 3).clip(0.001, 0.998)  # with ties
+    df = spark.createDataFrame([("d", f"t{k}", float(x)) for k, x in enumerate(p)], "drug string, pt string, p_value double")
+    a, pi0, sd, qv = brute_lbe(p)
+    for r in D.lbe(df).collect():
+        assert r["qvalue"] == pytest.approx(qv[int(r["pt"][1:])], rel=1e-9)
+        assert (r["power"], r["pi0"], r["sd_bound"]) == pytest.approx((a, pi0, sd), rel=1e-7)
+        assert r["significant"] == (r["qvalue"] <= 0.05) and r["pi0_upper"] == pytest.approx(min(1, pi0 + 1.6448536 * sd))
+
+
+def test_decisions(spark):
+    x = D.ror(ct(spark)).persist()
+    called = lambda *how: {r["pt"] for r in D.decided(x, "ror", *how).where("called").collect()}
+    by_p = [r["pt"] for r in sorted(x.collect(), key=lambda r: (r["p_value"], r["pt"]))]
+    assert called("p_value", "signals", 3) == set(by_p[:3])
+    assert called("p_value", "rank", 0.01) == {r["pt"] for r in x.collect() if r["p_value"] <= 0.01}
+    assert called("CI", "rank", 1.5) == {r["pt"] for r in x.collect() if r["ci_low"] >= 1.5}
+    assert len(called("CI", "fdr", 0.05)) == len(called("p_value", "fdr", 0.05)) > 0
+    y = D.mgps(ct(spark))
+    assert D.decided(y, "mgps", "quantile", "signals", 2).where("called").count() == 2

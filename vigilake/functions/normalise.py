@@ -89,6 +89,7 @@ def search_url(term: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
+    """Runs of white space as one blank, none outside."""
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 

@@ -31,17 +31,35 @@ def convert_binary(counts: DataFrame, events: list[str], expand_counts: bool = T
 
 
 def convert_multi_item(rows: DataFrame, min_threshold: int = 3, sep: str = "|", most: int = 12) -> DataFrame:
-    """rows: (id, items, AE), items a list of co-products. Counts of every non-empty subset of items with each event.
-
-    Lists longer than ``most`` would double with each item: they are refused, not cut."""
-    x = rows.withColumn("items", F.array_sort(F.array_distinct("items")))
-    size = F.size("items")
-    checked = F.when(size <= most, F.sequence(F.lit(1), F.expr("CAST(pow(2, size(items)) AS INT) - 1"))).otherwise(F.raise_error(F.lit("a list of co-products is too long to take all its subsets")))
-    mask = x.where(size > 0).withColumn("mask", F.explode(checked))
+    """rows: (id, items, AE), items a list of co-products. Counts of every non-empty subset of items with each event, from the threshold on.
+
+    Lists of up to ``most`` items give all their subsets at once. Longer ones would double with each item: then subsets grow
+    an item at a time from those that reach the threshold, since no subset is more frequent than what it holds."""
+    x = rows.withColumn("items", F.array_sort(F.array_distinct(F.filter("items", lambda v: v.isNotNull() & (v != ""))))).where("size(items) > 0").select("items", "AE")
+    if (x.agg(F.max(F.size("items"))).head()[0] or 0) > most:
+        return frequent_subsets(x, min_threshold, sep)
+    mask = x.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("CAST(pow(2, size(items)) AS INT) - 1"))))
     subset = F.expr("filter(items, (v, k) -> (shiftright(mask, k) & 1) = 1)")
     return mask.withColumn("name", F.array_join(subset, sep)).groupBy("name", "AE").agg(F.count("*").alias("count")).where(F.col("count") >= min_threshold)
 
 
+def frequent_subsets(rows: DataFrame, min_threshold: int, sep: str) -> DataFrame:
+    """rows: (items, AE), items sorted. Level by level: a row carries its frequent subsets of k items, each grown by a later item."""
+    folded = rows.groupBy("items", "AE").agg(F.count("*").alias("n")).withColumn("row", F.xxhash64("items", "AE"))
+    grown = folded.select("items", "AE", "n", F.array().cast("array<string>").alias("have"))
+    out = None
+    while True:
+        later = F.filter("items", lambda v: (F.size("have") == 0) | (v > F.try_element_at(F.col("have"), F.lit(-1))))
+        tried = grown.select("items", "AE", "n", F.explode(F.transform(later, lambda v: F.concat("have", F.array(v)))).alias("have")).persist()
+        counts = tried.groupBy("have", "AE").agg(F.sum("n").alias("count")).where(F.col("count") >= min_threshold).persist()
+        if not counts.limit(1).count():
+            break
+        level = counts.select(F.array_join("have", sep).alias("name"), "AE", "count")
+        out = level if out is None else out.unionByName(level)
+        grown = tried.join(counts.select("have", "AE"), ["have", "AE"], "left_semi")
+    return out if out is not None else counts.select(F.array_join("have", sep).alias("name"), "AE", "count")
+
+
 def periods(rows: DataFrame, unit: str, date: str = "date") -> DataFrame:
     """Ends of all periods between the first and last date; ``unit`` is month, quarter or year."""
     step = {"month": "1 month", "quarter": "3 months", "year": "1 year"}[unit]
@@ -126,30 +144,133 @@ def dispersion(ct: DataFrame) -> DataFrame:
     return s.select("alpha", (F.col("alpha") - 1.959963985 * F.col("err")).alias("lb"), (F.col("alpha") + 1.959963985 * F.col("err")).alias("ub"), (F.col("alpha") - 1.959963985 * F.col("err") > 0).alias("dispersion"))
 
 
-def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float = 0.5, min_events: int = 3, num_bootstrap: int = 10, ci: float = 95, seed: int = 1) -> DataFrame:
+def descend(g: np.ndarray, c: np.ndarray, alpha: float, beta: np.ndarray | None = None, steps: int = 200, least: float | None = None) -> np.ndarray:
+    """Coordinate descent on half b'gb - b'c + alpha |b|_1; ``least`` bounds coefficients from below."""
+    beta = np.zeros(len(c)) if beta is None else beta.copy()
+    for _ in range(steps):
+        old = beta.copy()
+        for k in range(len(beta)):
+            if g[k, k] > 0:
+                r = c[k] - g[k] @ beta + g[k, k] * beta[k]
+                beta[k] = np.sign(r) * max(0.0, abs(r) - alpha) / g[k, k]
+                if least is not None:
+                    beta[k] = max(least, beta[k])
+        if np.abs(beta - old).max(initial=0.0) < 1e-10:
+            break
+    return beta
+
+
+def moments(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted covariances of centred columns, with y, and y's variance."""
+    w = w / w.sum()
+    xc, yc = x - w @ x, y - w @ y
+    return (xc * w[:, None]).T @ xc, (xc * w[:, None]).T @ yc, float(w @ yc**2)
+
+
+def angle_path(g: np.ndarray, c: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """(penalty, coefficients) at the knots of the lasso's path, by least angles: coefficients are linear in between.
+
+    A column that the active ones explain wholly never enters."""
+    beta, active = np.zeros(len(c)), []
+    r = c.copy()
+    free = [k for k in range(len(c)) if g[k, k] > 1e-12]
+    knots = [(float(np.abs(c[free]).max(initial=0.0)), beta.copy())]
+    if free:
+        active = [max(free, key=lambda k: abs(c[k]))]
+    for _ in range(8 * len(c)):
+        level = float(np.abs(r[active]).max(initial=0.0)) if active else 0.0
+        if level < 1e-12:
+            break
+        signs = np.sign(r[active])
+        step = np.linalg.lstsq(g[np.ix_(active, active)], signs, rcond=None)[0]
+        fall = g[:, active] @ step  # how fast each column's correlation falls while the level falls by one
+        best, what = level, None
+        for k in free:
+            if k in active:
+                continue
+            if g[k, k] - g[k, active] @ np.linalg.lstsq(g[np.ix_(active, active)], g[active, k], rcond=None)[0] < 1e-10:
+                continue
+            for s in (1.0, -1.0):
+                d = 1 - s * fall[k]
+                if d > 1e-12 and 1e-12 < (t := (level - s * r[k]) / d) < best - 1e-12:
+                    best, what = t, ("in", k)
+        for at, k in enumerate(active):
+            if step[at] and 1e-12 < (t := -beta[k] / step[at]) < best - 1e-12:
+                best, what = t, ("out", k)
+        beta[active] += best * step
+        r = c - g @ beta
+        if what and what[0] == "out":
+            beta[what[1]] = 0.0
+        knots.append((max(0.0, level - best), beta.copy()))
+        if what is None:
+            break
+        active = [k for k in active if k != what[1]] + ([what[1]] if what[0] == "in" else [])
+    return knots
+
+
+def on_path(knots: list[tuple[float, np.ndarray]], alpha: float) -> np.ndarray:
+    """The coefficients at a penalty."""
+    for (a, x), (b, y) in zip(knots, knots[1:]):
+        if b <= alpha <= a:
+            return x + (y - x) * (a - alpha) / max(a - b, 1e-300)
+    return knots[0][1] if alpha >= knots[0][0] else knots[-1][1]
+
+
+def by_criterion(g: np.ndarray, c: np.ndarray, vy: float, n: float, criterion: str) -> np.ndarray:
+    """The knot of the path of least information criterion ("aic" or "bic"); the noise is that of the full fit."""
+    rss = lambda b: n * max(0.0, vy - 2 * b @ c + b @ g @ b)
+    knots = angle_path(g, c)
+    full = np.linalg.lstsq(g, c, rcond=None)[0]
+    noise = max(rss(full) / max(1.0, n - np.linalg.matrix_rank(g) - 1), 1e-12)
+    price = 2.0 if criterion == "aic" else np.log(n)
+    return min((k for _, k in knots), key=lambda b: n * np.log(2 * np.pi * noise) + rss(b) / noise + price * np.count_nonzero(np.abs(b) > 1e-12))
+
+
+def negative_binomial(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, dispersion: float, steps: int = 100) -> np.ndarray:
+    """L1-penalised negative-binomial regression with a log link and no intercept: weighted quadratic steps, each by coordinate
+    descent, halved until the mean likelihood less the penalty rises. Negative coefficients are given as 0."""
+    w = w / w.sum()
+
+    def cost(b):
+        mu = np.exp(np.clip(x @ b, -30, 30))
+        return -(w @ (y * np.log(dispersion * mu / (1 + dispersion * mu)) - np.log1p(dispersion * mu) / dispersion)) + alpha * np.abs(b).sum()
+
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        mu = np.exp(np.clip(x @ beta, -30, 30))
+        v = w * mu / (1 + dispersion * mu)
+        z = x @ beta + (y - mu) / mu
+        new = descend((x * v[:, None]).T @ x, (x * v[:, None]).T @ z, alpha, beta)
+        t = 1.0
+        while t > 1e-6 and cost(beta + t * (new - beta)) > cost(beta):
+            t /= 2
+        if t <= 1e-6 or np.abs(t * (new - beta)).max() < 1e-9:
+            break
+        beta = beta + t * (new - beta)
+    return np.clip(beta, 0, None)
+
+
+def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float = 0.5, min_events: int = 3, num_bootstrap: int = 10, ci: float = 95, seed: int = 1, variant: str = "descent", criterion: str = "bic", dispersion: float = 1.0) -> DataFrame:
     """rows: (id, name, AE), an id's products and events. For each event an L1 regression on product indicators, with
     percentile bounds from seeded resamples; events under the floor give zeros. Every id counts: one with none of the
     listed products is a row of zeros.
 
+    ``variant``: descent or lars at the penalty ``alpha`` (the same minimum, found in two ways), ic at the penalty of least
+    ``criterion``, or nb, a negative-binomial regression, which has no bounds.
+
     Indicators fold to distinct patterns with counts, so a group's frame has as many rows as there are patterns."""
+    if variant not in ("descent", "lars", "ic", "nb"):
+        raise ValueError("variant must be descent, lars, ic or nb")
     items = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("name").isin(products), F.col("name")))).alias("items"), F.collect_set("AE").alias("aes"))
     patterns = items.select("items", F.explode(F.array(*[F.struct(F.lit(e).alias("AE"), F.array_contains("aes", e).cast("int").alias("y")) for e in events])).alias("x")).groupBy(F.col("x.AE").alias("AE"), "items", F.col("x.y").alias("y")).agg(F.count("*").alias("w"))
 
-    def descend(x, y, w, steps=200):
-        w = w / w.sum()
-        xm, ym = w @ x, w @ y
-        xc, yc = x - xm, y - ym
-        g, c = (xc * w[:, None]).T @ xc, (xc * w[:, None]).T @ yc
-        beta = np.zeros(x.shape[1])
-        for _ in range(steps):
-            old = beta.copy()
-            for k in range(len(beta)):
-                if g[k, k] > 0:
-                    r = c[k] - g[k] @ beta + g[k, k] * beta[k]
-                    beta[k] = np.sign(r) * max(0.0, abs(r) - alpha) / g[k, k]
-            if np.abs(beta - old).max() < 1e-10:
-                break
-        return beta
+    def solved(x, y, w):
+        if variant == "nb":
+            return negative_binomial(x, y, w, alpha, dispersion)
+        g, c, vy = moments(x, y, w)
+        if variant == "ic":
+            return by_criterion(g, c, vy, w.sum(), criterion)
+        return on_path(angle_path(g, c), alpha) if variant == "lars" else descend(g, c, alpha)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(key=pdf["items"].map(lambda v: "|".join(v))).sort_values(["key", "y"])
@@ -159,9 +280,10 @@ def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float
             x = np.array([[float(p in v) for p in products] for v in pdf["items"].map(set)])
             y, w = pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)
             rng = np.random.default_rng(seed)
-            out["coefficient"] = descend(x, y, w)
-            boot = np.array([descend(x, y, rng.multinomial(int(w.sum()), w / w.sum()).astype(float)) for _ in range(num_bootstrap)])
-            out["ci_low"], out["ci_high"] = np.percentile(boot, (100 - ci) / 2, axis=0), np.percentile(boot, 100 - (100 - ci) / 2, axis=0)
+            out["coefficient"] = solved(x, y, w)
+            if variant != "nb":
+                boot = np.array([solved(x, y, rng.multinomial(int(w.sum()), w / w.sum()).astype(float)) for _ in range(num_bootstrap)])
+                out["ci_low"], out["ci_high"] = np.percentile(boot, (100 - ci) / 2, axis=0), np.percentile(boot, 100 - (100 - ci) / 2, axis=0)
         return out
 
     return patterns.groupBy("AE").applyInPandas(fit, "drug string, pt string, events long, coefficient double, ci_low double, ci_high double")

@@ -138,8 +138,10 @@ def bcpnn_columns(ct: DataFrame, min_events: int = 3) -> DataFrame:
 
 
 def posterior_errors(x: DataFrame, p: str = "p_null", order: tuple[Column, ...] | None = None) -> DataFrame:
-    """Adds posterior FDR, FNR, sensitivity and specificity as cells are called in order of their null probability."""
-    order = order or (F.col(p).asc(), F.col("pt").asc())
+    """Adds posterior FDR, FNR, sensitivity and specificity as cells are called in order of their null probability.
+
+    Probabilities that agree to twelve places count as equal; the term decides then."""
+    order = order or (F.round(p, 12).asc(), F.col("pt").asc())
     run = W.partitionBy("drug").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     every = W.partitionBy("drug")
     x = x.withColumns({"rk": F.row_number().over(W.partitionBy("drug").orderBy(*order)), "cum": F.sum(p).over(run), "m": F.count("*").over(every), "tot": F.sum(p).over(every)})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.schema import SAFETY_SECTIONS
+
 # British spellings and their American forms, tried in this order.
 SPELLINGS = {
     "diarrhoea": "diarrhea", "haemorrhage": "hemorrhage", "haemorrhagic": "hemorrhagic", "haematuria": "hematuria", "haemoglobin": "hemoglobin",
@@ -30,6 +32,16 @@ def variants(term: Column) -> Column:
     return F.array_distinct(F.filter(F.array(low, table[low], respelled), lambda x: x.isNotNull()))
 
 
+def from_records(raw: DataFrame, most: int = 3) -> DataFrame:
+    """raw: (drug_name, results), results a product's label records as the regulator's JSON gives them: a list of objects whose
+    sections are lists of texts. (drug_name, label, section, text) of its first ``most`` records' safety sections."""
+    record = "struct<" + ", ".join(f"{s}:array<string>" for s in SAFETY_SECTIONS) + ">"
+    one = raw.select("drug_name", F.posexplode(F.slice(F.from_json("results", f"array<{record}>"), 1, most)).alias("label", "r"))
+    held = F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"r.{s}").alias("texts")) for s in SAFETY_SECTIONS]))
+    rows = one.select("drug_name", "label", held.alias("s")).select("drug_name", "label", "s.section", F.array_join("s.texts", " ").alias("text"))
+    return rows.where(F.length("text") > 0)
+
+
 def sections(labels: DataFrame) -> DataFrame:
     """labels: (drug_name, label, section, text). One lower-case text for each drug and section, labels in order."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("label", "text"))), lambda x: x["text"])

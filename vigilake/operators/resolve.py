@@ -38,11 +38,19 @@ def brands(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BRANDS.items()), "brand string, inn string")
 
 
-def brand_lookup(names: DataFrame, table: DataFrame) -> DataFrame:
-    """names: (query). Adds ``inn``: of the brand that is the whole name, else of the longest brand that begins it as a word."""
-    q = names.withColumn("clean", F.upper(F.trim("query")))
-    by_word = q.withColumn("brand", F.explode(F.expr("transform(sequence(1, size(split(clean, ' '))), k -> array_join(slice(split(clean, ' '), 1, k), ' '))")))
-    hit = by_word.join(F.broadcast(table), "brand").groupBy("query").agg(F.max_by("inn", F.length("brand")).alias("inn"))  # a fixed table of about a hundred rows
+def brand_lookup(names: DataFrame, table: DataFrame, whole_words: bool = True) -> DataFrame:
+    """names: (query). Adds ``inn``: of the brand that is the whole name, else of the longest brand that begins it as a word.
+
+    Without ``whole_words``, else of the first brand of the table that begins it at all, as some front-ends expect it."""
+    q = names.where("query IS NOT NULL").select("query", F.upper(F.trim("query")).alias("clean")).distinct()
+    if whole_words:
+        by_word = q.withColumn("brand", F.explode(F.expr("transform(sequence(1, size(split(clean, ' '))), k -> array_join(slice(split(clean, ' '), 1, k), ' '))")))
+        hit = by_word.join(F.broadcast(table), "brand").groupBy("query").agg(F.max_by("inn", F.length("brand")).alias("inn"))  # a fixed table of about a hundred rows
+    else:
+        turn = F.create_map(*[F.lit(x) for k, v in enumerate(BRANDS) for x in (v, k)])
+        by_start = q.withColumn("brand", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("clean"), F.lit(1))), lambda k: F.substring(F.col("clean"), F.lit(1), k))))
+        found = by_start.join(F.broadcast(table), "brand")  # a fixed table of about a hundred rows
+        hit = found.groupBy("query").agg(F.min_by("inn", F.when(F.col("brand") == F.col("clean"), -1).otherwise(turn[F.col("brand")])).alias("inn"))
     return names.join(hit, "query", "left")
 
 
@@ -111,18 +119,34 @@ def fuzzy(names: DataFrame, index: DataFrame, least: float = LEAST) -> DataFrame
     return best.select("query", F.col("m.drug_name").alias("match"), (-F.col("m.s")).alias("score"))
 
 
-def resolve(names: DataFrame, index: DataFrame, table: DataFrame, ask: Callable[[str], str | None] | None = None) -> DataFrame:
-    """(query, name, method, score): exact name, then brand, then fuzzy, then ``ask`` (none by default), else as written."""
-    n = names.select("query").distinct()
-    exact = index.select(F.col("drug_name").alias("exact"))
-    x = n.join(exact, F.upper(F.trim("query")) == F.col("exact"), "left").join(brand_lookup(n, table), "query", "left")
-    rest = x.where("exact IS NULL AND inn IS NULL").select("query")
-    x = x.join(fuzzy(rest, index), "query", "left")
-    if ask is not None:
-        asked = F.udf(lambda q: ask(q))
-        x = x.withColumn("asked", F.when(F.coalesce("exact", "inn", "match").isNull(), asked("query")))
-    else:
-        x = x.withColumn("asked", F.lit(None).cast("string"))
-    method = F.when(F.col("exact").isNotNull(), "exact").when(F.col("inn").isNotNull(), "brand").when(F.col("match").isNotNull(), "fuzzy").when(F.col("asked").isNotNull(), "asked").otherwise("passthrough")
-    score = F.when(F.col("exact").isNotNull() | F.col("inn").isNotNull(), 100.0).when(F.col("match").isNotNull(), F.col("score")).otherwise(0.0)
-    return x.select("query", F.coalesce("exact", "inn", "match", "asked", F.upper(F.trim("query"))).alias("name"), method.alias("method"), score.alias("score"))
+def resolve(names: DataFrame, index: DataFrame, table: DataFrame, ask: Callable[[str], str | None] | None = None, whole_words: bool = True) -> DataFrame:
+    """(query, name, method, score, via) of every different query that is not null.
+
+    In this order: the substance of its brand, if the index has it or a name like it; the name itself in the index; a name of
+    the index like it; what ``ask`` (none by default) makes of it, if the index has a name like that; else as it is written.
+    ``method`` is exact, fuzzy, asked or passthrough, ``via`` what led there: brand, name or ask."""
+    n = names.where("query IS NOT NULL").select("query").distinct()
+    n = brand_lookup(n, table, whole_words).withColumn("clean", F.upper(F.trim("query")))
+    asked = F.udf(lambda q: ask(q))("query") if ask is not None else F.lit(None).cast("string")
+    known = index.where("drug_name IS NOT NULL").select("drug_name").distinct()
+
+    def sought(rows: DataFrame, column: str) -> DataFrame:
+        """Adds ``name``, ``score`` and ``method`` of what the index has for a column."""
+        x = rows.join(known.withColumnRenamed("drug_name", "exact"), F.col(column) == F.col("exact"), "left")
+        like = fuzzy(x.where(F.col("exact").isNull() & F.col(column).isNotNull()).select(F.col(column).alias("query")).distinct(), known)
+        x = x.join(like.select(F.col("query").alias("asked_for"), "match", F.col("score").alias("like")), F.col(column) == F.col("asked_for"), "left").drop("asked_for")
+        method = F.when(F.col("exact").isNotNull(), "exact").when(F.col("match").isNotNull(), "fuzzy")
+        return x.withColumns({"name": F.coalesce("exact", "match"), "score": F.when(F.col("exact").isNotNull(), 100.0).otherwise(F.col("like")), "method": method}).drop("exact", "match", "like")
+
+    out, rest = None, n
+    for column, via in (("inn", "brand"), ("clean", "name"), ("asked", "ask")):
+        if column == "asked":
+            rest = rest.withColumn("asked", F.upper(F.trim(asked)))
+        tried = sought(rest, column)
+        method = F.when(F.lit(via == "ask"), F.lit("asked")).otherwise(F.col("method"))
+        part = tried.where("name IS NOT NULL").select("query", "name", method.alias("method"), "score", F.lit(via).alias("via"))
+        out = part if out is None else out.unionByName(part)
+        rest = tried.where("name IS NULL").select("query", "inn", "clean")
+        if column == "clean" and ask is None:
+            break
+    return out.unionByName(rest.select("query", F.col("clean").alias("name"), F.lit("passthrough").alias("method"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("via")))

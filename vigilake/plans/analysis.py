@@ -64,12 +64,19 @@ class Analysis:
     notes: dict = field(default_factory=dict)
 
     def summary(self) -> DataFrame:
-        """(item, n): cells, signals of each algorithm and statuses."""
-        parts = [self.contingency.agg(F.lit("cells").alias("item"), F.count("*").alias("n"))]
+        """(item, value): what was asked, pairs and positives of each algorithm, statuses of the validation and the launch risk."""
+        c = self.config
+        asked = {"target_drug": c.drug, "where": c.where, "min_a": c.min_a, "algorithms": ",".join(c.algorithms), "fdr": c.prr_threshold, "eb05": c.eb05_threshold, "ic": c.ic_threshold}
+        rows = [(k, None if v is None else str(v)) for k, v in asked.items()]
+        parts = [self.contingency.sparkSession.createDataFrame(rows, "item string, value string"), self.contingency.agg(F.lit("cells").alias("item"), F.count("*").cast("string").alias("value"))]
         for k, df in self.results.items():
-            parts.append(df.agg(F.lit(f"signals_{k}").alias("item"), F.count_if("signal").alias("n")))
+            both = df.agg(F.count("*").alias("pairs"), F.count_if("signal").alias("positive"))
+            parts.append(both.selectExpr(f"stack(2, '{k}_pairs', CAST(pairs AS STRING), '{k}_positive', CAST(positive AS STRING)) AS (item, value)"))
         if self.validated is not None:
-            parts.append(self.validated.groupBy(F.concat(F.lit("status_"), F.col("validation_status")).alias("item")).agg(F.count("*").alias("n")))
+            n = self.validated.agg(*[F.count_if(F.col("validation_status") == s).alias(s) for s in ("KNOWN", "POTENTIALLY_NEW", "NO_LABEL")])
+            parts.append(n.selectExpr("stack(3, 'KNOWN', CAST(KNOWN AS STRING), 'POTENTIALLY_NEW', CAST(POTENTIALLY_NEW AS STRING), 'NO_LABEL', CAST(NO_LABEL AS STRING)) AS (item, value)"))
+        if self.launch is not None:
+            parts.append(self.launch.select(F.lit("launch_risk").alias("item"), F.col("risk").alias("value")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

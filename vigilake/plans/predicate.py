@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import FACT
 
+_TEXT = r"'(?:[^']|'')*'"
+_VALUE = rf"(?:{_TEXT}|-?\d+(?:\.\d+)?)"
 _TERM = re.compile(
-    r"""\s*(?P<col>[a-z_]+)\s*(?:
+    rf"""\s*(?P<col>[a-z_]+)\s*(?:
         (?P<null>IS\s+(?:NOT\s+)?NULL)
-      | (?P<between>BETWEEN)\s+(?P<lo>'(?:[^']|'')*'|-?[\d.]+)\s+AND\s+(?P<hi>'(?:[^']|'')*'|-?[\d.]+)
-      | (?P<in>(?:NOT\s+)?IN)\s*\((?P<items>[^)]*)\)
-      | (?P<op>=|!=|<>|>=|<=|>|<|LIKE)\s*(?P<value>'(?:[^']|'')*'|-?[\d.]+))\s*""",
+      | (?P<between>(?:NOT\s+)?BETWEEN)\s+(?P<lo>{_VALUE})\s+AND\s+(?P<hi>{_VALUE})
+      | (?P<in>(?:NOT\s+)?IN)\s*\(\s*(?P<items>{_VALUE}(?:\s*,\s*{_VALUE})*)\s*\)
+      | (?P<op>=|!=|<>|>=|<=|>|<|(?:NOT\s+)?LIKE\b)\s*(?P<value>{_VALUE}))\s*""",
     re.IGNORECASE | re.VERBOSE,
 )
+_WORD = re.compile(r"\s*(AND\b|OR\b|NOT\b|\(|\))\s*", re.IGNORECASE)
 
 
 def literal(text: str):
@@ -40,47 +43,110 @@ class Term:
             "=": lambda: c == F.lit(one), "!=": lambda: c != F.lit(one), "<>": lambda: c != F.lit(one), ">=": lambda: c >= F.lit(one), "<=": lambda: c <= F.lit(one),
             ">": lambda: c > F.lit(one), "<": lambda: c < F.lit(one), "LIKE": lambda: c.like(one), "IN": lambda: c.isin(*v), "NOT IN": lambda: ~c.isin(*v),
             "BETWEEN": lambda: c.between(*v), "IS NULL": lambda: c.isNull(), "IS NOT NULL": lambda: c.isNotNull(),
+            "NOT BETWEEN": lambda: ~c.between(*v), "NOT LIKE": lambda: ~c.like(one),
         }[self.op]()
 
+    def columns(self) -> set[str]:
+        return {self.column}
+
+
+@dataclass(frozen=True)
+class Group:
+    """Conditions joined by AND or OR, or one that is negated."""
+
+    op: str
+    parts: tuple
+
+    def bind(self) -> Column:
+        first, *rest = [p.bind() for p in self.parts]
+        if self.op == "NOT":
+            return ~first
+        for c in rest:
+            first = first & c if self.op == "AND" else first | c
+        return first
+
+    def columns(self) -> set[str]:
+        return set().union(*(p.columns() for p in self.parts))
+
+
+class _Reader:
+    """A condition read from the left: OR binds least, NOT most."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def word(self, *wanted: str) -> bool:
+        m = _WORD.match(self.text, self.at)
+        if m and m[1].upper() in wanted:
+            self.at = m.end()
+            return True
+        return False
+
+    def joined(self, op: str, part):
+        parts = [part()]
+        while self.word(op):
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else Group(op, tuple(parts))
+
+    def either(self):
+        return self.joined("OR", self.both)
+
+    def both(self):
+        return self.joined("AND", self.one)
+
+    def one(self):
+        if self.word("NOT"):
+            return Group("NOT", (self.one(),))
+        if self.word("("):
+            out = self.either()
+            if not self.word(")"):
+                raise ValueError(f"a bracket is not closed: {self.text[self.at :]!r}")
+            return out
+        return self.term()
+
+    def term(self) -> Term:
+        m = _TERM.match(self.text, self.at)
+        if not m or m["col"].lower() not in FACT.fieldNames():
+            raise ValueError(f"not a condition on the fact's columns: {self.text[self.at :]!r}")
+        self.at = m.end()
+        col, name = m["col"].lower(), lambda x: " ".join(m[x].upper().split())
+        if m["null"]:
+            return Term(col, name("null"), ())
+        if m["between"]:
+            return Term(col, name("between"), (literal(m["lo"]), literal(m["hi"])))
+        if m["in"]:
+            return Term(col, name("in"), tuple(literal(x) for x in re.findall(_VALUE, m["items"])))
+        return Term(col, name("op"), (literal(m["value"]),))
+
 
 @dataclass(frozen=True)
 class Predicate:
-    """A conjunction of terms over the fact's columns. Terms on ``drug_name`` ask for reports that have that drug too."""
+    """A conjunction of conditions over the fact's columns. Terms on ``drug_name`` that stand in it by themselves ask for
+    reports that have that drug too; within OR, NOT or brackets that hold them they are conditions on the row."""
 
-    terms: tuple[Term, ...] = ()
+    terms: tuple[Term | Group, ...] = ()
 
     @staticmethod
     def parse(text: str | None) -> Predicate:
-        """Terms joined by AND. Anything else, and any column outside the fact, is refused."""
+        """Terms joined by AND, OR, NOT and brackets. Anything else, and any column outside the fact, is refused."""
         if text is None or not text.strip():
             return Predicate()
-        at, out = 0, []
-        while True:
-            m = _TERM.match(text, at)
-            if not m or m["col"].lower() not in FACT.fieldNames():
-                raise ValueError(f"not a condition on the fact's columns: {text[at:]!r}")
-            col = m["col"].lower()
-            if m["null"]:
-                out.append(Term(col, " ".join(m["null"].upper().split()), ()))
-            elif m["between"]:
-                out.append(Term(col, "BETWEEN", (literal(m["lo"]), literal(m["hi"]))))
-            elif m["in"]:
-                out.append(Term(col, " ".join(m["in"].upper().split()), tuple(literal(x) for x in re.findall(r"'(?:[^']|'')*'|-?[\d.]+", m["items"]))))
-            else:
-                out.append(Term(col, m["op"].upper(), (literal(m["value"]),)))
-            at = m.end()
-            if at == len(text):
-                return Predicate(tuple(out))
-            if not (joint := re.compile(r"AND\b", re.IGNORECASE).match(text, at)):
-                raise ValueError(f"conditions are joined by AND only: {text[at:]!r}")
-            at = joint.end()
+        reader = _Reader(text.strip())
+        whole = reader.either()
+        if reader.at != len(reader.text):
+            raise ValueError(f"cannot be read: {reader.text[reader.at :]!r}")
+
+        def flat(x) -> tuple:
+            return tuple(z for y in x.parts for z in flat(y)) if isinstance(x, Group) and x.op == "AND" else (x,)
+
+        return Predicate(flat(whole))
 
     def with_(self, column: str, op: str, *values) -> Predicate:
         return Predicate((*self.terms, Term(column, op, values)))
 
     def split(self) -> tuple[list[Term], list[Term]]:
         """(terms on co-medication or ids, terms on rows)"""
-        other = [t for t in self.terms if t.column == "drug_name" and t.op in ("=", "IN")]
+        other = [t for t in self.terms if isinstance(t, Term) and t.column == "drug_name" and t.op in ("=", "IN")]
         return other, [t for t in self.terms if t not in other]
 
     def route(self) -> str:
@@ -88,25 +154,30 @@ class Predicate:
         if not self.terms:
             return "global"
         other, rows = self.split()
-        if other or any(t.column == "safetyreportid" for t in rows):
+        columns = set().union(*(t.columns() for t in rows))
+        if other or "safetyreportid" in columns:
             return "index"
-        return "cubed" if {t.column for t in rows} <= {"sex", "age_stratum"} else "full"
+        return "cubed" if columns <= {"sex", "age_stratum"} else "full"
 
 
-def bound(terms: list[Term]) -> Column:
+def bound(terms: list[Term | Group]) -> Column:
     out = F.lit(True)
     for t in terms:
         out = out & t.bind()
     return out
 
 
+# The patterns by which front-ends tell a route from a condition's text, letters in either case.
+ID_LIST, ONE_DRUG, COLUMN = r"safetyreportid\s+IN\s*\(", r"\bdrug_name\s*=\s*'", r"\b([a-z_]+)\b\s*(?:=|IN\b|LIKE\b)"
+
+
 def detect_route(where: str | None) -> str:
     """The route by the text of a condition alone, rule for rule as interactive front-ends expect it."""
     if where is None:
         return "global"
-    if re.search(r"safetyreportid\s+IN\s*\(", where, re.IGNORECASE) or re.search(r"\bdrug_name\s*=\s*'", where, re.IGNORECASE):
+    if re.search(ID_LIST, where, re.IGNORECASE) or re.search(ONE_DRUG, where, re.IGNORECASE):
         return "index"
-    names = set(re.findall(r"\b([a-z_]+)\b\s*(?:=|IN\b|LIKE\b)", where))
+    names = {x.lower() for x in re.findall(COLUMN, where, re.IGNORECASE)}
     return "cubed" if names and names <= {"sex", "age_stratum"} else "full"
 
 
@@ -123,5 +194,5 @@ def stratum(sex: str | None = None, age: str | None = None, comedication: str |
 def label(p: Predicate) -> str:
     """What a form shows for a stratum."""
     names = {"sex": "Sex", "age_stratum": "Age", "drug_name": "Co-med"}
-    parts = [f"{names[t.column]}: {t.values[0] if t.column == 'drug_name' else str(t.values[0]).capitalize()}" for t in p.terms if t.column in names and t.op == "="]
+    parts = [f"{names[t.column]}: {t.values[0] if t.column == 'drug_name' else str(t.values[0]).capitalize()}" for t in p.terms if isinstance(t, Term) and t.column in names and t.op == "="]
     return ", ".join(parts) or "None"

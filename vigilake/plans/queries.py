@@ -346,10 +346,17 @@ ct AS (SELECT '{drug}' AS drug, pt, a, n_drug - a AS b, n_pt - a AS c, n - n_dru
   WHERE a >= {min_a} AND n_drug - a >= 0 AND n_pt - a >= 0 AND n - n_drug - n_pt + a >= 0)""")
 
 
-ROUTES = [None, "", "sex = 'male'", "sex = 'male' AND receive_year > 2010", "sex IN ('male', 'female')", "sex = 'male' AND drug_name = 'X'", "receive_year >= 2000", "sex != 'male'", "receivedate BETWEEN '2001' AND '2002'", "serious = '1' AND sex = 'male'", "safetyreportid IN ('1')"]
+ROUTES = [None, "", "sex = 'male'", "sex = 'male' AND receive_year > 2010", "sex IN ('male', 'female')", "sex = 'male' AND drug_name = 'X'", "receive_year >= 2000", "sex != 'male'", "receivedate BETWEEN '2001' AND '2002'", "serious = '1' AND sex = 'male'", "safetyreportid IN ('1')",
+          "SEX = 'male'", "sex in ('male')", "DRUG_NAME = 'X (Y)'", "sex = 'male' OR age_stratum = 'adult'", "sex = 'male' OR serious = '1'"]
 
 
-@query()
+_WANTED = [  # by the text alone, and by what it asks for
+    ("global", "global"), ("full", "global"), ("cubed", "cubed"), ("cubed", "full"), ("cubed", "cubed"), ("index", "index"), ("full", "full"), ("full", "cubed"), ("full", "full"), ("full", "full"), ("index", "index"),
+    ("cubed", "cubed"), ("cubed", "cubed"), ("index", "index"), ("cubed", "cubed"), ("full", "full"),
+]
+
+
+@query(f"SELECT * FROM {values([(w, *x) for w, x in zip(ROUTES, _WANTED)], 'condition, route_by_text, route')}")
 def q_route(spark, sf_dir):
     return spark.createDataFrame([(w, predicate.detect_route(w), predicate.Predicate.parse(w).route()) for w in ROUTES], "condition string, route_by_text string, route string")
 
@@ -416,19 +423,35 @@ def q_ct_qc(spark, sf_dir):
 
 # ---- statistics ------------------------------------------------------------------------------------------------
 
-_E = D.EPS
-PREP = f"""x0 AS (SELECT *, CAST(a AS DOUBLE) AS n11, CAST(a + b AS DOUBLE) AS n1j, CAST(a + c AS DOUBLE) AS ni1, CAST(n AS DOUBLE) AS nn FROM ct),
-x1 AS (SELECT *, n1j * ni1 / nn AS expected, n1j - n11 + {_E} AS n10, ni1 - n11 + {_E} AS n01 FROM x0),
-x2 AS (SELECT *, nn - (n11 + n10 + n01) + {_E} AS n00 FROM x1)"""
+# The SQL of this section is written from the published formulas, not from the engine's expressions: the normal tail by
+# Craig's integral and the plain power series, digamma and trigamma by sums over integers or by recurrence, log-gamma by DuckDB.
+PREP = """x0 AS (SELECT *, a::DOUBLE AS n11, (a + b)::DOUBLE AS n1j, (a + c)::DOUBLE AS ni1, n::DOUBLE AS nn FROM ct),
+x1 AS (SELECT *, n1j * ni1 / nn AS expected, (b + 1e-7)::DOUBLE AS n10, (c + 1e-7)::DOUBLE AS n01 FROM x0),
+x2 AS (SELECT *, nn - n11 - n10 - n01 + 1e-7 AS n00 FROM x1)"""
+
+
+def upper_tail(z: str) -> str:
+    """P(Z > z) of a standard normal, in SQL."""
+    small = f"(0.5 - list_sum(list_transform(range(0, 26), lambda k: pow(-0.5, k) * pow({z}, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) / sqrt(2 * pi()))"
+    large = f"(list_sum(list_transform(range(0, 128), lambda k: exp(-0.5 * pow({z} / sin((k + 0.5) * pi() / 256), 2)))) / 256)"
+    return f"(CASE WHEN abs({z}) < 1.25 THEN {small} WHEN {z} > 0 THEN {large} ELSE 1 - {large} END)"
+
+
 FDR = """r1 AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY p_value, pt) AS i, count(*) OVER w AS m, count(*) FILTER (WHERE p_value <= 0.5) OVER w AS k,
   least(1, avg(CASE WHEN 2 * least(p_value, 1 - p_value) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(1 - 2 * least(p_value, 1 - p_value)) END) OVER w) AS pi0 FROM pv WINDOW w AS (PARTITION BY drug)),
-r2 AS (SELECT *, least(1, CASE WHEN i <= k THEN pi0 * p_value * m / i WHEN i > 1 THEN pi0 * m / (2.0 * (i - 1)) + 1 - CAST(k AS DOUBLE) / (i - 1) END) AS fdr FROM r1)"""
+  r2 AS (SELECT *, least(1, CASE WHEN i <= k THEN pi0 * p_value * m / i WHEN i > 1 THEN pi0 * m / (2.0 * (i - 1)) + 1 - CAST(k AS DOUBLE) / (i - 1) END) AS fdr FROM r1)"""
+PRR = ("ln(n11) - ln(n11 + n10) - ln(n01) + ln(n01 + n00)", "1 / n11 - 1 / (n11 + n10) + 1 / n01 - 1 / (n01 + n00)")
+ROR = ("ln(n11) + ln(n00) - ln(n10) - ln(n01)", "1 / n11 + 1 / n10 + 1 / n01 + 1 / n00")
+
+
+def tails(estimate: tuple[str, str]) -> str:
+    return f"x3 AS (SELECT *, {estimate[0]} AS lg, sqrt({estimate[1]}) AS se FROM x2), x4 AS (SELECT *, lg / se AS z FROM x3), pv AS (SELECT *, least(greatest({upper_tail('z')}, 0), 1) AS p_value FROM x4)"
 
 
 def ratio_sql(estimate: tuple[str, str], name: str) -> str:
     return with_facts(
-        f"SELECT drug, pt, a, round(expected, 6) AS expected, round(p_value, 9) AS p_value, round(exp(lg), 3) AS {name}, round(exp(lg - {D.Z} * se), 3) AS ci_low, round(coalesce(fdr, 1), 6) AS fdr FROM r2",
-        ALL_CT, PREP, f"x3 AS (SELECT *, {estimate[0]} AS lg, sqrt({estimate[1]}) AS se FROM x2), x4 AS (SELECT *, lg / se AS z FROM x3), pv AS (SELECT *, least(greatest({S.normal_upper('z')}, 0), 1) AS p_value FROM x4)", FDR,
+        f"SELECT drug, pt, a, round(expected, 6) AS expected, round(p_value, 9) AS p_value, round(exp(lg), 3) AS {name}, round(exp(lg - 1.959963985 * se), 3) AS ci_low, round(coalesce(fdr, 1), 6) AS fdr FROM r2",
+        ALL_CT, PREP, tails(estimate), FDR,
     )
 
 
@@ -436,24 +459,60 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> list:
     return [F.round(c, digits).alias(c) for c in cols]
 
 
-@query(ratio_sql(D.log_prr(), "prr"))
+@query(ratio_sql(PRR, "prr"))
 def q_prr(spark, sf_dir):
     x = D.prr(C.all_pairs(facts(spark, sf_dir)))
     return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "prr", "ci_low", digits=3), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
 
 
-@query(ratio_sql(D.log_ror(), "ror"))
+@query(ratio_sql(ROR, "ror"))
 def q_ror(spark, sf_dir):
     x = D.ror(C.all_pairs(facts(spark, sf_dir)))
     return x.select("drug", "pt", "a", *rounded(x, "expected"), F.round("p_value", 9).alias("p_value"), *rounded(x, "ror", "ci_low", digits=3), F.round(F.coalesce("fdr", F.lit(1.0)), 6).alias("fdr"))
 
 
-@query(with_facts(f"SELECT drug, m, k, round(least(1, v), 6) AS pi0 FROM (SELECT drug, count(*) AS m, count(*) FILTER (WHERE p_value <= 0.5) AS k, avg(CASE WHEN 2 * least(p_value, 1 - p_value) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(1 - 2 * least(p_value, 1 - p_value)) END) AS v FROM pv GROUP BY drug)",
-  ALL_CT, PREP, f"x3 AS (SELECT *, {D.log_ror()[0]} / sqrt({D.log_ror()[1]}) AS z FROM x2), pv AS (SELECT *, least(greatest({S.normal_upper('z')}, 0), 1) AS p_value FROM x3)"))
+@query(with_facts("""SELECT drug, m, k, round(least(1, v), 6) AS pi0 FROM (SELECT drug, count(*) AS m, count(*) FILTER (WHERE p_value <= 0.5) AS k,
+  avg(CASE WHEN 2 * least(p_value, 1 - p_value) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(1 - 2 * least(p_value, 1 - p_value)) END) AS v FROM pv GROUP BY drug)""", ALL_CT, PREP, tails(ROR)))
 def q_lbe_pi0(spark, sf_dir):
     return D.pi0(D.ratio(C.all_pairs(facts(spark, sf_dir)), D.log_ror(), "ror")).select("drug", "m", "k", F.round("pi0", 6).alias("pi0"))
 
 
+LBE = """ps AS (SELECT drug || '|' || pt AS pt, round(p_value, 12) AS p FROM pv),
+size AS (SELECT count(*) AS m, ln(1 + count(*) * 0.0025) AS goal FROM ps),
+half AS (  -- the power at which the estimator's standard error is 0.05, by halving
+  SELECT 0 AS step, CAST(1 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi UNION ALL
+  SELECT step + 1, CASE WHEN lgamma(lo + hi + 1) - 2 * lgamma((lo + hi) / 2 + 1) < goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN lgamma(lo + hi + 1) - 2 * lgamma((lo + hi) / 2 + 1) < goal THEN hi ELSE (lo + hi) / 2 END FROM half, size WHERE step < 70),
+fit AS (SELECT m, CASE WHEN m <= 400 THEN 1 ELSE lo END AS power FROM half, size WHERE step = 70),
+est AS (SELECT any_value(m) AS m, any_value(power) AS power, least(1, avg(CASE WHEN 2 * least(p, 1 - p) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE pow(-ln(1 - 2 * least(p, 1 - p)), power) END) / gamma(any_value(power) + 1)) AS pi0 FROM ps, fit),
+ra AS (SELECT ps.*, est.*, row_number() OVER (ORDER BY p, pt) AS i FROM ps, est),
+rb AS (SELECT *, min(CASE WHEN i = m THEN pi0 * p WHEN i > 1 THEN pi0 * m * p / (i - 1) END) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS q, (min(i) OVER (PARTITION BY p) + max(i) OVER (PARTITION BY p)) // 2 AS place FROM ra),
+rc AS (SELECT a.pt, a.m, a.power, a.pi0, b.q, sqrt((gamma(2 * a.power + 1) / pow(gamma(a.power + 1), 2) - 1) / a.m) AS sd FROM rb a JOIN rb b ON b.i = a.place)"""
+
+
+@query(with_facts("SELECT pt, m, round(power, 6) AS power, round(pi0, 6) AS pi0, round(least(1, pi0 + 1.6448536269514722 * sd), 6) AS pi0_upper, round(q, 6) AS qvalue, q <= 0.05 AS significant FROM rc", ALL_CT, PREP, tails(ROR), LBE).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_lbe_qvalues(spark, sf_dir):
+    """All cells of all drugs as one family: its power is above 1, and every cell gets a q-value."""
+    ps = D.ratio(C.all_pairs(facts(spark, sf_dir)), D.log_ror(), "ror").select(F.lit("every").alias("drug"), F.concat_ws("|", "drug", "pt").alias("pt"), F.round("p_value", 12).alias("p_value"))
+    x = D.lbe(ps)
+    return x.select("pt", "m", *rounded(x, "power", "pi0", "pi0_upper", "qvalue"), "significant")
+
+
+@query(with_facts("""SELECT drug, count(*) FILTER (WHERE p_value <= 0.05) AS by_p, count(*) FILTER (WHERE exp(lg - 1.959963985 * se) >= 0.8) AS by_bound, count(*) FILTER (WHERE fdr <= 0.4) AS by_fdr, least(5, count(*)) AS by_number,
+  string_agg(pt, '|' ORDER BY p_value, pt) FILTER (WHERE i <= 5) AS first_five FROM r2 GROUP BY drug""", ALL_CT, PREP, tails(ROR), FDR))
+def q_decisions(spark, sf_dir):
+    """How many cells each decision metric calls, and the first five by p-value."""
+    x = D.ror(C.all_pairs(facts(spark, sf_dir)))
+    rules = {"by_p": ("p_value", "rank", 0.05), "by_bound": ("CI", "rank", 0.8), "by_fdr": ("CI", "fdr", 0.4), "by_number": ("p_value", "signals", 5)}
+    out = None
+    for name, how in rules.items():
+        told = [F.count_if("called").alias(name)]
+        if name == "by_number":
+            told.append(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("called"), F.struct("rank", "pt")))), lambda r: r["pt"]), "|").alias("first_five"))
+        one = D.decided(x, "ror", *how).groupBy("drug").agg(*told)
+        out = one if out is None else out.join(one, "drug")
+    return out
+
+
 @query(with_facts("""SELECT drug, pt, a, round(least(1, p), 5) AS p_value FROM (
   SELECT drug, pt, a, sum(exp(lgamma(r + 1) + lgamma(t - r + 1) + lgamma(c1 + 1) + lgamma(t - c1 + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(r - k + 1) - lgamma(c1 - k + 1) - lgamma(t - r - c1 + k + 1))) AS p
   FROM (SELECT drug, pt, a, a + b AS r, a + c AS c1, n AS t, unnest(range(a, least(a + b, a + c) + 1)) AS k FROM ct) GROUP BY drug, pt, a)""", ALL_CT))
@@ -461,21 +520,26 @@ def q_rfet(spark, sf_dir):
     return D.rfet(C.all_pairs(facts(spark, sf_dir))).select("drug", "pt", "a", F.round("p_value", 5).alias("p_value"))
 
 
+# digamma and trigamma of whole numbers as sums, of large numbers by their asymptotic series
+IC = """hs AS (SELECT k, -0.5772156649015329 + sum(1.0::DOUBLE / k) OVER (ORDER BY k) - 1.0::DOUBLE / k AS psi, 1.6449340668482264 - sum(1.0::DOUBLE / k / k) OVER (ORDER BY k) + 1.0::DOUBLE / k / k AS psi1 FROM (SELECT unnest(range(1, (SELECT max(n) + 4 FROM ct))) AS k)),
+x3 AS (SELECT x2.*, 1 + nn - 1 + (2 + nn) * (2 + nn) / ((1 + ni1) * (1 + n1j)) AS r12, h1.psi AS d_p, h1.psi1 AS t_p, h2.psi AS d_q, h2.psi1 AS t_q, h3.psi AS d_r, h3.psi1 AS t_r, h4.psi AS d_n, h4.psi1 AS t_n
+  FROM x2 JOIN hs h1 ON h1.k = a + b + 1 JOIN hs h2 ON h2.k = a + c + 1 JOIN hs h3 ON h3.k = a + 1 JOIN hs h4 ON h4.k = n + 2),
+x4 AS (SELECT *, ln(r12) - 1 / (2 * r12) - 1 / (12 * pow(r12, 2)) + 1 / (120 * pow(r12, 4)) AS d_12, 1 / r12 + 1 / (2 * pow(r12, 2)) + 1 / (6 * pow(r12, 3)) - 1 / (30 * pow(r12, 5)) AS t_12 FROM x3),
+x5 AS (SELECT *, (d_r - d_12 - d_p - d_q + 2 * d_n) / ln(2) AS ic, (t_r - t_12 + t_p + t_q - 2 * t_n) / pow(ln(2), 2) AS v FROM x4), x55 AS (SELECT *, ic / sqrt(v) AS z, ic - 1.95996 * sqrt(v) AS ic025 FROM x5)"""
+
+
 def bcpnn_sql() -> str:
-    ln2 = 0.6931471805599453
-    ic = f"({S.digamma('r1')} - {S.digamma('r12')} - ({S.digamma('p1')} - {S.digamma('p12')} + {S.digamma('q1')} - {S.digamma('p12')})) / {ln2}"
-    var = f"({S.trigamma('r1')} - {S.trigamma('r12')} + {S.trigamma('p1')} - {S.trigamma('p12')} + {S.trigamma('q1')} - {S.trigamma('p12')}) / {ln2 * ln2}"
     return with_facts(
-        "SELECT drug, pt, a, round(ic, 6) AS ic, round(ic - 1.95996 * sqrt(v), 6) AS ic025, round(p, 8) AS p_null, round(cum / rk, 6) AS fdr FROM (SELECT *, sum(p) OVER w AS cum, row_number() OVER w AS rk FROM x6 WINDOW w AS (PARTITION BY drug ORDER BY round(p, 12), pt ROWS UNBOUNDED PRECEDING))",
-        ALL_CT, PREP, "x3 AS (SELECT *, 1.0 + n1j AS p1, 2.0 + nn AS p12, 1.0 + ni1 AS q1, 1.0 + n11 AS r1 FROM x2), x4 AS (SELECT *, r1 + nn - n11 - 1.0 + (2.0 + nn) * (2.0 + nn) / (q1 * p1) AS r12 FROM x3)",
-        f"x5 AS (SELECT *, {ic} AS ic, {var} AS v FROM x4), x55 AS (SELECT *, ic / sqrt(v) AS z FROM x5), x6 AS (SELECT *, {S.normal_upper('z')} AS p FROM x55)",
+        """SELECT drug, pt, a, round(ic, 6) AS ic, round(ic025, 6) AS ic025, round(p, 8) AS p_null, round(cum / rk, 6) AS fdr, round((m - tot - rk + cum) / nullif(m - rk, 0), 6) AS fnr, round((rk - cum) / (m - tot), 6) AS se, round((tot - cum) / tot, 6) AS sp
+  FROM (SELECT *, sum(p) OVER w AS cum, row_number() OVER w AS rk, count(*) OVER (PARTITION BY drug) AS m, sum(p) OVER (PARTITION BY drug) AS tot FROM x6 WINDOW w AS (PARTITION BY drug ORDER BY round(p, 12), pt ROWS UNBOUNDED PRECEDING))""",
+        ALL_CT, PREP, IC, f"x6 AS (SELECT *, {upper_tail('z')} AS p FROM x55)",
     )
 
 
 @query(bcpnn_sql())
 def q_bcpnn(spark, sf_dir):
-    x = D.posterior_errors(D.bcpnn_columns(C.all_pairs(facts(spark, sf_dir))), order=(F.round("p_null", 12).asc(), F.col("pt").asc()))
-    return x.select("drug", "pt", "a", *rounded(x, "ic", "ic025"), F.round("p_null", 8).alias("p_null"), *rounded(x, "fdr"))
+    x = D.bcpnn(C.all_pairs(facts(spark, sf_dir)))
+    return x.select("drug", "pt", "a", *rounded(x, "ic", "ic025"), F.round("p_null", 8).alias("p_null"), *rounded(x, "fdr", "fnr", "se", "sp"))
 
 
 @query()
@@ -484,10 +548,17 @@ def q_bcpnn_mc(spark, sf_dir):
 
 
 def mgps_sql() -> str:
-    a1, b1, a2, b2, _ = D.PRIOR
-    eb = f"(qn * ({S.digamma('g1')} - ln({b1} + expected)) + (1.0 - qn) * ({S.digamma('g2')} - ln({b2} + expected))) / 0.6931471805599453"
-    return with_facts("SELECT drug, pt, a, round(qn, 6) AS qn, round(eb, 6) AS eb_log2, round(pow(2.0, eb), 6) AS ebgm FROM x5", ALL_CT, PREP,
-        f"x3 AS (SELECT *, n11 + {a1} AS g1, n11 + {a2} AS g2, {D.mixture_weight()} AS qn FROM x2), x5 AS (SELECT *, {eb} AS eb FROM x3)")
+    """The published prior's mixture: log-gamma for the weights, digamma by thirty steps of its recurrence and the series."""
+    def psi(x: str) -> str:
+        y = f"({x} + 30)"
+        return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - list_sum(list_transform(range(0, 30), lambda k: 1 / ({x} + k))))"
+
+    def log_nb(a: str, b: str) -> str:
+        return f"(lgamma(n11 + {a}) - lgamma({a}) - lgamma(n11 + 1) + {a} * ln({b}) + n11 * ln(expected) - ({a} + n11) * ln({b} + expected))"
+
+    eb = f"(qn * ({psi('(n11 + 0.2041)')} - ln(0.05816 + expected)) + (1 - qn) * ({psi('(n11 + 1.415)')} - ln(1.838 + expected))) / ln(2)"
+    weight = f"1 / (1 + (1 - 0.0969) / 0.0969 * exp({log_nb('1.415', '1.838')} - {log_nb('0.2041', '0.05816')}))"
+    return with_facts("SELECT drug, pt, a, round(qn, 6) AS qn, round(eb, 6) AS eb_log2, round(pow(2.0, eb), 6) AS ebgm FROM x5", ALL_CT, PREP, f"x3 AS (SELECT *, {weight} AS qn FROM x2), x5 AS (SELECT *, {eb} AS eb FROM x3)")
 
 
 @query(mgps_sql())
@@ -507,14 +578,41 @@ def q_expected(spark, sf_dir):
     return K.expected(C.all_pairs(facts(spark, sf_dir))).select("drug", "pt", "a", F.round("expected", 6).alias("expected"))
 
 
-@query()
+def poisson_ctes(steps: int = 14) -> str:
+    """Reweighted least squares step by step, each normal equation solved by determinants; ends in ``fit`` (b0, b1, b2)."""
+    out = ["px AS (SELECT *, a::DOUBLE AS y, ln((a + b)::DOUBLE) AS u, ln((a + c)::DOUBLE) AS v FROM ct)", "s0 AS (SELECT ln(avg(y)) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM px)"]
+    for k in range(steps):
+        out.append(f"m{k} AS (SELECT y, u, v, exp(b0 + b1 * u + b2 * v) AS mu FROM px, s{k})")
+        out.append(f"h{k} AS (SELECT sum(mu) AS a11, sum(mu * u) AS a12, sum(mu * v) AS a13, sum(mu * u * u) AS a22, sum(mu * u * v) AS a23, sum(mu * v * v) AS a33, sum(y - mu) AS g1, sum((y - mu) * u) AS g2, sum((y - mu) * v) AS g3 FROM m{k})")
+        out.append(f"d{k} AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM h{k})")
+        out.append(f"""s{k + 1} AS (SELECT b0 + (g1 * (a22 * a33 - a23 * a23) - a12 * (g2 * a33 - a23 * g3) + a13 * (g2 * a23 - a22 * g3)) / det AS b0, b1 + (a11 * (g2 * a33 - a23 * g3) - g1 * (a12 * a33 - a23 * a13) + a13 * (a12 * g3 - g2 * a13)) / det AS b1,
+  b2 + (a11 * (a22 * g3 - g2 * a23) - a12 * (a12 * g3 - g2 * a13) + g1 * (a12 * a23 - a22 * a13)) / det AS b2 FROM d{k}, s{k})""")
+    return ",\n".join([*out, f"fit AS (SELECT px.*, exp(b0 + b1 * u + b2 * v) AS mu FROM px, s{steps})"])
+
+
+@query(with_facts("SELECT drug, pt, a, round(mu, 4) AS expected FROM fit", ALL_CT, poisson_ctes()))
 def q_expected_poisson(spark, sf_dir):
     return K.expected(C.all_pairs(facts(spark, sf_dir)), "poisson").select("drug", "pt", "a", F.round("expected", 4).alias("expected"))
 
 
-@query()
+@query(with_facts("""SELECT round(alpha, 6) AS alpha, round(alpha - 1.959963985 * err, 6) AS lb, round(alpha + 1.959963985 * err, 6) AS ub, alpha - 1.959963985 * err > 0 AS dispersion FROM (SELECT zm / mm AS alpha, sqrt((zz - zm / mm * zm) / (k - 1) / mm) AS err
+  FROM (SELECT sum(z * mu) AS zm, sum(mu * mu) AS mm, sum(z * z) AS zz, count(*) AS k FROM (SELECT mu, ((y - mu) * (y - mu) - y) / mu AS z FROM fit)))""", ALL_CT, poisson_ctes()))
 def q_dispersion(spark, sf_dir):
-    return K.dispersion(C.all_pairs(facts(spark, sf_dir)))
+    x = K.dispersion(C.all_pairs(facts(spark, sf_dir)))
+    return x.select(*rounded(x, "alpha", "lb", "ub"), "dispersion")
+
+
+@query()
+def q_expected_nb(spark, sf_dir):
+    """Expected counts of a negative-binomial regression."""
+    return K.expected(C.all_pairs(facts(spark, sf_dir)), "negative-binomial").select("drug", "pt", "a", F.round("expected", 4).alias("expected"))
+
+
+@query()
+def q_prior_fit(spark, sf_dir):
+    """The prior of the shrinkage model by maximum likelihood over all cells of at least three reports."""
+    names = ("alpha1", "beta1", "alpha2", "beta2", "weight")
+    return spark.createDataFrame([D.fit_prior(C.all_pairs(facts(spark, sf_dir)), truncate=3)], ", ".join(f"{n} double" for n in names))
 
 
 @query()
@@ -544,23 +642,14 @@ def q_convert_binary(spark, sf_dir):
     return x.groupBy("name").agg(F.count("*").alias("n_rows"), F.sum("click").cast("long").alias("click"), F.sum("error").cast("long").alias("error"))
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS k FROM lineitem WHERE l_linenumber <= 3), s AS (SELECT id, bit_or(1 << (k - 1)) AS have FROM d GROUP BY 1), e AS (SELECT DISTINCT l_orderkey AS id, l_returnflag AS AE FROM lineitem),
-  m AS (SELECT id, unnest(range(1, 8)) AS mask, have FROM s)
-SELECT array_to_string(list_filter([CASE WHEN mask & 1 > 0 THEN 'L1' END, CASE WHEN mask & 2 > 0 THEN 'L2' END, CASE WHEN mask & 4 > 0 THEN 'L3' END], lambda x: x IS NOT NULL), '|') AS name, AE, count(*) AS count FROM m JOIN e USING (id) WHERE mask & have = mask GROUP BY ALL HAVING count(*) >= 3""")
-def q_multi_item(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
-    items = line.where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))).alias("items"))
-    return K.convert_multi_item(items.join(line.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("AE")).distinct(), "id"))
-
-
 _LINES = ", ".join(f"CASE WHEN mask & {1 << (k - 1)} > 0 THEN 'L{k}' END" for k in range(1, 8))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS k FROM lineitem), s AS (SELECT id, bit_or(1 << (k - 1)) AS have FROM d GROUP BY 1), e AS (SELECT DISTINCT l_orderkey AS id, l_returnflag AS AE FROM lineitem),
   m AS (SELECT id, unnest(range(1, 128)) AS mask, have FROM s)
 SELECT array_to_string(list_filter([{_LINES}], lambda x: x IS NOT NULL), '|') AS name, AE, count(*) AS count FROM m JOIN e USING (id) WHERE mask & have = mask GROUP BY ALL HAVING count(*) >= 3""")
-def q_multi_item_all(spark, sf_dir):
-    """As q_multi_item, over all seven lines of an order."""
+def q_multi_item(spark, sf_dir):
+    """Subsets of all seven lines of an order."""
     line = table(spark, sf_dir, "lineitem")
     items = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))).alias("items"))
     return K.convert_multi_item(items.join(line.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("AE")).distinct(), "id"))
@@ -594,7 +683,9 @@ def q_longitudinal_gaps(spark, sf_dir):
     return K.slices(rows, "month", cumulative=False).select(F.col("slice_end").cast("string").alias("slice_end"), F.col("count").isNull().alias("gap"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-@query()
+@query(f"""WITH {ORDER_COUNTS}, g AS (SELECT name, AE, year(date) AS y, sum(count) AS k FROM oc GROUP BY ALL), ys AS (SELECT DISTINCT y FROM g),
+  cu AS (SELECT ys.y, name, AE, sum(k) AS a FROM ys JOIN g ON g.y <= ys.y GROUP BY ALL), mg AS (SELECT *, sum(a) OVER (PARTITION BY y, name) AS p, sum(a) OVER (PARTITION BY y, AE) AS e, sum(a) OVER (PARTITION BY y) AS n FROM cu)
+SELECT make_date(y, 12, 31) AS slice_end, name AS drug, AE AS pt, CAST(a AS BIGINT) AS a, round(a * (n - p - e + a - 2e-7 + 1e-7) / ((p - a + 1e-7) * (e - a + 1e-7)), 6) AS ror FROM mg WHERE a >= 3""")
 def q_longitudinal_ror(spark, sf_dir):
     """A statistic over every cumulative slice at once."""
     x = K.longitudinal(order_counts(spark, sf_dir), lambda ct: D.ror(ct), "year")
@@ -614,13 +705,21 @@ def q_signal_sides(spark, sf_dir):
     return C.all_pairs(facts(spark, sf_dir)).groupBy(F.when(F.col("a") * F.col("n") > (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")), "over").otherwise("under").alias("side")).agg(F.count("*").alias("n"))
 
 
-@query()
+TWO = f"""{PREP}, {tails(ROR)}, {FDR}, {IC},
+both_ AS (SELECT 'ror' AS algorithm, drug, pt, a, ln(greatest(exp(lg), 1)) AS strength FROM r2 WHERE fdr < 0.5 UNION ALL SELECT 'bcpnn', drug, pt, a, greatest(ic, 0) FROM x55i WHERE ic025 > -0.3)"""
+# the information components have names of their own here
+TWO = TWO.replace(IC, IC.replace("x3 AS", "x3i AS").replace("FROM x3)", "FROM x3i)").replace("x4 AS", "x4i AS").replace("FROM x4)", "FROM x4i)").replace("x5 AS", "x5i AS").replace("FROM x5)", "FROM x5i)").replace("x55 AS", "x55i AS"))
+
+
+@query(ct_sql(body=f"SELECT algorithm, drug, pt, a FROM both_").replace("\nSELECT algorithm", f",\n{TWO}\nSELECT algorithm"))
 def q_signal_union(spark, sf_dir):
     _, r = two_results(spark, sf_dir)
     return L.union_positive(**r).select("algorithm", "drug", "pt", "a")
 
 
-@query()
+@query(ct_sql(body="""SELECT drug, pt, n_algorithms, algorithms, round(avg_strength, 6) AS avg_strength, round(rate, 6) AS reporting_rate, score AS confidence_score, CAST(row_number() OVER (ORDER BY score DESC, pt) AS INT) AS rank, CASE WHEN score >= 60 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS score_band
+FROM (SELECT *, round(100 * (0.3 * n_algorithms / 4 + 0.3 * coalesce(avg_strength / nullif(max(avg_strength) OVER (), 0), 0) + 0.4 * coalesce(rate / nullif(max(rate) OVER (), 0), 0)), 1) AS score FROM (
+  SELECT drug, pt, count(*) AS n_algorithms, string_agg(algorithm, ',' ORDER BY algorithm) AS algorithms, avg(strength) AS avg_strength, any_value(a / (a + b)) AS rate FROM both_ JOIN ct USING (drug, pt, a) GROUP BY drug, pt))""").replace("\nSELECT drug, pt, n_algorithms", f",\n{TWO}\nSELECT drug, pt, n_algorithms"))
 def q_confidence(spark, sf_dir):
     ct, r = two_results(spark, sf_dir)
     return L.confidence(ct, **r).select("drug", "pt", "n_algorithms", "algorithms", F.round("avg_strength", 6).alias("avg_strength"), F.round("reporting_rate", 6).alias("reporting_rate"), "confidence_score", "rank", "score_band")
@@ -667,9 +766,29 @@ def label_terms(spark, sf_dir):
     return drugs.withColumn("pt", F.explode(F.array(*[F.lit(t) for t in ("the", "idiot", "shh", "mit")])))
 
 
-@query(f"WITH {_MERGED} SELECT drug_name, pt, section FROM me, {values([('the',), ('idiot',), ('shh',), ('mit',)], 'pt')} WHERE regexp_matches(text, '(^|[^a-z0-9_])' || pt || '([^a-z0-9_]|$)')")
+@query(f"""WITH {_MERGED}, hit AS (SELECT *, length(regexp_extract(text, '(?s)^(.*?(?:^|[^a-z0-9_]))' || pt || '(?:[^a-z0-9_]|$)', 1)) AS pos FROM me, {values([('the',), ('idiot',), ('shh',), ('mit',)], 'pt')} WHERE regexp_matches(text, '(^|[^a-z0-9_])' || pt || '([^a-z0-9_]|$)'))
+SELECT drug_name, pt, section, pt AS matched_term, '…' || substr(text, greatest(pos - 150, 0) + 1, least(pos + length(pt) + 150, length(text)) - greatest(pos - 150, 0)) || '…' AS snippet FROM hit""")
 def q_label_match(spark, sf_dir):
-    return L.matches(label_terms(spark, sf_dir), L.sections(label_rows(spark, sf_dir))).select("drug_name", "pt", "section")
+    return L.matches(label_terms(spark, sf_dir), L.sections(label_rows(spark, sf_dir)))
+
+
+_RECORD = "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
+
+
+@query(f"""WITH d AS ({_RECORD}), t AS (SELECT source, r, 'warnings' AS section, left(text, 200) AS text FROM d UNION ALL SELECT source, r, 'precautions', substr(text, 201, 100) || ' ' || 'See above' FROM d WHERE r % 2 = 0)
+SELECT source AS drug_name, section, lower(string_agg(text, ' ' ORDER BY r)) AS text FROM t WHERE r <= 3 AND text <> '' GROUP BY ALL""")
+def q_label_records(spark, sf_dir):
+    """Label records as nested JSON, of which a product's first three count, and of those the safety sections."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    even = F.col("r") % 2 == 0
+    record = F.struct(
+        F.array(F.substring("text", 1, 200)).alias("warnings"), F.when(even, F.array(F.expr("substring(text, 201, 100)"), F.lit("See above"))).alias("precautions"), F.array(F.lit("never read")).alias("description"),
+    )
+    from pyspark.sql import Window as W
+
+    rows = d.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).select("source", "r", record.alias("record"))
+    raw = rows.groupBy(F.col("source").alias("drug_name")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("r", "record"))), lambda x: x["record"])).alias("results"))
+    return L.sections(L.from_records(raw))
 
 
 @query(f"WITH {_MERGED} SELECT drug_name, pt, section FROM me, {values([('the',), ('idiot',), ('shh',), ('mit',)], 'pt')} WHERE contains(text, pt)")
@@ -697,13 +816,6 @@ def q_validation_summary(spark, sf_dir):
     return L.status_counts(validated(spark, sf_dir))
 
 
-@query(with_facts("SELECT item, n FROM (SELECT 'cells' AS item, count(*) AS n FROM ct UNION ALL SELECT 'drugs', count(DISTINCT drug) FROM ct UNION ALL SELECT 'terms', count(DISTINCT pt) FROM ct UNION ALL SELECT 'reports', max(n) FROM ct)", ALL_CT))
-def q_run_summary(spark, sf_dir):
-    ct = C.all_pairs(facts(spark, sf_dir))
-    one = ct.agg(F.count("*").alias("cells"), F.count_distinct("drug").alias("drugs"), F.count_distinct("pt").alias("terms"), F.max("n").alias("reports"))
-    return one.selectExpr("stack(4, 'cells', cells, 'drugs', drugs, 'terms', terms, 'reports', reports) AS (item, n)")
-
-
 @query()
 def q_analysis(spark, sf_dir):
     """A whole analysis, from configuration to ranked terms with label status."""
@@ -778,6 +890,62 @@ def q_trend_slope(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(B.slope(F.col("l_extendedprice"), F.col("l_quantity")).alias("trend"))
 
 
+LABELLED = "length(pt) % 3 = 0"
+
+
+def one_analysis(spark, sf_dir):
+    """A whole analysis of one drug, whose label names some of its terms."""
+    from .analysis import AnalysisConfig, analyse
+
+    f = facts(spark, sf_dir)
+    terms = f.where(F.col("drug_name") == DRUG).select(F.col("reaction_pt").alias("pt")).distinct().where(LABELLED)
+    texts = terms.agg(F.lower(F.concat_ws(". ", F.sort_array(F.collect_set("pt")))).alias("text")).select(F.lit(DRUG).alias("drug_name"), F.lit("warnings").alias("section"), "text")
+    config = AnalysisConfig(DRUG, prr_threshold=0.5, ror_threshold=0.5, ic_threshold=-0.3, algorithms=("ror", "bcpnn"))
+    return analyse(f, config, stored_marts(spark, sf_dir), texts, approvals(spark, sf_dir))
+
+
+@query(ct_sql(body=f"""SELECT * FROM {values([("target_drug", DRUG), ("where", None), ("min_a", "3"), ("algorithms", "ror,bcpnn"), ("fdr", "0.5"), ("eb05", "2.0"), ("ic", "-0.3")], "item, value")}
+UNION ALL SELECT unnest(['cells', 'ror_pairs', 'bcpnn_pairs']), count(*)::VARCHAR FROM ct UNION ALL SELECT 'ror_positive', (count(*) FILTER (WHERE algorithm = 'ror'))::VARCHAR FROM both_ UNION ALL SELECT 'bcpnn_positive', (count(*) FILTER (WHERE algorithm = 'bcpnn'))::VARCHAR FROM both_
+UNION ALL SELECT 'KNOWN', (count(DISTINCT pt) FILTER (WHERE {LABELLED}))::VARCHAR FROM both_ UNION ALL SELECT 'POTENTIALLY_NEW', (count(DISTINCT pt) FILTER (WHERE NOT {LABELLED}))::VARCHAR FROM both_ UNION ALL SELECT 'NO_LABEL', '0'
+UNION ALL SELECT 'launch_risk', {_RISK} FROM mt WHERE drug_name = '{DRUG}'""").replace("\nSELECT * FROM (VALUES", f",\n{TWO},\n{SERIES}\nSELECT * FROM (VALUES"))
+def q_run_summary(spark, sf_dir):
+    """What was asked, pairs and positives of each algorithm, statuses of the validation and the launch risk of a run."""
+    return one_analysis(spark, sf_dir).summary()
+
+
+@query(ct_sql(body=f"SELECT pt, round(exp(lg), 6) AS strength FROM r2 WHERE pt IN (SELECT pt FROM both_) AND NOT ({LABELLED}) ORDER BY lg DESC, pt LIMIT 10").replace("\nSELECT pt, round", f",\n{TWO}\nSELECT pt, round"))
+def q_top_new(spark, sf_dir):
+    """The ten strongest called terms that the label does not name."""
+    a = one_analysis(spark, sf_dir)
+    x = a.validated.join(a.results["ror"].select(F.col("drug").alias("drug_name"), "pt", "ror"), ["drug_name", "pt"])
+    return L.top_new(x, ["ror"]).select("pt", F.round("strength", 6).alias("strength"))
+
+
+@query(with_facts("""SELECT 'fact' AS name, count(*) AS rows, true AS ok FROM fact UNION ALL SELECT 'marginals_global', count(DISTINCT reaction_pt), true FROM fact
+UNION ALL SELECT 'marginals_cubed', count(*), true FROM (SELECT DISTINCT sex, age_stratum, reaction_pt FROM fact) UNION ALL SELECT 'bridge', count(*), true FROM (SELECT DISTINCT drug_name, safetyreportid FROM fact) UNION ALL SELECT 'nowhere', 0, false"""))
+def q_verify(spark, sf_dir):
+    """The checks of written tables: the sorted fact, the marts, and one that is missing."""
+    stored_marts(spark, sf_dir)
+    at = store.root(spark, sf_dir)
+    return P.verify(spark, fact=f"{at}/fact", **{m: f"{at}/marts/{m}" for m in ("marginals_global", "marginals_cubed", "bridge")}, nowhere=f"{at}/nowhere")
+
+
+@query(with_facts("SELECT * FROM ct WHERE drug IN (SELECT drug_name FROM fact GROUP BY 1 HAVING count(DISTINCT safetyreportid) >= 930)", ALL_CT))
+def q_all_pairs_floor(spark, sf_dir):
+    """Tables of the drugs with 930 reports at least."""
+    return C.all_pairs(facts(spark, sf_dir), least_reports=930)
+
+
+@query("SELECT 'P' || CAST(user_id % 20 AS VARCHAR) AS name, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS error, CAST(count(*) FILTER (WHERE event_type = 'none') AS BIGINT) AS \"none\" FROM events GROUP BY 1")
+def q_convert_wide(spark, sf_dir):
+    return K.convert_wide(event_counts(spark, sf_dir), ["click", "error", "none"])
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS line FROM documents")
+def q_one_line(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", N.one_line(F.col("text")).alias("line"))
+
+
 # ---- names -----------------------------------------------------------------------------------------------------
 
 WRITTEN = ["tachipirina", "Tachipirina 500mg", "ACETAMINOPHEN", "acet", "LANTUS SOLOSTAR", "small rng", "ring small", "blue anvil", "qqqq zzzz"]
@@ -791,8 +959,12 @@ def q_brand_lookup(spark, sf_dir):
 
 @query()
 def q_fuzzy_match(spark, sf_dir):
+    """Every name of the parts as it is, turned round and with a slip, and some others, resolved to names in the data."""
     index = table(spark, sf_dir, "part").select(F.upper("p_name").alias("drug_name")).distinct()
-    return R.resolve(spark.createDataFrame([(w,) for w in WRITTEN], "query string"), index, R.brands(spark)).select("query", "name", "method", F.round("score", 4).alias("score"))
+    turned = F.array_join(F.reverse(F.split("drug_name", " ")), " ")
+    written = index.select(F.explode(F.array("drug_name", F.lower(turned), F.expr("substring(drug_name, 2)"), F.expr("replace(drug_name, 'E', 'A')"))).alias("query"))
+    names = written.unionByName(spark.createDataFrame([(w,) for w in WRITTEN], "query string")).distinct()
+    return R.resolve(names, index, R.brands(spark)).select("query", "name", "method", "via", F.round("score", 4).alias("score"))
 
 
 @query("SELECT v, CASE WHEN v > 3 THEN 'strong' WHEN v > 1.5 THEN 'medium' WHEN v > 0 THEN 'weak' END AS band FROM (SELECT round(l_discount * 40, 4) AS v, count(*) AS k FROM lineitem GROUP BY 1)")

@@ -18,41 +18,69 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 
 class LatestVersions:
-    """A table of current facts kept under ``root``, partitioned by a hash of the id.
+    """A table of current facts kept under ``root``, in buckets by a hash of the id; rows without an id by a hash of the row.
 
-    A batch rewrites only the partitions its ids fall in, under a new version folder; readers follow ``current``."""
+    A batch rewrites the buckets its rows fall in, all in one job, into a version folder of its own; of each bucket the newest
+    version counts. Versions that no bucket needs any more, but for the one before, are deleted, so a reader that started
+    before a merge still finds its files."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64("safetyreportid"), F.lit(self.buckets)).alias("bucket")
-        new = batch.select("*", bucket).persist()
+        of = F.when(F.col("safetyreportid").isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64("safetyreportid"))
+        new = batch.withColumn("bucket", F.pmod(of, F.lit(self.buckets)).cast("int")).persist()
         hit = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        for b in hit:
-            part = new.where(F.col("bucket") == b).drop("bucket")
-            old = self.partition(b)
-            whole = latest_versions(part if old is None else old.unionByName(part), distinct=True)
-            version = f"{self.root}/bucket={b}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
-            whole.write.mode("overwrite").parquet(version)
+        if hit:
+            held = self._held()
+            old = self._read({b: held[b] for b in hit if b in held}, with_bucket=True)
+            rows = new if old is None else old.unionByName(new)
+            whole = latest_versions(rows, distinct=True)
+            version = f"{self.root}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
+            whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(version)
+            self._tidy()
         new.unpersist()
 
-    def _versions(self, b: int) -> list[str]:
+    def _fs(self):
         sc = self.spark.sparkContext
         P = sc._jvm.org.apache.hadoop.fs.Path
-        path = P(f"{self.root}/bucket={b}")
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(P(s.getPath().toString() + "/_SUCCESS")))
+        return P, P(self.root).getFileSystem(sc._jsc.hadoopConfiguration())
 
-    def partition(self, b: int) -> DataFrame | None:
-        versions = self._versions(b)
-        return self.spark.read.schema(schema.FACT).parquet(versions[-1]) if versions else None
+    def _versions(self) -> list[str]:
+        P, fs = self._fs()
+        if not fs.exists(P(self.root)):
+            return []
+        return sorted(s.getPath().toString() for s in fs.listStatus(P(self.root)) if fs.exists(P(s.getPath().toString() + "/_SUCCESS")))
+
+    def _held(self) -> dict[int, str]:
+        """The folder of each bucket's newest version."""
+        P, fs = self._fs()
+        out = {}
+        for v in self._versions():
+            for s in fs.listStatus(P(v)):
+                name = s.getPath().getName()
+                if name.startswith("bucket="):
+                    out[int(name[7:])] = f"{v}/{name}"
+        return out
+
+    def _tidy(self) -> None:
+        P, fs = self._fs()
+        needed = {p.rpartition("/")[0] for p in self._held().values()}
+        for v in self._versions()[:-2]:
+            if v not in needed:
+                fs.delete(P(v), True)
+
+    def _read(self, held: dict[int, str], with_bucket: bool = False) -> DataFrame | None:
+        if not held:
+            return None
+        rows = self.spark.read.schema(schema.FACT).parquet(*held.values())
+        if not with_bucket:
+            return rows
+        return rows.withColumn("bucket", F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int"))
 
     def current(self) -> DataFrame:
-        paths = [v[-1] for b in range(self.buckets) if (v := self._versions(b))]
-        return self.spark.read.schema(schema.FACT).parquet(*paths) if paths else self.spark.createDataFrame([], schema.FACT)
+        rows = self._read(self._held())
+        return rows if rows is not None else self.spark.createDataFrame([], schema.FACT)
 
     def follow(self, stream: DataFrame, checkpoint: str):
         """Starts the merge of a stream; a batch that is retried rewrites the same ids to the same rows."""
