@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, ngram_lm, quality_rules, secret_scan, site_quality, source_mix, suffix_dedup, toxicity
+from . import decontaminate, filter_audit, language_id, minhash_dedup, multi_index, ngram_lm, quality_rules, secret_scan, site_quality, source_mix, suffix_dedup, toxicity, vector_codes
 from .common import crc_mod, documents
 
 
@@ -85,8 +85,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.array_join(F.map_keys("language.langs"), ",").alias("langs"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of every vector under codebooks of 256 entries learned in four rounds."""
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over every source."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all vectors at a cosine of 0.9."""
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op8_site_quality, op9_ngram_lm, op10_language_id)}
+    every = (
+        op1_secret_scan, op2_minhash_dedup, op3_decontaminate, op4_source_mix, op5_quality_rules, op6_suffix_dedup, op7_toxicity, op8_site_quality, op9_ngram_lm, op10_language_id,
+        op11_vector_codes, op12_filter_audit, op13_vector_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -167,5 +186,62 @@ SELECT doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_words, CAST(coalesce(d.f, 0
 """
 
 
+def op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain Lloyd rounds; doubles hold squared distances of such integers exactly."""
+    gap = "list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x)"
+    ctes = [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))",
+        f"p AS (SELECT r, vec_id, q, e[q * len(e) // {parts} + 1:(q + 1) * len(e) // {parts}] AS x FROM v, range({parts}) t(q))",
+        f"c0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS k, x FROM p JOIN (SELECT r FROM v ORDER BY vec_id LIMIT {entries}) USING (r))",
+    ]
+    for t in range(rounds + 1):
+        ctes.append(f"a{t} AS (SELECT r, q, min(({gap}) * {entries} + k) AS d FROM p JOIN c{t} c USING (q) GROUP BY r, q)")
+        if t < rounds:
+            ctes += [
+                f"m{t} AS (SELECT q, CAST(d AS BIGINT) % {entries} AS k, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS s FROM a{t} JOIN p USING (r, q))",
+                f"n{t} AS (SELECT q, k, list(s ORDER BY i) AS x FROM (SELECT q, k, i, floor(sum(s) / count(*)) AS s FROM m{t} GROUP BY q, k, i) GROUP BY q, k)",
+                f"c{t + 1} AS (SELECT q, k, coalesce(n{t}.x, c{t}.x) AS x FROM c{t} LEFT JOIN n{t} USING (q, k))",
+            ]
+    return f"""
+WITH {", ".join(ctes)},
+f AS (SELECT r, string_agg(printf('%02x', CAST(d AS BIGINT) % {entries}), '' ORDER BY q) AS code, CAST(sum(CAST(d AS BIGINT) // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY q, k)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN f USING (r)
+"""
+
+
+OP12_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+f AS (SELECT *, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+g AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+  count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT x1.k || x2.k || x3.k || x4.k || x5.k AS o FROM x x1, x x2, x x3, x x4, x x5 WHERE len(list_distinct([x1.k, x2.k, x3.k, x4.k, x5.k])) = 5),
+s AS (SELECT o, CAST(step AS INT) AS step, o[step] AS k, o[1:step - 1] AS before, o[1:step] AS upto FROM o, range(1, 6) t(step)),
+r AS (SELECT part, o, step, k, n, good, bad, fails, contains(fails, k) AS failing, len(translate(fails, before, '')) < len(fails) AS gone, len(translate(fails, upto, '')) < len(fails) AS gone_then FROM g, s),
+y AS (SELECT part, o AS filter_order, step, k, sum(CASE WHEN NOT gone_then THEN n ELSE 0 END) AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = k THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT gone THEN bad ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM y
+"""
+
+
+#: Every pair; the index meets all of them on small tables, where a vector visits most of its few cells.
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+two AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a AS vec_id, count(*) AS n FROM two GROUP BY a),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT two.b, reach.r FROM reach JOIN two ON two.a = reach.d WHERE reach.r < two.b)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT d AS vec_id, min(r) AS component_id FROM reach GROUP BY d) LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op9_ngram_lm": OP9_SQL}
+    return {"op11_vector_codes": op11_sql(), "op12_filter_audit": OP12_SQL, "op13_vector_dedup": OP13_SQL, "op2_minhash_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op9_ngram_lm": OP9_SQL}
