@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import special as S
+from .scan import Ranges
 
 EPS = 1e-7
 Z = 1.959963985
@@ -63,9 +64,22 @@ def pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
     return sizes.join(means, "drug").withColumn("pi0", F.least(F.lit(1.0), F.col("v") / F.exp(F.expr(S.log_gamma("(power + 1.0)"))))).drop("v")
 
 
+def power_text(m: str) -> str:
+    """SQL text for :func:`special.lbe_power`: 1 up to 400 cells, where nothing is solved, else by halving."""
+    step = f"CASE WHEN {S.log_gamma('(s.lo + s.hi + 1.0)')} - 2.0 * {S.log_gamma('((s.lo + s.hi) / 2.0 + 1.0)')} < ln(1.0 + {m} * 0.0025) THEN named_struct('lo', (s.lo + s.hi) / 2.0, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', (s.lo + s.hi) / 2.0) END"
+    start = "named_struct('lo', CAST(1.0 AS DOUBLE), 'hi', CAST(64.0 AS DOUBLE))"
+    return f"CASE WHEN {m} <= 400 THEN CAST(1.0 AS DOUBLE) ELSE aggregate(sequence(1, 60), {start}, (s, k) -> {step}, s -> (s.lo + s.hi) / 2.0) END"
+
+
 def with_pi0(ps: DataFrame, p: str = "p_value") -> DataFrame:
-    """Adds m, k, power and pi0 of each row's drug."""
-    return ps.join(pi0(ps, p), "drug")
+    """Adds m, k, power and pi0 of each row's drug, in windows over the drug: the rows are read once and shuffled once."""
+    every = W.partitionBy("drug")
+    x = ps.withColumns({"m": F.count("*").over(every), "k": F.count_if(F.col(p) <= 0.5).over(every), "__q": F.expr(f"2.0 * least({p}, 1.0 - {p})")})
+    x = x.withColumn("power", F.expr(power_text("m")))
+    # q = 1 says nothing but null: its -log is unbounded
+    value = F.expr("CASE WHEN __q >= 1.0 THEN CAST('Infinity' AS DOUBLE) WHEN m <= 400 THEN -ln(1.0 - __q) ELSE pow(-ln(1.0 - __q), power) END")
+    x = x.withColumn("__v", F.avg(value).over(every))
+    return x.withColumn("pi0", F.least(F.lit(1.0), F.when(F.col("m") <= 400, F.col("__v")).otherwise(F.col("__v") / F.exp(F.expr(S.log_gamma("(power + 1.0)")))))).drop("__q", "__v")
 
 
 def lbe(ps: DataFrame, p: str = "p_value", fdr_level: float = 0.05, confidence: float = 0.95) -> DataFrame:
@@ -87,6 +101,36 @@ def lbe(ps: DataFrame, p: str = "p_value", fdr_level: float = 0.05, confidence:
     return x.withColumns({"pi0_upper": F.least(F.lit(1.0), F.col("pi0") + z * F.col("sd_bound")), "significant": F.col("qvalue") <= fdr_level}).drop("i", "q", "place", "k")
 
 
+def lbe_family(ps: DataFrame, p: str = "p_value", fdr_level: float = 0.05, confidence: float = 0.95, ranges: int | None = None) -> DataFrame:
+    """:func:`lbe` for families too large for a window: all cells of all drugs, say. Ranks, ties and the running minimum are
+    scans over ranges of p-values; a family's own numbers are a row of :func:`pi0`."""
+    x = Ranges(ps, "drug", p, "pt", ranges=ranges)
+    own = pi0(x.rows.select("drug", p), p).select(F.col("drug").alias("__d"), "power", "pi0")
+    x.rows = x.rows.join(own, F.col("drug").eqNullSafe(F.col("__d"))).drop("__d")
+    raw = F.try_divide(F.col("pi0") * F.col("m") * F.col(p), F.when(F.col("i") == F.col("m"), F.col("m")).otherwise(F.col("i") - 1))
+    x.running("min", raw, "q", backwards=True)
+    x.over_ties(lo=("min", F.col("i")), hi=("max", F.col("i")))
+    x.over_ties(qvalue=("max", F.when(F.col("i") == F.floor((F.col("lo") + F.col("hi")) / 2), F.col("q"))))
+    out = x.done().drop("q", "lo", "hi", "i")
+    spread = F.sqrt((F.exp(F.expr(S.log_gamma("(2.0 * power + 1.0)")) - 2 * F.expr(S.log_gamma("(power + 1.0)"))) - 1) / F.col("m"))
+    out = out.withColumn("sd_bound", spread)
+    return out.withColumns({"pi0_upper": F.least(F.lit(1.0), F.col("pi0") + S.normal_quantile(confidence) * F.col("sd_bound")), "significant": F.col("qvalue") <= fdr_level})
+
+
+def posterior_errors_family(x: DataFrame, p: str = "p_null", ranges: int | None = None) -> DataFrame:
+    """:func:`posterior_errors` for families too large for a window; adds ``mean_rank``, the average place of equal
+    probabilities, and ``score``, 1 - p over the largest such of the family."""
+    scan = Ranges(x.withColumn("__null", F.round(p, 12)), "drug", "__null", "pt", ranges=ranges)
+    scan.running("sum", F.col(p), "cum").running("max", 1 - F.col(p), "top").running("max", F.col("cum"), "tot", backwards=True)
+    scan.running("max", F.col("top"), "best", backwards=True)
+    scan.over_ties(lo=("min", F.col("i")), hi=("max", F.col("i")))
+    hit, true_all = F.col("i") - F.col("cum"), F.col("m") - F.col("tot")
+    return scan.done().withColumns({
+        "fdr": F.col("cum") / F.col("i"), "fnr": F.try_divide(true_all - hit, F.col("m") - F.col("i")), "se": F.try_divide(hit, true_all), "sp": F.try_divide(F.col("tot") - F.col("cum"), F.col("tot")),
+        "mean_rank": (F.col("lo") + F.col("hi")) / 2, "score": F.try_divide(1 - F.col(p), F.greatest("best", "top")),
+    }).withColumnRenamed("i", "rk").drop("__null", "cum", "m", "tot", "top", "best", "lo", "hi")
+
+
 def with_fdr(ps: DataFrame, p: str = "p_value", legacy_order: bool = False) -> DataFrame:
     """Adds ``fdr``, aligned with its row. ``legacy_order`` gives rows by descending a the sorted values in turn instead."""
     x = with_pi0(ps, p).withColumn("i", F.row_number().over(W.partitionBy("drug").orderBy(p, "pt")))

@@ -491,9 +491,9 @@ rc AS (SELECT a.pt, a.m, a.power, a.pi0, b.q, sqrt((gamma(2 * a.power + 1) / pow
 
 @query(with_facts("SELECT pt, m, round(power, 6) AS power, round(pi0, 6) AS pi0, round(least(1, pi0 + 1.6448536269514722 * sd), 6) AS pi0_upper, round(q, 6) AS qvalue, q <= 0.05 AS significant FROM rc", ALL_CT, PREP, tails(ROR), LBE).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_lbe_qvalues(spark, sf_dir):
-    """All cells of all drugs as one family: its power is above 1, and every cell gets a q-value."""
+    """All cells of all drugs as one family, scanned in ranges: its power is above 1, and every cell gets a q-value."""
     ps = D.ratio(C.all_pairs(facts(spark, sf_dir)), D.log_ror(), "ror").select(F.lit("every").alias("drug"), F.concat_ws("|", "drug", "pt").alias("pt"), F.round("p_value", 12).alias("p_value"))
-    x = D.lbe(ps)
+    x = D.lbe_family(ps)
     return x.select("pt", "m", *rounded(x, "power", "pi0", "pi0_upper", "qvalue"), "significant")
 
 
@@ -542,6 +542,20 @@ def q_bcpnn(spark, sf_dir):
     return x.select("drug", "pt", "a", *rounded(x, "ic", "ic025"), F.round("p_null", 8).alias("p_null"), *rounded(x, "fdr", "fnr", "se", "sp"))
 
 
+@query(with_facts(
+    """SELECT drug, pt, round(p, 8) AS p_null, CAST(i AS BIGINT) AS rk, CAST((lo + hi) / 2.0 AS DOUBLE) AS mean_rank, round(cum / i, 6) AS fdr, round((m - tot - i + cum) / nullif(m - i, 0), 6) AS fnr,
+  round((i - cum) / (m - tot), 6) AS se, round((tot - cum) / tot, 6) AS sp, round((1 - p) / best, 6) AS score
+  FROM (SELECT *, min(i) OVER (PARTITION BY r) AS lo, max(i) OVER (PARTITION BY r) AS hi FROM (SELECT *, round(p, 12) AS r, sum(p) OVER w AS cum, row_number() OVER w AS i, count(*) OVER () AS m, sum(p) OVER () AS tot, max(1 - p) OVER () AS best
+    FROM (SELECT drug, drug || '|' || pt AS pt, p FROM x6) WINDOW w AS (ORDER BY round(p, 12), pt ROWS UNBOUNDED PRECEDING)))""",
+    ALL_CT, PREP, IC, f"x6 AS (SELECT *, {upper_tail('z')} AS p FROM x55)",
+))
+def q_bcpnn_family(spark, sf_dir):
+    """Posterior errors when the cells of all drugs are called in one order."""
+    cells = D.bcpnn_columns(C.all_pairs(facts(spark, sf_dir))).select(F.lit("every").alias("drug"), F.col("drug").alias("of"), F.concat_ws("|", "drug", "pt").alias("pt"), "p_null")
+    x = D.posterior_errors_family(cells)
+    return x.select(F.col("of").alias("drug"), "pt", F.round("p_null", 8).alias("p_null"), F.col("rk").cast("long").alias("rk"), "mean_rank", *rounded(x, "fdr", "fnr", "se", "sp", "score"))
+
+
 @query()
 def q_bcpnn_mc(spark, sf_dir):
     return D.bcpnn_simulated(C.all_pairs(facts(spark, sf_dir)))

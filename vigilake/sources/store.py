@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet on the shared folder and read again: its lineage ends there, and every reader sees the same
+    rows in the same ranges."""
+    path = f"{shared_dir(df.sparkSession)}/derived-{df.sparkSession.sparkContext.applicationId}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop_settled(*tables: DataFrame) -> None:
+    """Delete tables of :func:`settle` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def root(spark: SparkSession, sf_dir: str) -> str:
     return f"{shared_dir(spark)}/derived-{spark.sparkContext.applicationId}/{re.sub(r'[^A-Za-z0-9.]+', '_', sf_dir)}"
 
