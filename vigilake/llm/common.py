@@ -166,12 +166,27 @@ SAMPLE_BYTES = 64_000_000
 
 
 def sampled_rows(docs: DataFrame, picked: DataFrame, hard_limit: int | None = None) -> DataFrame:
-    """The picked documents' texts; never more than ``hard_limit`` rows where that is given, those with the smallest hashes.
+    """The picked documents' texts; never more than ``hard_limit`` rows where that is given, those with the smallest hashes:
+    an id that stands on several rows then gives its text of least hash.
 
     ``picked`` is bounded by what its caller counted, so it may be broadcast."""
     if hard_limit is not None:
         picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(hard_limit)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    if hard_limit is None:
+        return rows
+    by = [c for c in picked.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", *by).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *by)
+
+
+def row_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """About ``most`` different (doc_id, text, ``by``) rows for each value of ``by``, those with the smallest hashes of id and
+    text; a row is sampled with the value that stands on it, whatever other rows of its id say. Nulls in any of the three are
+    left out, equal rows count once."""
+    rows = rows.select("doc_id", "text", by).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(by).isNotNull())
+    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < F.lit(1_000_000.0 * most) / F.col("__n")
+    return rows.join(sizes, by).where(share).select("doc_id", "text", by).distinct()
 
 
 def to_driver(rows: DataFrame, by: str, most_bytes: int = SAMPLE_BYTES) -> list:

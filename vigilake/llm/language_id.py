@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, mix64, packed, sampled_rows, to_driver, with_arrow
+from .common import U64, mix64, packed, row_sample, to_driver, with_arrow
 
 #: Labelled rows for each language, n-gram order, hash slots of an order, smoothing, EM steps.
 PER_LANGUAGE, ORDER, SLOTS, KAPPA, STEPS = 1500, 4, 1 << 17, 4.0, 12
@@ -160,8 +160,8 @@ def mixtures(p: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.nda
 
 def learn(docs: DataFrame) -> Model:
     """docs: labelled rows with doc_id, text and lang. A sample bounded for each language reaches the driver."""
-    picked = bounded_sample(docs, "lang", PER_LANGUAGE).withColumnRenamed("lang", "__lang")
-    return Model([(r["text"], r["__lang"]) for r in to_driver(sampled_rows(docs, picked), "__lang")])
+    rows = row_sample(docs.withColumnRenamed("lang", "__lang"), "__lang", PER_LANGUAGE)
+    return Model([(r["text"], r["__lang"]) for r in to_driver(rows, "__lang")])
 
 
 def slices(tokens: list[list[str]], most: int) -> Iterator[tuple[int, int]]:

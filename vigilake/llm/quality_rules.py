@@ -107,7 +107,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     picked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("__y")).groupBy("doc_id").agg(F.min("__y").alias("__y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).where(~base_failed()).select("doc_id", "__y", *[feature(f).alias(f) for f in FEATURES])
-    got = rows.toPandas().sort_values("doc_id").head(most)
+    got = rows.orderBy("doc_id", "__y", *FEATURES).limit(most).toPandas()
     return got[list(FEATURES)].to_numpy(float), got["__y"].to_numpy(int)
 
 
