@@ -403,6 +403,27 @@ def q_ct_daterange(spark, sf_dir):
     return C.by_report(facts(spark, sf_dir), DRUG, "sex = 'male'", ("1996-01-01", "1999-12-31"), min_a=1)
 
 
+@query(ct_sql(f"safetyreportid IN (SELECT safetyreportid FROM fact WHERE drug_name = '{CO}')", min_a=1))
+def q_bitmap_comed(spark, sf_dir):
+    """The table of a drug among the reports of another, from bitmaps alone."""
+    return store.index(spark, sf_dir).comedication(DRUG, CO, min_a=1)
+
+
+@query(with_facts(f"""SELECT drug_name AS co_drug, count(DISTINCT safetyreportid) AS n, count(DISTINCT safetyreportid) FILTER (WHERE safetyreportid IN (SELECT safetyreportid FROM fact WHERE drug_name = '{DRUG}')) AS n_both
+  FROM fact WHERE drug_name <> '{DRUG}' AND drug_name <> '' AND reaction_pt <> '' GROUP BY 1"""))
+def q_bitmap_comeds(spark, sf_dir):
+    """How many reports of every drug name another one as well."""
+    return store.index(spark, sf_dir).comedications(DRUG)
+
+
+@query(with_facts("SELECT 'drug' AS field, drug_name AS value, count(DISTINCT safetyreportid) AS n FROM fact WHERE drug_name <> '' AND reaction_pt <> '' GROUP BY 2 UNION ALL SELECT 'pt', reaction_pt, count(DISTINCT safetyreportid) FROM fact WHERE drug_name <> '' AND reaction_pt <> '' GROUP BY 2"))
+def q_bitmap_sizes(spark, sf_dir):
+    """Reports of every drug and reaction, counted on the bits."""
+    index = store.index(spark, sf_dir).buckets
+    bits = F.when(F.col("bits").isNotNull(), F.bitmap_count("bits")).otherwise(F.size("few"))
+    return index.groupBy("field", "value").agg(F.sum(bits).alias("n"))
+
+
 @query(with_facts("SELECT * FROM ct", ALL_CT))
 def q_all_pairs(spark, sf_dir):
     return C.all_pairs(facts(spark, sf_dir))

@@ -77,3 +77,13 @@ def marts(spark: SparkSession, sf_dir: str) -> Marts:
     if not _exists(spark, f"{path}/bridge/_SUCCESS"):
         build_marts(spark, sf_dir)
     return Marts.read(spark, path)
+
+
+def index(spark: SparkSession, sf_dir: str):
+    """The bitmaps of the fact's reports, written by the first that asks in a session."""
+    from ..operators.bitmaps import ReportIndex
+
+    path = f"{root(spark, sf_dir)}/bitmaps"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        ReportIndex.of(fact(spark, sf_dir)).write(path)
+    return ReportIndex.read(spark, path)
