@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from ..sources import reports as P
 from ..sources import schema
 from ..sources import store
 from ..sources.adapter import table, with_facts
+from ..streaming.marts import LiveMarts
+from ..streaming.reports import LatestVersions
 from . import predicate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,8 +123,9 @@ def q_json_flatten(spark, sf_dir):
 
 @query(with_facts("SELECT drug_name, count(*) AS n_rows, min(receivedate) AS first_date, max(receivedate) AS last_date FROM fact GROUP BY drug_name"))
 def q_ctas(spark, sf_dir):
-    """The fact written sorted by drug and read back."""
-    path = store.build_fact(spark, sf_dir)
+    """The fact written sorted by drug, in a folder of its own, and read back."""
+    path = f"{store.root(spark, sf_dir)}/ctas-{uuid.uuid4().hex}"
+    P.write_sorted(facts(spark, sf_dir), path)
     return spark.read.schema(schema.FACT).parquet(path).groupBy("drug_name").agg(F.count("*").alias("n_rows"), F.min("receivedate").alias("first_date"), F.max("receivedate").alias("last_date"))
 
 
@@ -403,6 +407,33 @@ def q_ct_daterange(spark, sf_dir):
     return C.by_report(facts(spark, sf_dir), DRUG, "sex = 'male'", ("1996-01-01", "1999-12-31"), min_a=1)
 
 
+def followed(spark, sf_dir) -> LiveMarts:
+    """Marts that follow three merges: the facts of even orders; all orders, a third of them with an early version that names
+    one other drug and sex; and those orders' own facts at their own dates."""
+    whole = facts(spark, sf_dir)
+    third = (F.col("safetyreportid").cast("long") % 3) == 0
+    early = whole.where(third).withColumns({"drug_name": F.lit("EARLY NAME"), "sex": F.lit("unknown"), "receivedate": F.lit("1990-01-01")})
+    path = f"{store.root(spark, sf_dir)}/live-{uuid.uuid4().hex}"
+    live = LiveMarts(spark, f"{path}/marts", LatestVersions(spark, f"{path}/reports", buckets=8), fold_at=2)
+    for k, batch in enumerate([whole.where(~third & (F.col("safetyreportid").cast("long") % 2 == 0)), whole.where(~third).unionByName(early), whole.where(third)]):
+        live.merge(batch, k)
+    return live
+
+
+@query(with_facts("SELECT * FROM ct", ALL_CT))
+def q_live_pairs(spark, sf_dir):
+    """Every drug's table from counts that followed three merges with replaced reports."""
+    return followed(spark, sf_dir).all_pairs()
+
+
+@query(with_facts("""SELECT c.sex, c.age_stratum, reaction_pt, n_pt_stratum, n_stratum, CAST(sum(n_pt_stratum) OVER (PARTITION BY c.sex, c.age_stratum) AS BIGINT) AS n_pairs_stratum
+  FROM (SELECT sex, age_stratum, reaction_pt, count(DISTINCT safetyreportid) AS n_pt_stratum FROM fact WHERE reaction_pt <> '' GROUP BY ALL) c
+  JOIN (SELECT sex, age_stratum, count(DISTINCT safetyreportid) AS n_stratum FROM fact GROUP BY ALL) s ON s.sex = c.sex AND s.age_stratum = c.age_stratum"""))
+def q_live_cube(spark, sf_dir):
+    """The cube after the same merges."""
+    return followed(spark, sf_dir).marts().cubed
+
+
 @query(ct_sql(f"safetyreportid IN (SELECT safetyreportid FROM fact WHERE drug_name = '{CO}')", min_a=1))
 def q_bitmap_comed(spark, sf_dir):
     """The table of a drug among the reports of another, from bitmaps alone."""

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 
 
+#: The tables that facts are made from.
+TABLES = ("lineitem", "part", "orders", "customer", "nation")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.marts import Marts
 from . import adapter, schema
-from .reports import write_sorted
+from .reports import is_stale, write_sorted
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,12 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
-
-
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet on the shared folder and read again: its lineage ends there, and every reader sees the same
     rows in the same ranges."""
@@ -59,9 +53,10 @@ def build_fact(spark: SparkSession, sf_dir: str) -> str:
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived fact from Parquet, sorted by drug; written by the first that asks in a session."""
+    """The derived fact from Parquet, sorted by drug; written by the first that asks in a session, and again when the tables
+    that it is made from are newer."""
     path = f"{root(spark, sf_dir)}/fact"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if any(is_stale(spark, f"{sf_dir}/{t}.parquet", f"{path}/_SUCCESS") for t in adapter.TABLES):
         build_fact(spark, sf_dir)
     return spark.read.schema(schema.FACT).parquet(path)
 
@@ -74,7 +69,8 @@ def build_marts(spark: SparkSession, sf_dir: str) -> str:
 
 def marts(spark: SparkSession, sf_dir: str) -> Marts:
     path = f"{root(spark, sf_dir)}/marts"
-    if not _exists(spark, f"{path}/bridge/_SUCCESS"):
+    fact(spark, sf_dir)
+    if is_stale(spark, f"{root(spark, sf_dir)}/fact/_SUCCESS", f"{path}/bridge/_SUCCESS"):
         build_marts(spark, sf_dir)
     return Marts.read(spark, path)
 
@@ -84,6 +80,7 @@ def index(spark: SparkSession, sf_dir: str):
     from ..operators.bitmaps import ReportIndex
 
     path = f"{root(spark, sf_dir)}/bitmaps"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        ReportIndex.of(fact(spark, sf_dir)).write(path)
+    facts = fact(spark, sf_dir)
+    if is_stale(spark, f"{root(spark, sf_dir)}/fact/_SUCCESS", f"{path}/_SUCCESS"):
+        ReportIndex.of(facts).write(path)
     return ReportIndex.read(spark, path)

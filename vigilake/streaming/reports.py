@@ -41,6 +41,20 @@ class LatestVersions:
             self._tidy()
         new.unpersist()
 
+    def changes(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows that the batch's ids have now, rows that they have once it is merged); rows without an id are not told."""
+        new = batch.where(F.col("safetyreportid").isNotNull())
+        ids = new.select("safetyreportid").distinct()
+        hit = [r[0] for r in ids.select(F.pmod(F.xxhash64("safetyreportid"), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets`` numbers
+        held = self._held()
+        old = self._read({b: held[b] for b in hit if b in held})
+        before = self.spark.createDataFrame([], schema.FACT) if old is None else old.join(ids, "safetyreportid", "left_semi")
+        before = before.select(batch.columns)
+        return before, latest_versions(before.unionByName(new), distinct=True)
+
+    def merged(self, batch_id: int) -> bool:
+        return any(v.rpartition("/")[2].startswith(f"v{batch_id:08d}-") for v in self._versions())
+
     def _fs(self):
         sc = self.spark.sparkContext
         P = sc._jvm.org.apache.hadoop.fs.Path
