@@ -18,9 +18,11 @@ from ..operators import labels as L
 from ..operators import launch_bias as B
 from ..operators import marts as M
 from ..operators import resolve as R
+from ..operators import timeline as TL
 from ..sources import reports as P
 from ..sources import schema
 from ..sources import store
+from ..sources.lookups import LookupTable
 from ..sources.adapter import table, with_facts
 from ..streaming.marts import LiveMarts
 from ..streaming.reports import LatestVersions
@@ -83,8 +85,8 @@ def q_partition_select(spark, sf_dir):
     return x.select("file", "quarter_name", F.col("size_mb").cast("double").alias("size_mb"), "records")
 
 
-def raw_reports(spark, sf_dir) -> DataFrame:
-    """Orders written as raw JSON reports and read back with the declared schema."""
+def report_texts(spark, sf_dir) -> DataFrame:
+    """(id, text): orders as raw JSON reports."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     x = line.join(part, line.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(
@@ -104,10 +106,29 @@ def raw_reports(spark, sf_dir) -> DataFrame:
             F.when(one, F.to_json(drug[0])).otherwise(F.to_json(drug)).alias("drug"), F.to_json(reaction).alias("reaction"),
         ).alias("patient"),
     )
-    return x.select(F.from_json(F.to_json(report), schema.REPORT).alias("r")).select("r.*")
+    return x.select(F.col("l_orderkey").alias("id"), F.to_json(report).alias("text"))
+
+
+def raw_reports(spark, sf_dir) -> DataFrame:
+    """Orders written as raw JSON reports and read back with the declared schema."""
+    return report_texts(spark, sf_dir).select(F.from_json("text", schema.REPORT).alias("r")).select("r.*")
+
+
+#: Records of a raw report file.
+FILE_RECORDS = 5_000
+
+
+def report_files(spark, sf_dir) -> str:
+    """Orders written as files of ``{"meta": ..., "results": [...]}``, each one line."""
+    texts = report_texts(spark, sf_dir)
+    files = max(1, table(spark, sf_dir, "orders").count() // FILE_RECORDS)
+    whole = texts.groupBy(F.pmod(F.hash("id"), F.lit(files)).alias("file")).agg(F.array_join(F.collect_list("text"), ",").alias("text"))
+    path = f"{store.root(spark, sf_dir)}/raw-{uuid.uuid4().hex}"
+    whole.select(F.concat(F.lit('{"meta": {"disclaimer": "none"}, "results": ['), "text", F.lit("]}")).alias("value")).repartition(files).write.text(path)
+    return path
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, p_name, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
+JSON_SQL = """WITH x AS (SELECT l_orderkey, l_linenumber, p_name, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
   o AS (SELECT *, CAST(c_custkey % 95 AS DOUBLE) / CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 12 END AS age FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT CAST(a.l_orderkey AS VARCHAR) AS safetyreportid, strftime(o_orderdate, '%Y-%m-%d') AS receivedate, CAST(year(o_orderdate) AS INT) AS receive_year,
   strftime(o_orderdate, '%Y') || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS receive_quarter, round(age, 6) AS age_years,
@@ -115,12 +136,24 @@ SELECT CAST(a.l_orderkey AS VARCHAR) AS safetyreportid, strftime(o_orderdate, '%
   CASE c_mktsegment WHEN 'MACHINERY' THEN 'male' WHEN 'BUILDING' THEN 'female' ELSE 'unknown' END AS sex,
   upper(a.p_name) AS drug_name, 'medicinalproduct' AS drug_name_source, CASE WHEN a.l_linenumber = 1 THEN '1' ELSE '2' END AS drug_characterization,
   upper(a.p_type) AS drug_indication, upper(concat_ws(' ', b.p_brand, b.p_type)) AS reaction_pt
-FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey JOIN o ON a.l_orderkey = o_orderkey""")
+FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey JOIN o ON a.l_orderkey = o_orderkey"""
+
+
+@query(JSON_SQL)
 def q_json_flatten(spark, sf_dir):
-    x = P.flatten(raw_reports(spark, sf_dir))
+    return flat_columns(P.flatten(raw_reports(spark, sf_dir)))
+
+
+def flat_columns(x: DataFrame) -> DataFrame:
     return x.select("safetyreportid", "receivedate", "receive_year", "receive_quarter", F.round("age_years", 6).alias("age_years"), "age_stratum", "sex", "drug_name", "drug_name_source", "drug_characterization", "drug_indication", "reaction_pt")
 
 
+@query(JSON_SQL)
+def q_json_cut(spark, sf_dir):
+    """The same from files of report lists, each read by as many tasks as it has splits."""
+    return flat_columns(P.flatten(P.read_files_cut(spark, report_files(spark, sf_dir))))
+
+
 @query(with_facts("SELECT drug_name, count(*) AS n_rows, min(receivedate) AS first_date, max(receivedate) AS last_date FROM fact GROUP BY drug_name"))
 def q_ctas(spark, sf_dir):
     """The fact written sorted by drug, in a folder of its own, and read back."""
@@ -147,13 +180,17 @@ def q_verify_counts(spark, sf_dir):
 
 @query("""SELECT upper(p_name) AS drug_name, CAST(min(CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 THEN 1950 + p_size END) AS INT) AS year FROM part GROUP BY 1""")
 def q_approval_year(spark, sf_dir):
+    return P.approval_year(approval_records(spark, sf_dir))
+
+
+def approval_records(spark, sf_dir) -> DataFrame:
+    """(drug_name, results): a product of every part's name with its submissions."""
     part = table(spark, sf_dir, "part")
     sub = F.struct(
         F.when(F.col("p_size") % 3 != 0, "ORIG").otherwise("SUPPL").alias("submission_type"), F.lit("AP").alias("submission_status"),
         F.when(F.col("p_size") % 7 != 0, F.concat((1950 + F.col("p_size")).cast("string"), F.lit("0101"))).otherwise("n/a").alias("submission_status_date"),
     )
-    x = part.groupBy(F.upper("p_name").alias("drug_name")).agg(F.array(F.struct(F.collect_list(sub).alias("submissions"))).alias("results"))
-    return P.approval_year(x)
+    return part.groupBy(F.upper("p_name").alias("drug_name")).agg(F.array(F.struct(F.collect_list(sub).alias("submissions"))).alias("results"))
 
 
 @query(with_facts("SELECT DISTINCT drug_name FROM fact WHERE drug_name IS NOT NULL AND drug_name <> ''"))
@@ -420,6 +457,34 @@ def followed(spark, sf_dir) -> LiveMarts:
     return live
 
 
+@query(with_facts("""SELECT CAST(e AS VARCHAR) AS slice_end, drug, pt, a, n_drug - a AS b, n_pt - a AS c, n - n_drug - n_pt + a AS d, n FROM (
+  SELECT e, drug, pt, count(*) AS a FROM tr JOIN ends ON first <= e GROUP BY ALL) JOIN (SELECT e, drug, count(DISTINCT id) AS n_drug FROM tr JOIN ends ON first <= e GROUP BY ALL) USING (e, drug)
+  JOIN (SELECT e, pt, count(DISTINCT id) AS n_pt FROM tr JOIN ends ON first <= e GROUP BY ALL) USING (e, pt) JOIN (SELECT e, count(DISTINCT id) AS n FROM tr JOIN ends ON first <= e GROUP BY ALL) USING (e) WHERE a >= 3""",
+  "tr AS (SELECT drug_name AS drug, reaction_pt AS pt, safetyreportid AS id, min(CAST(receivedate AS DATE)) AS first FROM fact WHERE drug_name <> '' AND reaction_pt <> '' GROUP BY ALL)",
+  "ends AS (SELECT CAST(unnest(generate_series(date_trunc('quarter', min(first)), date_trunc('quarter', max(first)), INTERVAL 3 MONTH)) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS e FROM tr)"))
+def q_pairs_over_time(spark, sf_dir):
+    """Every drug's table at the end of every quarter."""
+    x = TL.pairs_over_time(facts(spark, sf_dir))
+    return x.withColumn("slice_end", F.col("slice_end").cast("string"))
+
+
+def by_join(answers: DataFrame, payload) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher that finds its keys' records in a table and gives them as one payload."""
+    return lambda keys: keys.join(answers, F.col("key") == F.col("drug_name")).select("key", payload.alias("payload"))
+
+
+@query("""SELECT upper(p_name) AS drug_name, CAST(min(CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 THEN 1950 + p_size END) AS INT) AS year, 0 AS fetched_again FROM part GROUP BY 1""")
+def q_approval_lookups(spark, sf_dir):
+    """Approval years of every part's name through a table of lookups, asked twice; the second time nothing is fetched."""
+    known = approval_records(spark, sf_dir)
+    lookups = LookupTable(spark, f"{store.root(spark, sf_dir)}/approvals-{uuid.uuid4().hex}", by_join(known, F.to_json(F.struct("results"))))
+    wanted = table(spark, sf_dir, "part").select(F.upper("p_name").alias("key"))
+    lookups.ask(wanted)
+    again = lookups.ask(wanted)
+    parsed = lookups.answers(wanted).select(F.col("key").alias("drug_name"), F.from_json("payload", schema.struct(results=schema.APPROVAL["results"].dataType)).getField("results").alias("results"))
+    return P.approval_year(parsed).withColumn("fetched_again", F.lit(again))
+
+
 @query(with_facts("SELECT * FROM ct", ALL_CT))
 def q_live_pairs(spark, sf_dir):
     """Every drug's table from counts that followed three merges with replaced reports."""

@@ -42,6 +42,25 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(schema.RAW_FILE).option("multiLine", True).json(list(paths)).select(F.explode("results").alias("report")).select("report.*")
 
 
+#: How a record begins in files whose records all have their id first.
+RECORD_START = '{"safetyreportid":'
+
+
+def read_files_cut(spark: SparkSession, *paths: str, start: str = RECORD_START) -> DataFrame:
+    """:func:`read_files` for files too large for one task: a file is cut at byte ranges wherever records begin.
+
+    ``start`` is the text that every record begins with. It holds a brace before an unescaped quote, which no JSON string
+    can, so it never occurs inside one; it is the separator of a text scan, which Spark splits like any other. A piece is a
+    record without its start, then a comma or the end of list and file; the piece that opens a file ends with the list's
+    bracket and is no record. A file whose records begin otherwise is refused."""
+    head = F.ltrim("value").startswith("{") | F.ltrim("value").startswith("[")
+    opens = F.rtrim("value").endswith("[") | F.col("value").rlike(r"\[\s*\]\s*\}?\s*$")
+    refused = F.raise_error(F.concat(F.lit(f"no record that begins with {start} in "), F.col("_metadata.file_name"))).cast("boolean")
+    pieces = spark.read.option("lineSep", start).text(list(paths))
+    pieces = pieces.where(F.when(~head, F.length(F.trim("value")) > 0).when(opens, False).otherwise(refused))
+    return pieces.select(F.from_json(F.concat(F.lit(start), F.col("value")), schema.REPORT).alias("report")).select("report.*")
+
+
 def as_list(value: Column, element: str) -> Column:
     """A JSON list, or one object taken as a list of it; entries that are no objects become null."""
     return F.from_json(F.when(F.ltrim(value).startswith("["), value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), f"array<{element}>")
