@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import drop_settled, settle
+
 
 def convert(counts: DataFrame, margin_threshold: int = 1) -> DataFrame:
     """counts: (name, AE, count). The long form with margins, all taken before either is thresholded; n is the sum of events."""
@@ -30,34 +32,30 @@ def convert_binary(counts: DataFrame, events: list[str], expand_counts: bool = T
     return rows.select("name", "i", *[F.when(F.col("AE") == e, 1).otherwise(0).alias(e) for e in events])
 
 
-def convert_multi_item(rows: DataFrame, min_threshold: int = 3, sep: str = "|", most: int = 12) -> DataFrame:
-    """rows: (id, items, AE), items a list of co-products. Counts of every non-empty subset of items with each event, from the threshold on.
-
-    Lists of up to ``most`` items give all their subsets at once. Longer ones would double with each item: then subsets grow
-    an item at a time from those that reach the threshold, since no subset is more frequent than what it holds."""
-    x = rows.withColumn("items", F.array_sort(F.array_distinct(F.filter("items", lambda v: v.isNotNull() & (v != ""))))).where("size(items) > 0").select("items", "AE")
-    if (x.agg(F.max(F.size("items"))).head()[0] or 0) > most:
-        return frequent_subsets(x, min_threshold, sep)
-    mask = x.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("CAST(pow(2, size(items)) AS INT) - 1"))))
-    subset = F.expr("filter(items, (v, k) -> (shiftright(mask, k) & 1) = 1)")
-    return mask.withColumn("name", F.array_join(subset, sep)).groupBy("name", "AE").agg(F.count("*").alias("count")).where(F.col("count") >= min_threshold)
-
+def convert_multi_item(rows: DataFrame, min_threshold: int = 3, sep: str = "|") -> DataFrame:
+    """rows: (id, items, AE), items a list of co-products. Counts of every non-empty subset of items with each event (a null
+    event is one of its own), from the threshold on.
 
-def frequent_subsets(rows: DataFrame, min_threshold: int, sep: str) -> DataFrame:
-    """rows: (items, AE), items sorted. Level by level: a row carries its frequent subsets of k items, each grown by a later item."""
-    folded = rows.groupBy("items", "AE").agg(F.count("*").alias("n")).withColumn("row", F.xxhash64("items", "AE"))
-    grown = folded.select("items", "AE", "n", F.array().cast("array<string>").alias("have"))
-    out = None
+    Level by level, whatever the lists' lengths: a row carries its frequent subsets of k items, each grown by a later item,
+    since no subset is more frequent than what it holds. Equal lists fold before they grow. A level is a table of its own."""
+    x = rows.withColumn("items", F.array_sort(F.array_distinct(F.filter("items", lambda v: v.isNotNull() & (v != ""))))).where("size(items) > 0")
+    grown = x.groupBy("items", "AE").agg(F.count("*").alias("n")).withColumn("have", F.array().cast("array<string>"))
+    levels, was = [], []
     while True:
         later = F.filter("items", lambda v: (F.size("have") == 0) | (v > F.try_element_at(F.col("have"), F.lit(-1))))
-        tried = grown.select("items", "AE", "n", F.explode(F.transform(later, lambda v: F.concat("have", F.array(v)))).alias("have")).persist()
-        counts = tried.groupBy("have", "AE").agg(F.sum("n").alias("count")).where(F.col("count") >= min_threshold).persist()
-        if not counts.limit(1).count():
+        tried = settle(grown.select("items", "AE", "n", F.explode(F.transform(later, lambda v: F.concat("have", F.array(v)))).alias("have")))
+        levels.append(settle(tried.groupBy("have", "AE").agg(F.sum("n").alias("count")).where(F.col("count") >= min_threshold)))
+        drop_settled(*was)
+        was = [tried]
+        if not levels[-1].limit(1).count():
+            drop_settled(tried)
             break
-        level = counts.select(F.array_join("have", sep).alias("name"), "AE", "count")
-        out = level if out is None else out.unionByName(level)
-        grown = tried.join(counts.select("have", "AE"), ["have", "AE"], "left_semi")
-    return out if out is not None else counts.select(F.array_join("have", sep).alias("name"), "AE", "count")
+        keep = levels[-1].select(F.col("have").alias("kept"), F.col("AE").alias("of"))
+        grown = tried.join(keep, (F.col("have") == F.col("kept")) & F.col("AE").eqNullSafe(F.col("of")), "left_semi")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select(F.array_join("have", sep).alias("name"), "AE", "count")
 
 
 def periods(rows: DataFrame, unit: str, date: str = "date") -> DataFrame:

@@ -18,6 +18,8 @@ SPELLINGS = {
     "thrombocytopenia": "thrombocytopenia", "ischaemia": "ischemia", "ischaemic": "ischemic", "oesophageal": "esophageal", "oesophagus": "esophagus",
     "diarrhoeal": "diarrheal", "paediatric": "pediatric", "gynaecological": "gynecological", "orthopaedic": "orthopedic",
 }
+#: Records of a product that count.
+RECORDS = 3
 #: Characters of a snippet on each side, and of a stored snippet.
 AROUND, STORED = 150, 300
 
@@ -32,7 +34,7 @@ def variants(term: Column) -> Column:
     return F.array_distinct(F.filter(F.array(low, table[low], respelled), lambda x: x.isNotNull()))
 
 
-def from_records(raw: DataFrame, most: int = 3) -> DataFrame:
+def from_records(raw: DataFrame, most: int = RECORDS) -> DataFrame:
     """raw: (drug_name, results), results a product's label records as the regulator's JSON gives them: a list of objects whose
     sections are lists of texts. (drug_name, label, section, text) of its first ``most`` records' safety sections."""
     record = "struct<" + ", ".join(f"{s}:array<string>" for s in SAFETY_SECTIONS) + ">"
@@ -42,6 +44,15 @@ def from_records(raw: DataFrame, most: int = 3) -> DataFrame:
     return rows.where(F.length("text") > 0)
 
 
+def first_records(rows: DataFrame, most: int = RECORDS) -> DataFrame:
+    """rows: (drug_name, label, ...). The rows of a product's first records in the order of ``label``.
+
+    Numbers alone are ranked, and cut to ``most`` before they are shuffled; no task holds a product's texts."""
+    labels = rows.select("drug_name", "label").distinct()
+    turn = F.row_number().over(W.partitionBy("drug_name").orderBy("label"))
+    return rows.join(labels.withColumn("__turn", turn).where(F.col("__turn") <= most).drop("__turn"), ["drug_name", "label"], "left_semi")
+
+
 def sections(labels: DataFrame) -> DataFrame:
     """labels: (drug_name, label, section, text). One lower-case text for each drug and section, labels in order."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("label", "text"))), lambda x: x["text"])

@@ -68,20 +68,34 @@ def values(rows: list[tuple], cols: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(lit(v) for v in r) + ')' for r in rows)}) AS t({cols})"
 
 
+#: A part for each twelfth of a quarter's orders, and some entries beside them.
+MANIFEST_SQL = f"""(SELECT file, size_mb, records FROM {values(MANIFEST, "file, size_mb, records")} UNION ALL
+  SELECT 'https://x.example/' || year(o_orderdate) || 'q' || quarter(o_orderdate) || '/drug-event-' || lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 4, '0') || '-of-0012.json.zip' AS file, CAST(count(*) AS VARCHAR) AS size_mb, count(*) AS records FROM orders GROUP BY 1)"""
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    part = F.concat(F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 4, "0"), F.lit("-of-0012.json.zip"))
+    file = F.concat(F.lit("https://x.example/"), F.year("o_orderdate"), F.lit("q"), F.quarter("o_orderdate"), F.lit("/drug-event-"), part)
+    parts = o.groupBy(file.alias("file")).agg(F.count("*").cast("string").alias("size_mb"), F.count("*").alias("records"))
+    return spark.createDataFrame(MANIFEST, schema.MANIFEST).unionByName(parts)
+
+
 @query(f"""SELECT file, y AS year, q AS quarter, CAST(row_number() OVER (ORDER BY y, q, file) AS INT) AS rank FROM (
   SELECT file, coalesce(try_cast(nullif(regexp_extract(file, '/(\\d{{4}})q(\\d)/', 1), '') AS INT), 0) AS y, coalesce(try_cast(nullif(regexp_extract(file, '/(\\d{{4}})q(\\d)/', 2), '') AS INT), 0) AS q
-  FROM {values(MANIFEST, "file, size_mb, records")})""")
+  FROM {MANIFEST_SQL})""")
 def q_manifest_order(spark, sf_dir):
+    """A manifest has some thousand entries, so one window ranks it."""
     from pyspark.sql import Window as W
 
-    x = P.order_manifest(spark.createDataFrame(MANIFEST, schema.MANIFEST))
+    x = P.order_manifest(manifest(spark, sf_dir))
     return x.select("file", "year", "quarter", F.row_number().over(W.orderBy("year", "quarter", "file")).alias("rank"))
 
 
-@query(f"""SELECT file, string_split(file, '/')[-2] AS quarter_name, CAST(size_mb AS DOUBLE) AS size_mb, CAST(records AS BIGINT) AS records FROM {values(MANIFEST, "file, size_mb, records")}
-  WHERE string_split(file, '/')[-2] IN ('2004q2', '2010q1') AND contains(file, '0001-of')""")
+@query(f"""SELECT file, string_split(file, '/')[-2] AS quarter_name, CAST(size_mb AS DOUBLE) AS size_mb, CAST(records AS BIGINT) AS records FROM {MANIFEST_SQL}
+  WHERE string_split(file, '/')[-2] IN ('2004q2', '2010q1', '1995q3', '1997q1') AND contains(file, '0001-of')""")
 def q_partition_select(spark, sf_dir):
-    x = P.select_partitions(spark.createDataFrame(MANIFEST, schema.MANIFEST), ["2004q2", "2010q1"])
+    x = P.select_partitions(manifest(spark, sf_dir), ["2004q2", "2010q1", "1995q3", "1997q1"])
     return x.select("file", "quarter_name", F.col("size_mb").cast("double").alias("size_mb"), "records")
 
 
@@ -225,9 +239,13 @@ def q_age_stratum(spark, sf_dir):
 SEXES = [("1",), ("m",), (" Male ",), ("2",), ("F",), ("female",), ("0",), ("",), (None,), ("x",)]
 
 
-@query(f"SELECT v, CASE WHEN upper(trim(v)) IN ('1', 'M', 'MALE') THEN 'male' WHEN upper(trim(v)) IN ('2', 'F', 'FEMALE') THEN 'female' ELSE 'unknown' END AS sex FROM {values(SEXES, 'v')}")
+_SEX = "CASE c_custkey % 6 WHEN 0 THEN '1' WHEN 1 THEN ' female' WHEN 2 THEN 'M ' WHEN 3 THEN NULL WHEN 4 THEN '2' ELSE c_mktsegment END"
+
+
+@query(f"SELECT v, CASE WHEN upper(trim(v)) IN ('1', 'M', 'MALE') THEN 'male' WHEN upper(trim(v)) IN ('2', 'F', 'FEMALE') THEN 'female' ELSE 'unknown' END AS sex, n FROM (SELECT v, count(*) AS n FROM (SELECT v FROM {values(SEXES, 'v')} UNION ALL SELECT {_SEX} FROM customer) GROUP BY 1)")
 def q_sex_norm(spark, sf_dir):
-    return spark.createDataFrame(SEXES, "v string").select("v", N.sex(F.col("v")).alias("sex"))
+    told = spark.createDataFrame(SEXES, "v string").unionByName(table(spark, sf_dir, "customer").select(F.expr(_SEX).alias("v")))
+    return told.groupBy("v").agg(F.count("*").alias("n")).select("v", N.sex(F.col("v")).alias("sex"), "n")
 
 
 DATES = [("20070305",), ("200703",), ("2007",), ("2007-03-05",), ("20070015",), ("207",), ("",), (None,), ("20071331",)]
@@ -270,11 +288,15 @@ def q_drug_coalesce(spark, sf_dir):
 AGE_TEXTS = [("child",), (" Infant ",), ("adult",), ("ELDERLY",), ("17",), ("18",), ("64",), ("65",), ("all",), ("",), (None,), ("old",), ("12.5",)]
 
 
+_AGED = "CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey % 95 AS VARCHAR(9)) WHEN 1 THEN ' Adult ' WHEN 2 THEN 'elderly' ELSE c_mktsegment END"
+
+
 @query(f"""SELECT v, CASE WHEN s IN ('pediatric', 'child', 'children', 'infant', 'neonatal') THEN 'pediatric' WHEN s = 'adult' THEN 'adult' WHEN s IN ('geriatric', 'elderly') THEN 'geriatric'
   WHEN n < 18 THEN 'pediatric' WHEN n < 65 THEN 'adult' WHEN n >= 65 THEN 'geriatric' END AS age_stratum
-  FROM (SELECT v, lower(trim(v)) AS s, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN try_cast(trim(v) AS INT) END AS n FROM {values(AGE_TEXTS, 'v')})""")
+  FROM (SELECT v, lower(trim(v)) AS s, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN try_cast(trim(v) AS INT) END AS n FROM (SELECT v FROM {values(AGE_TEXTS, 'v')} UNION ALL SELECT {_AGED} FROM customer))""")
 def q_age_text(spark, sf_dir):
-    return spark.createDataFrame(AGE_TEXTS, "v string").select("v", N.age_text(F.col("v")).alias("age_stratum"))
+    told = spark.createDataFrame(AGE_TEXTS, "v string").unionByName(table(spark, sf_dir, "customer").select(F.expr(_AGED).alias("v")))
+    return told.select("v", N.age_text(F.col("v")).alias("age_stratum"))
 
 
 @query("SELECT DISTINCT lower(p_type || ' ' || p_brand) AS term, 'https://medlineplus.gov/search/?query=' || replace(replace(lower(p_type || ' ' || p_brand), '#', '%23'), ' ', '+') AS url FROM part")
@@ -397,9 +419,21 @@ _WANTED = [  # by the text alone, and by what it asks for
 ]
 
 
-@query(f"SELECT * FROM {values([(w, *x) for w, x in zip(ROUTES, _WANTED)], 'condition, route_by_text, route')}")
+#: A condition for every drug, country and segment, beside those listed, and the route of each kind.
+_CONDITIONS = {
+    "part": ("concat('sex = ', chr(39), 'male', chr(39), ' AND drug_name = ', chr(39), upper(p_name), chr(39))", "index"), "nation": ("concat('reporter_country = ', chr(39), n_name, chr(39))", "full"),
+    "customer": ("concat('age_stratum = ', chr(39), lower(c_mktsegment), chr(39))", "cubed"),
+}
+
+
+@query(f"SELECT * FROM {values([(w, *x) for w, x in zip(ROUTES, _WANTED)], 'condition, route_by_text, route')}" + "".join(f" UNION ALL SELECT DISTINCT {text}, '{route}', '{route}' FROM {t}" for t, (text, route) in _CONDITIONS.items()))
 def q_route(spark, sf_dir):
-    return spark.createDataFrame([(w, predicate.detect_route(w), predicate.Predicate.parse(w).route()) for w in ROUTES], "condition string, route_by_text string, route string")
+    """Routes by a condition's text and by its sense."""
+    asked = spark.createDataFrame([(w,) for w in ROUTES], "condition string")
+    for t, (text, _) in _CONDITIONS.items():
+        asked = asked.unionByName(table(spark, sf_dir, t).select(F.expr(text).alias("condition")).distinct())
+    by_text, by_sense = (F.udf(f, "string") for f in (predicate.detect_route, lambda w: predicate.Predicate.parse(w).route()))
+    return asked.select("condition", by_text("condition").alias("route_by_text"), by_sense("condition").alias("route"))
 
 
 @query(ct_sql())
@@ -709,12 +743,12 @@ def q_expected(spark, sf_dir):
     return K.expected(C.all_pairs(facts(spark, sf_dir))).select("drug", "pt", "a", F.round("expected", 6).alias("expected"))
 
 
-def poisson_ctes(steps: int = 14) -> str:
-    """Reweighted least squares step by step, each normal equation solved by determinants; ends in ``fit`` (b0, b1, b2)."""
+def poisson_ctes(steps: int = 14, over: str = "1") -> str:
+    """``over``: what a count's variance is of its mean. Reweighted least squares step by step, each normal equation solved by determinants; ends in ``fit`` (b0, b1, b2)."""
     out = ["px AS (SELECT *, a::DOUBLE AS y, ln((a + b)::DOUBLE) AS u, ln((a + c)::DOUBLE) AS v FROM ct)", "s0 AS (SELECT ln(avg(y)) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM px)"]
     for k in range(steps):
         out.append(f"m{k} AS (SELECT y, u, v, exp(b0 + b1 * u + b2 * v) AS mu FROM px, s{k})")
-        out.append(f"h{k} AS (SELECT sum(mu) AS a11, sum(mu * u) AS a12, sum(mu * v) AS a13, sum(mu * u * u) AS a22, sum(mu * u * v) AS a23, sum(mu * v * v) AS a33, sum(y - mu) AS g1, sum((y - mu) * u) AS g2, sum((y - mu) * v) AS g3 FROM m{k})")
+        out.append(f"h{k} AS (SELECT sum(mu / {over}) AS a11, sum(mu / {over} * u) AS a12, sum(mu / {over} * v) AS a13, sum(mu / {over} * u * u) AS a22, sum(mu / {over} * u * v) AS a23, sum(mu / {over} * v * v) AS a33, sum((y - mu) / {over}) AS g1, sum((y - mu) / {over} * u) AS g2, sum((y - mu) / {over} * v) AS g3 FROM m{k})")
         out.append(f"d{k} AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM h{k})")
         out.append(f"""s{k + 1} AS (SELECT b0 + (g1 * (a22 * a33 - a23 * a23) - a12 * (g2 * a33 - a23 * g3) + a13 * (g2 * a23 - a22 * g3)) / det AS b0, b1 + (a11 * (g2 * a33 - a23 * g3) - g1 * (a12 * a33 - a23 * a13) + a13 * (a12 * g3 - g2 * a13)) / det AS b1,
   b2 + (a11 * (a22 * g3 - g2 * a23) - a12 * (a12 * g3 - g2 * a13) + g1 * (a12 * a23 - a22 * a13)) / det AS b2 FROM d{k}, s{k})""")
@@ -733,7 +767,7 @@ def q_dispersion(spark, sf_dir):
     return x.select(*rounded(x, "alpha", "lb", "ub"), "dispersion")
 
 
-@query()
+@query(with_facts("SELECT drug, pt, a, round(mu, 4) AS expected FROM fit", ALL_CT, poisson_ctes(20, "(1 + mu)")))
 def q_expected_nb(spark, sf_dir):
     """Expected counts of a negative-binomial regression."""
     return K.expected(C.all_pairs(facts(spark, sf_dir)), "negative-binomial").select("drug", "pt", "a", F.round("expected", 4).alias("expected"))
@@ -868,9 +902,13 @@ def variant_sql(term: str = "t") -> str:
     return f"{low} AS v1, CASE {low} {case} END AS v2, {full} AS v3"
 
 
-@query(f"SELECT t AS term, v1 || CASE WHEN v2 IS NOT NULL AND v2 <> v1 THEN '|' || v2 ELSE '' END || CASE WHEN v3 <> v1 AND v3 IS DISTINCT FROM v2 THEN '|' || v3 ELSE '' END AS variants FROM (SELECT t, {variant_sql()} FROM {values([(t,) for t in TERMS], 't')})")
+_TERM = "concat('Haemorrhagic ', p_type, ' ', p_brand, CASE p_size % 3 WHEN 0 THEN ' DIARRHOEA' WHEN 1 THEN ' Oedema ' ELSE '' END)"
+
+
+@query(f"SELECT t AS term, v1 || CASE WHEN v2 IS NOT NULL AND v2 <> v1 THEN '|' || v2 ELSE '' END || CASE WHEN v3 <> v1 AND v3 IS DISTINCT FROM v2 THEN '|' || v3 ELSE '' END AS variants FROM (SELECT t, {variant_sql()} FROM (SELECT t FROM {values([(t,) for t in TERMS], 't')} UNION ALL SELECT DISTINCT {_TERM} FROM part))")
 def q_ae_variants(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in TERMS], "term string").select("term", F.array_join(L.variants(F.col("term")), "|").alias("variants"))
+    told = spark.createDataFrame([(t,) for t in TERMS], "term string").unionByName(table(spark, sf_dir, "part").select(F.expr(_TERM).alias("term")).distinct())
+    return told.select("term", F.array_join(L.variants(F.col("term")), "|").alias("variants"))
 
 
 LABEL_TERMS = ["the", "tion", "idiot", "shh", "Ré", "mit"]
@@ -917,7 +955,9 @@ def q_label_records(spark, sf_dir):
     )
     from pyspark.sql import Window as W
 
-    rows = d.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).select("source", "r", record.alias("record"))
+    # two more than count, so that the cut is the reader's; a source's other texts are never gathered
+    first = L.first_records(d.select(F.col("source").alias("drug_name"), F.col("doc_id").alias("label"), "text"), L.RECORDS + 2)
+    rows = first.withColumn("r", F.row_number().over(W.partitionBy("drug_name").orderBy("label"))).select(F.col("drug_name").alias("source"), "r", record.alias("record"))
     raw = rows.groupBy(F.col("source").alias("drug_name")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("r", "record"))), lambda x: x["record"])).alias("results"))
     return L.sections(L.from_records(raw))
 
@@ -1083,9 +1123,14 @@ WRITTEN = ["tachipirina", "Tachipirina 500mg", "ACETAMINOPHEN", "acet", "LANTUS
 _BR = ", ".join(f"('{k}', '{v}')" for k, v in R.BRANDS.items())
 
 
-@query(f"SELECT w AS query, (SELECT inn FROM (VALUES {_BR}) b(brand, inn) WHERE upper(trim(w)) = brand OR starts_with(upper(trim(w)), brand || ' ') ORDER BY length(brand) DESC LIMIT 1) AS inn FROM {values([(w,) for w in WRITTEN], 'w')}")
+_WROTE = "CASE p_partkey % 3 WHEN 0 THEN concat('Lasix ', p_name) WHEN 1 THEN concat('acet', p_name, '!') ELSE concat(p_name, ' lasix') END"
+
+
+@query(f"SELECT w AS query, (SELECT inn FROM (VALUES {_BR}) b(brand, inn) WHERE upper(trim(w)) = brand OR starts_with(upper(trim(w)), brand || ' ') ORDER BY length(brand) DESC LIMIT 1) AS inn FROM (SELECT w FROM {values([(w,) for w in WRITTEN], 'w')} UNION ALL SELECT DISTINCT {_WROTE} FROM part)")
 def q_brand_lookup(spark, sf_dir):
-    return R.brand_lookup(spark.createDataFrame([(w,) for w in WRITTEN], "query string"), R.brands(spark))
+    """Listed names, and every part's name by itself, after a brand and glued to one."""
+    told = spark.createDataFrame([(w,) for w in WRITTEN], "query string").unionByName(table(spark, sf_dir, "part").select(F.expr(_WROTE).alias("query")).distinct())
+    return R.brand_lookup(told, R.brands(spark))
 
 
 @query()
