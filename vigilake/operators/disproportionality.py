@@ -145,14 +145,17 @@ def with_fdr(ps: DataFrame, p: str = "p_value", legacy_order: bool = False) -> D
     return x.drop("i", "m", "k", "power")
 
 
+def ratio_table(name: str, decision_thres: float = 0.05) -> list:
+    """The columns of a ratio's table of results."""
+    return ["drug", "pt", "a", "expected", "p_value", name, "ci_low", F.col("n1j").alias("product_margin"), F.col("ni1").alias("event_margin"), "fdr", (F.col("fdr") < decision_thres).alias("signal")]
+
+
 def prr(ct: DataFrame, min_events: int = 3, decision_thres: float = 0.05, **how) -> DataFrame:
-    out = with_fdr(ratio(ct, log_prr(), "prr", min_events), **how)
-    return out.select("drug", "pt", "a", "expected", "p_value", "prr", "ci_low", F.col("n1j").alias("product_margin"), F.col("ni1").alias("event_margin"), "fdr", (F.col("fdr") < decision_thres).alias("signal"))
+    return with_fdr(ratio(ct, log_prr(), "prr", min_events), **how).select(*ratio_table("prr", decision_thres))
 
 
 def ror(ct: DataFrame, min_events: int = 3, decision_thres: float = 0.05, **how) -> DataFrame:
-    out = with_fdr(ratio(ct, log_ror(), "ror", min_events), **how)
-    return out.select("drug", "pt", "a", "expected", "p_value", "ror", "ci_low", F.col("n1j").alias("product_margin"), F.col("ni1").alias("event_margin"), "fdr", (F.col("fdr") < decision_thres).alias("signal"))
+    return with_fdr(ratio(ct, log_ror(), "ror", min_events), **how).select(*ratio_table("ror", decision_thres))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -197,9 +200,12 @@ def posterior_errors(x: DataFrame, p: str = "p_null", order: tuple[Column, ...]
     }).drop("cum", "m", "tot")
 
 
+def bcpnn_table(ic_threshold: float = 0.0) -> list:
+    return ["drug", "pt", "a", "expected", "ic", "ic025", F.expr("n11 / expected").alias("count_expected"), "p_null", "fdr", "fnr", "se", "sp", (F.col("ic025") > ic_threshold).alias("signal")]
+
+
 def bcpnn(ct: DataFrame, min_events: int = 3, ic_threshold: float = 0.0) -> DataFrame:
-    x = posterior_errors(bcpnn_columns(ct, min_events))
-    return x.select("drug", "pt", "a", "expected", "ic", "ic025", F.expr("n11 / expected").alias("count_expected"), "p_null", "fdr", "fnr", "se", "sp", (F.col("ic025") > ic_threshold).alias("signal"))
+    return posterior_errors(bcpnn_columns(ct, min_events)).select(*bcpnn_table(ic_threshold))
 
 
 def bcpnn_simulated(ct: DataFrame, draws: int = 10_000, min_events: int = 3, seed: int = 1) -> DataFrame:
@@ -264,11 +270,34 @@ def mixture_udfs(prior: tuple = PRIOR):
 
 
 def mgps(ct: DataFrame, min_events: int = 3, eb05_threshold: float = 2.0, prior: tuple = PRIOR, relative_risk: float = 1.0) -> DataFrame:
+    return mgps_wide(ct, min_events, prior, relative_risk).select(*mgps_table(eb05_threshold))
+
+
+def mgps_wide(ct: DataFrame, min_events: int = 3, prior: tuple = PRIOR, relative_risk: float = 1.0) -> DataFrame:
+    """``ct`` with all that its shrinkage needs and finds."""
     quantile, mass = mixture_udfs(prior)
     x = mgps_columns(ct, min_events, prior)
-    x = x.withColumns({"eb05": quantile("n11", "expected", "qn", F.lit(0.05)), "p_null": mass("n11", "expected", "qn", F.lit(float(relative_risk)))})
-    x = posterior_errors(x)
-    return x.select("drug", "pt", "a", "expected", "eb_log2", "ebgm", "eb05", "p_null", "fdr", "fnr", "se", "sp", (F.col("eb05") >= eb05_threshold).alias("signal"))
+    return posterior_errors(x.withColumns({"eb05": quantile("n11", "expected", "qn", F.lit(0.05)), "p_null": mass("n11", "expected", "qn", F.lit(float(relative_risk)))}))
+
+
+def mgps_table(eb05_threshold: float = 2.0) -> list:
+    return ["drug", "pt", "a", "expected", "eb_log2", "ebgm", "eb05", "p_null", "fdr", "fnr", "se", "sp", (F.col("eb05") >= eb05_threshold).alias("signal")]
+
+
+def every_model(ct: DataFrame, names: tuple[str, ...] = ("prr", "ror", "bcpnn", "mgps"), min_events: int = 3, prr_threshold: float = 0.05, ror_threshold: float = 0.05, ic_threshold: float = 0.0, eb05_threshold: float = 2.0) -> DataFrame:
+    """``ct`` with a struct column for each named model, the row of its table of results.
+
+    All models stand in one plan over one reading of the cells: their windows share the drug, so cells are shuffled once."""
+    wide = {
+        "prr": lambda x: (with_fdr(ratio(x, log_prr(), "prr", min_events)), ratio_table("prr", prr_threshold)), "ror": lambda x: (with_fdr(ratio(x, log_ror(), "ror", min_events)), ratio_table("ror", ror_threshold)),
+        "bcpnn": lambda x: (posterior_errors(bcpnn_columns(x, min_events)), bcpnn_table(ic_threshold)), "mgps": lambda x: (mgps_wide(x, min_events), mgps_table(eb05_threshold)),
+    }
+    keep, x = list(ct.columns), ct
+    for name in names:
+        done, table = wide[name](x)
+        x = done.select(*keep, F.struct(*table).alias(f"model_{name}"))
+        keep.append(f"model_{name}")
+    return x
 
 
 def fit_prior(ct: DataFrame, start: tuple = (0.2, 0.06, 1.4, 1.8, 0.1), truncate: int | None = None, steps: int = 400) -> tuple:

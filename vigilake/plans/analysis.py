@@ -1,4 +1,4 @@
-"""One analysis from configuration to ranked terms, as one lazy plan."""
+"""One analysis from configuration to ranked terms."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..operators import disproportionality as D
 from ..operators import labels as L
 from ..operators import launch_bias as B
 from ..operators.marts import Marts
+from ..sources.store import settle
 from .predicate import Predicate
 
 
@@ -41,18 +42,22 @@ class AnalysisConfig:
         return AnalysisConfig(**raw)
 
 
-#: name -> (table of statistics) of a contingency table under a configuration; models may be added.
-ALGORITHMS = {
-    "prr": lambda ct, c: D.prr(ct, c.min_events, c.prr_threshold),
-    "ror": lambda ct, c: D.ror(ct, c.min_events, c.ror_threshold),
-    "bcpnn": lambda ct, c: D.bcpnn(ct, c.min_events, c.ic_threshold),
-    "mgps": lambda ct, c: D.mgps(ct, c.min_events, c.eb05_threshold),
-}
+#: Models of one's own: name -> table of statistics of a contingency table under a configuration. The four that are built in
+#: are computed together, see :func:`disproportionality.every_model`.
+ALGORITHMS: dict = {}
+BUILT_IN = ("prr", "ror", "bcpnn", "mgps")
+
+
+def tables(ct: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
+    """Each model's table of results. The built-in models' cells are settled once, with all their statistics."""
+    together = tuple(k for k in config.algorithms if k in BUILT_IN and k not in ALGORITHMS)
+    wide = settle(D.every_model(ct, together, config.min_events, config.prr_threshold, config.ror_threshold, config.ic_threshold, config.eb05_threshold)) if together else None
+    return {k: wide.select(f"model_{k}.*") if k in together else ALGORITHMS[k](ct, config) for k in config.algorithms}
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """The frames of an analysis; nothing is computed until one is read."""
+    """The frames of an analysis. Cells and statistics are settled; the rest is computed when it is read."""
 
     config: AnalysisConfig
     contingency: DataFrame
@@ -90,9 +95,10 @@ class Analysis:
 
 
 def analyse(facts: DataFrame, config: AnalysisConfig, marts: Marts | None = None, label_texts: DataFrame | None = None, approvals: DataFrame | None = None) -> Analysis:
-    """The contingency table is kept while the algorithms read it; an empty table gives empty frames."""
-    ct = C.contingency(facts, config.drug, Predicate.parse(config.where), marts, config.min_a).persist()
-    results = {k: ALGORITHMS[k](ct, config) for k in config.algorithms}
+    """The contingency table and what the models make of it are small tables of their own, written when this is called and read
+    by every frame of the analysis; an empty table gives empty frames."""
+    ct = settle(C.contingency(facts, config.drug, Predicate.parse(config.where), marts, config.min_a))
+    results = tables(ct, config)
     signals = L.union_positive(**results)
     ranked = L.confidence(ct, **results)
     validated = None

@@ -861,8 +861,10 @@ def q_longitudinal_ror(spark, sf_dir):
 
 
 def two_results(spark, sf_dir):
-    ct = C.contingency(facts(spark, sf_dir), DRUG, min_a=3)
-    return ct, {"ror": D.ror(ct, decision_thres=0.5), "bcpnn": D.bcpnn(ct, ic_threshold=-0.3)}
+    from .analysis import AnalysisConfig, tables
+
+    ct = store.settle(C.contingency(facts(spark, sf_dir), DRUG, None, stored_marts(spark, sf_dir), min_a=3))
+    return ct, tables(ct, AnalysisConfig(DRUG, ror_threshold=0.5, ic_threshold=-0.3, algorithms=("ror", "bcpnn")))
 
 
 @query(with_facts("SELECT CASE WHEN e THEN 'over' ELSE 'under' END AS side, count(*) AS n FROM (SELECT a * n > (a + b) * (a + c) AS e FROM ct) GROUP BY 1", ALL_CT))
