@@ -309,3 +309,45 @@ def test_a_hot_drug_is_cut_by_report(spark, facts, tmp_path):
     back = spark.read.parquet(str(tmp_path / "hot"))
     sizes = [r["count"] for r in back.groupBy(F.col("_metadata.file_path")).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes) and sum(sizes) == one.count()
+
+
+# ---- labels
+
+
+def test_terms_by_index_are_those_of_patterns(spark):
+    from vigilake.operators import label_index, labels
+
+    texts = [("a", "warnings", "peripheral oedema, then edema. stevens-johnson (sjs) and stevens johnson; rash_1 rash no. pain"), ("a", "precautions", "diarrhea\ndiarrhoea  pain pain"), ("b", "warnings", "é pain ∆ q.t. prolonged"), ("b", "empty", "")]
+    terms = [(d, t) for d in ("a", "b", "c") for t in ("Pain", "rash", "RASH_1", "oedema", "Peripheral Oedema", "stevens-johnson", "stevens johnson", "(SJS)", "q.t.", ".pain", "diarrhoea", "pain pain", "∆", "é", "no. pain", "", "edema. stevens")]
+    x, y = spark.createDataFrame(texts, "drug_name string, section string, text string"), spark.createDataFrame(terms, "drug_name string, pt string")
+    want = table(labels.matches(y.where("pt <> ''"), x), "drug_name", "pt", "section", "matched_term", "snippet")
+    assert table(label_index.matches_indexed(y.where("pt <> ''"), x), "drug_name", "pt", "section", "matched_term", "snippet") == want and len(want) > 12
+    plan = label_index.matches_indexed(y, x)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(drug_name" in plan
+
+
+def test_first_records_of_a_product(spark):
+    from vigilake.operators import labels
+
+    rows = spark.createDataFrame([("a", k, f"t{k}") for k in range(9)] + [("a", 1, "again"), ("b", 7, "x")], "drug_name string, label int, text string")
+    assert table(labels.first_records(rows, 2)) == [("a", 0, "t0"), ("a", 1, "again"), ("a", 1, "t1"), ("b", 7, "x")]
+
+
+def test_subsets_do_not_change_with_unrelated_rows(spark):
+    from vigilake.operators import counts
+
+    rows = [(k, ["b", "a", ""], None) for k in range(3)] + [(9, ["a"], "E")]
+    long = [(99, [f"i{k:02d}" for k in range(13)], "E")]
+    want = [("a", None, 3), ("a|b", None, 3), ("b", None, 3)]
+    for extra in ([], long):
+        got = counts.convert_multi_item(spark.createDataFrame(rows + extra, "id long, items array<string>, AE string"))
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_models_together_are_the_models_apart(spark, facts):
+    cells = contingency.all_pairs(facts).where("drug < 'C'").persist()
+    wide = disproportionality.every_model(cells)
+    for name in ("prr", "ror", "bcpnn", "mgps"):
+        apart = getattr(disproportionality, name)(cells)
+        for a, b in zip(table(wide.select(f"model_{name}.*"), *apart.columns), table(apart), strict=True):
+            assert a == pytest.approx(b, nan_ok=True)

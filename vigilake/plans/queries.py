@@ -14,6 +14,7 @@ from ..operators import contingency as C
 from ..operators import counts as K
 from ..operators import dedup as DD
 from ..operators import disproportionality as D
+from ..operators import label_index as LI
 from ..operators import labels as L
 from ..operators import launch_bias as B
 from ..operators import marts as M
@@ -943,6 +944,20 @@ def q_label_match(spark, sf_dir):
     return L.matches(label_terms(spark, sf_dir), L.sections(label_rows(spark, sf_dir)))
 
 
+_PHRASE = "[a-z0-9_]+ [a-z0-9_]+ [a-z0-9_]+"
+
+
+@query(f"""WITH {_MERGED}, te AS (SELECT drug_name, pt FROM (SELECT DISTINCT source AS drug_name, regexp_extract(lower(text), '{_PHRASE}') AS pt FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) WHERE pt <> ''
+  UNION SELECT DISTINCT source, t FROM documents, {values([('the',), ('idiot',), ('shh',), ('mit',)], 't')} WHERE source IS NOT NULL)
+SELECT drug_name, pt, section, pt AS matched_term FROM me JOIN te USING (drug_name) WHERE contains(text, pt) AND regexp_matches(text, '(^|[^a-z0-9_])' || pt || '([^a-z0-9_]|$)')""")
+def q_label_index(spark, sf_dir):
+    """Listed words, and a phrase of every document, looked for in every section of its source."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    phrases = d.select(F.col("source").alias("drug_name"), F.regexp_extract(F.lower("text"), _PHRASE, 0).alias("pt")).where("pt <> ''")
+    terms = phrases.unionByName(label_terms(spark, sf_dir).where("drug_name IS NOT NULL")).distinct()
+    return LI.matches_indexed(terms, store.settle(L.sections(label_rows(spark, sf_dir)))).drop("snippet")
+
+
 _RECORD = "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
 
 
