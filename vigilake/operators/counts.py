@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -159,7 +162,7 @@ def descend(g: np.ndarray, c: np.ndarray, alpha: float, beta: np.ndarray | None
 
 
 def moments(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weighted covariances of centred columns, with y, and y's variance."""
+    """Weighted covariances of centred columns, with y, and y's variance: what :func:`lasso` makes of its counts."""
     w = w / w.sum()
     xc, yc = x - w @ x, y - w @ y
     return (xc * w[:, None]).T @ xc, (xc * w[:, None]).T @ yc, float(w @ yc**2)
@@ -248,6 +251,46 @@ def negative_binomial(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float,
     return np.clip(beta, 0, None)
 
 
+#: Products whose co-reports the driver and every task hold as a matrix.
+MOST_PRODUCTS = 1000
+#: Chances that a report stands at most 0, 1, 2, ... times in a resample: the Poisson distribution of mean 1.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
+
+
+def weights(num_bootstrap: int, seed: int) -> list:
+    """How often a report counts: once, and in each resample by a seeded hash of its id, wherever its rows are."""
+    def drawn(k: int):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
+        out = F.lit(len(POISSON))
+        for times in range(len(POISSON) - 1, -1, -1):
+            out = F.when(u < float(POISSON[times]), times).otherwise(out)
+        return out
+
+    return [F.lit(1), *[drawn(k) for k in range(num_bootstrap)]]
+
+
+def co_reports(rows: DataFrame, products: list[str], events: list[str], num_bootstrap: int, seed: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(reports (b), reports with products p and q (b, p, q), and a frame (AE, reports with it, (product, reports with both))),
+    each as often as the rows and every resample have them; b is the resample, 0 the rows themselves.
+
+    Sums over joins of a report's few products and events: no report becomes a row of a matrix."""
+    spark, w = rows.sparkSession, weights(num_bootstrap, seed)
+    count = [F.sum(x).cast("long").alias(f"w{k}") for k, x in enumerate(w)]
+    place = spark.createDataFrame(list(enumerate(products)), "p int, name string")
+    wanted = spark.createDataFrame([(e,) for e in events], "AE string")
+    mine = settle(rows.select("id", "name").distinct().join(F.broadcast(place), "name").select("id", "p"))  # MOST_PRODUCTS rows at most
+    has = rows.select("id", "AE").distinct().join(wanted, "AE")
+    n = np.array(rows.select("id").distinct().agg(*count).head(), dtype=object)
+    n = np.array([v or 0 for v in n], dtype=float)
+    both = np.zeros((len(w), len(products), len(products)))
+    for r in mine.join(mine.select("id", F.col("p").alias("q")), "id").where("p <= q").groupBy("p", "q").agg(*count).collect():
+        both[:, r["p"], r["q"]] = both[:, r["q"], r["p"]] = r[2:]
+    alone = has.groupBy("AE").agg(F.array(*count).alias("n"))
+    met = has.join(mine, "id").groupBy("AE", "p").agg(*count)
+    met = met.groupBy("AE").agg(F.collect_list(F.struct("p", F.array(*[f"w{k}" for k in range(len(w))]).alias("n"))).alias("met"))
+    return n, both, wanted.join(alone, "AE", "left").join(met, "AE", "left")
+
+
 def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float = 0.5, min_events: int = 3, num_bootstrap: int = 10, ci: float = 95, seed: int = 1, variant: str = "descent", criterion: str = "bic", dispersion: float = 1.0) -> DataFrame:
     """rows: (id, name, AE), an id's products and events. For each event an L1 regression on product indicators, with
     percentile bounds from seeded resamples; events under the floor give zeros. Every id counts: one with none of the
@@ -256,32 +299,56 @@ def lasso(rows: DataFrame, products: list[str], events: list[str], alpha: float
     ``variant``: descent or lars at the penalty ``alpha`` (the same minimum, found in two ways), ic at the penalty of least
     ``criterion``, or nb, a negative-binomial regression, which has no bounds.
 
-    Indicators fold to distinct patterns with counts, so a group's frame has as many rows as there are patterns."""
+    The regressions need no more than how many reports have two products, or a product and an event: Spark counts these
+    (:func:`co_reports`), for all resamples at once, and each event is then a row of its own, solved where it lies. ``nb``
+    alone reads patterns of indicators, folded with counts."""
     if variant not in ("descent", "lars", "ic", "nb"):
         raise ValueError("variant must be descent, lars, ic or nb")
+    if len(products) > MOST_PRODUCTS:
+        raise ValueError(f"more than {MOST_PRODUCTS} products")
+    schema = "drug string, pt string, events long, coefficient double, ci_low double, ci_high double"
+    if variant == "nb":
+        return _negative_binomials(rows, products, events, alpha, min_events, dispersion, schema)
+    n, both, asked = co_reports(rows, products, events, num_bootstrap, seed)
+    share = np.divide(np.diagonal(both, axis1=1, axis2=2), np.maximum(n, 1)[:, None])
+    cov = both / np.maximum(n, 1)[:, None, None] - share[:, :, None] * share[:, None, :]
+
+    def solved(k: int, with_: np.ndarray, all_: float) -> np.ndarray:
+        y = all_ / max(n[k], 1)
+        c, vy = with_ / max(n[k], 1) - share[k] * y, y * (1 - y)
+        if variant == "ic":
+            return by_criterion(cov[k], c, vy, n[k], criterion)
+        return on_path(angle_path(cov[k], c), alpha) if variant == "lars" else descend(cov[k], c, alpha)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ae, all_, met in zip(pdf["AE"], pdf["n"], pdf["met"], strict=True):
+                counts = np.zeros(len(n)) if all_ is None else np.asarray(all_, dtype=float)
+                out = pd.DataFrame({"drug": products, "pt": ae, "events": int(counts[0]), "coefficient": 0.0, "ci_low": 0.0, "ci_high": 0.0})
+                if counts[0] >= min_events:
+                    with_ = np.zeros((len(n), len(products)))
+                    for m in met if met is not None else []:
+                        with_[:, m["p"]] = m["n"]
+                    found = np.array([solved(k, with_[k], counts[k]) for k in range(len(n))])
+                    out["coefficient"] = found[0]
+                    if num_bootstrap:
+                        out["ci_low"], out["ci_high"] = np.percentile(found[1:], (100 - ci) / 2, axis=0), np.percentile(found[1:], 100 - (100 - ci) / 2, axis=0)
+                yield out
+
+    return asked.select("AE", "n", "met").mapInPandas(fit, schema)
+
+
+def _negative_binomials(rows: DataFrame, products: list[str], events: list[str], alpha: float, min_events: int, dispersion: float, schema: str) -> DataFrame:
     items = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("name").isin(products), F.col("name")))).alias("items"), F.collect_set("AE").alias("aes"))
     patterns = items.select("items", F.explode(F.array(*[F.struct(F.lit(e).alias("AE"), F.array_contains("aes", e).cast("int").alias("y")) for e in events])).alias("x")).groupBy(F.col("x.AE").alias("AE"), "items", F.col("x.y").alias("y")).agg(F.count("*").alias("w"))
 
-    def solved(x, y, w):
-        if variant == "nb":
-            return negative_binomial(x, y, w, alpha, dispersion)
-        g, c, vy = moments(x, y, w)
-        if variant == "ic":
-            return by_criterion(g, c, vy, w.sum(), criterion)
-        return on_path(angle_path(g, c), alpha) if variant == "lars" else descend(g, c, alpha)
-
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(key=pdf["items"].map(lambda v: "|".join(v))).sort_values(["key", "y"])
-        ae, n_ev = pdf["AE"].iloc[0], int((pdf["y"] * pdf["w"]).sum())
-        out = pd.DataFrame({"drug": products, "pt": ae, "events": n_ev, "coefficient": 0.0, "ci_low": 0.0, "ci_high": 0.0})
+        n_ev = int((pdf["y"] * pdf["w"]).sum())
+        out = pd.DataFrame({"drug": products, "pt": pdf["AE"].iloc[0], "events": n_ev, "coefficient": 0.0, "ci_low": 0.0, "ci_high": 0.0})
         if n_ev >= min_events:
             x = np.array([[float(p in v) for p in products] for v in pdf["items"].map(set)])
-            y, w = pdf["y"].to_numpy(float), pdf["w"].to_numpy(float)
-            rng = np.random.default_rng(seed)
-            out["coefficient"] = solved(x, y, w)
-            if variant != "nb":
-                boot = np.array([solved(x, y, rng.multinomial(int(w.sum()), w / w.sum()).astype(float)) for _ in range(num_bootstrap)])
-                out["ci_low"], out["ci_high"] = np.percentile(boot, (100 - ci) / 2, axis=0), np.percentile(boot, 100 - (100 - ci) / 2, axis=0)
+            out["coefficient"] = negative_binomial(x, pdf["y"].to_numpy(float), pdf["w"].to_numpy(float), alpha, dispersion)
         return out
 
-    return patterns.groupBy("AE").applyInPandas(fit, "drug string, pt string, events long, coefficient double, ci_low double, ci_high double")
+    return patterns.groupBy("AE").applyInPandas(fit, schema)

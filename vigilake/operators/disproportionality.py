@@ -301,12 +301,16 @@ def every_model(ct: DataFrame, names: tuple[str, ...] = ("prr", "ror", "bcpnn",
 
 
 def fit_prior(ct: DataFrame, start: tuple = (0.2, 0.06, 1.4, 1.8, 0.1), truncate: int | None = None, steps: int = 400) -> tuple:
-    """Maximum-likelihood prior of the mixture. Cells fold to distinct (count, rounded expectation) before the driver sees them.
+    """Maximum-likelihood prior of the mixture. Cells fold to bins before the driver sees them: of each count up to 1,000, of three
+    leading digits beyond, and of an expectation's logarithm to two places, so at most some thousand times some hundred rows
+    however many cells there are.
 
     With ``truncate`` only cells of at least that count enter, each likelihood divided by its chance of doing so."""
     x = prepared(ct, truncate or 0)
-    table = x.groupBy("n11", F.expr("round(log10(expected), 2)").alias("le")).agg(F.count("*").alias("w"), F.avg("expected").alias("e")).toPandas()
-    n, e, w = table["n11"].to_numpy(float), table["e"].to_numpy(float), table["w"].to_numpy(float)
+    digits = F.pow(F.lit(10.0), F.floor(F.log10("n11")) - 2)
+    level = F.when(F.col("n11") <= 1000, F.col("n11")).otherwise(F.round(F.col("n11") / digits) * digits)
+    table = x.groupBy(level.alias("level"), F.expr("round(log10(expected), 2)").alias("le")).agg(F.count("*").alias("w"), F.avg("expected").alias("e"), F.avg("n11").alias("n")).toPandas()
+    n, e, w = table["n"].to_numpy(float), table["e"].to_numpy(float), table["w"].to_numpy(float)
 
     def log_nb(k, a, b):
         return S.lgamma_np(k + a) - S.lgamma_np(a) - S.lgamma_np(k + 1) + a * np.log(b / (b + e)) + k * np.log(e / (b + e))
