@@ -351,3 +351,35 @@ def test_models_together_are_the_models_apart(spark, facts):
         apart = getattr(disproportionality, name)(cells)
         for a, b in zip(table(wide.select(f"model_{name}.*"), *apart.columns), table(apart), strict=True):
             assert a == pytest.approx(b, nan_ok=True)
+
+
+# ---- layout and kept answers
+
+
+def test_buckets_need_no_exchange_by_report(spark, facts, tmp_path):
+    from vigilake.sources import layout
+
+    table_ = layout.write_buckets(facts, "facts_by_report", str(tmp_path / "b"), buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a small side would be broadcast: no exchange to save
+    try:
+        drug = facts.groupBy("drug_name").count().orderBy(F.desc("count"), "drug_name").first()[0]
+        plain, cut = (contingency.by_report(x, drug, "drug_characterization = '1'", min_a=1) for x in (facts, table_))
+        assert layout.exchanges(cut) == 0 < layout.exchanges(plain)
+        assert table(cut) == table(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE facts_by_report")
+
+
+def test_a_question_asked_again_reads_what_was_found(spark, facts, tmp_path, monkeypatch):
+    from vigilake.plans import analysis
+
+    kept = analysis.Kept(spark, str(tmp_path / "kept"), "facts of today")
+    config = analysis.AnalysisConfig(facts.groupBy("drug_name").count().orderBy(F.desc("count"), "drug_name").first()[0], algorithms=("ror", "bcpnn"))
+    first = analysis.analyse(facts, config, kept=kept)
+    want = table(first.ranked.select("pt", "confidence_score"))
+    assert first.notes["cells_s"] > 0 and want == table(analysis.analyse(facts, config).ranked.select("pt", "confidence_score"))
+    monkeypatch.setattr(analysis.C, "contingency", lambda *_: pytest.fail("computed again"))
+    assert table(analysis.analyse(facts, config, kept=kept).ranked.select("pt", "confidence_score")) == want
+    with pytest.raises(BaseException, match="computed again"):
+        analysis.analyse(facts, config, kept=analysis.Kept(spark, str(tmp_path / "kept"), "other facts"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contingency as C
@@ -48,10 +51,29 @@ ALGORITHMS: dict = {}
 BUILT_IN = ("prr", "ror", "bcpnn", "mgps")
 
 
-def tables(ct: DataFrame, config: AnalysisConfig) -> dict[str, DataFrame]:
+class Kept:
+    """Cells and statistics of earlier questions under ``root``, by what was asked; a question asked again reads them.
+
+    ``of`` names the facts that the answers are of (a path and version, say): other facts have answers of their own."""
+
+    def __init__(self, spark: SparkSession, root: str, of: str) -> None:
+        self.spark, self.root, self.of = spark, root.rstrip("/"), of
+
+    def table(self, make: Callable[[], DataFrame], *asked) -> DataFrame:
+        path = f"{self.root}/{hashlib.sha256(repr((self.of, *asked)).encode()).hexdigest()}"
+        sc = self.spark.sparkContext
+        done = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def tables(ct: DataFrame, config: AnalysisConfig, kept: Kept | None = None) -> dict[str, DataFrame]:
     """Each model's table of results. The built-in models' cells are settled once, with all their statistics."""
     together = tuple(k for k in config.algorithms if k in BUILT_IN and k not in ALGORITHMS)
-    wide = settle(D.every_model(ct, together, config.min_events, config.prr_threshold, config.ror_threshold, config.ic_threshold, config.eb05_threshold)) if together else None
+    how = (config.min_events, config.prr_threshold, config.ror_threshold, config.ic_threshold, config.eb05_threshold)
+    make = lambda: D.every_model(ct, together, *how)
+    wide = None if not together else settle(make()) if kept is None else kept.table(make, "models", config.drug, config.where, config.min_a, together, *how)
     return {k: wide.select(f"model_{k}.*") if k in together else ALGORITHMS[k](ct, config) for k in config.algorithms}
 
 
@@ -94,11 +116,16 @@ class Analysis:
         sink(self.ranked, f"{path}/ranked", kind)
 
 
-def analyse(facts: DataFrame, config: AnalysisConfig, marts: Marts | None = None, label_texts: DataFrame | None = None, approvals: DataFrame | None = None) -> Analysis:
+def analyse(facts: DataFrame, config: AnalysisConfig, marts: Marts | None = None, label_texts: DataFrame | None = None, approvals: DataFrame | None = None, kept: Kept | None = None) -> Analysis:
     """The contingency table and what the models make of it are small tables of their own, written when this is called and read
-    by every frame of the analysis; an empty table gives empty frames."""
-    ct = settle(C.contingency(facts, config.drug, Predicate.parse(config.where), marts, config.min_a))
-    results = tables(ct, config)
+    by every frame of the analysis; an empty table gives empty frames. With ``kept`` they stay for whoever asks the same again.
+    ``notes`` tells the seconds that each took."""
+    began = time.monotonic()
+    make = lambda: C.contingency(facts, config.drug, Predicate.parse(config.where), marts, config.min_a)
+    ct = settle(make()) if kept is None else kept.table(make, "cells", config.drug, config.where, config.min_a)
+    cells_s = time.monotonic() - began
+    results = tables(ct, config, kept)
+    notes = {"cells_s": round(cells_s, 3), "models_s": round(time.monotonic() - began - cells_s, 3)}
     signals = L.union_positive(**results)
     ranked = L.confidence(ct, **results)
     validated = None
@@ -111,4 +138,4 @@ def analyse(facts: DataFrame, config: AnalysisConfig, marts: Marts | None = None
         drugs = facts.sparkSession.createDataFrame([(config.drug,)], "drug_name string")
         known = approvals if config.approval_year is None else facts.sparkSession.createDataFrame([(config.drug, config.approval_year)], "drug_name string, year int")
         launch = B.check(facts, drugs, known)
-    return Analysis(config, ct, results, signals, ranked, launch, validated)
+    return Analysis(config, ct, results, signals, ranked, launch, validated, notes)

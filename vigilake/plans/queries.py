@@ -474,6 +474,12 @@ def q_ct_legacy(spark, sf_dir):
     return C.by_report(facts(spark, sf_dir), DRUG, "drug_characterization = '1'", min_a=2)
 
 
+@query(report_ct_sql("drug_characterization = '1'", 2))
+def q_ct_buckets(spark, sf_dir):
+    """The same over the fact bucketed by report: the semi-joins by report shuffle nothing."""
+    return C.by_report(store.bucketed(spark, sf_dir), DRUG, "drug_characterization = '1'", min_a=2)
+
+
 @query(report_ct_sql("sex = 'male' AND receivedate BETWEEN '1996-01-01' AND '1999-12-31'", 1))
 def q_ct_daterange(spark, sf_dir):
     return C.by_report(facts(spark, sf_dir), DRUG, "sex = 'male'", ("1996-01-01", "1999-12-31"), min_a=1)

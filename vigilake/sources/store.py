@@ -84,3 +84,14 @@ def index(spark: SparkSession, sf_dir: str):
     if is_stale(spark, f"{root(spark, sf_dir)}/fact/_SUCCESS", f"{path}/_SUCCESS"):
         ReportIndex.of(facts).write(path)
     return ReportIndex.read(spark, path)
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact bucketed by report, written by the first that asks in a session."""
+    from .layout import read_buckets, write_buckets
+
+    facts, path = fact(spark, sf_dir), f"{root(spark, sf_dir)}/bucketed"
+    name = "vigilake_" + re.sub(r"\W", "_", path.rpartition("derived-")[2])
+    if not spark.catalog.tableExists(name) or is_stale(spark, f"{root(spark, sf_dir)}/fact/_SUCCESS", f"{path}/_SUCCESS"):
+        return write_buckets(facts, name, path)
+    return read_buckets(spark, name)
