@@ -186,7 +186,8 @@ def row_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     rows = rows.select("doc_id", "text", by).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(by).isNotNull())
     sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < F.lit(1_000_000.0 * most) / F.col("__n")
-    return rows.join(sizes, by).where(share).select("doc_id", "text", by).distinct()
+    # a row for each value, of which a model keeps far more; texts that are not sampled are not shuffled
+    return rows.join(F.broadcast(sizes), by).where(share).select("doc_id", "text", by).distinct()
 
 
 def to_driver(rows: DataFrame, by: str, most_bytes: int = SAMPLE_BYTES) -> list:
