@@ -739,7 +739,26 @@ def q_mgps(spark, sf_dir):
     return x.select("drug", "pt", "a", *rounded(x, "qn", "eb_log2", "ebgm"))
 
 
-@query()
+def eb05_sql(steps: int = 44) -> str:
+    """The mixture's mass by the power series of the incomplete gamma function, its 5% point by halving."""
+    def mass(s: str, y: str) -> str:
+        terms = f"list_sum(list_transform(range(0, CAST({y} + 12 * sqrt({y}) + 60 AS BIGINT)), lambda k: exp(k * ln({y}) + lgamma({s} + 1) - lgamma({s} + k + 1))))"
+        return f"(exp({s} * ln({y}) - {y} - lgamma({s} + 1)) * {terms})"
+
+    def cdf(x: str) -> str:
+        return f"(qn * {mass('(n11 + 0.2041)', f'((0.05816 + expected) * {x})')} + (1 - qn) * {mass('(n11 + 1.415)', f'((1.838 + expected) * {x})')})"
+
+    found = mgps_sql()
+    base = found[len("WITH ") : found.rindex("\nSELECT")]
+    return f"""WITH RECURSIVE {base},
+cell AS (SELECT drug, pt, a, n11, expected, qn, eb, {cdf("CAST(1 AS DOUBLE)")} AS p FROM x5),
+half AS (SELECT drug, pt, n11, expected, qn, 0 AS step, CAST(0 AS DOUBLE) AS lo, 4 * (n11 + 2) / (expected + 0.05) AS hi FROM cell UNION ALL
+  SELECT drug, pt, n11, expected, qn, step + 1, CASE WHEN c < 0.05 THEN mid ELSE lo END, CASE WHEN c < 0.05 THEN hi ELSE mid END FROM (SELECT *, {cdf("mid")} AS c FROM (SELECT *, (lo + hi) / 2 AS mid FROM half WHERE step < {steps})))
+SELECT drug, pt, a, round(pow(2.0, eb), 6) AS ebgm, round(lo, 6) AS eb05, round(p, 6) AS p_null, round(cum / rk, 6) AS fdr, lo >= 2 AS signal
+FROM (SELECT *, sum(p) OVER w AS cum, row_number() OVER w AS rk FROM cell WINDOW w AS (PARTITION BY drug ORDER BY round(p, 12), pt ROWS UNBOUNDED PRECEDING)) JOIN (SELECT drug, pt, lo FROM half WHERE step = {steps}) USING (drug, pt)"""
+
+
+@query(eb05_sql())
 def q_mgps_eb05(spark, sf_dir):
     x = D.mgps(C.all_pairs(facts(spark, sf_dir)))
     return x.select("drug", "pt", "a", *rounded(x, "ebgm", "eb05", "p_null", "fdr"), "signal")

@@ -37,6 +37,20 @@ def pending(spark: SparkSession, targets: DataFrame, root: str) -> DataFrame:
     return targets.where(~F.element_at(F.split("target", "/"), -1).isin(there)) if there else targets
 
 
+def report_paths(spark: SparkSession, root: str, listing: str = "downloaded.txt") -> list[str]:
+    """Report files below ``root``: those that its listing names, a path a line, relative or whole, as far as they are there; all
+    JSON files of the folder and its folders where it has no listing."""
+    sc = spark.sparkContext
+    P = sc._jvm.org.apache.hadoop.fs.Path
+    fs = P(root).getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(P(f"{root}/{listing}")):
+        named = [r["value"].strip() for r in spark.read.text(f"{root}/{listing}").collect()]  # a line a file
+        paths = [n if n.startswith("/") or ":" in n else f"{root}/{n}" for n in named if n]
+        return sorted({p for p in paths if fs.exists(P(p))})
+    found = [s.getPath().toString() for pattern in ("*.json", "*/*.json") for s in fs.globStatus(P(f"{root}/{pattern}")) or []]
+    return sorted(found)
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Reports of whole-file JSON documents with a ``results`` list."""
     return spark.read.schema(schema.RAW_FILE).option("multiLine", True).json(list(paths)).select(F.explode("results").alias("report")).select("report.*")
