@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -1029,7 +1030,24 @@ def q_validation_summary(spark, sf_dir):
     return L.status_counts(validated(spark, sf_dir))
 
 
-@query()
+def apart(ctes: str, tag: str) -> str:
+    """Common table expressions with names of their own, so that several models stand in one statement."""
+    return re.sub(r"\b(x3|x4|x5|x55|pv|r1|r2|hs|cell|half)\b", rf"\1_{tag}", ctes)
+
+
+def four_sql() -> str:
+    """All four models over ``ct``, ending in ``called``: what each calls and how strongly."""
+    base = eb05_sql()
+    shrunk = base[base.index("x3 AS (SELECT *, 1 / (1 +") : base.rindex("\nSELECT drug, pt, a, round(pow(2.0, eb), 6)")]
+    prr, ror = (apart(f"{tails(e)}, {FDR}", t) for e, t in ((PRR, "p"), (ROR, "o")))
+    return f"""{PREP}, {prr}, {ror}, {apart(IC, "i")}, {apart(shrunk, "g")},
+called AS (SELECT drug, pt, greatest(lg, 0) AS strength FROM r2_p WHERE fdr < 0.5 UNION ALL SELECT drug, pt, greatest(lg, 0) FROM r2_o WHERE fdr < 0.5 UNION ALL SELECT drug, pt, greatest(ic, 0) FROM x55_i WHERE ic025 > -0.3
+  UNION ALL SELECT drug, pt, greatest(eb * ln(2), 0) FROM cell_g JOIN (SELECT drug, pt, lo FROM half_g WHERE step = 44) USING (drug, pt) WHERE lo >= 0.9)"""
+
+
+@query(ct_sql(body="""SELECT drug, pt, n_algorithms, score AS confidence_score, CAST(row_number() OVER (ORDER BY score DESC, pt) AS INT) AS rank, CASE WHEN lower(pt) IN ('brand#1 economy', 'brand#2 promo') THEN 'KNOWN' ELSE 'POTENTIALLY_NEW' END AS validation_status
+FROM (SELECT *, round(100 * (0.3 * n_algorithms / 4 + 0.3 * coalesce(avg_strength / nullif(max(avg_strength) OVER (), 0), 0) + 0.4 * coalesce(rate / nullif(max(rate) OVER (), 0), 0)), 1) AS score FROM (
+  SELECT drug, pt, count(*) AS n_algorithms, avg(strength) AS avg_strength, any_value(a / (a + b)) AS rate FROM called JOIN ct USING (drug, pt) GROUP BY drug, pt))""").replace("\nSELECT drug, pt, n_algorithms", f",\n{four_sql()}\nSELECT drug, pt, n_algorithms").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_analysis(spark, sf_dir):
     """A whole analysis, from configuration to ranked terms with label status."""
     from .analysis import AnalysisConfig, analyse
