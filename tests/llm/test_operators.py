@@ -367,8 +367,33 @@ def test_mix_of_many_shards_equals_sql(spark, docs, sf_dir):
         assert [r[:3] + r[4:] for r in a] == [r[:3] + r[4:] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
 
 
-def test_mix_is_native(docs):
-    assert not re.search("Python|Arrow|Pandas", source_mix.mix(docs)._jdf.queryExecution().executedPlan().toString())
+def test_rows_of_one_id_fill_shards_like_others(spark, monkeypatch):
+    """Thousands of rows without an id, half of them equal: shards stay bounded, targets are met, SQL says the same."""
+    rows = [(None, "same text" if k % 2 else f"w{k} " * (k % 9), "en", "s" if k % 3 else "t", 0) for k in range(4000)]
+    every = spark.createDataFrame(rows, DOCS)
+    shards, words_of = [], source_mix.words_of
+    monkeypatch.setattr(source_mix, "words_of", lambda x, *how: shards.extend(r["shard_size"] for r in x.select("shard_size").collect()) or words_of(x, *how))
+    got = source_mix.mix(every, block=16, shard=10**9, shard_rows=100).collect()
+    assert len(shards) > 30 and max(shards) < 3 * sum(shards) / len(shards)
+    con = duckdb.connect()
+    con.register("documents", every.toArrow())
+    want = con.sql(queries.op4_sql(16, 10**9, 100)).fetchall()
+    assert Counter((r["size"], r["source_size"], r["taken"]) for r in got) == Counter((r[1], r[2], r[4]) for r in want)
+
+
+def test_what_blocks_leave_goes_to_a_shard_with_words(spark):
+    """Two rows dealt over many shards: most hold no words, and the first may be one of them."""
+    for k in range(6):
+        every = spark.createDataFrame([(k, "a b c d e f g", "en", "s", 0), (k + 50, "h i j", "en", "s", 0)], DOCS)
+        got = source_mix.mix(every, block=4, shard=1)
+        assert sum(r["taken"] for r in got.collect()) == 15
+
+
+def test_mix_is_native(docs, monkeypatch):
+    plans, write = [], source_mix.settle
+    monkeypatch.setattr(source_mix, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    source_mix.mix(docs)
+    assert len(plans) == 5 and not any(re.search("Python|Arrow|Pandas", p) for p in plans)
 
 
 # ---- 5 quality rules

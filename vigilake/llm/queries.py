@@ -138,8 +138,9 @@ def op4_sql(block: int = source_mix.BLOCK, shard: int = source_mix.SHARD, rows:
 {name} AS (SELECT {name}_sure.*, CAST(coalesce(sure, 0) + coalesce(won, 0) AS BIGINT) AS quota FROM {name}_sure LEFT JOIN {name}_won USING ({ties}))"""
 
     return f"""
-WITH RECURSIVE r AS (
-  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key, md5(coalesce(text, '')) AS tie FROM documents),
+WITH RECURSIVE r0 AS (
+  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie FROM documents),
+r AS (SELECT *, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || tie || ':' || row_number() OVER (PARTITION BY doc_id, source, size, tie)) AS key FROM r0),
 s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, count(*) FILTER (WHERE size > 0) AS n_rows FROM r GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, 2 * n AS cap, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, 1.5 * sum(n) OVER () AS total FROM s0),
 fill AS (  -- resharing round by round: a round fills one source at least
@@ -154,7 +155,7 @@ src AS (SELECT sid, source, CAST(n AS BIGINT) AS source_size, t AS target, quota
 d AS (SELECT r.*, sid, source_size, target, source_quota, beyond, CAST('0x' || substr(key, 25, 8) AS BIGINT) % shards AS shard FROM r JOIN src ON r.source IS NOT DISTINCT FROM src.source),
 sh AS (SELECT sid, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS claim, any_value(source_quota) AS source_quota, any_value(beyond) AS beyond FROM d WHERE size > 0 GROUP BY sid, shard),
 {quotas("hq", "sh", "claim", "source_quota", "sid", "sid, shard")},
-hw AS (SELECT *, least(greatest(quota * {block} + CASE WHEN shard = 0 THEN beyond ELSE 0 END, 0), 2 * shard_size) AS words FROM hq),
+hw AS (SELECT *, least(greatest(quota * {block} + CASE WHEN shard = min(shard) OVER (PARTITION BY sid) THEN beyond ELSE 0 END, 0), 2 * shard_size) AS words FROM hq),
 hr AS (SELECT sid, shard, shard_size, words // shard_size AS whole, words % shard_size AS rest FROM hw),
 b0 AS (SELECT *, unnest(range(0, CAST(ceil(shard_size / {block}.0) AS BIGINT))) AS b FROM hr),
 b1 AS (SELECT *, least({block}, shard_size - b * {block}) AS len, md5('{seed}:' || sid || ':' || shard || ':' || b) AS bkey FROM b0),

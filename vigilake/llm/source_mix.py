@@ -2,16 +2,16 @@
 
 Targets come from filling by weight up to each source's cap. Blocks of equally many words then go to sources by the
 highest quotients weight / (2k + 1), and within a source to its shards in the same way, which gives every shard an
-integer quota; what a source's target has beyond whole blocks, or lacks, falls to its first shard. A shard's documents
+integer quota; what a source's target has beyond whole blocks, or lacks, falls to its first shard with words. A shard's documents
 lie one after another in a seeded order, cut into blocks; the quota takes the whole shard as often as it goes in, and
 then its blocks in a seeded order, the last of them in part. Only the few quotients near the divisor are ever listed.
 
 Texts are read once; what is known of each document is written down. Documents without words lie nowhere, and a shard has
 a bounded number of words and of rows, so that no window grows with a source.
 
-Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows of
-one id are ordered by their texts' hashes, and equal rows share their places in any order; texts of any length are
-counted whole; an empty table gives an empty table; other columns are not read."""
+Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows are
+dealt and ordered by id, text and, where these are equal, by number, so that one id or one text on many rows fills shards
+like any others; texts of any length are counted whole; an empty table gives an empty table; other columns are not read."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 # Fixed values of the task: the weights, repeating over the ordered sources, the share of all words, and the cap.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
@@ -76,7 +76,8 @@ def apportion(claims: DataFrame, within: list[str], claim: str, seats: str, ties
 
 def words_of(shards: DataFrame, block: int, cap: float) -> DataFrame:
     """shards: (sid, shard, shard_size, quota, beyond). Adds whole, how often the shard is taken as a whole, and rest, words of it taken once more."""
-    words = F.col("quota") * block + F.when(F.col("shard") == 0, F.col("beyond")).otherwise(F.lit(0))
+    first = F.min("shard").over(W.partitionBy("sid"))
+    words = F.col("quota") * block + F.when(F.col("shard") == first, F.col("beyond")).otherwise(F.lit(0))
     words = F.least(F.greatest(words, F.lit(0)), F.col("shard_size") * F.lit(int(cap)))
     x = shards.withColumn("whole", F.floor(words / F.col("shard_size")).cast("long"))
     return x.withColumn("rest", words - F.col("whole") * F.col("shard_size"))
@@ -97,8 +98,11 @@ def laid_blocks(shards: DataFrame, block: int, seed: str) -> DataFrame:
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, shard_rows: int = ROWS, seed: str = SEED, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of ``docs``."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie")))
+    read = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
+    # equal rows fold, on the map side too, and are numbered as they unfold
+    numbered = read.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tie", F.col("copy").cast("string")).cast("binary"))
+    rows = settle(numbered.select("doc_id", "source", "size", key.alias("key"), "tie"))
     of_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_rows")), weights, share, cap)
     blocks = of_source.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))))
     blocks = blocks.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long")).withColumn("all_", F.lit(1))
@@ -124,4 +128,6 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, shard_rows: int
     out = taken_before(taken_before(laid, "start"), "end")
     out = out.withColumn("taken", (F.col("whole") * F.col("size") + F.col("end_words") - F.col("start_words")).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return out.select(cols).unionByName(dealt.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(cols))
+    result = settle(out.select(cols).unionByName(dealt.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(cols)))
+    discard(rows, sources, quotas, cuts)
+    return result
