@@ -711,7 +711,8 @@ def brute_posteriors(rows, prior):
     out = {}
     for d, h, q, p, e in rows:
         s, n = paths[h, q]
-        own = (s - e + b * host[h]) / (n - 1 + b)
+        hs, hn = hosts[h]
+        own = (s - e + b * (hs - e + a * mean) / (hn - 1 + a)) / (n - 1 + b)
         out[d] = host[h], own, 1 / (1 + np.exp(-(logit(p) + site_quality.SITE_WEIGHT * (logit(own) - logit(mean)))))
     return out
 
@@ -730,6 +731,14 @@ def test_posteriors_by_plain_arithmetic(spark):
         assert (r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
+def test_a_lone_document_does_not_vouch_for_itself(spark):
+    """Alone on their hosts and alike but for their own labels, two documents score alike."""
+    rest = [(k, f"h{k % 3}", f"h{k % 3}", 0.3 + 0.1 * (k % 5), float(k % 2)) for k in range(60)]
+    rows = spark.createDataFrame([*rest, (100, "a", "a", 0.5, 0.0), (101, "b", "b", 0.5, 1.0)], "doc_id long, host string, path string, p double, e double")
+    got = {r["doc_id"]: r for r in site_quality.posteriors(rows, 0.5).collect()}
+    assert got[100]["score"] == pytest.approx(got[101]["score"], abs=1e-12) and got[100]["kept"] == got[101]["kept"]
+
+
 def test_sparse_sites_shrink(spark, docs, sf_dir):
     labels_ = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = docs.join(labels_.where("quality = 0"), "doc_id", "left_semi").select("doc_id", "text", F.lit("bad").alias("source"))

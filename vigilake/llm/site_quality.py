@@ -4,7 +4,8 @@ A logistic classifier on text statistics gives each document's evidence. Hosts,
 evidence by grouped aggregation; a site's rate is shrunk toward its parent's with a strength fitted to how much sites
 differ, so sparse sites lean on global priors. Document and site evidence then add up on the log-odds scale.
 
-A labelled document vouches for its site with its label, any other with the classifier's probability.
+A labelled document vouches for its site with its label, any other with the classifier's probability; for itself none does:
+what a document's score takes from its path and host is what the others there say (``host_posterior`` is the host's own).
 
 Defined results: null or empty texts are classified by their zero statistics; a null host or path is a site of its
 own; with no usable labels every document scores the prior and is kept; repeated rows count as often as they stand, rows of
@@ -101,13 +102,14 @@ def posteriors(rows: DataFrame, prior: float, keep: float = KEEP) -> DataFrame:
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).head()
     mean = min(max((whole["s"] or 0.0) / max(1, whole["n"] or 0), 1e-3), 1 - 1e-3) if whole["n"] else prior
     a = strength(hosts.withColumn("up", F.lit(mean)), "up")
-    hosts = hosts.select("host", ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_posterior"))
+    hosts = hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n"), ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_posterior"))
     joined = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     b = strength(joined, "host_posterior")
-    sites = joined.select(F.col("host").alias("h"), F.col("path").alias("q"), "s", "n", "host_posterior")
+    sites = joined.select(F.col("host").alias("h"), F.col("path").alias("q"), "s", "n", "host_s", "host_n", "host_posterior")
     out = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    # a document does not vouch for itself
-    others = (F.col("s") - F.col("e") + b * F.col("host_posterior")) / (F.col("n") - 1 + b)
+    # a document does not vouch for itself, neither in its path nor in its host
+    host_others = (F.col("host_s") - F.col("e") + a * mean) / (F.col("host_n") - 1 + a)
+    others = (F.col("s") - F.col("e") + b * host_others) / (F.col("n") - 1 + b)
     out = out.withColumn("path_posterior", others)
     total = logit(F.col("p")) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.lit(mean)))
     out = out.withColumn("score", 1 / (1 + F.exp(-total)))
