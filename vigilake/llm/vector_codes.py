@@ -292,4 +292,6 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     by_label = settle(found.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONGEST)).cast("long").alias("label_error")).withColumnRenamed("label", "of"))
     few = by_label.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     out = found.join(F.broadcast(by_label) if few else by_label, F.col("label").eqNullSafe(F.col("of")))
-    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+    result = settle(out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")))
+    discard(found, by_label)
+    return result
