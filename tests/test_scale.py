@@ -383,3 +383,26 @@ def test_a_question_asked_again_reads_what_was_found(spark, facts, tmp_path, mon
     assert table(analysis.analyse(facts, config, kept=kept).ranked.select("pt", "confidence_score")) == want
     with pytest.raises(BaseException, match="computed again"):
         analysis.analyse(facts, config, kept=analysis.Kept(spark, str(tmp_path / "kept"), "other facts"))
+
+
+def test_footers_tell_rows_and_bounds(spark, facts, tmp_path):
+    from vigilake.sources import layout
+
+    reports.write_sorted(facts, str(tmp_path / "f"))
+    got = layout.footer_summary(spark, str(tmp_path / "f"), "receive_year", "age_years")
+    assert tuple(got.head()) == tuple(facts.agg(F.count("*"), F.min("receive_year"), F.max("receive_year"), F.min("age_years"), F.max("age_years")).head())
+    plan = got._jdf.queryExecution().explainString(got.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedAggregation: [COUNT(*), MIN(receive_year)" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    with pytest.raises(ValueError):
+        layout.footer_summary(spark, str(tmp_path / "f"), "drug_name")
+
+
+def test_report_files_by_listing(spark, tmp_path):
+    for name in ("a.json", "q1/b.json", "q1/c.json", "q1/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    names = lambda: [p.rpartition(str(tmp_path))[2] for p in reports.report_paths(spark, f"file://{tmp_path}")]
+    assert names() == ["/a.json", "/q1/b.json", "/q1/c.json"]
+    (tmp_path / "downloaded.txt").write_text("q1/c.json\n\nq1/gone.json\na.json\n")
+    assert names() == ["/a.json", "/q1/c.json"]

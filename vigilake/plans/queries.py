@@ -21,6 +21,7 @@ from ..operators import launch_bias as B
 from ..operators import marts as M
 from ..operators import resolve as R
 from ..operators import timeline as TL
+from ..sources import layout as LY
 from ..sources import reports as P
 from ..sources import schema
 from ..sources import store
@@ -178,6 +179,13 @@ def q_ctas(spark, sf_dir):
     return spark.read.schema(schema.FACT).parquet(path).groupBy("drug_name").agg(F.count("*").alias("n_rows"), F.min("receivedate").alias("first_date"), F.max("receivedate").alias("last_date"))
 
 
+@query(with_facts("SELECT count(*) AS n_rows, min(receive_year) AS min_receive_year, max(receive_year) AS max_receive_year FROM fact"))
+def q_footers(spark, sf_dir):
+    """Rows and years of the written fact, from the footers of its files."""
+    facts(spark, sf_dir)
+    return LY.footer_summary(spark, f"{store.root(spark, sf_dir)}/fact", "receive_year")
+
+
 @query(with_facts("SELECT DISTINCT drug_name FROM fact WHERE drug_name <> ''"))
 def q_drug_index(spark, sf_dir):
     return M.bridge(facts(spark, sf_dir)).select("drug_name").distinct()
