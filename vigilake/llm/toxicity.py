@@ -13,6 +13,7 @@ table gives an empty table. The sample that reaches the driver is bounded in row
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, packed, sampled_rows, to_driver, with_arrow
+from .common import bounded_sample, discard, packed, sampled_rows, settle, to_driver, with_arrow
 from .language_id import slices
 
 #: Labelled rows of a class at most, hash slots of features, training passes, and how much commoner in toxic documents a word or affix must be.
@@ -32,14 +33,28 @@ _TOKEN = re.compile(r"\S+")
 N_FEATURES = 9
 
 
-def features(word: str) -> list[int]:
-    """Slots of a word's features: itself, its prefixes and suffixes, and its shape."""
-    import zlib
+#: Sums of the texts that a feature's name begins with, and slots of a feature that a word is too short for.
+_PREFIX = [(k, zlib.crc32(f"p{k}:".encode()), zlib.crc32(f"s{k}".encode()) % SLOTS) for k in (3, 4, 5, 6)]
+_SUFFIX = [(k, zlib.crc32(f"e{k}:".encode()), zlib.crc32(f"t{k}".encode()) % SLOTS) for k in (2, 3, 4)]
+_WHOLE, _SHAPES = zlib.crc32(b"w:"), {}
+
 
-    w = word.strip(_EDGES).lower()
-    shape = ("U" if word.isupper() else "l") + str(min(len(w), 9)) + ("d" if any(x.isdigit() for x in w) else "-")
-    names = ["w:" + w, *[f"p{k}:{w[:k]}" if len(w) > k else f"s{k}" for k in (3, 4, 5, 6)], *[f"e{k}:{w[-k:]}" if len(w) > k else f"t{k}" for k in (2, 3, 4)], "x:" + shape]
-    return [zlib.crc32(x.encode()) % SLOTS for x in names]
+def features(word: str) -> list[int]:
+    """Slots of a word's features: itself, its prefixes and suffixes, and its shape.
+
+    A feature is a name and a text, its slot their checksum, which goes on from that of the name."""
+    crc, w = zlib.crc32, word.strip(_EDGES).lower()
+    n, b = len(w), w.encode()
+    shape = (word.isupper(), min(n, 9), not w.isalpha() and any(map(str.isdigit, w)))
+    if shape not in _SHAPES:
+        _SHAPES[shape] = crc(("x:" + ("U" if shape[0] else "l") + str(shape[1]) + ("d" if shape[2] else "-")).encode()) % SLOTS
+    if len(b) == n:
+        out = [crc(b[:k], start) % SLOTS if n > k else short for k, start, short in _PREFIX]
+        out += [crc(b[-k:], start) % SLOTS if n > k else short for k, start, short in _SUFFIX]
+    else:
+        out = [crc(w[:k].encode(), start) % SLOTS if n > k else short for k, start, short in _PREFIX]
+        out += [crc(w[-k:].encode(), start) % SLOTS if n > k else short for k, start, short in _SUFFIX]
+    return [crc(b, _WHOLE) % SLOTS, *out, _SHAPES[shape]]
 
 
 def bounds(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
     """docs: doc_id and text; labels: doc_id and toxic, only rows one may learn from. A bounded sample reaches the driver."""
     usable = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     rate = usable.agg(F.avg("__y")).head()[0]
-    rows = to_driver(sampled_rows(docs, bounded_sample(usable, "__y", PER_CLASS), 2 * PER_CLASS), "__y")
+    picked = settle(sampled_rows(docs, bounded_sample(usable, "__y", PER_CLASS), 2 * PER_CLASS))  # found once, read twice
+    rows = to_driver(picked, "__y")
+    discard(picked)
     return Tagger().fit([(r["text"], r["__y"]) for r in rows], rate)
 
 
