@@ -53,14 +53,18 @@ class LiveMarts:
         P = sc._jvm.org.apache.hadoop.fs.Path
         return P, P(self.root).getFileSystem(sc._jsc.hadoopConfiguration())
 
-    def _deltas(self, name: str) -> list[str]:
-        """A mart's finished deltas, the oldest first; those that a later fold holds are left out."""
+    def _finished(self, name: str) -> tuple[list[str], int]:
+        """(a mart's finished deltas, the oldest first; the place of the last that folds all before it, else 0)."""
         P, fs = self._fs()
         folder = P(f"{self.root}/{name}")
         there = sorted(s.getPath().toString() for s in fs.listStatus(folder)) if fs.exists(folder) else []
         there = [p for p in there if fs.exists(P(p + "/_SUCCESS"))]
-        folds = [k for k, p in enumerate(there) if p.endswith("-fold")]
-        return there[folds[-1] :] if folds else there
+        return there, max((k for k, p in enumerate(there) if p.endswith("-fold")), default=0)
+
+    def _deltas(self, name: str) -> list[str]:
+        """The deltas that make up a mart."""
+        there, last = self._finished(name)
+        return there[last:]
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """Merge rows into the reports, and what that changes into every mart.
@@ -88,12 +92,13 @@ class LiveMarts:
         return self.spark.read.parquet(*deltas).groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
 
     def fold(self, batch_id: int) -> None:
-        """One delta in place of all so far; the old ones go once it is there."""
+        """One delta in place of all so far. What the fold before this one held goes; what this one holds stays until the next,
+        so that a reader that started before it still finds its files."""
         P, fs = self._fs()
         for name in COUNTS:
-            old = self._deltas(name)
+            there, last = self._finished(name)
             self.read(name).write.mode("overwrite").parquet(f"{self.root}/{name}/d{batch_id:08d}-fold")
-            for p in old:
+            for p in there[:last]:
                 fs.delete(P(p), True)
 
     def marts(self) -> Marts:
