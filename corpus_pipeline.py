@@ -86,6 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         was = docs
         docs = settle(stage(spark, was, sf_dir))
         discard(was)
-    out = settle(STAGES[-1][1](spark, docs, sf_dir))
-    discard(docs)
+    mixed = STAGES[-1][1](spark, docs, sf_dir)
+    out = settle(mixed)
+    discard(docs, mixed)
     return out
