@@ -711,7 +711,7 @@ def q_bcpnn(spark, sf_dir):
 
 @query(with_facts(
     """SELECT drug, pt, round(p, 8) AS p_null, CAST(i AS BIGINT) AS rk, CAST((lo + hi) / 2.0 AS DOUBLE) AS mean_rank, round(cum / i, 6) AS fdr, round((m - tot - i + cum) / nullif(m - i, 0), 6) AS fnr,
-  round((i - cum) / (m - tot), 6) AS se, round((tot - cum) / tot, 6) AS sp, round((1 - p) / best, 6) AS score
+  round((i - cum) / (m - tot), 6) AS se, round((tot - cum) / tot, 6) + 0.0 AS sp, round((1 - p) / best, 6) AS score
   FROM (SELECT *, min(i) OVER (PARTITION BY r) AS lo, max(i) OVER (PARTITION BY r) AS hi FROM (SELECT *, round(p, 12) AS r, sum(p) OVER w AS cum, row_number() OVER w AS i, count(*) OVER () AS m, sum(p) OVER () AS tot, max(1 - p) OVER () AS best
     FROM (SELECT drug, drug || '|' || pt AS pt, p FROM x6) WINDOW w AS (ORDER BY round(p, 12), pt ROWS UNBOUNDED PRECEDING)))""",
     ALL_CT, PREP, IC, f"x6 AS (SELECT *, {upper_tail('z')} AS p FROM x55)",
@@ -720,7 +720,7 @@ def q_bcpnn_family(spark, sf_dir):
     """Posterior errors when the cells of all drugs are called in one order."""
     cells = D.bcpnn_columns(C.all_pairs(facts(spark, sf_dir))).select(F.lit("every").alias("drug"), F.col("drug").alias("of"), F.concat_ws("|", "drug", "pt").alias("pt"), "p_null")
     x = D.posterior_errors_family(cells)
-    return x.select(F.col("of").alias("drug"), "pt", F.round("p_null", 8).alias("p_null"), F.col("rk").cast("long").alias("rk"), "mean_rank", *rounded(x, "fdr", "fnr", "se", "sp", "score"))
+    return x.select(F.col("of").alias("drug"), "pt", F.round("p_null", 8).alias("p_null"), F.col("rk").cast("long").alias("rk"), "mean_rank", *rounded(x, "fdr", "fnr", "se", "score"), (F.round("sp", 6) + F.lit(0.0)).alias("sp"))  # no negative zero
 
 
 @query()
