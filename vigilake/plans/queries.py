@@ -641,7 +641,8 @@ def q_ror(spark, sf_dir):
 @query(with_facts("""SELECT drug, m, k, round(least(1, v), 6) AS pi0 FROM (SELECT drug, count(*) AS m, count(*) FILTER (WHERE p_value <= 0.5) AS k,
   avg(CASE WHEN 2 * least(p_value, 1 - p_value) >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(1 - 2 * least(p_value, 1 - p_value)) END) AS v FROM pv GROUP BY drug)""", ALL_CT, PREP, tails(ROR)))
 def q_lbe_pi0(spark, sf_dir):
-    return D.pi0(D.ratio(C.all_pairs(facts(spark, sf_dir)), D.log_ror(), "ror")).select("drug", "m", "k", F.round("pi0", 6).alias("pi0"))
+    x = D.with_pi0(D.ratio(C.all_pairs(facts(spark, sf_dir)), D.log_ror(), "ror"))
+    return x.select("drug", "m", "k", F.round("pi0", 6).alias("pi0")).distinct()
 
 
 LBE = """ps AS (SELECT drug || '|' || pt AS pt, round(p_value, 12) AS p FROM pv),
