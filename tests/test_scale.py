@@ -326,6 +326,20 @@ def test_terms_by_index_are_those_of_patterns(spark):
     assert "(drug_name" in plan
 
 
+def test_terms_over_labels_are_those_of_whole_sections(spark):
+    from vigilake.operators import label_index, labels
+
+    texts = ["Peripheral", "oedema, then edema. stevens-johnson (SJS", ") and", "", "", "stevens", "johnson; rash_1 rash no", "pain", "x .", "pain ∆", "Δ (", "é)", "q.t.", "prolonged " * 9, "pain a", None, "b", "c"]
+    parts = [("a", k, "warnings", t) for k, t in enumerate(texts)] + [("a", k, "other", t) for k, t in enumerate(texts[::-1])] + [("b", 1, "none", ""), (None, 1, "none", "pain")]
+    terms = [(d, t) for d in ("a", "b", "c") for t in ("Pain", "rash", "RASH_1", "oedema", "Peripheral Oedema", "stevens-johnson", "stevens johnson", "(SJS)", "(SJS ) and", "and   stevens", "q.t.", ".pain", ". pain", "∆", "∆ δ", "δ ( é", "no pain x", "pain a b c", "b c", "a b c b", "prolonged q.t. é", "ain", "- johnson", "( é)", "+")]
+    x, y = spark.createDataFrame(parts, "drug_name string, label int, section string, text string").repartition(5), spark.createDataFrame(terms, "drug_name string, pt string")
+    want = table(labels.matches(y, labels.sections(x)), "drug_name", "pt", "section", "matched_term")
+    got = label_index.matches_in_labels(y, x)
+    assert table(got, "drug_name", "pt", "section", "matched_term") == want and len(want) > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(label" not in plan  # no section is one row
+
+
 def test_first_records_of_a_product(spark):
     from vigilake.operators import labels
 
