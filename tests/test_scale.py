@@ -453,3 +453,17 @@ def test_triplets_of_packed_reports_are_not_shuffled(spark, sf_dir):
     counts = contingency.pair_counts(adapter.reports(spark, sf_dir).persist())
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning" in line and "safetyreportid" in line for line in plan.splitlines())
+
+
+def test_live_marts_follow_packed_reports(spark, sf_dir, tmp_path):
+    from vigilake.operators import contingency
+    from vigilake.sources import adapter, schema
+    from vigilake.streaming.marts import LiveMarts
+    from vigilake.streaming.reports import LatestVersions
+
+    whole = adapter.reports(spark, sf_dir).limit(60).persist()
+    early = whole.limit(20).withColumns({"receivedate": F.lit("1990-01-01"), "sex": F.lit("unknown"), "reactions": F.array(F.lit("EARLY"))})
+    live = LiveMarts(spark, f"{tmp_path}/marts", LatestVersions(spark, f"{tmp_path}/reports", buckets=2, rows=schema.PACKED))
+    live.merge(early, 0)
+    live.merge(whole, 1)
+    assert table(live.read("pair")) == table(contingency.pair_counts(whole), "drug", "pt", "a")

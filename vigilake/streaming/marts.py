@@ -1,19 +1,22 @@
 """Marts that follow a table of reports: counts of distinct reports kept by what each merge takes away and adds.
 
-A report belongs to a merge with all its rows, so its old (key, report) pairs count minus one each and its new ones plus one;
-what is left by key is the merge's delta, written beside the others. A mart is the sum of its deltas: only keys whose counts
+A report belongs to a merge with all its rows, so its old (key, report) pairs count minus one each and its new ones plus one,
+as far as they differ; its rows, facts or packed reports, are read as faces: sex, age, drugs and reactions. What is left by key is the merge's delta, written beside the others. A mart is the sum of its deltas: only keys whose counts
 change are written, and a merge that replaces a report by itself writes nothing. Deltas are folded into one when there are
 many. A batch that is retried after its merge is done finds its deltas written and leaves them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.contingency import cells
-from ..operators.marts import Marts, has_text
+from ..operators.marts import Marts
+from ..sources import schema
 from ..sources.store import drop_settled, settle
 from .reports import LatestVersions
 
@@ -27,11 +30,31 @@ class Count:
     keys: tuple[str, ...]
     solid: tuple[str, ...] = ()
 
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        out = rows.where(F.col(ID).isNotNull())
-        for c in self.solid:
-            out = out.where(has_text(c))
-        return out.select(*dict.fromkeys((*self.keys, ID))).distinct()
+    def named(self, faces: str) -> Column:
+        """The distinct keys that a report's ``faces`` name, as structs."""
+        has = lambda x: x.isNotNull() & (x != "")
+
+        def of(f: Column) -> Column:
+            lists = {c: F.filter(f[c], has) if c in self.solid else f[c] for c in (DRUG, PT)}
+            met = reduce(lambda a, b: a & b, [F.size(x) > 0 for x in lists.values()])
+            many = [c for c in (DRUG, PT) if c in self.keys]
+            one = lambda **got: F.struct(*[got.get(k, F.lit(1) if k == "one" else f[k] if k not in (DRUG, PT) else None).alias(k) for k in self.keys if k != ID] or [F.lit(1).alias("one")])
+            if len(many) == 2:
+                out = F.flatten(F.transform(lists[DRUG], lambda d: F.transform(lists[PT], lambda p: one(**{DRUG: d, PT: p}))))
+            else:
+                out = F.transform(lists[many[0]], lambda x: one(**{many[0]: x})) if many else F.array(one())
+            return F.when(met, out).otherwise(F.slice(out, 1, 0))
+
+        return F.array_distinct(F.flatten(F.transform(faces, of)))
+
+    def delta(self, told: DataFrame) -> DataFrame:
+        """told: (id, before, after), lists of faces. (keys, n): what is named more or less often."""
+        was, now = self.named("before"), self.named("after")
+        signed = [told.select(ID, F.explode(F.array_except(a, b)).alias("k"), F.lit(n).cast("long").alias("n")) for a, b, n in ((now, was, 1), (was, now, -1))]
+        rows = signed[0].unionByName(signed[1]).select(*[k if k == ID else F.col(f"k.{k}").alias(k) for k in self.keys], "n")
+        if ID in self.keys:  # a report's own keys, each once
+            return rows
+        return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n != 0")
 
 
 PT, DRUG = "reaction_pt", "drug_name"
@@ -73,12 +96,12 @@ class LiveMarts:
         one that broke off after it has nothing left to do."""
         if self.reports.merged(batch_id):
             return
-        before, after = (settle(x) for x in self.reports.changes(batch))
+        names = ("drugs.drug_name", "reactions") if "drugs" in batch.columns else (F.array(DRUG), F.array(PT))
+        lists = [(F.col(x) if isinstance(x, str) else x).alias(c) for x, c in zip(names, (DRUG, PT), strict=True)]
+        told = settle(self.reports.told(batch, F.col("sex"), F.col("age_stratum"), *lists).where("before != after"))
         for name, count in COUNTS.items():
-            signed = count.pairs(before).withColumn("n", F.lit(-1)).unionByName(count.pairs(after).withColumn("n", F.lit(1)))
-            delta = signed.groupBy(*count.keys).agg(F.sum("n").alias("n")).where("n != 0")
-            delta.write.mode("overwrite").parquet(f"{self.root}/{name}/d{batch_id:08d}")
-        drop_settled(before, after)
+            count.delta(told).write.mode("overwrite").parquet(f"{self.root}/{name}/d{batch_id:08d}")
+        drop_settled(told)
         self.reports.merge(batch, batch_id)
         if len(self._deltas("total")) > self.fold_at:
             self.fold(batch_id)
@@ -87,8 +110,7 @@ class LiveMarts:
         """A mart's keys and the distinct reports ``n`` of each."""
         keys, deltas = COUNTS[name].keys, self._deltas(name)
         if not deltas:
-            facts = self.reports.current()
-            return facts.select(*keys, F.lit(0).cast("long").alias("n")).limit(0)
+            return self.spark.createDataFrame([], T.StructType([schema.FACT[k] for k in keys] + [T.StructField("n", T.LongType())]))
         return self.spark.read.parquet(*deltas).groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
 
     def fold(self, batch_id: int) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.dedup import latest_versions
 from ..sources import schema
@@ -17,6 +18,10 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return flatten(spark.readStream.schema(schema.REPORT).option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
+#: Tasks that may write a bucket.
+SPREAD = 16
+
+
 class LatestVersions:
     """A table of current facts kept under ``root``, in buckets by a hash of the id; rows without an id by a hash of the row.
 
@@ -24,8 +29,9 @@ class LatestVersions:
     version counts. Versions that no bucket needs any more, but for the one before, are deleted, so a reader that started
     before a merge still finds its files."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, rows: StructType = schema.FACT) -> None:
+        """``rows``: the schema of what is kept, facts or packed reports."""
+        self.spark, self.root, self.buckets, self.rows = spark, root.rstrip("/"), buckets, rows
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         of = F.when(F.col("safetyreportid").isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64("safetyreportid"))
@@ -37,7 +43,8 @@ class LatestVersions:
             rows = new if old is None else old.unionByName(new)
             whole = latest_versions(rows, distinct=True)
             version = f"{self.root}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
-            whole.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(version)
+            # a bucket is as many files as there are tasks for it
+            whole.repartition("bucket", F.pmod(F.xxhash64(*batch.columns), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(version)
             self._tidy()
         new.unpersist()
 
@@ -48,10 +55,23 @@ class LatestVersions:
         hit = [r[0] for r in ids.select(F.pmod(F.xxhash64("safetyreportid"), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets`` numbers
         held = self._held()
         old = self._read({b: held[b] for b in hit if b in held})
-        before = self.spark.createDataFrame([], schema.FACT) if old is None else old.join(ids, "safetyreportid", "left_semi")
+        before = self.spark.createDataFrame([], self.rows) if old is None else old.join(ids, "safetyreportid", "left_semi")
         before = before.select(batch.columns)
         return before, latest_versions(before.unionByName(new), distinct=True)
 
+    def told(self, batch: DataFrame, *what: Column) -> DataFrame:
+        """(safetyreportid, before, after): sorted distinct values of ``what`` over the rows that each of the batch's ids has now
+        and over those that it has once the batch is merged. Slim rows meet in one shuffle by id; rows without an id are not told."""
+        slim = lambda rows, old: rows.where(F.col("safetyreportid").isNotNull()).select("safetyreportid", F.col("receivedate").alias("date"), F.lit(old).alias("old"), F.struct(*what).alias("what"))
+        new = slim(batch, False)
+        hit = [r[0] for r in new.select(F.pmod(F.xxhash64("safetyreportid"), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets`` numbers
+        held = self._held()
+        old = self._read({b: held[b] for b in hit if b in held})
+        rows = new if old is None else new.unionByName(slim(old, True))
+        by = rows.groupBy("safetyreportid").agg(F.collect_set(F.struct("old", "date", "what")).alias("rows"), F.max("date").alias("last"), F.bool_or(~F.col("old")).alias("asked")).where("asked")
+        side = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter("rows", keep), lambda r: r["what"])))
+        return by.select("safetyreportid", side(lambda r: r["old"]).alias("before"), side(lambda r: r["date"] == F.col("last")).alias("after"))
+
     def merged(self, batch_id: int) -> bool:
         return any(v.rpartition("/")[2].startswith(f"v{batch_id:08d}-") for v in self._versions())
 
@@ -87,14 +107,14 @@ class LatestVersions:
     def _read(self, held: dict[int, str], with_bucket: bool = False) -> DataFrame | None:
         if not held:
             return None
-        rows = self.spark.read.schema(schema.FACT).parquet(*held.values())
+        rows = self.spark.read.schema(self.rows).parquet(*held.values())
         if not with_bucket:
             return rows
         return rows.withColumn("bucket", F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int"))
 
     def current(self) -> DataFrame:
         rows = self._read(self._held())
-        return rows if rows is not None else self.spark.createDataFrame([], schema.FACT)
+        return rows if rows is not None else self.spark.createDataFrame([], self.rows)
 
     def follow(self, stream: DataFrame, checkpoint: str):
         """Starts the merge of a stream; a batch that is retried rewrites the same ids to the same rows."""
