@@ -193,6 +193,28 @@ def test_comedication_from_bitmaps(spark, facts):
     assert numbers.agg(F.min("number"), F.max("number"), F.count_distinct("number")).head() == (1, n, n)
 
 
+def test_bitmaps_of_packed_reports(spark, sf_dir, facts, monkeypatch):
+    from vigilake.sources import adapter
+
+    monkeypatch.setattr(bitmaps, "FEW", 70)
+    index, plain = bitmaps.ReportIndex.of_reports(adapter.reports(spark, sf_dir).repartition(3)), bitmaps.ReportIndex.of(facts)
+    assert index.buckets.where("bits IS NULL").count() and index.buckets.where("few IS NULL").count()
+    for field in ("drug", "pt"):
+        assert table(index.sizes(field)) == table(plain.sizes(field))
+    a, b = (r[0] for r in facts.groupBy("drug_name").count().orderBy(F.desc("count"), "drug_name").limit(2).collect())
+    assert table(index.comedication(a, b, 1)) == table(plain.comedication(a, b, 1)) and table(index.comedications(a)) == table(plain.comedications(a))
+
+
+def test_bitmaps_of_odd_reports(spark):
+    """Names without text, reports without names, ids that are null: in no bitmap. No report is dealt by its id."""
+    rows = [("1", ["A", "", None], ["P", "Q"]), ("2", ["A", "B"], ["P", ""]), ("3", ["B"], []), ("4", [""], ["P"]), (None, ["A"], ["P"])]
+    packed = spark.createDataFrame(rows, "safetyreportid string, names array<string>, reactions array<string>").withColumn("drugs", F.transform("names", lambda n: F.struct(n.alias("drug_name"))))
+    index = bitmaps.ReportIndex.of_reports(packed)
+    assert table(index.buckets.groupBy("field", "value").agg(F.sum("n"))) == [("drug", "A", 2), ("drug", "B", 1), ("pt", "P", 2), ("pt", "Q", 1)]
+    plan = bitmaps.containers_of_reports(marts.told(packed))._jdf.queryExecution().executedPlan().toString()
+    assert "safetyreportid" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
 # ---- marts that follow
 
 

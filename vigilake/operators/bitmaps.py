@@ -1,23 +1,25 @@
 """The index of reports as bitmaps: which reports name a drug or a reaction, by dense report numbers.
 
-Reports are numbered without a gap, and a value's reports lie in buckets of as many numbers as one bitmap holds. A bucket
+Reports are numbered without a gap (packed reports: but for gaps between partitions), and a value's reports lie in buckets of as many numbers as one bitmap holds. A bucket
 with few reports is a sorted list of positions, any other a bitmap, so that rare drugs take their own size and common ones
 an eighth of a byte a report. No drug is one array: a hot drug has as many rows as there are buckets. Strata are
 intersections, bucket by bucket, in Arrow batches; what is counted is counted on the bits."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import settle
 from .contingency import cells
-from .marts import has_text
+from .marts import has_text, told
 from .scan import Ranges
 
 #: Positions up to which a bucket is a list: it then takes no more than a bitmap.
@@ -42,6 +44,42 @@ def containers(members: DataFrame) -> DataFrame:
     return bits.unionByName(few.withColumn("bits", F.lit(None).cast("binary")))
 
 
+def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (number, drugs, pts) as rows (field, value, bucket, few): a batch's positions of each value and bucket."""
+    size = BUCKET_BYTES * 8
+    for batch in batches:
+        at = batch.column("number").to_numpy() - 1
+        for field, name in (("drug", "drugs"), ("pt", "pts")):
+            lists = batch.column(name)
+            told = lists.flatten().dictionary_encode()
+            if not len(told):
+                continue
+            mine = np.repeat(at, lists.value_lengths().to_numpy())
+            buckets, bucket = np.unique(mine // size, return_inverse=True)
+            key = told.indices.to_numpy().astype(np.int64) * len(buckets) + bucket
+            order = np.argsort(key, kind="stable")
+            keys, starts = np.unique(key[order], return_index=True)
+            few = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array((mine % size)[order], pa.int32()))
+            values = told.dictionary.take(pa.array(keys // len(buckets)))
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(keys)), values, pa.array(buckets[keys % len(buckets)] + 1, pa.int64()), few], ["field", "value", "bucket", "few"])
+
+
+@F.pandas_udf(T.BinaryType())
+def as_bits(few: pd.Series) -> pd.Series:
+    """Lists of positions as bitmaps; null stays null."""
+    return few.map(lambda x: None if x is None else opened(None, x).tobytes())
+
+
+def containers_of_reports(reports: DataFrame) -> DataFrame:
+    """:func:`containers` from (drugs, pts), a row a report, each naming a value once. A report's number is its row's in its
+    partition, so a bucket's rows lie together, and what is shuffled are lists of positions, one for each batch and value."""
+    held = reports.select((F.monotonically_increasing_id() + 1).alias("number"), "drugs", "pts")
+    lists = held.mapInArrow(positions, "field string, value string, bucket long, few array<int>")
+    at = lists.groupBy("field", "value", "bucket").agg(F.sort_array(F.flatten(F.collect_list("few"))).alias("few")).withColumn("n", F.size("few").cast("long"))
+    many = F.col("n") > FEW
+    return at.select("field", "value", "bucket", "n", as_bits(F.when(many, F.col("few"))).alias("bits"), F.when(~many, F.col("few")).alias("few"))
+
+
 def opened(bits: bytes | None, few: np.ndarray | None) -> np.ndarray:
     """A bucket's bytes, whatever it is kept as; the lowest bit of a byte is its first position."""
     if bits is not None:
@@ -99,6 +137,11 @@ class ReportIndex:
         members = pairs[0].unionByName(pairs[1]).join(numbers, "id").select("field", "value", "number")
         return ReportIndex(settle(containers(members)))
 
+    @staticmethod
+    def of_reports(reports: DataFrame) -> ReportIndex:
+        """The same from packed reports, a row for each id: nothing is crossed, made distinct or joined with its number."""
+        return ReportIndex(settle(containers_of_reports(told(reports))))
+
     def write(self, path: str) -> None:
         """In ranges of (field, bucket, value), so that a stratum's buckets are read next to those they meet."""
         self.buckets.repartitionByRange("field", "bucket", "value").sortWithinPartitions("field", "value", "bucket").write.mode("overwrite").parquet(path)
