@@ -257,6 +257,18 @@ def test_lasso_keeps_reports_without_listed_products(spark):
     assert got == {"E": (30, pytest.approx(0.96)), "F": (30, pytest.approx(-0.96))}
 
 
+def test_lasso_of_packed_reports(spark):
+    """A row for each id gives what a row for each product and event gives, and no pair is joined by its report."""
+    rows_ = [(k, f"p{j}", f"E{(k * j) % 3}") for k in range(200) for j in range(5) if (k * 7 + j * 3) % 4]
+    x = spark.createDataFrame(rows_, "id int, name string, AE string")
+    fit = lambda df: rows(K.lasso(df, ["p0", "p1", "p3"], ["E0", "E1", "none"], alpha=0.001, num_bootstrap=3))
+    packed = x.groupBy("id").agg(F.collect_set("name").alias("names"), F.collect_set("AE").alias("AEs"))
+    assert fit(packed) == fit(x)
+    n, both, _ = K.co_reports(packed, ["p0", "p1"], ["E0"], 1, 1)
+    ids = [{i for i, p, _ in rows_ if p == q} for q in ("p0", "p1")]
+    assert n[0] == len({r[0] for r in rows_}) and both[0].tolist() == [[len(a & b) for b in ids] for a in ids]
+
+
 def test_simulated_components_of_all_drugs(spark, fact, sf_dir):
     got = registry.queries()["q_bcpnn_mc"](spark, sf_dir).persist()
     pairs = C.all_pairs(fact)
