@@ -477,6 +477,14 @@ def test_triplets_of_packed_reports_are_not_shuffled(spark, sf_dir):
     assert not any("hashpartitioning" in line and "safetyreportid" in line for line in plan.splitlines())
 
 
+def test_raw_reports_are_made_once(spark, sf_dir):
+    """Conditions on parsed lists do not make the texts anew within a join."""
+    from vigilake.plans import registry
+
+    plan = registry.queries()["q_json_flatten"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "Join" not in plan
+
+
 def test_live_marts_follow_packed_reports(spark, sf_dir, tmp_path):
     from vigilake.operators import contingency
     from vigilake.sources import adapter, schema
