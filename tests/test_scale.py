@@ -477,6 +477,49 @@ def test_triplets_of_packed_reports_are_not_shuffled(spark, sf_dir):
     assert not any("hashpartitioning" in line and "safetyreportid" in line for line in plan.splitlines())
 
 
+def test_lines_are_packed_as_they_lie(spark, sf_dir, monkeypatch):
+    """Orders are whole wherever batches are cut, nulls are as in the SQL, and no grouping of lists stands in the plan."""
+    import pyarrow as pa
+
+    from vigilake.sources import adapter
+
+    plan = adapter.reports(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    # order, drug, reaction, use, said
+    lines = [(1, "A", "P", "u", 1), (1, "A", "Q", "t", 2), (1, None, "P", None, 4), (2, "B", "P", None, 8), (2, "B", "P", None, 16), (3, "A", "Q", "u", 0), (3, "B", "Q", None, 0), (3, "A", "P", None, 31)]
+    whole = pa.table([pa.array(c) for c in zip(*[(o, d, r, u, s, "2001-01-01", "1", "X", "Y", float(o)) for o, d, r, u, s in lines])], names=["l_orderkey", "drug_name", "reaction_pt", "p_type", "said", *adapter.OF_ORDER])
+    want = {
+        1: ([(None, None, "0", "1", "0", "0", "2"), ("A", "t", "1", "0", "0", "0", "1")], ["P", "Q"]), 2: ([("B", None, "0", "0", "1", "1", "2")], ["P"]),
+        3: ([("A", "u", "1", "1", "1", "1", "1"), ("B", None, "0", "0", "0", "0", "2")], ["P", "Q"]),
+    }
+    cols = ["drug_name", "drug_indication", "outcome_death", "outcome_lifethreat", "outcome_hosp", "outcome_disab", "drug_characterization"]
+    for at_once in (1, 3, 100):
+        monkeypatch.setattr(adapter, "AT_ONCE", at_once)
+        for size in (1, 2, 5, 8):
+            got = [r for b in adapter.packed(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+            assert len(got) == 3
+            assert {r["l_orderkey"]: (sorted((tuple(d[c] for c in cols) for d in r["drugs"]), key=str), sorted(r["reactions"])) for r in got} == {k: (sorted(d, key=str), r) for k, (d, r) in want.items()}
+            assert all(r["age_years"] == float(r["l_orderkey"]) for r in got)
+    assert list(adapter.packed(iter(whole.slice(0, 0).to_batches()))) == []
+
+
+def test_orders_stay_whole_where_joins_are_dealt_anew(spark, sf_dir):
+    """Joins that split large partitions leave an order's lines in one task."""
+    from vigilake.sources import adapter
+
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    plain = adapter.reports(spark, sf_dir).count()
+    was = {k: spark.conf.get(k, None) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        got = adapter.reports(spark, sf_dir).select("safetyreportid").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == len(set(got)) == plain
+
+
 def test_raw_reports_are_made_once(spark, sf_dir):
     """Conditions on parsed lists do not make the texts anew within a join."""
     from vigilake.plans import registry
