@@ -520,6 +520,33 @@ def test_orders_stay_whole_where_joins_are_dealt_anew(spark, sf_dir):
     assert len(got) == len(set(got)) == plain
 
 
+def test_crosses_are_counted_in_one_reading(spark, monkeypatch):
+    import pyarrow as pa
+
+    from vigilake.operators import contingency, crossing, timeline
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", None, "y"]), rng.choice([1, 2, None]), rng.sample("ABCDE", rng.randrange(6)), rng.sample("PQRS", rng.randrange(5))) for _ in range(200)]
+    want = {}
+    for g, h, ds, ps in rows:
+        for key in itertools.product([g], [h], [*ds, None], [*ps, None]):
+            want[key] = want.get(key, 0) + 1
+    whole = pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["g", "h", "drugs", "pts"])
+    for reports_, rows_ in ((1, 1), (7, 9), (1000, 4_000_000)):
+        monkeypatch.setattr(crossing, "REPORTS", reports_)
+        monkeypatch.setattr(crossing, "ROWS", rows_)
+        got = {}
+        for batch in crossing.counted(iter(whole.to_batches(max_chunksize=30))):
+            for r in batch.to_pylist():
+                key = (r["g"], r["h"], r["drug"], r["pt"])
+                got[key] = got.get(key, 0) + r["k"]
+        assert got == want
+    packed = spark.createDataFrame([("1", "2001-01-01", [("A",), ("B",)], ["P"])], "safetyreportid string, receivedate string, drugs array<struct<drug_name: string>>, reactions array<string>")
+    for x in (contingency.pair_counts(packed), timeline.reports_over_time(packed, min_a=1)):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "explode(pts" not in plan and "explode(drugs" not in plan and x.count() == 2
+
+
 def test_raw_reports_are_made_once(spark, sf_dir):
     """Conditions on parsed lists do not make the texts anew within a join."""
     from vigilake.plans import registry
