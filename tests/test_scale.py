@@ -547,6 +547,19 @@ def test_crosses_are_counted_in_one_reading(spark, monkeypatch):
         assert "explode(pts" not in plan and "explode(drugs" not in plan and x.count() == 2
 
 
+def test_questions_write_their_own_marts_only(spark, sf_dir, tmp_path, monkeypatch):
+    from vigilake.operators import contingency
+    from vigilake.sources import store
+
+    monkeypatch.setattr(store, "root", lambda *_: f"file://{tmp_path}")
+    facts, made = store.fact(spark, sf_dir), lambda: sorted(p.name for p in (tmp_path / "marts").iterdir())
+    asked = {None: ["marginals_global"], "sex = 'male'": ["marginals_cubed", "marginals_global"], "drug_name = 'BLUE ANVIL'": ["bridge", "marginals_cubed", "marginals_global"]}
+    for where, names in asked.items():
+        got = contingency.contingency(facts, "SMALL RING", where, store.marts(spark, sf_dir), 1)
+        assert table(got, *sorted(got.columns)) == table(contingency.contingency(facts, "SMALL RING", where, None, 1), *sorted(got.columns))
+        assert made() == names
+
+
 def test_raw_reports_are_made_once(spark, sf_dir):
     """Conditions on parsed lists do not make the texts anew within a join."""
     from vigilake.plans import registry
