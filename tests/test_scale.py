@@ -580,3 +580,39 @@ def test_live_marts_follow_packed_reports(spark, sf_dir, tmp_path):
     live.merge(early, 0)
     live.merge(whole, 1)
     assert table(live.read("pair")) == table(contingency.pair_counts(whole), "drug", "pt", "a")
+
+
+def test_merges_hold_no_rows_in_memory_and_deal_them_once(spark, sf_dir, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from vigilake.sources import adapter, schema
+    from vigilake.streaming.marts import LiveMarts
+    from vigilake.streaming.reports import LatestVersions, newest
+
+    def held(*_, **__):
+        raise AssertionError("rows are held in memory")
+
+    monkeypatch.setattr(DataFrame, "persist", held)
+    monkeypatch.setattr(DataFrame, "cache", held)
+    whole = adapter.reports(spark, sf_dir).limit(40)
+    live = LiveMarts(spark, f"{tmp_path}/marts", LatestVersions(spark, f"{tmp_path}/reports", buckets=2, rows=schema.PACKED))
+    for k in range(2):
+        live.merge(whole, k)
+    rows = live.reports.placed(live.reports.current())
+    plan = newest(rows, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_newest_rows_are_the_latest_versions(spark, tmp_path):
+    from vigilake.operators.dedup import latest_versions
+    from vigilake.streaming.reports import LatestVersions, newest
+
+    facts = rows_of(spark, [
+        ("1", "2020-01-01", "male", ["A", "A"], ["X"]), ("1", "2020-01-01", "male", ["A", "B"], ["X", None]), ("1", None, "male", ["C"], ["X"]), ("1", "2019-01-01", "male", ["D"], ["X"]),
+        ("2", None, "male", ["A"], ["X"]), (None, "2020-01-01", "male", ["A", "A"], ["X"]), (None, "2021-01-01", "male", ["A"], ["X"]), (None, None, "male", ["A"], ["X"]), ("", "2020-01-01", None, ["A"], ["X"]),
+    ])
+    facts = facts.withColumn("age_years", F.expr("CASE WHEN drug_name = 'B' THEN 0.0D WHEN drug_name = 'A' THEN double('NaN') END"))
+    facts = facts.unionByName(facts.where("drug_name = 'B'").withColumn("age_years", F.lit(-0.0)))  # equal to 0.0
+    got = newest(LatestVersions(spark, str(tmp_path), buckets=2).placed(facts), 3).drop("bucket").select(facts.columns)
+    text = lambda df: sorted(map(str, df.collect()))
+    assert [t.replace("-0.0", "0.0") for t in text(got)] == [t.replace("-0.0", "0.0") for t in text(latest_versions(facts, distinct=True))]

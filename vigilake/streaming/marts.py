@@ -7,10 +7,7 @@ many. A batch that is retried after its merge is done finds its deltas written a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,46 +15,9 @@ from ..operators.contingency import cells
 from ..operators.marts import Marts
 from ..sources import schema
 from ..sources.store import drop_settled, settle
+from .deltas import DRUG, ID, PT, Count, deltas, summed_up
 from .reports import LatestVersions
 
-ID = "safetyreportid"
-
-
-@dataclass(frozen=True)
-class Count:
-    """Distinct reports by ``keys``, of rows in which ``solid`` columns have text."""
-
-    keys: tuple[str, ...]
-    solid: tuple[str, ...] = ()
-
-    def named(self, faces: str) -> Column:
-        """The distinct keys that a report's ``faces`` name, as structs."""
-        has = lambda x: x.isNotNull() & (x != "")
-
-        def of(f: Column) -> Column:
-            lists = {c: F.filter(f[c], has) if c in self.solid else f[c] for c in (DRUG, PT)}
-            met = reduce(lambda a, b: a & b, [F.size(x) > 0 for x in lists.values()])
-            many = [c for c in (DRUG, PT) if c in self.keys]
-            one = lambda **got: F.struct(*[got.get(k, F.lit(1) if k == "one" else f[k] if k not in (DRUG, PT) else None).alias(k) for k in self.keys if k != ID] or [F.lit(1).alias("one")])
-            if len(many) == 2:
-                out = F.flatten(F.transform(lists[DRUG], lambda d: F.transform(lists[PT], lambda p: one(**{DRUG: d, PT: p}))))
-            else:
-                out = F.transform(lists[many[0]], lambda x: one(**{many[0]: x})) if many else F.array(one())
-            return F.when(met, out).otherwise(F.slice(out, 1, 0))
-
-        return F.array_distinct(F.flatten(F.transform(faces, of)))
-
-    def delta(self, told: DataFrame) -> DataFrame:
-        """told: (id, before, after), lists of faces. (keys, n): what is named more or less often."""
-        was, now = self.named("before"), self.named("after")
-        signed = [told.select(ID, F.explode(F.array_except(a, b)).alias("k"), F.lit(n).cast("long").alias("n")) for a, b, n in ((now, was, 1), (was, now, -1))]
-        rows = signed[0].unionByName(signed[1]).select(*[k if k == ID else F.col(f"k.{k}").alias(k) for k in self.keys], "n")
-        if ID in self.keys:  # a report's own keys, each once
-            return rows
-        return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).where("n != 0")
-
-
-PT, DRUG = "reaction_pt", "drug_name"
 #: What is kept: of all reports, by reaction, by stratum, by both, by drug, by drug and reaction, and the index itself.
 COUNTS = {
     "total": Count(()), "pt": Count((PT,), (PT,)), "stratum": Count(("sex", "age_stratum")), "cube": Count(("sex", "age_stratum", PT), (PT,)),
@@ -97,21 +57,34 @@ class LiveMarts:
         if self.reports.merged(batch_id):
             return
         names = ("drugs.drug_name", "reactions") if "drugs" in batch.columns else (F.array(DRUG), F.array(PT))
-        lists = [(F.col(x) if isinstance(x, str) else x).alias(c) for x, c in zip(names, (DRUG, PT), strict=True)]
-        told = settle(self.reports.told(batch, F.col("sex"), F.col("age_stratum"), *lists).where("before != after"))
-        for name, count in COUNTS.items():
-            count.delta(told).write.mode("overwrite").parquet(f"{self.root}/{name}/d{batch_id:08d}")
-        drop_settled(told)
-        self.reports.merge(batch, batch_id)
+        said = {c: F.col(x) if isinstance(x, str) else x for c, x in zip((DRUG, PT), names, strict=True)}
+        tables = [new := self.reports.placed(batch)]
+        try:
+            tables.append(changed := settle(deltas(self.reports.told(new, sex=F.col("sex"), age_stratum=F.col("age_stratum"), **said), COUNTS)))
+            tables.append(counts := settle(summed_up(changed)))
+            for name, count in COUNTS.items():
+                if ID in count.keys:  # a report's own keys, each once
+                    sides = [F.transform(c, lambda d: F.struct(d.alias(DRUG), F.lit(n).cast("long").alias("n"))) for c, n in (("gained", 1), ("lost", -1))]
+                    delta = changed.where((F.col("mart") == name) & F.col(ID).isNotNull()).select(ID, F.inline(F.concat(*sides))).select(*count.keys, "n")
+                else:
+                    delta = counts.where(F.col("mart") == name).select(*count.keys, "n")
+                delta.write.mode("overwrite").parquet(f"{self.root}/{name}/d{batch_id:08d}")
+            self.reports.merge(batch, batch_id, new)
+        finally:
+            drop_settled(*tables)
         if len(self._deltas("total")) > self.fold_at:
             self.fold(batch_id)
 
     def read(self, name: str) -> DataFrame:
         """A mart's keys and the distinct reports ``n`` of each."""
-        keys, deltas = COUNTS[name].keys, self._deltas(name)
-        if not deltas:
-            return self.spark.createDataFrame([], T.StructType([schema.FACT[k] for k in keys] + [T.StructField("n", T.LongType())]))
-        return self.spark.read.parquet(*deltas).groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+        keys, there = COUNTS[name].keys, self._deltas(name)
+        rows = T.StructType([*[schema.FACT[k] for k in keys], T.StructField("n", T.LongType())])
+        if not there:
+            return self.spark.createDataFrame([], rows)
+        held = self.spark.read.schema(rows).parquet(*there)
+        if ID in keys:  # a key is in few deltas: summed where it is dealt, not before
+            held = held.repartition(ID)
+        return held.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
 
     def fold(self, batch_id: int) -> None:
         """One delta in place of all so far. What the fold before this one held goes; what this one holds stays until the next,

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import latest_versions
 from ..sources import schema
 from ..sources.reports import flatten
+from ..sources.store import drop_settled, settle
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -18,8 +20,24 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return flatten(spark.readStream.schema(schema.REPORT).option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
-#: Tasks that may write a bucket.
-SPREAD = 16
+ID, DATE = "safetyreportid", "receivedate"
+#: Parts that rows are dealt in, those of all buckets together: a bucket is as many files as it has parts, if tasks are as many.
+PARTS = 1024
+
+
+def newest(rows: DataFrame, parts: int) -> DataFrame:
+    """rows: facts or packed reports beside their ``bucket`` and ``at``, the hash that deals them. Of each non-null id all rows at
+    its last date, ids without any date dropped; null ids pass; equal rows fold.
+
+    Rows are dealt and sorted once, by bucket and id, and come out in that order."""
+    own = [c for c in rows.columns if c not in ("bucket", "at", ID, DATE)]
+    dealt = rows.withColumn("part", F.pmod(F.hash("at"), F.lit(parts))).repartition("bucket", "part")
+    by = W.partitionBy("bucket", "part", "at", ID).orderBy(DATE, *own)
+    row = F.struct(DATE, *own)
+    last = F.max(DATE).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    seen = dealt.select("*", last.alias("last"), F.lag(row).over(by).alias("before"))
+    kept = seen.where((F.col(ID).isNull() | (F.col(DATE) == F.col("last"))) & ~row.eqNullSafe(F.col("before")))
+    return kept.select(*[c for c in rows.columns if c != "at"])
 
 
 class LatestVersions:
@@ -27,26 +45,39 @@ class LatestVersions:
 
     A batch rewrites the buckets its rows fall in, all in one job, into a version folder of its own; of each bucket the newest
     version counts. Versions that no bucket needs any more, but for the one before, are deleted, so a reader that started
-    before a merge still finds its files."""
+    before a merge still finds its files. A batch is a table on the shared folder while it is merged: none of it is held in memory."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, rows: StructType = schema.FACT) -> None:
         """``rows``: the schema of what is kept, facts or packed reports."""
         self.spark, self.root, self.buckets, self.rows = spark, root.rstrip("/"), buckets, rows
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        of = F.when(F.col("safetyreportid").isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64("safetyreportid"))
-        new = batch.withColumn("bucket", F.pmod(of, F.lit(self.buckets)).cast("int")).persist()
-        hit = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    def placed(self, batch: DataFrame) -> DataFrame:
+        """The batch settled, each row beside the hash that deals it and its bucket."""
+        at = F.when(F.col(ID).isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64(ID))
+        return settle(batch.withColumn("at", at).withColumn("bucket", F.pmod("at", F.lit(self.buckets)).cast("int")))
+
+    def _held_by(self, placed: DataFrame) -> dict[int, str | None]:
+        """The buckets that a placed batch falls in, and the folder of each if it has one."""
+        held = self._held()
+        return {r[0]: held.get(r[0]) for r in placed.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+
+    def merge(self, batch: DataFrame, batch_id: int, placed: DataFrame | None = None) -> None:
+        """``placed``: the batch's :meth:`placed`, if it is there."""
+        new = self.placed(batch) if placed is None else placed
+        hit = self._held_by(new)
         if hit:
-            held = self._held()
-            old = self._read({b: held[b] for b in hit if b in held}, with_bucket=True)
-            rows = new if old is None else old.unionByName(new)
-            whole = latest_versions(rows, distinct=True)
+            old = self._read({b: path for b, path in hit.items() if path})
+            rows = new
+            if old is not None:
+                # a row without an id stays in the bucket that its file is in
+                bucket = F.when(F.col(ID).isNull(), F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int")).otherwise(F.pmod(F.xxhash64(ID), F.lit(self.buckets)).cast("int"))
+                at = F.when(F.col(ID).isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64(ID))
+                rows = old.select("*", at.alias("at"), bucket.alias("bucket")).unionByName(new)
             version = f"{self.root}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
-            # a bucket is as many files as there are tasks for it
-            whole.repartition("bucket", F.pmod(F.xxhash64(*batch.columns), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(version)
+            newest(rows, max(1, PARTS // self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(version)
             self._tidy()
-        new.unpersist()
+        if placed is None:
+            drop_settled(new)
 
     def changes(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows that the batch's ids have now, rows that they have once it is merged); rows without an id are not told."""
@@ -59,18 +90,13 @@ class LatestVersions:
         before = before.select(batch.columns)
         return before, latest_versions(before.unionByName(new), distinct=True)
 
-    def told(self, batch: DataFrame, *what: Column) -> DataFrame:
-        """(safetyreportid, before, after): sorted distinct values of ``what`` over the rows that each of the batch's ids has now
-        and over those that it has once the batch is merged. Slim rows meet in one shuffle by id; rows without an id are not told."""
-        slim = lambda rows, old: rows.where(F.col("safetyreportid").isNotNull()).select("safetyreportid", F.col("receivedate").alias("date"), F.lit(old).alias("old"), F.struct(*what).alias("what"))
-        new = slim(batch, False)
-        hit = [r[0] for r in new.select(F.pmod(F.xxhash64("safetyreportid"), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets`` numbers
-        held = self._held()
-        old = self._read({b: held[b] for b in hit if b in held})
-        rows = new if old is None else new.unionByName(slim(old, True))
-        by = rows.groupBy("safetyreportid").agg(F.collect_set(F.struct("old", "date", "what")).alias("rows"), F.max("date").alias("last"), F.bool_or(~F.col("old")).alias("asked")).where("asked")
-        side = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter("rows", keep), lambda r: r["what"])))
-        return by.select("safetyreportid", side(lambda r: r["old"]).alias("before"), side(lambda r: r["date"] == F.col("last")).alias("after"))
+    def told(self, placed: DataFrame, **what: Column) -> DataFrame:
+        """(safetyreportid, old, date, what): what the rows of the buckets that a placed batch falls in say now, and what the batch
+        brings; rows without an id are not told."""
+        slim = lambda rows, old: rows.where(F.col(ID).isNotNull()).select(ID, F.lit(old).alias("old"), F.col(DATE).alias("date"), *[c.alias(k) for k, c in what.items()])
+        old = self._read({b: path for b, path in self._held_by(placed).items() if path})
+        new = slim(placed, False)
+        return new if old is None else new.unionByName(slim(old, True))
 
     def merged(self, batch_id: int) -> bool:
         return any(v.rpartition("/")[2].startswith(f"v{batch_id:08d}-") for v in self._versions())
@@ -104,13 +130,8 @@ class LatestVersions:
             if v not in needed:
                 fs.delete(P(v), True)
 
-    def _read(self, held: dict[int, str], with_bucket: bool = False) -> DataFrame | None:
-        if not held:
-            return None
-        rows = self.spark.read.schema(self.rows).parquet(*held.values())
-        if not with_bucket:
-            return rows
-        return rows.withColumn("bucket", F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int"))
+    def _read(self, held: dict[int, str]) -> DataFrame | None:
+        return self.spark.read.schema(self.rows).parquet(*held.values()) if held else None
 
     def current(self) -> DataFrame:
         rows = self._read(self._held())
