@@ -616,3 +616,60 @@ def test_newest_rows_are_the_latest_versions(spark, tmp_path):
     got = newest(LatestVersions(spark, str(tmp_path), buckets=2).placed(facts), 3).drop("bucket").select(facts.columns)
     text = lambda df: sorted(map(str, df.collect()))
     assert [t.replace("-0.0", "0.0") for t in text(got)] == [t.replace("-0.0", "0.0") for t in text(latest_versions(facts, distinct=True))]
+
+
+def test_changes_of_counts_equal_their_plain_form(monkeypatch):
+    """Whatever the ends of batches, chunks and blocks cut; nulls, empty texts, repeats, several rows at a date."""
+    import pyarrow as pa
+
+    from vigilake.streaming import deltas
+    from vigilake.streaming.marts import COUNTS
+
+    rng = random.Random(5)
+    some = lambda xs: None if rng.random() < 0.1 else [rng.choice(xs) for _ in range(rng.randrange(4))]
+    names = ["safetyreportid", "old", "date", "sex", "age_stratum", "drug_name", "reaction_pt"]
+    rows = [
+        (str(k), rng.random() < 0.5, rng.choice(["2020-01-01", "2020-02-01", None]), rng.choice(["male", "female", None]), "adult", some(["A", "B", "C", "", None]), some(["X", "Y", "", None]))
+        for k in range(60) for _ in range(rng.choice([1, 1, 2, 5]))
+    ]
+    types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    whole = pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+    want = {}
+    for k, own in itertools.groupby(rows, lambda r: r[0]):
+        own = list(own)
+        if all(r[1] for r in own):
+            continue
+        last = max((r[2] for r in own if r[2]), default=None)
+        for name, count in COUNTS.items():
+            def keys(r):
+                lists = {c: [x for x in r[at] or [] if x or c not in count.solid] for c, at in (("drug_name", 5), ("reaction_pt", 6))}
+                one = {"safetyreportid": [k], "sex": [r[3]], "age_stratum": [r[4]], **lists}
+                return set(itertools.product(*[one[c] for c in count.keys])) if all(lists.values()) else set()
+
+            was, now = (set().union(*[keys(r) for r in own if which(r)]) for which in (lambda r: r[1], lambda r: r[2] and r[2] == last))
+            for key, n in [(x, 1) for x in now - was] + [(x, -1) for x in was - now]:
+                want[name, key] = want.get((name, key), 0) + n
+    monkeypatch.setattr(deltas, "AT_ONCE", 7)
+    monkeypatch.setattr(deltas, "CROSSES", 3)
+    got = {}
+    for batch in deltas.counted(COUNTS, iter(whole.to_batches(max_chunksize=5))):
+        for r in batch.to_pylist():
+            keys = [(tuple(r[c] for c in COUNTS[r["mart"]].keys), r["n"])] if r["safetyreportid"] is None else [((d, r["safetyreportid"]), n) for c, n in (("gained", 1), ("lost", -1)) for d in r[c]]
+            for key, n in keys:
+                got[r["mart"], key] = got.get((r["mart"], key), 0) + n
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n} and len({name for name, _ in want}) == len(COUNTS)
+
+
+def test_a_wide_report_crosses_in_blocks(monkeypatch):
+    """A report of 900 drugs and 900 terms is never one list of 810,000 pairs."""
+    import pyarrow as pa
+
+    from vigilake.streaming import deltas
+    from vigilake.streaming.marts import COUNTS
+
+    monkeypatch.setattr(deltas, "CROSSES", 20_000)
+    lists = [pa.array([[f"{c}{k}" for k in range(900)]] * 2) for c in "dp"]
+    rows = pa.table([pa.array(["1", "1"]), pa.array([True, False]), pa.array(["2020-01-01", "2020-01-02"]), pa.array(["male"] * 2), pa.array(["adult"] * 2), *lists], names=["safetyreportid", "old", "date", "sex", "age_stratum", "drug_name", "reaction_pt"])
+    sizes = [len(face) for face, _ in deltas.Faces(rows).named(COUNTS["pair"])]
+    assert sum(sizes) == 2 * 900 * 900 and max(sizes) <= 20_000
+    assert sum(b.num_rows for b in deltas.counted(COUNTS, iter(rows.to_batches()))) == 0  # the same on both sides

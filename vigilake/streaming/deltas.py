@@ -38,8 +38,10 @@ def net(report: np.ndarray, key: np.ndarray, side: np.ndarray, size: int) -> tup
     """(report, key, sign) of the keys from 0 to under ``size`` that a report names on one side alone: after (side 0, sign 1) or
     before (side 1, sign -1)."""
     told = np.unique((report * size + key) * 2 + side)
-    twin = told[1:] >> 1 == told[:-1] >> 1
-    told = told[~(np.append(twin, False) | np.append(False, twin))]
+    other, alone = told[1:] >> 1 != told[:-1] >> 1, np.ones(len(told), bool)
+    alone[1:] &= other
+    alone[:-1] &= other
+    told = told[alone]
     return (told >> 1) // size, (told >> 1) % size, 1 - 2 * (told & 1)
 
 
