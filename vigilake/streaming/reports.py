@@ -51,10 +51,13 @@ class LatestVersions:
         """``rows``: the schema of what is kept, facts or packed reports."""
         self.spark, self.root, self.buckets, self.rows = spark, root.rstrip("/"), buckets, rows
 
+    @staticmethod
+    def _at(batch: DataFrame) -> Column:
+        return F.when(F.col(ID).isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64(ID))
+
     def placed(self, batch: DataFrame) -> DataFrame:
         """The batch settled, each row beside the hash that deals it and its bucket."""
-        at = F.when(F.col(ID).isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64(ID))
-        return settle(batch.withColumn("at", at).withColumn("bucket", F.pmod("at", F.lit(self.buckets)).cast("int")))
+        return settle(batch.withColumn("at", self._at(batch)).withColumn("bucket", F.pmod("at", F.lit(self.buckets)).cast("int")))
 
     def _held_by(self, placed: DataFrame) -> dict[int, str | None]:
         """The buckets that a placed batch falls in, and the folder of each if it has one."""
@@ -63,21 +66,23 @@ class LatestVersions:
 
     def merge(self, batch: DataFrame, batch_id: int, placed: DataFrame | None = None) -> None:
         """``placed``: the batch's :meth:`placed`, if it is there."""
-        new = self.placed(batch) if placed is None else placed
-        hit = self._held_by(new)
+        if placed is None:
+            placed = self.placed(batch)
+            try:
+                return self.merge(batch, batch_id, placed)
+            finally:
+                drop_settled(placed)
+        hit = self._held_by(placed)
         if hit:
             old = self._read({b: path for b, path in hit.items() if path})
-            rows = new
+            rows = placed
             if old is not None:
                 # a row without an id stays in the bucket that its file is in
                 bucket = F.when(F.col(ID).isNull(), F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int")).otherwise(F.pmod(F.xxhash64(ID), F.lit(self.buckets)).cast("int"))
-                at = F.when(F.col(ID).isNull(), F.xxhash64(*batch.columns)).otherwise(F.xxhash64(ID))
-                rows = old.select("*", at.alias("at"), bucket.alias("bucket")).unionByName(new)
+                rows = old.select("*", self._at(batch).alias("at"), bucket.alias("bucket")).unionByName(placed)
             version = f"{self.root}/v{batch_id:08d}-{uuid.uuid4().hex[:8]}"
             newest(rows, max(1, PARTS // self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(version)
             self._tidy()
-        if placed is None:
-            drop_settled(new)
 
     def changes(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows that the batch's ids have now, rows that they have once it is merged); rows without an id are not told."""
